@@ -52,6 +52,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A settled table of a few columns as the small side of a join: sent to
+    every task if it has at most so many rows, otherwise left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,10 +7,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import chat, exact_dedup, kd_sharding, mixing
+from nodeloom.llm import chat, embedding_dedup, exact_dedup, jaccard, kd_sharding, langid, mixing, packing, pii, token_scan
 from nodeloom.llm.common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -61,7 +85,10 @@ from t window w as (partition by norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_chat_formatting, op9_exact_dedup, op10_mixing)}
+    import corpus_pipeline
+
+    ops = (op1_embedding_near_dedup, op2_sharding, op3_best_fit_packing, op4_chat_formatting, op5_language_id, op6_ngram_jaccard_join, op7_token_counts, op8_pii, op9_exact_dedup, op10_mixing)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

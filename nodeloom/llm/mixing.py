@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return first.select("source", "rank", "source_size", F.coalesce(F.least("cap", F.col("fit") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, closing: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, closing: int = 6) -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken.
 
     size is the number of words; a null text has none. Sources are ordered by

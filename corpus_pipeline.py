@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.llm import exact_dedup, jaccard, langid, mixing, packing
-from nodeloom.llm.common import few, settle
+from nodeloom.llm.common import few, settle, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts and those without a letter."""
-    return langid.identify(docs).where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
+    with small_batches(spark):
+        named = settle(langid.identify(docs).select("doc_id", "lang_pred"), "languages")
+    return _without(docs, named.where(F.col("lang_pred") == langid.UND))
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import components, settle
+from nodeloom.llm.common import components, settle, small_batches
 
 DIRECTIONS, WINDOW, MISS, CHUNK = 48, 2.7, 1e-9, 1500
 
@@ -98,7 +98,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, directions: int
                     yield got
 
     blocks = meet.select("x.dim", F.col("x.ids").alias("ia"), F.col("x.many").alias("na"), F.col("x.m").alias("ma"), F.col("y.ids").alias("ib"), F.col("y.many").alias("nb"), F.col("y.m").alias("mb"))
-    found = settle(blocks.repartition(F.col("ia"), F.col("ib")).mapInPandas(compare, "a long, n long, b long"), "found")
+    with small_batches(vectors.sparkSession, 16):
+        found = settle(blocks.repartition(F.col("ia"), F.col("ib")).mapInPandas(compare, "a long, n long, b long"), "found")
     sums = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = settle(components(found.select("a", "b")), "components")
     named = copies.select("k", F.col("label").alias("l"), F.col("v").alias("w"), "rep", "many").join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

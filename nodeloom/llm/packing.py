@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import blocks_for, prefix_sums, settle
+from nodeloom.llm.common import blocks_for, prefix_sums, settle, small_batches
 from nodeloom.llm.tokens import WordIds, default_path
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -142,7 +142,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, eod: in
     own. An empty table gives an empty result. Other columns are not read.
     """
     documents, attention = documents or capacity, attention or capacity * capacity
-    made = settle(pieces(docs, path or default_path(), capacity, eod).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("one", F.lit(1)), "pieces")
+    with small_batches(docs.sparkSession):
+        made = settle(pieces(docs, path or default_path(), capacity, eod).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("one", F.lit(1)), "pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     places = pd.DataFrame(plan(counts, capacity, documents, attention, score), columns=["length", "lo", "hi", "seq", "per", "offset"]).sort_values(["length", "lo"])
     by = {int(k): g[["lo", "seq", "per", "offset"]].to_numpy(dtype=np.int64).T for k, g in places.groupby("length")}

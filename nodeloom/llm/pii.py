@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import settle
+from nodeloom.llm.common import settle, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -163,7 +163,8 @@ def find_pii(docs: DataFrame, support: int = 5, confidence: float = 0.9, rounds:
     Repeated rows have the same result each. Other columns are not read. An empty table gives an empty
     result.
     """
-    found = settle(mentions(docs), "mentions")
+    with small_batches(docs.sparkSession):
+        found = settle(mentions(docs), "mentions")
     new = settle(discover(found, support, confidence, rounds), "discovered")
     # Back to the spans: few instances, many documents; only documents with loose spans are joined.
     loose = found.select("doc_id", "text_key", F.explode("found").alias("m")).where(~F.col("m.base")).select("doc_id", "text_key", "m.kind", "m.value", "m.s", "m.e").distinct()

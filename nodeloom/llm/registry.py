@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nodeloom.llm import chat, embedding_dedup, exact_dedup, jaccard, kd_sharding, langid, mixing, packing, pii, token_scan
-from nodeloom.llm.common import table
+from nodeloom.llm.common import settle, small_batches, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    with small_batches(spark):
+        return settle(langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score"), "languages")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

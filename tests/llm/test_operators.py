@@ -295,7 +295,7 @@ def test_base_spans_equal_the_patterns(docs, odd, none):
 
 
 def test_patterns_discover(spark):
-    rows = [(k, f"Please mail my contact address person{k}@mail.example.org now") for k in range(8)]
+    rows = [(k, f"Please mail my contact address person{k}@mail.example.org now") for k in range(12)]
     rows += [(20, "so the contact address hidden (at) mail.example.org is mine"), (21, "meet me at noon.then we go"), (22, "call 555-0123-456 today")]
     got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     t = dict(rows)[20]

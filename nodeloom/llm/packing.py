@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, eod: int) -> DataFrame:
     than the capacity. A null text has the end id alone."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end = WordIds(path), np.asarray([eod], dtype="<u4").tobytes()
+        ids, end = WordIds.shared(path), np.asarray([eod], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):

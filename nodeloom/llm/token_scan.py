@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
         from pyspark import TaskContext
 
         name = f"part-{TaskContext.get().partitionId():06d}"
-        ids, end = WordIds(path, plain=True), np.asarray([eod], dtype="<u4").tobytes()
+        ids, end = WordIds.shared(path, plain=True), np.asarray([eod], dtype="<u4").tobytes()
         size, block, held, closed, done = 4 * block_tokens, 0, bytearray(), [], 0
         for batch in batches:
             rows = []

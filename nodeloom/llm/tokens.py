@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from functools import cache
 
 import numpy as np
@@ -35,11 +36,25 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
+        # The tokenizer lowers all letters, and parts letters from the signs behind them.
+        if word.isascii() and len(word) > 1:
+            if word[-1] in ".," and word[-2].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            if word.isalpha() and not word.islower():
+                return self[word.lower()]
         self.tokenizer.encode_special_tokens = self.plain
         ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    @classmethod
+    def shared(cls, path: str, plain: bool = False) -> "WordIds":
+        """The words that this worker process has met so far, in whatever task."""
+        held = sys.__dict__.setdefault("_nodeloom_words", {})
+        if (path, plain) not in held:
+            held[path, plain] = cls(path, plain)
+        return held[path, plain]
+
     def of(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.split(" ")))

@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     n, budget = meta.count(), per.agg(F.sum("target")).first()[0] or 0.0
 
     keyed = meta.join(F.broadcast(per) if per.count() <= 100_000 else per, meta.source.eqNullSafe(per.source)).drop(per.source)
-    cum = prefix_sums(keyed, ["rank"], "h", ["doc_id", "size"], "size", blocks_for(n, 4000), "before")
+    cum = prefix_sums(keyed, ["rank"], "h", ["doc_id", "size"], "size", blocks_for(n, 1000), "before")
     queue = settle(cum, "queue")
 
     def finish(k: int) -> Column:

@@ -249,6 +249,22 @@ def test_signatures_miss_no_pair():
             assert len(met) >= need
 
 
+def test_sketches_exclude_no_link():
+    rnd, t, excluded = np.random.default_rng(8), jaccard.Threshold(), 0
+    for n in (1, 3, 20, 100, 700, 5000):
+        for share in np.linspace(0, 0.6, 25):
+            whole = rnd.integers(0, 2**63, 2 * n, dtype=np.int64).astype(np.uint64)
+            a = np.unique(whole[:n])
+            gone = int(share * n)
+            b = np.unique(np.concatenate([a[gone:], whole[n : n + int(rnd.integers(0, gone + 1))]]))
+            common = len(np.intersect1d(a, b))
+            able = jaccard.may_link(jaccard.sketch(a), jaccard.sketch(b), t)
+            assert able or not t.linked(common, len(a), len(b))
+            assert able == jaccard.may_link(jaccard.sketch(b), jaccard.sketch(a), t)
+            excluded += not able
+    assert excluded > 20
+
+
 def test_embeddings(spark, none):
     rnd = np.random.default_rng(2)
     base = rnd.standard_normal((30, 64))

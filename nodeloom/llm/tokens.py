@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -21,32 +23,55 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes.
+#: Words of ASCII signs (but the apostrophe, which opens contractions) and Latin-1 letters, cut as the tokenizer cuts them.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]{1,64}")
+PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit bytes, by words (UTF-8).
 
     The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its parts between spaces, one after the other. The
-    parts are looked up; only new ones are tokenized. most bounds the memory.
+    text's ids are those of its parts between spaces, one after the other. Plain
+    words are lowered and cut further, into runs of letters, digits and runs of
+    signs. The pieces that are new in a text are tokenized in one call; the last
+    id of each is one that ends a word. All other words are tokenized one by
+    one. most bounds the words that are kept, and the pieces too.
     """
 
     def __init__(self, path: str, plain: bool = False, most: int = 300_000):
-        super().__init__()
         self.tokenizer, self.most, self.plain = _tokenizer(path), most, plain
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        # The tokenizer lowers all letters, and parts letters from the signs behind them.
-        if word.isascii() and len(word) > 1:
-            if word[-1] in ".," and word[-2].isalpha():
-                return self[word[:-1]] + self[word[-1]]
-            if word.isalpha() and not word.islower():
-                return self[word.lower()]
+    def _encode(self, text: str) -> np.ndarray:
         self.tokenizer.encode_special_tokens = self.plain
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        cut = {}
+        for word in words:
+            text = word.decode()
+            if PLAIN.fullmatch(text) and "<|" not in text:  # which may open a special token
+                cut[word] = PIECE.findall(text.lower())
+            else:
+                self.words[word] = self._encode(text).tobytes()
+        if len(self.pieces) >= self.most:
+            self.pieces.clear()
+        new = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = self._encode(" ".join(some))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not close each word with an id of its own")
+            raw, begin = ids.tobytes(), 0
+            for piece, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.pieces[piece], begin = raw[begin:end], end
+        for word, parts in cut.items():
+            self.words[word] = b"".join(map(self.pieces.__getitem__, parts))
 
     @classmethod
     def shared(cls, path: str, plain: bool = False) -> "WordIds":
@@ -57,4 +82,14 @@ class WordIds(dict):
         return held[path, plain]
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        words = text.encode("utf-8", "replace").split()
+        if len(self.words) >= self.most:
+            self.words.clear()
+        new = set(words).difference(self.words)
+        if new:
+            self._learn(new)
+        ids = b"".join(map(self.words.__getitem__, words))
+        for word in new:
+            if len(word) > 128:
+                del self.words[word]
+        return ids

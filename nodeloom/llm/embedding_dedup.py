@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import components, settle, small_batches
+from nodeloom.llm.common import components, few, settle, small_batches
 
 DIRECTIONS, WINDOW, MISS, CHUNK = 48, 2.7, 1e-9, 1500
 
@@ -76,8 +76,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, directions: int
 
     kind = dict(vectors.dtypes)["label"]
     points = settle(copies.select("rep", "many", "label", "v").mapInPandas(project, f"rep long, many long, label {kind}, v array<double>, range int, dim int"), "points")
-    sizes = points.groupBy("label", "dim", "range").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    dealt = points.join(sizes, ["label", "dim", "range"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    sizes = settle(points.groupBy("label", "dim", "range").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "sizes")
+    # Joined without a shuffle by range, so that the chunks of a large range go to tasks of their own.
+    dealt = points.join(few(sizes), ["label", "dim", "range"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
 
     def bundle(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         m = np.stack([np.asarray(v, dtype=np.float64) for v in b["v"]])

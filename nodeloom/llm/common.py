@@ -62,15 +62,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 800):
-    """Texts go to Python so many at a time; what is run inside is bounded."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 800, size: str = "16m"):
+    """Rows go to Python so many, or so many bytes, at a time; what is run inside is bounded."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in limits}
     try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:

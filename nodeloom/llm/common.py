@@ -117,34 +117,48 @@ def prefix_sums(df: DataFrame, group: list[str], order: str, ties: list[str], we
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(weight).over(inside), F.lit(0))).drop("_base", "_block")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that occurs in links; component is the
     smallest node that links reach.
 
-    Alternates large-star and small-star passes; both keep the components and
-    shorten the paths, so that a few passes end it. All passes are joins and
-    aggregates on shuffled keys, each result is written to the shared folder.
+    Every node hooks onto its smallest neighbour, if that is smaller; pointers
+    jump until all show to their roots; links then lead from root to root, and
+    the roots go on until no link is left. A root that still has links takes or
+    is taken by another one, so that each round at least halves them, and a
+    round's jumps grow with the logarithm of its longest chain. All passes are
+    joins and aggregates on keys, each result is written to the shared folder.
     A hub's rows are spread: a pass only takes minima per key, which Spark adds
     up before it shuffles.
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v"))
     edges = settle(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
-    nodes = settle(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "labels")
-    for _ in range(rounds):
-        # The smallest label that a node or a neighbour has, then that label's own label.
-        seen = edges.join(nodes.withColumnsRenamed({"u": "v", "m": "m_v"}), "v").groupBy("u").agg(F.min("m_v").alias("near"))
-        step = nodes.join(seen, "u").select("u", F.least("m", "near").alias("m"), F.col("m").alias("was"))
-        step = settle(step, "labels")
-        hop = step.select(F.col("u").alias("m"), F.col("m").alias("far"))
-        new = settle(step.join(hop, "m", "left").select("u", F.least("m", F.coalesce("far", "m")).alias("m"), "was"), "labels")
-        changed = new.where("m <> was").limit(1).count()
-        discard(step)
-        discard(nodes)
-        nodes = new
-        nodes._settled_at = new._settled_at
-        if not changed:
+    rounds = []
+    while True:
+        roots = settle(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "labels")
+        while True:
+            far = few(roots).select(F.col("u").alias("m"), F.col("m").alias("far"))
+            new = settle(roots.join(far, "m").select("u", F.col("far").alias("m"), F.col("m").alias("was")), "labels")
+            changed = new.where("m <> was").limit(1).count()
+            discard(roots)
+            roots = new
+            if not changed:
+                break
+        rounds.append(roots)
+        low = few(roots).select("u", "m")
+        left = edges.join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("u")).join(low, "u").select(F.col("a").alias("u"), F.col("m").alias("v"))
+        left = settle(left.where("u <> v").distinct(), "edges")
+        discard(edges)
+        edges = left
+        if edges.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("components did not settle")
     discard(edges)
-    return nodes.select(F.col("u").alias("node"), F.col("m").alias("component"))
+    # Back from the last round: the roots of a round are nodes of the next, or have no link any more.
+    out = rounds.pop()
+    while rounds:
+        far = few(out).select(F.col("u").alias("m"), F.col("m").alias("far"))
+        before = rounds.pop()
+        new = settle(before.join(far, "m", "left").select("u", F.coalesce("far", "m").alias("m")), "labels")
+        discard(before)
+        discard(out)
+        out = new
+    return out.select(F.col("u").alias("node"), F.col("m").alias("component"))

@@ -339,6 +339,15 @@ def test_components(spark):
     assert got == {n: c for n, c in low.items() if any(n in p and p[0] != p[1] for p in links)}
 
 
+def test_components_of_long_chains(spark):
+    """Chains with ids in any order: rounds may not grow with their length."""
+    rnd = random.Random(4)
+    ids = rnd.sample(range(10_000), 2_300)
+    links = list(zip(ids[:1999], ids[1:2000], strict=True)) + [(p, q) for k, p in enumerate(ids[2000:]) for q in ids[2001 + k : 2004 + k]]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: min(ids[:2000]) for n in ids[:2000]} | {n: min(ids[2000:]) for n in ids[2000:]}
+
+
 def test_pipeline(spark):
     """run() against its stages done plainly."""
     import corpus_pipeline as cp

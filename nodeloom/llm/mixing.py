@@ -3,7 +3,8 @@
 Every shuffled document gets a virtual finish time: the words of its source up
 to and with it, over the source's target. The queue is ranged by that time over
 all sources and cut where the total budget is used up. A source that is to give
-more than it has goes round a second time.
+more than it has goes round a second time. What a document too long for the rest
+of its source's target leaves goes to those behind it in the queue.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nodeloom.llm.common import blocks_for, prefix_sums, settle, word_count
+from nodeloom.llm.common import blocks_for, discard, prefix_sums, settle, word_count
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -38,16 +39,16 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     return first.select("source", "rank", "source_size", F.coalesce(F.least("cap", F.col("fit") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, closing: int = 6) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken.
 
     size is the number of words; a null text has none. Sources are ordered by
     code point, null last, and weigh as weights say, repeating. taken is size
     times the rounds (0 to most) in which the document made it. A document
     without words is never taken. The order within a source is that of a hash of
-    doc_id, so that reruns agree; closing documents per source at most fill what
-    is left of its target after the cut; rows that repeat a doc_id are rows of their
-    own. Other columns are not read. An empty table gives an empty result.
+    doc_id, so that reruns agree; a document that does not fit what is left of its
+    source's target is passed without counting, and the queue goes on until nothing
+    fits; rows that repeat a doc_id are rows of their own. Other columns are not read. An empty table gives an empty result.
     """
     meta = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     meta = settle(meta, "sizes")
@@ -88,16 +89,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
         taken = [made(k) for k in range(most)]
     times = reduce(lambda x, y: x + y, taken).cast("long")
-    got = queue.withColumn("times", times)
-    # What the last documents leave of a source's target goes to the largest that still fits, one at a time.
-    for _ in range(closing):
-        short = got.groupBy("rank").agg(F.floor(F.max("target") - F.sum(F.col("size") * F.col("times"))).alias("short"))
-        short = F.broadcast(short) if per.count() <= 100_000 else short
-        able = got.where((F.col("times") < most) & (F.col("size") > 0)).join(short.where("short > 0"), "rank").where("size <= short")
-        best = able.groupBy("rank").agg(F.max(F.struct("size", "h", "before")).alias("best")).select("rank", F.col("best.before").alias("before"), F.lit(1).alias("more"))
-        best = settle(best, "fits")
-        if best.limit(1).count() == 0:
-            break
-        best = F.broadcast(best) if per.count() <= 100_000 else best
-        got = got.join(best, ["rank", "before"], "left").withColumn("times", F.col("times") + F.when(F.col("size") > 0, F.coalesce("more", F.lit(0))).otherwise(0)).drop("more")
-    return got.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    cut = settle(queue.withColumn("times", times), "cut")
+    few = per.count() <= 100_000
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    # What is left of a source's target. It only falls, so that a document that is too large once stays out.
+    left = settle(cut.groupBy("rank").agg(F.floor(F.max("target") - F.sum(F.col("size") * F.col("times"))).alias("short")), "left")
+    fits = (F.col("times") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("short"))
+    able = settle(cut.select("rank", "before", "h", "doc_id", "size", "times").join(small(left), "rank").where(fits).drop("short"), "able")
+    more = []
+    while able.limit(1).count():
+        # The rounds one after the other: up to the next document that does not fit, of those that could.
+        first = settle(able.groupBy("rank").agg(F.min("times").alias("round")), "rounds")
+        turn = able.join(small(first), "rank").where("times = round").drop("round")
+        upto = prefix_sums(turn, ["rank"], "h", ["doc_id", "size"], "size", blocks_for(able.count(), 1000), "upto")
+        got = settle(upto.join(small(left), "rank").where(F.col("upto") + F.col("size") <= F.col("short")).select("rank", "before", "size", F.lit(1).alias("more")), "fits")
+        more.append(got.select("rank", "before", "more"))
+        spent = got.groupBy("rank").agg(F.sum("size").alias("spent"))
+        left = settle(left.join(spent, "rank").select("rank", (F.col("short") - F.col("spent")).alias("short")), "left")
+        after = able.join(got.select("rank", "before", "more"), ["rank", "before"], "left").withColumn("times", F.col("times") + F.coalesce("more", F.lit(0))).drop("more")
+        rest = settle(after.join(small(left), "rank").where(fits).drop("short"), "able")
+        discard(able)
+        able = rest
+    if more:
+        added = reduce(DataFrame.union, more).groupBy("rank", "before").agg(F.sum("more").alias("more"))
+        # Only documents with words have a place of their own in the sums.
+        with_words = F.when(F.col("size") > 0, F.coalesce("more", F.lit(0))).otherwise(0)
+        cut = cut.join(added, ["rank", "before"], "left").withColumn("times", F.col("times") + with_words)
+    return cut.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"))

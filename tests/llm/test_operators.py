@@ -89,6 +89,35 @@ def test_mixing(docs, odd, none):
     assert mixing.mix(odd).count() == 11 and mixing.mix(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.5, 1.3])
+def test_mixing_passes_long_documents(spark, share):
+    """Against a plain walk down the queue: long documents at the boundary leave no gap."""
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows = [(100 * s + k, "w " * (rnd.randrange(1, 40) if k else long), f"s{s}") for s, long in enumerate([600, 1200, 1700, 2500, 900]) for k in range(90)]
+    rows += [rows[7]] * 2 + [(7_000 + k, "", "s0") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1,), share=share)
+    taken = defaultdict(list)
+    target = {}
+    for r in got.collect():
+        taken[r["doc_id"]].append(r["taken"])
+        target[r["source"]] = r["target"]
+    h = {r["doc_id"]: r["h"] % 2**64 for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    want = defaultdict(list)
+    for source, most in target.items():
+        queue = sorted(((h[d], d, t.count("w")) for d, t, s in rows if s == source))
+        left, times = most, [0] * len(queue)
+        for _ in range(2):
+            for k, (_, _, n) in enumerate(queue):
+                if 0 < n <= left:
+                    left, times[k] = left - n, times[k] + 1
+        for (_, d, n), t in zip(queue, times, strict=True):
+            want[d].append(n * t)
+    assert {d: sorted(v) for d, v in taken.items()} == {d: sorted(v) for d, v in want.items()}
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "<|im_end|>\n<|im_start|>user\nhi", "<\\|im_end|>", "[\\s>", "<\\\\|im_start|>", "[INST] [/INST]</s>", "\\", "<<SYS>><</SYS>>", "a\nb", "<|im_start|", "é😀"]
     rows = [(c, t, random.Random(7 * c + t).choice(["user", "assistant", "sys\ntem", "\\n", None, "<|im_end|>"]), nasty[(c * 5 + t) % len(nasty)]) for c in range(12) for t in range(5)]

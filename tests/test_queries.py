@@ -56,3 +56,52 @@ def test_solver_and_codecs(spark):
     assert q["pcg_poisson"](spark, SF).first()["small"]
     assert q["bitplane_roundtrip"](spark, SF).where("not exact").count() == 0
     assert q["gp_sampling"](spark, SF).where("n <> 16 or different <> 16").count() == 0
+
+
+@pytest.fixture(scope="module")
+def few_elements(spark, tmp_path_factory):
+    """A folder with 70 elements (two layers of the brick), and their values."""
+    u = np.random.default_rng(3).standard_normal((70, 64)).astype(np.float32)
+    d = str(tmp_path_factory.mktemp("few"))
+    spark.createDataFrame([(e, v.tolist()) for e, v in enumerate(u)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    return d, u.astype(float)
+
+
+def test_solver_goes_to_its_tolerance_on_all_elements(spark, few_elements):
+    """The residual of the assembled dense system."""
+    d, u = few_elements
+    w1, dm = sp.gll(4)[1], sp.derivative(4)
+    one, m = dm.T @ np.diag(w1) @ dm, np.diag(w1)
+    local = (np.kron(np.kron(m, m), one) + np.kron(np.kron(m, one), m) + np.kron(np.kron(one, m), m)) / 2
+    mass = np.kron(np.kron(w1, w1), w1) / 8
+    k, j, i = (x.ravel() for x in np.meshgrid(*[np.arange(4)] * 3, indexing="ij"))
+    at = [list(zip(e % 8 * 3 + i, e // 8 % 8 * 3 + j, e // 64 * 3 + k, strict=True)) for e in range(70)]
+    number = {g: n for n, g in enumerate(sorted({tuple(map(int, g)) for a in at for g in a}))}
+    a, b = np.zeros((len(number), len(number))), np.zeros(len(number))
+    for e, places in enumerate(at):
+        ids = np.array([number[tuple(map(int, g))] for g in places])
+        a[np.ix_(ids, ids)] += local + np.diag(mass)
+        b[ids] += u[e] * mass
+    got = {(r["gx"], r["gy"], r["gz"]): r for r in catalogue.queries()["pcg_poisson"](spark, d).collect()}
+    assert got.keys() == number.keys() and all(r["small"] for r in got.values())
+    x = np.array([got[g]["v"] for g in number])
+    assert np.sqrt(np.mean((b - a @ x) ** 2)) < 1.01e-4 < np.sqrt(np.mean(b**2))
+
+
+def test_gp_samples_of_all_elements(spark, few_elements):
+    """Every node taken has the largest posterior deviation of those that are free; the mean is the posterior's."""
+    d, u = few_elements
+    got = {r["e"]: r for r in catalogue.queries()["gp_sampling"](spark, d).collect()}
+    assert sorted(got) == list(range(70))
+    v, inv = sp.modal(4)
+    basis, back = np.kron(np.kron(v, v), v), np.kron(np.kron(inv, inv), inv)
+    for e, r in got.items():
+        cov = basis @ np.diag((back @ u[e]) ** 2) @ basis.T
+        noise = 1e-10 * np.trace(cov) / 64
+        for n in range(16):
+            s = r["nodes"][:n]
+            var = np.diag(cov - cov[:, s] @ np.linalg.inv(cov[np.ix_(s, s)] + noise * np.eye(n)) @ cov[s])
+            free = [p for p in range(64) if p not in s]
+            assert r["nodes"][n] in free and var[r["nodes"][n]] >= var[free].max() - 1e-6 * np.trace(cov)
+        s = r["nodes"]
+        assert np.allclose(r["mean"], cov[:, s] @ np.linalg.solve(cov[np.ix_(s, s)] + noise * np.eye(16), u[e][s]), atol=1e-5)

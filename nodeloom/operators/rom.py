@@ -21,6 +21,13 @@ def gram(rows: DataFrame, key: str, snap: str, value: str) -> DataFrame:
     return x.join(y, "_k").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("g"))
 
 
+def gram_arrays(rows: DataFrame, snap: str, column: str) -> DataFrame:
+    """(a, b, g) as of gram, of snapshots that are an array each: pairs are made once, not once per value."""
+    x, y = (rows.select(F.col(snap).alias(s), F.col(column).alias(f"_{s}")) for s in "ab")
+    products = F.zip_with("_a", "_b", lambda p, q: p * q)
+    return x.join(y, F.col("a") <= F.col("b")).select("a", "b", F.aggregate(products, F.lit(0.0), lambda s, p: s + p).alias("g"))
+
+
 def gram_matrix(blocks: DataFrame, column: str) -> np.ndarray:
     """A^T A of a tall matrix whose rows are arrays in column; partial products per batch, added up by Spark."""
 

@@ -403,6 +403,12 @@ def gram_matrix(spark, d):
     return rom.gram(r, "p", "e", "u").select("a", "b", F.round("g", 6).alias("g"))
 
 
+@query()
+def gram_matrix_whole(spark, d):
+    """Inner products of all elements; gram_matrix and its SQL keep the first 40 only."""
+    return rom.gram_arrays(arrays(spark, d), "e", "u").select("a", "b", F.round("g", 6).alias("g"))
+
+
 @query(f"with {SQL_NODES} select e, round(sum(u*u), 6) as energy from nodes group by e")
 def snapshot_energy(spark, d):
     return arrays(spark, d).select("e", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x), 6).alias("energy"))

@@ -105,3 +105,13 @@ def test_gp_samples_of_all_elements(spark, few_elements):
             assert r["nodes"][n] in free and var[r["nodes"][n]] >= var[free].max() - 1e-6 * np.trace(cov)
         s = r["nodes"]
         assert np.allclose(r["mean"], cov[:, s] @ np.linalg.solve(cov[np.ix_(s, s)] + noise * np.eye(16), u[e][s]), atol=1e-5)
+
+
+def test_gram_matrix_of_all_elements(spark):
+    a = {r["e"]: np.asarray(r["u"]) for r in catalogue.arrays(spark, SF).collect()}
+    ids = sorted(a)
+    want = np.stack([a[e] for e in ids]) @ np.stack([a[e] for e in ids]).T
+    got = catalogue.queries()["gram_matrix_whole"](spark, SF).toPandas()
+    assert len(got) == len(ids) * (len(ids) + 1) // 2 and (got["a"] <= got["b"]).all() and not got.duplicated(["a", "b"]).any()
+    at = {e: n for n, e in enumerate(ids)}
+    assert np.allclose(got["g"], want[got["a"].map(at), got["b"].map(at)], atol=2e-6)

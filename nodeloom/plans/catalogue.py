@@ -306,13 +306,23 @@ def grid_bins(spark, d):
     return e.groupBy(st.grid_bin(F.col("value"), F.lit(lo), F.lit(hi), 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with p as (select event_id, value/10.0::double as x, (event_id%50)::double as y from events), b as (select p_partkey, p_size*1.0::double as x_lo, p_size+1.5::double as x_hi, (p_partkey%50)::double as y_lo, (p_partkey%50)+2.0::double as y_hi from part where p_partkey <= 500) select event_id, p_partkey from p join b on x between x_lo and x_hi and y between y_lo and y_hi")
-def bbox_range_join(spark, d):
+def _in_boxes(spark, d, which: str):
     p = table(spark, d, "events").select("event_id", F.expr("value / 10.0D").alias("x"), F.expr("cast(event_id % 50 as double)").alias("y"))
-    b = table(spark, d, "part").where("p_partkey <= 500").select("p_partkey", F.expr("p_size * 1.0D").alias("x_lo"), F.expr("p_size + 1.5D").alias("x_hi"), F.expr("cast(p_partkey % 50 as double)").alias("y_lo"), F.expr("p_partkey % 50 + 2.0D").alias("y_hi"))
+    b = table(spark, d, "part").where(which).select("p_partkey", F.expr("p_size * 1.0D").alias("x_lo"), F.expr("p_size + 1.5D").alias("x_hi"), F.expr("cast(p_partkey % 50 as double)").alias("y_lo"), F.expr("p_partkey % 50 + 2.0D").alias("y_hi"))
     return st.box_join(p, b, ["x", "y"], {"x": 2.0, "y": 2.0}).select("event_id", "p_partkey")
 
 
+@query("with p as (select event_id, value/10.0::double as x, (event_id%50)::double as y from events), b as (select p_partkey, p_size*1.0::double as x_lo, p_size+1.5::double as x_hi, (p_partkey%50)::double as y_lo, (p_partkey%50)+2.0::double as y_hi from part where p_partkey <= 500) select event_id, p_partkey from p join b on x between x_lo and x_hi and y between y_lo and y_hi")
+def bbox_range_join(spark, d):
+    return _in_boxes(spark, d, "p_partkey <= 500")
+
+
+@query()
+def bbox_range_join_whole(spark, d):
+    """All boxes; bbox_range_join and its SQL keep the first 500 parts only."""
+    return _in_boxes(spark, d, "true")
+
+
 @query(f"with {SQL_BRICK}, c as (select e, (min(x)+max(x))/2 as cx, (min(y)+max(y))/2 as cy, (min(z)+max(z))/2 as cz from brick group by e) select e, k, j, i, round(u, 6) as u from brick semi join (select e from c where cx > 1 and cx < 5 and cy > 2 and cy < 7 and cz > -1 and cz < 4) using (e)")
 def subdomain_filter(spark, d):
     """Elements whose box centre lies strictly inside a box."""

@@ -115,3 +115,13 @@ def test_gram_matrix_of_all_elements(spark):
     assert len(got) == len(ids) * (len(ids) + 1) // 2 and (got["a"] <= got["b"]).all() and not got.duplicated(["a", "b"]).any()
     at = {e: n for n, e in enumerate(ids)}
     assert np.allclose(got["g"], want[got["a"].map(at), got["b"].map(at)], atol=2e-6)
+
+
+def test_box_join_of_all_boxes(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    value, size = rng.uniform(0, 500, 200).round(1), rng.integers(1, 51, 1200)
+    spark.createDataFrame([(k, float(v)) for k, v in enumerate(value)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(k + 1, int(v)) for k, v in enumerate(size)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = sorted((e, b + 1) for e, v in enumerate(value) for b, s in enumerate(size) if s <= v / 10 <= s + 1.5 and (b + 1) % 50 <= e % 50 <= (b + 1) % 50 + 2)
+    got = sorted((r["event_id"], r["p_partkey"]) for r in catalogue.queries()["bbox_range_join_whole"](spark, str(tmp_path)).collect())
+    assert got == want and any(b > 500 for _, b in want)

@@ -7,7 +7,7 @@ number without its plus) are candidates, found with the words before them.
 Spark scores the graph of patterns and instances: a pattern is as good as the
 share of known instances among all that follow it, if enough different ones do;
 an instance is as good as its best pattern. Instances above the bar become known
-and the scores are taken again. Base spans always stay; what the patterns
+and the scores are taken again, until no new instance is known. Base spans always stay; what the patterns
 discover is added.
 """
 
@@ -134,15 +134,17 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(find, f"doc_id {kind}, text_key long, found array<{MENTION}>")
 
 
-def discover(found: DataFrame, support: int = 5, confidence: float = 0.9, rounds: int = 2) -> DataFrame:
+def discover(found: DataFrame, support: int = 5, confidence: float = 0.9) -> DataFrame:
     """(kind, value) of loose instances that high-confidence patterns reach.
 
     A pattern of a kind needs support different known instances of the kind, and
     these have to be confidence of all different instances behind its words.
+    Known instances only grow; it ends with the round that adds none.
     """
     edges = settle(found.select(F.explode("found").alias("m")).select("m.kind", "m.value", "m.base", F.explode("m.ctx").alias("ctx")).groupBy("kind", "value", "ctx").agg(F.max("base").alias("base")), "graph")
-    known = edges.where("base").select("kind", "value").distinct()
-    for _ in range(rounds):
+    known = settle(edges.where("base").select("kind", "value").distinct(), "known")
+    n, before = known.count(), -1
+    while n != before:
         marked = edges.join(known.withColumn("known", F.lit(1)), ["kind", "value"], "left")
         # An instance that is known counts for its kind only; one that is not known counts once, against all.
         per = marked.groupBy("ctx", "kind").agg(F.sum("known").alias("hits"))
@@ -150,10 +152,11 @@ def discover(found: DataFrame, support: int = 5, confidence: float = 0.9, rounds
         good = per.join(every, "ctx").where((F.col("hits") >= support) & (F.col("hits") >= confidence * F.col("seen"))).select("ctx", "kind")
         reached = edges.where(~F.col("base")).join(good, ["ctx", "kind"], "left_semi").select("kind", "value")
         known = settle(known.union(reached).distinct(), "known")
+        n, before = known.count(), n
     return reached.distinct()
 
 
-def find_pii(docs: DataFrame, support: int = 5, confidence: float = 0.9, rounds: int = 2) -> DataFrame:
+def find_pii(docs: DataFrame, support: int = 5, confidence: float = 0.9) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base
     spans of the kind), base_sha256 (of kind:start:end of the base spans by
     start, then kind, comma-joined), spans (base and discovered ones, likewise),
@@ -165,7 +168,7 @@ def find_pii(docs: DataFrame, support: int = 5, confidence: float = 0.9, rounds:
     """
     with small_batches(docs.sparkSession):
         found = settle(mentions(docs), "mentions")
-    new = settle(discover(found, support, confidence, rounds), "discovered")
+    new = settle(discover(found, support, confidence), "discovered")
     # Back to the spans: few instances, many documents; only documents with loose spans are joined.
     loose = found.select("doc_id", "text_key", F.explode("found").alias("m")).where(~F.col("m.base")).select("doc_id", "text_key", "m.kind", "m.value", "m.s", "m.e").distinct()
     added = loose.join(new, ["kind", "value"], "left_semi").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "kind", "e")).alias("more"))

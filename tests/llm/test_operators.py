@@ -360,6 +360,15 @@ def test_patterns_discover(spark):
     assert got[21]["spans"] == "" and got[22]["spans"] == "" and got[0]["n_email"] == 1
 
 
+def test_patterns_discover_until_nothing_is_new(spark):
+    """Each word's pattern becomes good by the instance that the word before it discovered."""
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [f"{w} person{k}{w}@mail.example.org" for w in words for k in range(12)]
+    rows += [f"{w} hidden{k} (at) mail.example.org" for k, w in enumerate(words)] + [f"{w} hidden{k} (at) mail.example.org" for k, w in enumerate(words[1:])]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).where("n_discovered = 1").collect()
+    assert {r["doc_id"] for r in got} == set(range(60, 69))
+
+
 def test_components(spark):
     rnd = random.Random(9)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1060)]

@@ -75,9 +75,9 @@ def small_batches(spark: SparkSession, rows: int = 800, size: str = "16m"):
             spark.conf.set(name, value)
 
 
-def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A settled table of a few columns as the small side of a join: sent to
-    every task if it has at most so many rows, otherwise left to a shuffle."""
+def few(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A settled table of a few numbers a row as the small side of a join: sent to
+    every task if it has at most so many rows (some MB), otherwise left to a shuffle."""
     return F.broadcast(df) if df.count() <= most else df
 
 

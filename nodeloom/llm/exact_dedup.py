@@ -1,10 +1,13 @@
 """Exact deduplication by a stateful stream.
 
-Each arriving row is a digest of its normalised text, its stable identifier and
-a locator of its content. A stream folds the arrivals into keyed state in
-RocksDB that never expires: per digest the identifier that stays and the number
-of rows. Rows that hit an existing digest have their full bytes compared. Only
-rows of digests that occur more than once are read again for that.
+The texts are written to a content table, each under a locator (the call that
+wrote it; part file and place in it, in one number). A stream reads digest, identifier and
+locator from there, in several micro-batches, and folds them into keyed state in
+RocksDB that never expires: per digest the identifier that stays, the locator of
+its content and the number of rows. Rows that hit a digest of another row have
+their full bytes compared with the bytes that the state's locator leads to.
+Where a folder is given, content and state stay there, and a later call goes on
+from them.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import ascii_lower, delete, new_path, settle
+from nodeloom.llm.common import ascii_lower, delete, few, new_path, settle
 
 ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -24,6 +27,7 @@ ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+BATCHES = 3  #: micro-batches that a call's content files are dealt into
 
 
 def sha256_of(text: Column) -> Column:
@@ -35,40 +39,42 @@ def normalised(text: str = "text") -> Column:
     return ascii_lower(F.coalesce(F.col(text), F.lit("")))
 
 
-def fold_stream(arrivals_path: str, spark, files_per_batch: int = 0) -> DataFrame:
-    """Runs the arrivals through the state; one row per digest: digest, keep_id,
-    group_size. The stream ends when it has read all files that are there; a
-    later call with the same folders would go on from them."""
+def _files(spark, path: str, prefix: str = "part-") -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    listed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sum(s.getPath().getName().startswith(prefix) for s in listed)
+
+
+def fold_stream(spark, content: str, folder: str, kind: str, files_per_batch: int) -> DataFrame:
+    """Runs what the stream has not read yet of the content folder through the
+    state in folder; one row per digest: digest, keep_id, locator, group_size.
+    kind: the type of doc_id. The stream ends when it has read all files that
+    are there; a later call with the same folders goes on from them."""
     before = {k: spark.conf.get(k, None) for k in ROCKS}
     for k, v in ROCKS.items():
         spark.conf.set(k, v)
-    out, log = new_path(spark, "dedup-state"), new_path(spark, "dedup-log")
+    out = f"{folder}/updates"
+    schema = f"doc_id {kind}, digest string, locator struct<call:int,place:long>"
     try:
-        schema = spark.read.parquet(arrivals_path).schema
-        reader = spark.readStream.schema(schema)
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch)
         # max over (not null, id, locator): a row with an identifier beats one without.
         best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "locator"))
-        state = reader.parquet(arrivals_path).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        state = reader.parquet(content).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
 
         def write(batch: DataFrame, number: int) -> None:
             batch.select("digest", "best.doc_id", "best.locator", "group_size", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
 
-        query = state.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start()
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    kind = dict(spark.read.parquet(arrivals_path).dtypes)["doc_id"]
-    updates = spark.read.schema(f"digest string, doc_id {kind}, locator bigint, group_size bigint, batch int").option("recursiveFileLookup", "true").parquet(out) if _exists(spark, out) else None
-    if updates is None:
-        return spark.createDataFrame([], f"digest string, keep_id {kind}, group_size bigint")
-    delete(spark, log)
-    last = F.max(F.struct("batch", "doc_id", "group_size")).alias("s")
-    if not files_per_batch:
-        return updates.select("digest", F.col("doc_id").alias("keep_id"), "group_size")
-    return updates.groupBy("digest").agg(last).select("digest", F.col("s.doc_id").alias("keep_id"), "s.group_size")
+    if not _exists(spark, out):
+        return spark.createDataFrame([], f"digest string, keep_id {kind}, locator struct<call:int,place:long>, group_size long")
+    updates = spark.read.schema(f"digest string, doc_id {kind}, locator struct<call:int,place:long>, group_size long, batch int").option("recursiveFileLookup", "true").parquet(out)
+    last = updates.groupBy("digest").agg(F.max_by(F.struct("doc_id", "locator", "group_size"), "batch").alias("s"))
+    return last.select("digest", F.col("s.doc_id").alias("keep_id"), "s.locator", "s.group_size")
 
 
 def _exists(spark, path: str) -> bool:
@@ -76,7 +82,7 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, files_per_batch: int = 0) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, batches: int = BATCHES, folder: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; a null text
@@ -85,25 +91,42 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of,
     all that carry the largest doc_id are marked kept. Other columns, whatever
     their names, are not read. An empty table gives an empty result. Rows of
     different text whose digest is the same are told apart by their bytes.
-    """
-    spark = docs.sparkSession
-    keyed = docs.select("doc_id", normalised().alias("norm"))
-    arrivals = settle(keyed.select("doc_id", digest(F.col("norm")).alias("digest"), F.length("norm").cast("long").alias("locator"), F.sha2("norm", 256).alias("text_sha256")), "arrivals")
-    state = settle(fold_stream(arrivals._settled_at, spark, files_per_batch), "state")
-
-    # Full bytes of the hits: grouping by the text itself compares every byte.
-    # The join key is a hash of the digest, so the grouping below shuffles anew
-    # after adding up in the map tasks, and a hot key's join may be split.
-    hits = state.where("group_size > 1").select(F.xxhash64("digest").alias("k"), F.col("digest").alias("d"))
-    again = keyed.withColumns({"digest": digest(F.col("norm"))}).withColumn("k", F.xxhash64("digest"))
-    again = again.join(hits, (again.k == hits.k) & (again.digest == hits.d), "left_semi")
-    texts = again.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    exact = settle(texts.select("digest", F.sha2("norm", 256).alias("text_sha256"), F.xxhash64("norm").alias("bytes_hash"), "keep_id", "group_size"), "texts")
-    clash = settle(exact.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "clash")
 
+    folder: where the content and the state of earlier calls are and stay. The
+    groups then hold the rows of all calls, of which only those of docs come back;
+    doc_id has to have the same type in all calls.
+    """
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    home = folder or new_path(spark, "dedup")
+    earlier = _exists(spark, f"{home}/content")
+    number = _files(spark, f"{home}/content", "call-") if earlier else 0
+    here = f"{home}/content/call-{number:06d}"
+    norm = docs.select("doc_id", normalised().alias("norm"))
+    made = norm.select("doc_id", digest(F.col("norm")).alias("digest"), F.struct(F.lit(number).alias("call"), F.monotonically_increasing_id().alias("place")).alias("locator"), F.sha2("norm", 256).alias("text_sha256"), "norm")
+    made.write.parquet(here)
+    state = settle(fold_stream(spark, f"{home}/content", f"{home}/fold", kind, max(1, -(-_files(spark, here) // batches))), "state")
+    content = spark.read.schema(made.schema).option("recursiveFileLookup", "true").parquet(f"{home}/content")
+
+    # The hits, and the bytes that the state's locator leads to.
+    hits = few(settle(state.where("group_size > 1"), "hits"), 50_000)
+    members = content.join(hits.select("digest", F.col("locator").alias("at")), "digest").select("digest", "locator", "at", "norm")
+    kept = content.join(hits.select(F.col("locator")), "locator", "left_semi").select(F.col("locator").alias("at"), F.col("norm").alias("kept_norm"))
+    other = members.join(kept, "at").where(F.col("norm") != F.col("kept_norm"))
+    clash = settle(other.select("digest").distinct(), "clash")
+
+    mine = spark.read.schema(made.schema).parquet(here)
     shown = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
-    rows = arrivals.join(state, "digest")
-    if clash.limit(1).count() == 0:
-        return rows.select(*shown)
-    apart = arrivals.join(clash, "digest", "left_semi").join(exact.drop("bytes_hash"), ["digest", "text_sha256"])
-    return rows.join(clash, "digest", "left_anti").select(*shown).union(apart.select(*shown))
+    rows = mine.select("doc_id", "digest", "text_sha256").join(hits.select("digest", "keep_id", "group_size"), "digest", "left")
+    alone = F.col("group_size").isNull()
+    rows = rows.select("digest", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    if clash.limit(1).count():
+        # Digests that several texts have: groups by the bytes themselves.
+        apart = content.join(clash, "digest", "left_semi")
+        texts = apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        again = mine.join(clash, "digest", "left_semi").join(texts, ["digest", "norm"]).select("digest", "doc_id", "keep_id", "group_size", "text_sha256")
+        rows = rows.join(clash, "digest", "left_anti").union(again)
+    out = rows.select(*shown)
+    if folder is None:
+        out = settle(out, "exact")
+        delete(spark, home)
+    return out

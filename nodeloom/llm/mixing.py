@@ -1,10 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every shuffled document gets a virtual finish time: the words of its source up
-to and with it, over the source's target. The queue is ranged by that time over
-all sources and cut where the total budget is used up. A source that is to give
-more than it has goes round a second time. What a document too long for the rest
-of its source's target leaves goes to those behind it in the queue.
+to and with it, over the source's weight; a source goes round as often as its
+documents may be taken. The queue of all sources is sorted by that time in
+ranges and cut where the total budget is used up. A source that has given all it
+may leaves the rest of the queue to the others, so the cut deals its excess
+again by weight. What a document at the cut leaves of its source's target goes
+to those behind it in the queue that still fit.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     """sizes: source, source_size, one row per source (metadata: one row a
     source). Adds rank (by code point, null last) and target: share times all
     sizes, dealt by weight; what goes beyond most times the source's size is
-    dealt again among the others.
+    dealt again among the others; w, the weight.
 
     The water level follows from one sort by cap over weight: the sources below
     it are full, the others get level times weight.
@@ -36,7 +38,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
     left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))
     level = capped.withColumn("level", left / F.sum("w").over(rest))
     first = level.withColumn("fit", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct(F.col("cap") / F.col("w"), "level"))).over(every)["level"])
-    return first.select("source", "rank", "source_size", F.coalesce(F.least("cap", F.col("fit") * F.col("w")), F.col("cap")).alias("target"))
+    return first.select("source", "rank", "source_size", "w", F.coalesce(F.least("cap", F.col("fit") * F.col("w")), F.col("cap")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
@@ -46,9 +48,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     code point, null last, and weigh as weights say, repeating. taken is size
     times the rounds (0 to most) in which the document made it. A document
     without words is never taken. The order within a source is that of a hash of
-    doc_id, so that reruns agree; a document that does not fit what is left of its
-    source's target is passed without counting, and the queue goes on until nothing
-    fits; rows that repeat a doc_id are rows of their own. Other columns are not read. An empty table gives an empty result.
+    doc_id, so that reruns agree. The first documents of the queue, as many as the
+    budget (all targets together) holds, are taken; a source may so pass its target
+    by a part of the last of them. Then documents that fit what is left of their
+    source's target are taken too, in order, until nothing fits; rows that repeat a doc_id are rows of their own. Other columns are not read. An empty table gives an empty result.
     """
     meta = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed)))
     meta = settle(meta, "sizes")
@@ -60,14 +63,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     queue = settle(cum, "queue")
 
     def finish(k: int) -> Column:
-        # At time 1 a source has given its target; what would finish later is out of the running.
-        v = (F.col("before") + F.col("size") + k * F.col("source_size")) / F.col("target")
-        return F.when((F.col("size") > 0) & (F.col("target") > 0) & (v <= 1), v)
+        return F.when(F.col("size") > 0, (F.col("before") + F.col("size") + k * F.col("source_size")) / F.col("w"))
 
+    end = per.agg(F.max(F.col("source_size") * most / F.col("w"))).first()[0] or 1.0
     # Ranges of virtual time, about the square root of the rows of them.
     ranges = max(16, int(n**0.5))
     rounds = F.explode(F.array(*[F.struct(finish(k).alias("v"), F.lit(k).alias("k")) for k in range(most)])).alias("e")
-    entries = queue.select("rank", "h", "doc_id", "size", rounds).select(F.floor(F.col("e.v") * ranges).alias("r"), F.struct("e.v", "rank", "e.k", "h", "doc_id").alias("place"), "size").where("r is not null")
+    entries = queue.select("rank", "h", "doc_id", "size", rounds).select(F.floor(F.col("e.v") / F.lit(float(end)) * ranges).alias("r"), F.struct("e.v", "rank", "e.k", "h", "doc_id").alias("place"), "size").where("r is not null")
     sums = entries.groupBy("r").agg(F.sum("size").alias("words"))
     upto = sums.select("r", "words", F.sum("words").over(W.orderBy("r")).alias("upto"))
     over = upto.where(F.col("upto") > F.lit(budget)).agg(F.min(F.struct("r", (F.col("upto") - F.col("words")).alias("base"))).alias("o")).first()["o"]
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         last = edge.where(F.col("upto") <= F.lit(budget)).agg(F.max("place").alias("p")).first()["p"]
 
         def made(k: int) -> Column:
-            v, r = finish(k), F.floor(finish(k) * ranges)
+            v, r = finish(k), F.floor(finish(k) / F.lit(float(end)) * ranges)
             yes = r < F.lit(over["r"])
             if last is not None:
                 own = F.struct(v.alias("v"), F.col("rank"), F.lit(k).alias("k"), F.col("h"), F.col("doc_id"))

@@ -1,47 +1,63 @@
 """Shards of near equal bytes by a k-d tree over document metadata.
 
 The tree splits at distributed weighted medians along the metadata dimension
-that is widest in the node, until there is a leaf per shard. Only histograms of
-at most nodes x bins counts come to the driver; their size depends on the number
-of shards, not on the data.
+that is widest in the node, until there is a leaf per shard. What it places are
+groups of equal texts, each with its bytes and the metadata of one member, so
+that copies stay together. A group that is heavy beside a shard, which a cut
+could not go around, is dealt first, whole unless it is larger than a shard; the
+tree then fills the shards up, its leaves wanting what each still lacks. Only
+heavy groups and histograms of at most nodes x bins counts come to the driver;
+their size depends on the number of shards, not on the data.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import blocks_for, prefix_sums, settle
+from nodeloom.llm.common import blocks_for, few, prefix_sums, settle
 
-#: Every dimension is an integer below 2**16; texts and ids break its ties, so a key is exact in a double.
-VALUE_BITS, TEXT_BITS, ID_BITS = 16, 16, 21
+#: Every dimension is an integer below 2**16; the group's hash breaks its ties, so a key is exact in a double.
+VALUE_BITS, TIE_BITS = 16, 37
 DIMENSIONS = ("size_class", "source_code", "lang_code")
+HEAVY = 64  #: a group is heavy from one in so many parts of a shard's bytes on
 
 
 @dataclass
 class Node:
-    leaves: int
+    goals: list[float]  # bytes wanted by each leaf below
     first: int
     dim: int = -1
     cut: float = 0.0
     low: "Node | None" = None
     high: "Node | None" = None
 
+    @property
+    def leaves(self) -> int:
+        return len(self.goals)
+
 
 def metadata(docs: DataFrame, overhead: int = 16) -> DataFrame:
-    """doc_id, size (UTF-8 bytes and overhead), text_crc32, a key per dimension.
-    Null texts, sources and languages have values of their own."""
+    """doc_id, size (UTF-8 bytes and overhead), text_crc32, same (a digest of the
+    text; null counts as empty), source, lang, row (a number)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", "lang")
-    tie = F.shiftright("text_crc32", 32 - TEXT_BITS) / float(2**TEXT_BITS) + F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32"), 64 - ID_BITS) / float(2 ** (TEXT_BITS + ID_BITS))
+    return docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("same"), "source", "lang", F.monotonically_increasing_id().alias("row"))
+
+
+def points(groups: DataFrame) -> DataFrame:
+    """groups: same, size (bytes of the group), one (bytes of a member), source,
+    lang. same, size and a key per dimension. Null sources and languages have
+    values of their own."""
+    tie = F.shiftrightunsigned(F.xxhash64("same"), 64 - TIE_BITS) / float(2**TIE_BITS)
 
     def code(name: str) -> Column:
         return F.coalesce(F.crc32(F.col(name).cast("binary")) % (2**VALUE_BITS - 1) + 1, F.lit(0))
 
-    values = {"size_class": F.floor(F.log2("size") * 1024), "source_code": code("source"), "lang_code": code("lang")}
-    return base.select("doc_id", "size", "text_crc32", *[(v.cast("double") + tie).alias(k) for k, v in values.items()])
+    values = {"size_class": F.floor(F.log2("one") * 1024), "source_code": code("source"), "lang_code": code("lang")}
+    return groups.select("same", "size", *[(v.cast("double") + tie).alias(k) for k, v in values.items()])
 
 
 def _place(node: Node, pick) -> Column:
@@ -71,7 +87,7 @@ def _cuts(meta: DataFrame, root: Node, open_nodes: list[Node], bins: int, slack:
         c = DIMENSIONS[n.dim]
         lo, hi = r[f"min_{c}"], r[f"max_{c}"]
         # node -> interval, bytes below it, bytes wanted below the cut, tolerated error
-        goal = r["bytes"] * (n.leaves // 2) / n.leaves
+        goal = r["bytes"] * sum(n.goals[: n.leaves // 2]) / (sum(n.goals) or 1.0)
         want[index[id(n)]] = [lo, hi + max(1e-9, abs(hi) * 1e-15), 0, goal, slack * r["bytes"] / n.leaves]
         n.cut = hi
     for _ in range(12):
@@ -106,33 +122,68 @@ def _cuts(meta: DataFrame, root: Node, open_nodes: list[Node], bins: int, slack:
             else:
                 n.cut = hi
                 del want[i]
+    if want:
+        raise RuntimeError("a cut was not found in so many rounds")
+
+
+def _heavy(groups: DataFrame, n_shards: int, total: int) -> tuple[dict[bytes, list[int]], list[float]]:
+    """Shards of the parts of each heavy group, and what each shard still lacks.
+    The largest parts go first, each to the shard that has least."""
+    share = total / n_shards
+    parts = []
+    for r in groups.where(F.col("size") > share / HEAVY).select("same", "size").collect():  # at most HEAVY x n_shards
+        n = int(-(-r["size"] // share))
+        parts += [(r["size"] / n, bytes(r["same"]), k) for k in range(n)]
+    load, placed = [(0.0, k) for k in range(n_shards)], {}
+    for size, same, _ in sorted(parts, reverse=True):
+        least, k = heapq.heappop(load)
+        heapq.heappush(load, (least + size, k))
+        placed.setdefault(same, []).append(k)
+    have = [x for x, _ in sorted(load, key=lambda x: x[1])]
+    # The level up to which the rest fills the shards.
+    left, level = total - sum(have), 0.0
+    for k, x in enumerate(sorted(have), 1):
+        level = (left + sum(sorted(have)[:k])) / k
+        if k == n_shards or level <= sorted(have)[k]:
+            break
+    return placed, [max(0.0, level - x) for x in have]
 
 
 def shards(docs: DataFrame, n_shards: int = 40, bins: int = 2048, slack: float = 0.002) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot,
     grown_shard.
 
-    The law is bytes: the leaves of the tree have near equal sizes (the error of
-    a cut is slack times a leaf, or one document). shard numbers the leaves from
-    0; slot numbers the documents of a shard from 0 without gaps, in the order of
-    a hash of doc_id. grown_shard is null under this law. A null text has no
-    bytes but its overhead. Rows that repeat a doc_id are rows of their own.
-    Other columns than doc_id, text, source and lang are not read. Equal texts
-    lie next to each other on every dimension, so a group of copies is parted
-    only where a cut has to go through it. An empty table gives an empty result.
+    The law is bytes: the shards have near equal sizes (the error of a cut is
+    slack times a leaf, or one light group). Equal texts have the same shard; only
+    a group larger than a shard is dealt, by rows, to as many as it needs. shard
+    numbers the leaves from 0; slot numbers the documents of a shard from 0
+    without gaps. grown_shard is null under this law. A null text has no bytes
+    but its overhead and goes with the empty texts. Rows that repeat a doc_id are rows
+    of their own. Other columns than doc_id, text, source and lang are not read.
+    An empty table gives an empty result.
     """
-    meta = settle(metadata(docs), "metadata")
-    root = Node(n_shards, 0)
+    rows = settle(metadata(docs), "metadata")
+    groups = settle(rows.groupBy("same").agg(F.sum("size").alias("size"), F.min("size").alias("one"), F.min("source").alias("source"), F.min("lang").alias("lang")), "groups")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    heavy, goals = _heavy(groups, n_shards, total)
+    dealt = rows.sparkSession.createDataFrame([(k, v) for k, v in heavy.items()], "same binary, parts array<int>")
+    light = settle(points(groups.join(F.broadcast(dealt), "same", "left_anti")), "points")
+    root = Node(goals, 0)
     level = [root]
     while level := [n for n in level if n.leaves > 1]:
-        _cuts(meta, root, level, bins, slack)
+        _cuts(light, root, level, bins, slack)
         below = []
         for n in level:
             half = n.leaves // 2
-            n.low, n.high = Node(half, n.first), Node(n.leaves - half, n.first + half)
+            n.low, n.high = Node(n.goals[:half], n.first), Node(n.goals[half:], n.first + half)
             below += [n.low, n.high]
         level = below
-    placed = meta.select("doc_id", "size", "text_crc32", _place(root, lambda n: n.first).cast("int").alias("shard"), F.xxhash64("doc_id").alias("h"), F.lit(1).alias("one"))
-    bits = blocks_for(max(1, meta.count() // n_shards), 4000)
-    ranked = prefix_sums(placed, ["shard"], "h", ["doc_id", "text_crc32"], "one", bits, "slot")
+    placed = light.select("same", _place(root, lambda n: n.first).cast("int").alias("shard"))
+    columns = ["doc_id", "size", "text_crc32", "shard", F.xxhash64("doc_id", "row").alias("h"), F.lit(1).alias("one")]
+    part = F.pmod(F.xxhash64("row", F.lit(3)), F.size("parts")).cast("int")
+    of_heavy = rows.join(F.broadcast(dealt), "same").withColumn("shard", F.element_at("parts", part + 1))
+    of_light = rows.join(F.broadcast(dealt), "same", "left_anti").join(few(settle(placed, "placed"), 100_000), "same")
+    both = settle(of_heavy.select(*columns).union(of_light.select(*columns)), "dealt")
+    bits = blocks_for(max(1, both.count() // n_shards), 4000)
+    ranked = prefix_sums(both, ["shard"], "h", ["doc_id", "text_crc32"], "one", bits, "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,15 +1,16 @@
 """Near duplicates among embeddings by collision-counting projections.
 
-Unit vectors are projected on many fixed random directions. Two vectors collide
-on a direction when they lie within a window around each other there. For a pair
-at the threshold's distance the number of collisions is binomial, so the count
-that a linked pair misses with a chance of at most miss is known beforehand;
-pairs that reach it have their cosine computed in double precision.
-
-Vectors of a label are sorted along the first direction into ranges as wide as
-its own, wider window, and ranges into chunks of bounded size. Only chunks of
-the same or of neighbouring ranges meet, each pair of chunks in a task of its
-own. Tasks return sums and a spanning set of links per vector, never pairs.
+Unit vectors are projected on many fixed random directions, and each direction's
+projections are sorted. Around each query's own projection lies a window; what
+the window holds collides with the query there. For a pair at the threshold's
+distance the number of collisions is binomial, so the count that a linked pair
+misses with a chance of at most miss is known beforehand; pairs that reach it
+have their cosine computed in double precision.
+
+The first direction also deals the vectors of a label into ranges as wide as its
+own, wider window, and ranges into chunks of bounded size. Only chunks of the
+same or of neighbouring ranges meet, each pair of chunks in a task of its own.
+Tasks return sums and a spanning set of links per vector, never pairs.
 """
 
 from __future__ import annotations
@@ -120,17 +121,23 @@ def _links(r, threshold: float, directions: int, window: float, need: int) -> pd
     d = _directions(r.dim, directions)
     pa, pb = (a @ d).astype(np.float32), (b @ d).astype(np.float32)
     w = np.float32(window + 1e-5)
-    order = np.argsort(pb[:, 0], kind="stable")
+    orders = np.argsort(pb, axis=0, kind="stable")
+    lines = np.take_along_axis(pb, orders, axis=0)
     ii, jj = [], []
     for at in range(0, len(ia), 256):
-        hits = np.zeros((min(256, len(ia) - at), len(ib)), np.int8)
+        some = pa[at : at + 256]
+        hits, query = np.zeros((len(some), len(ib)), np.int8), np.arange(len(some))
         for k in range(directions):
-            hits += np.abs(pa[at : at + 256, k, None] - pb[None, order, k]) <= w
+            line = np.ascontiguousarray(lines[:, k])
+            edge = np.zeros((len(some), len(ib) + 1), np.int8)
+            edge[query, np.searchsorted(line, some[:, k] - w, "left")] += 1
+            edge[query, np.searchsorted(line, some[:, k] + w, "right")] -= 1
+            hits[:, orders[:, k]] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8)
             if k % 12 == 11 and k < directions - 1 and not (hits + (directions - 1 - k) >= need).any():
                 break
         i, j = np.nonzero(hits >= need)
         ii.append(i + at)
-        jj.append(order[j])
+        jj.append(j)
     i, j = np.concatenate(ii), np.concatenate(jj)
     if same:
         i, j = i[i < j], j[i < j]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -149,13 +149,15 @@ def has_letter(text: str) -> bool:
     return any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """Language and its posterior chance, all languages being equally likely at first."""
+def predict(model: Model, text: str | None) -> tuple[str, float, float]:
+    """Language, its posterior chance, all languages being equally likely at
+    first, and the bits per byte of the text in it (8 for und)."""
     if not isinstance(text, str) or not model.languages or not has_letter(text):
-        return UND, 0.0
-    bits = code_lengths(model, text.encode("utf-8", "replace"))
+        return UND, 0.0, 8.0
+    data = text.encode("utf-8", "replace")
+    bits = code_lengths(model, data)
     k = int(np.argmin(bits))
-    return model.languages[k], float(1.0 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum())
+    return model.languages[k], float(1.0 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum()), float(bits[k]) / len(data)
 
 
 def held_out(name: str = "doc_id"):
@@ -180,24 +182,28 @@ def sample(docs: DataFrame, per_language: int = SAMPLE, longest: int = SAMPLE_BY
     return [x for v in kept.values() for x in v[:per_language]]
 
 
-def identify(docs: DataFrame, order: int = 3, per_language: int = SAMPLE) -> DataFrame:
-    """All rows and columns of docs and held_out, lang_pred, score.
+def identify(docs: DataFrame, order: int = 3, per_language: int = SAMPLE, bits: bool = False) -> DataFrame:
+    """All rows and columns of docs and held_out, lang_pred, score; with bits,
+    also bits (per byte of the text, in the predicted language).
 
     Learns from text and lang of a bounded sample of the rows that have a
     language and are not held out; predicts from the whole text alone. und
     stands for a null text, one without a letter, or no language to learn from;
     its score is 0. A null doc_id is not held out. Repeated rows get the same
-    answer. Columns of docs named held_out, lang_pred or score are replaced. An
+    answer. Columns of docs named held_out, lang_pred, score or bits are replaced. An
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(sample(docs, per_language), order))
-    named = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", held_out())
+    model = train(sample(docs, per_language), order)
+    # As plain values: a broadcast object would be sent by the name of its class, which workers can't import.
+    shared = spark.sparkContext.broadcast([getattr(model, f.name) for f in fields(model)])
+    del model
+    named = docs.drop("held_out", "lang_pred", "score", "bits").withColumn("held_out", held_out())
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, bits double")
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = Model(*shared.value)
         for texts in batches:
-            yield pd.DataFrame([predict(model, t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([predict(model, t) for t in texts], columns=["lang_pred", "score", "bits"])
 
-    return named.withColumn("_p", answer("text")).select(*named.columns, "_p.lang_pred", "_p.score")
+    return named.withColumn("_p", answer("text")).select(*named.columns, "_p.lang_pred", "_p.score", *[F.col("_p.bits").alias("bits")] * bits)

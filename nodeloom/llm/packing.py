@@ -143,11 +143,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, eod: in
     """
     documents, attention = documents or capacity, attention or capacity * capacity
     with small_batches(docs.sparkSession):
-        made = settle(pieces(docs, path or default_path(), capacity, eod).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("one", F.lit(1)), "pieces")
+        made = settle(pieces(docs, path or default_path(), capacity, eod).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())).withColumn("one", F.lit(1)), "pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     places = pd.DataFrame(plan(counts, capacity, documents, attention, score), columns=["length", "lo", "hi", "seq", "per", "offset"]).sort_values(["length", "lo"])
     by = {int(k): g[["lo", "seq", "per", "offset"]].to_numpy(dtype=np.int64).T for k, g in places.groupby("length")}
-    ranked = prefix_sums(made, ["length"], "h", ["doc_id", "piece"], "one", blocks_for(sum(counts.values()) // max(1, len(counts)), 4000), "rank")
+    ranked = prefix_sums(made, ["length"], "h", ["doc_id", "piece"], "one", blocks_for(max(counts.values(), default=1), 500), "rank")  # as many blocks as the commonest length needs
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

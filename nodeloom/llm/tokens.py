@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import re
 import sys
-from functools import cache
 from itertools import chain
 
 import numpy as np
 
 
-@cache
+def _kept(kind: str, key: tuple, make):
+    """make(), once per process. This module's code comes to workers by value,
+    anew with each task, so what they keep hangs on a module that they import.
+    Nothing cached by a decorator may stand here: it would be sent by name."""
+    held = sys.__dict__.setdefault("_nodeloom_kept", {})
+    if (kind, *key) not in held:
+        held[kind, *key] = make()
+    return held[kind, *key]
+
+
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return _kept("tokenizer", (path,), lambda: Tokenizer.from_file(path))
 
 
 def default_path() -> str:
@@ -39,7 +47,7 @@ class WordIds:
     one. most bounds the words that are kept, and the pieces too.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 300_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 150_000):
         self.tokenizer, self.most, self.plain = _tokenizer(path), most, plain
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -76,10 +84,7 @@ class WordIds:
     @classmethod
     def shared(cls, path: str, plain: bool = False) -> "WordIds":
         """The words that this worker process has met so far, in whatever task."""
-        held = sys.__dict__.setdefault("_nodeloom_words", {})
-        if (path, plain) not in held:
-            held[path, plain] = cls(path, plain)
-        return held[path, plain]
+        return _kept("words", (path, plain), lambda: cls(path, plain))
 
     def of(self, text: str) -> bytes:
         words = text.encode("utf-8", "replace").split()

@@ -14,6 +14,7 @@ discover is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,9 +32,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 DOTTED_RUN = re.compile(r"[0-9][0-9.]*")
 AROUND = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
-LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]{1,63}){1,8}")
-LOOSE_NUMBER = re.compile(r"(?<![\w.+@/-])\(?[0-9][0-9 ().-]{4,30}[0-9](?![\w@])")
-WORDS_BEFORE = re.compile(r"[^\W\d_]+")
+#: Of any length; a match can only begin where its run does, so that long runs cost one try.
+LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]++)+")
+WORDS = re.compile(r"[^\W\d_]+")
+NUMBER_RUN = re.compile(r"\(?[0-9][0-9 ().-]*+")
 Span = tuple[str, int, int]
 
 
@@ -85,26 +87,41 @@ def loose_spans(text: str, base: list[Span]) -> list[Span]:
     found: list[Span] = []
     if " at " in text or "(at)" in text or "[at]" in text:
         found += [("email", m.start(), m.end()) for m in LOOSE_EMAIL.finditer(text)]
-    for m in LOOSE_NUMBER.finditer(text):
-        n = sum(c.isdigit() for c in m.group())
-        if m.group().count(".") >= 3 and n <= 12:
-            found.append(("ip", m.start(), m.end()))
+    for m in NUMBER_RUN.finditer(text):
+        value, s = m.group().rstrip(" ().-"), m.start()
+        e = s + len(value)
+        if s and (text[s - 1].isalnum() or text[s - 1] in "_.+@/-") or e < len(text) and (text[e].isalnum() or text[e] in "_@"):
+            continue
+        n = sum(c.isdigit() for c in value)
+        if value.count(".") >= 3 and n <= 12:
+            found.append(("ip", s, e))
         elif 12 <= n <= 19:
-            found.append(("card", m.start(), m.end()))
+            found.append(("card", s, e))
         if 7 <= n <= 15:
-            found.append(("phone", m.start(), m.end()))
-    taken = sorted((s, e) for _, s, e in base)
-    free = []
-    for kind, s, e in found:
-        if not any(a < e and s < b for a, b in taken):
-            free.append((kind, s, e))
-    return free
+            found.append(("phone", s, e))
+    taken: list[list[int]] = []  # the base spans, joined where they overlap
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
 
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(taken, [e])
+        return k == 0 or taken[k - 1][1] <= s
 
-def contexts(text: str, start: int) -> list[str]:
-    """Patterns: the word, and the two words, right before a place."""
-    words = WORDS_BEFORE.findall(text[max(0, start - 48) : start].lower())[-2:]
-    return [f"{n} {' '.join(words[-n:])}" for n in range(1, len(words) + 1)]
+    return [(kind, s, e) for kind, s, e in found if free(s, e)]
+
+
+def word_starts(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in WORDS.finditer(text)]
+
+
+def contexts(text: str, start: int, words: list[tuple[int, int]]) -> list[str]:
+    """Patterns: the word, and the two words, right before a place. words: those of the text, in order."""
+    k = bisect_left(words, (start, 0))
+    before = [text[s : min(e, start)].lower() for s, e in words[max(0, k - 2) : k]]
+    return [f"{n} {' '.join(before[-n:])}" for n in range(1, len(before) + 1)]
 
 
 def _instance(text: str, kind: str, s: int, e: int) -> str:
@@ -126,7 +143,8 @@ def mentions(docs: DataFrame) -> DataFrame:
                 if isinstance(text, str):
                     base = base_spans(text)
                     loose = loose_spans(text, base)
-                    rows = [{"kind": k, "s": s, "e": e, "base": b, "value": _instance(text, k, s, e), "ctx": contexts(text, s)} for some, b in ((base, True), (loose, False)) for k, s, e in some]
+                    words = word_starts(text) if base or loose else []
+                    rows = [{"kind": k, "s": s, "e": e, "base": b, "value": _instance(text, k, s, e), "ctx": contexts(text, s, words)} for some, b in ((base, True), (loose, False)) for k, s, e in some]
                 out.append(rows)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "found": out})
 

@@ -54,23 +54,53 @@ def test_exact_dedup_compares_bytes_and_goes_on_in_batches(docs):
     """With a digest of four values nearly all texts clash; the bytes tell them apart."""
     from pyspark.sql import functions as F
 
-    want = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, files_per_batch=1).collect()}
+    want = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs.repartition(6), batches=6).collect()}
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, digest=lambda c: (F.length(c) % 4).cast("string")).collect()}
     assert got == want
 
 
+def test_exact_dedup_goes_on_in_later_calls(spark, tmp_path):
+    """The state stays: rows of a second call hit those of the first."""
+    first = spark.createDataFrame([(1, "a"), (2, "B"), (9, "c")], "doc_id long, text string")
+    second = spark.createDataFrame([(3, "A"), (4, "b"), (5, "c"), (6, "new"), (7, "new")], "doc_id long, text string")
+    home = f"file://{tmp_path}/dedup"
+    assert {r["doc_id"]: r["group_size"] for r in exact_dedup.exact_dedup(first, folder=home).collect()} == {1: 1, 2: 1, 9: 1}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(second, folder=home).collect()}
+    assert got == {3: (3, 2, True), 4: (4, 2, True), 5: (9, 2, False), 6: (7, 2, False), 7: (7, 2, True)}
+
+
 def test_sharding(spark, docs, odd, none):
     got = kd_sharding.shards(docs.union(docs.select("*")), 8).toPandas()
     sizes = got.groupby("shard")["size"].sum()
-    assert len(sizes) == 8 and sizes.max() - sizes.min() <= 2 * got["size"].max()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() <= 4 * got["size"].max()
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    where = defaultdict(set)
+    for r in got.itertuples():
+        where[texts[r.doc_id]].add(r.shard)
+    assert all(len(v) == 1 for v in where.values())
     rows = kd_sharding.shards(odd).toPandas()
     assert len(rows) == 11 and set(rows["law"]) == {"bytes"}
     assert rows[rows.doc_id == 3]["size"].item() == 16 and rows[rows.doc_id == 5]["text_crc32"].item() == zlib.crc32(b"one")
     assert kd_sharding.shards(none).count() == 0
 
 
+def test_sharding_deals_only_groups_larger_than_a_shard(spark):
+    """A third of all rows are copies: they fill shards of their own, other groups stay whole."""
+    rnd = random.Random(1)
+    rows = [(k, "copy " * 20, f"s{k % 3}", None) for k in range(400)] + [(1000 + k, f"text {k % 90} " * rnd.choice([15, 15, 15, 40]), f"s{k % 5}", "en") for k in range(800)]
+    rows = [(d, t.replace(t, t) if d < 1000 else f"text {(d - 1000) % 90} " * (15 + 25 * ((d - 1000) % 90 == 3)), s, x) for d, t, s, x in rows]
+    got = kd_sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 10).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 10 and sizes.max() <= 1.25 * sizes.mean() and sizes.min() >= 0.75 * sizes.mean()
+    texts, where = {r[0]: r[1] for r in rows}, defaultdict(set)
+    for r in got.itertuples():
+        where[texts[r.doc_id]].add(r.shard)
+    split = [t for t, v in where.items() if len(v) > 1]
+    assert split == ["copy " * 20] and len(got) == len(rows)
+
+
 def test_mixing(docs, odd, none):
     got = mixing.mix(docs).toPandas()
     assert len(got) == docs.count() and (got["taken"] <= 2 * got["size"]).all()
@@ -81,7 +111,7 @@ def test_mixing(docs, odd, none):
         mid = (low + high) / 2
         low, high = (mid, high) if sum(min(2 * t, mid * w) for t, w in zip(per["total"], weights, strict=True)) < 1.5 * per["total"].sum() else (low, mid)
     assert np.allclose(per["target"], [min(2 * t, low * w) for t, w in zip(per["total"], weights, strict=True)], rtol=1e-6)
-    assert (per["taken"] <= per["target"] + 1e-6).all()
+    assert (per["taken"] <= per["target"] + got.groupby("source")["size"].max()).all() and per["taken"].sum() <= 1.02 * per["target"].sum()
     for source, p in per.iterrows():  # near its target, or nothing that is left fits
         left = got[(got.source == source) & (got["size"] > 0) & (got["taken"] < 2 * got["size"])]
         assert p["taken"] >= 0.95 * p["target"] or left["size"].min() > p["target"] - p["taken"]
@@ -105,15 +135,30 @@ def test_mixing_passes_long_documents(spark, share):
         taken[r["doc_id"]].append(r["taken"])
         target[r["source"]] = r["target"]
     h = {r["doc_id"]: r["h"] % 2**64 for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    order = lambda d: (h[d], d)
+    queues, entries = {}, []
+    for rank, source in enumerate(sorted(target)):
+        queues[source] = sorted((*order(d), t.count("w")) for d, t, s in rows if s == source)
+        total, upto = sum(n for *_, n in queues[source]), 0
+        for k, (_, _, n) in enumerate(queues[source]):
+            upto += n
+            entries += [((upto + r * total, rank, r, k), n, source) for r in range(2) if n]
+    # The queue by virtual time, cut at the budget.
+    budget, spent = sum(target.values()), 0
+    times, left = {s: [0] * len(q) for s, q in queues.items()}, dict(target)
+    for (_, _, _, k), n, source in sorted(entries):
+        if spent + n > budget:
+            break
+        spent += n
+        times[source][k] += 1
+        left[source] -= n
     want = defaultdict(list)
-    for source, most in target.items():
-        queue = sorted(((h[d], d, t.count("w")) for d, t, s in rows if s == source))
-        left, times = most, [0] * len(queue)
-        for _ in range(2):
+    for source, queue in queues.items():
+        for r in range(2):
             for k, (_, _, n) in enumerate(queue):
-                if 0 < n <= left:
-                    left, times[k] = left - n, times[k] + 1
-        for (_, d, n), t in zip(queue, times, strict=True):
+                if times[source][k] == r and 0 < n <= left[source]:
+                    left[source], times[source][k] = left[source] - n, r + 1
+        for (_, d, n), t in zip(queue, times[source], strict=True):
             want[d].append(n * t)
     assert {d: sorted(v) for d, v in taken.items()} == {d: sorted(v) for d, v in want.items()}
 
@@ -327,6 +372,21 @@ def test_embeddings(spark, none):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs right above 0.93 are found, all of them; right below, none."""
+    rnd, rows = np.random.default_rng(6), []
+    for k in range(1200):
+        x, y = rnd.standard_normal(64), rnd.standard_normal(64)
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        c = 0.93 + (1e-6 if k % 2 else -1e-6)
+        rows += [(2 * k, [float(v) for v in x], 0), (2 * k + 1, [float(v) for v in c * x + np.sqrt(1 - c * c) * y], 0)]
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = [got[2 * k] == got[2 * k + 1] for k in range(1200)]
+    assert np.mean(found[1::2]) == 1.0 and not any(found[::2])
+
+
 def _plain(t):
     out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
@@ -406,3 +466,45 @@ def test_pipeline(spark):
     got = cp.run(spark, SF).toPandas()
     whole = got[got.piece == 0].groupby("doc_id").size().to_dict()
     assert whole == mix and got.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_pipeline_edges(spark, odd, none):
+    """Nulls, repeated and missing ids, clashing columns and empty tables through every stage."""
+    import corpus_pipeline as cp
+
+    wide = odd.withColumn("n_chars", odd.rank)
+    rows = [(1, "x"), (1, "x"), (1, "y"), (9, "X"), (None, "only here with a null id"), (None, "x"), (5, None), (6, "")]
+    ids = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"] or -1, r["text"]) for r in cp.exact(spark, ids, "").collect())
+    assert kept == [(-1, "only here with a null id"), (1, "y"), (6, ""), (9, "X")]
+    named = sorted((r["doc_id"] or -1, r["text"]) for r in cp.language_id(spark, ids, "").collect())
+    assert (5, None) not in named and (6, "") not in named and len(named) == 6
+    one = cp.near(spark, ids, "").collect()
+    assert sorted(r["text"] for r in one if r["text"]).count("only here with a null id") == 1 and sum((r["text"] or "").lower() == "x" for r in one) == 1
+    mixed = cp.mix(spark, ids, "").collect()
+    assert all(r["text"] for r in mixed) and any(r["doc_id"] is None for r in mixed)
+    for _, stage in cp.STAGES:
+        assert stage(spark, wide, "").count() > 0
+        assert stage(spark, none.withColumn("n_chars", none.rank), "").count() == 0
+
+
+def test_workers_need_no_package(tmp_path):
+    """The driver runs in another folder and workers can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.getcwd()!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+import __spark_entry__
+q = __spark_entry__.queries()
+for name in ("op3_best_fit_packing", "op5_language_id", "op7_token_counts", "op8_pii"):
+    assert q[name](spark, {SF!r}).count() >= 200, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "all ran" in out.stdout, out.stderr[-2000:]

@@ -75,6 +75,29 @@ def small_batches(spark: SparkSession, rows: int = 800, size: str = "16m"):
             spark.conf.set(name, value)
 
 
+def lean(run):
+    """A function over a task's batches that gives the memory it held back to the
+    system when it ends, as its worker process stays for other tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def few(df: DataFrame, most: int = 200_000) -> DataFrame:
     """A settled table of a few numbers a row as the small side of a join: sent to
     every task if it has at most so many rows (some MB), otherwise left to a shuffle."""

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import components, few, settle, small_batches
+from nodeloom.llm.common import components, few, lean, settle, small_batches
 
 DIRECTIONS, WINDOW, MISS, CHUNK = 48, 2.7, 1e-9, 1500
 
@@ -76,7 +76,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, directions: int
             yield b.assign(range=np.floor(np.array(at) / wide).astype(np.int32) if at else np.zeros(0, np.int32), dim=b["v"].str.len().astype("int32"))
 
     kind = dict(vectors.dtypes)["label"]
-    points = settle(copies.select("rep", "many", "label", "v").mapInPandas(project, f"rep long, many long, label {kind}, v array<double>, range int, dim int"), "points")
+    points = settle(copies.select("rep", "many", "label", "v").mapInPandas(lean(project), f"rep long, many long, label {kind}, v array<double>, range int, dim int"), "points")
     sizes = settle(points.groupBy("label", "dim", "range").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "sizes")
     # Joined without a shuffle by range, so that the chunks of a large range go to tasks of their own.
     dealt = points.join(few(sizes), ["label", "dim", "range"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
@@ -101,7 +101,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, directions: int
 
     blocks = meet.select("x.dim", F.col("x.ids").alias("ia"), F.col("x.many").alias("na"), F.col("x.m").alias("ma"), F.col("y.ids").alias("ib"), F.col("y.many").alias("nb"), F.col("y.m").alias("mb"))
     with small_batches(vectors.sparkSession, 16):
-        found = settle(blocks.repartition(F.col("ia"), F.col("ib")).mapInPandas(compare, "a long, n long, b long"), "found")
+        found = settle(blocks.repartition(F.col("ia"), F.col("ib")).mapInPandas(lean(compare), "a long, n long, b long"), "found")
     sums = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = settle(components(found.select("a", "b")), "components")
     named = copies.select("k", F.col("label").alias("l"), F.col("v").alias("w"), "rep", "many").join(sums, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -28,6 +28,7 @@ ROCKS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 BATCHES = 3  #: micro-batches that a call's content files are dealt into
+ROWS_PER_STORE = 50_000  #: arrivals of a call for each store of the state, up to the shuffle partitions; each store has buffers of its own
 
 
 def sha256_of(text: Column) -> Column:
@@ -46,13 +47,15 @@ def _files(spark, path: str, prefix: str = "part-") -> int:
     return sum(s.getPath().getName().startswith(prefix) for s in listed)
 
 
-def fold_stream(spark, content: str, folder: str, kind: str, files_per_batch: int) -> DataFrame:
+def fold_stream(spark, content: str, folder: str, kind: str, files_per_batch: int, rows: int) -> DataFrame:
     """Runs what the stream has not read yet of the content folder through the
     state in folder; one row per digest: digest, keep_id, locator, group_size.
-    kind: the type of doc_id. The stream ends when it has read all files that
+    kind: the type of doc_id; rows: of the arrivals. The stream ends when it has read all files that
     are there; a later call with the same folders goes on from them."""
-    before = {k: spark.conf.get(k, None) for k in ROCKS}
-    for k, v in ROCKS.items():
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limits = ROCKS | {"spark.sql.shuffle.partitions": str(max(1, min(wanted, max(6, rows // ROWS_PER_STORE))))}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
         spark.conf.set(k, v)
     out = f"{folder}/updates"
     schema = f"doc_id {kind}, digest string, locator struct<call:int,place:long>"
@@ -104,7 +107,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of,
     norm = docs.select("doc_id", normalised().alias("norm"))
     made = norm.select("doc_id", digest(F.col("norm")).alias("digest"), F.struct(F.lit(number).alias("call"), F.monotonically_increasing_id().alias("place")).alias("locator"), F.sha2("norm", 256).alias("text_sha256"), "norm")
     made.write.parquet(here)
-    state = settle(fold_stream(spark, f"{home}/content", f"{home}/fold", kind, max(1, -(-_files(spark, here) // batches))), "state")
+    state = settle(fold_stream(spark, f"{home}/content", f"{home}/fold", kind, max(1, -(-_files(spark, here) // batches)), spark.read.parquet(here).count()), "state")
     content = spark.read.schema(made.schema).option("recursiveFileLookup", "true").parquet(f"{home}/content")
 
     # The hits, and the bytes that the state's locator leads to.

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.common import lean
+
 SAMPLE = 600  #: labelled documents at most that a language's tree learns from
 SAMPLE_BYTES = 20_000  #: longer texts are not taken into that sample
 UND = "und"
@@ -200,10 +202,15 @@ def identify(docs: DataFrame, order: int = 3, per_language: int = SAMPLE, bits:
     del model
     named = docs.drop("held_out", "lang_pred", "score", "bits").withColumn("held_out", held_out())
 
-    @F.pandas_udf("lang_pred string, score double, bits double")
-    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(*shared.value)
         for texts in batches:
             yield pd.DataFrame([predict(model, t) for t in texts], columns=["lang_pred", "score", "bits"])
 
+    trimmed = lean(run)
+
+    @F.pandas_udf("lang_pred string, score double, bits double")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from trimmed(batches)
+
     return named.withColumn("_p", answer("text")).select(*named.columns, "_p.lang_pred", "_p.score", *[F.col("_p.bits").alias("bits")] * bits)

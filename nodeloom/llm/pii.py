@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import settle, small_batches
+from nodeloom.llm.common import lean, settle, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -149,7 +149,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "found": out})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(find, f"doc_id {kind}, text_key long, found array<{MENTION}>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(lean(find), f"doc_id {kind}, text_key long, found array<{MENTION}>")
 
 
 def discover(found: DataFrame, support: int = 5, confidence: float = 0.9) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nodeloom.llm.common import settle, small_batches
+from nodeloom.llm.common import lean, settle, small_batches
 from nodeloom.llm.tokens import WordIds, default_path
 
 BLOCKS = "file string, block long, ids binary, doc_ids array<bigint>, first_doc long"
@@ -53,7 +53,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
             yield pd.DataFrame([(name, block, bytes(held), closed, done)], columns=["file", "block", "ids", "doc_ids", "first_doc"])
 
     with small_batches(docs.sparkSession):
-        return settle(docs.select("doc_id", "text").mapInPandas(fill, BLOCKS), "flat")
+        return settle(docs.select("doc_id", "text").mapInPandas(lean(fill), BLOCKS), "flat")
 
 
 def raw_blocks(spark, paths: str, block_tokens: int = 1 << 18, width: int = 4) -> DataFrame:
@@ -90,7 +90,7 @@ def scan(blocks: DataFrame, eod: int = 49407) -> DataFrame:
             yield pd.DataFrame(out, columns=["file", "block", "n", "n_ends", "ends"])
 
     with small_batches(blocks.sparkSession, 16):
-        found = settle(blocks.select("file", "block", "ids").mapInPandas(search, "file string, block long, n long, n_ends long, ends array<bigint>"), "ends")
+        found = settle(blocks.select("file", "block", "ids").mapInPandas(lean(search), "file string, block long, n long, n_ends long, ends array<bigint>"), "ends")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("file")
     # Place in the file, documents closed before, and where the last end before the block lies.

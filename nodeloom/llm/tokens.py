@@ -47,7 +47,7 @@ class WordIds:
     one. most bounds the words that are kept, and the pieces too.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 150_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 60_000):
         self.tokenizer, self.most, self.plain = _tokenizer(path), most, plain
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}

@@ -75,11 +75,16 @@ def small_batches(spark: SparkSession, rows: int = 800, size: str = "16m"):
             spark.conf.set(name, value)
 
 
-def lean(run):
+def lean(run, keeps: bool = False):
     """A function over a task's batches that gives the memory it held back to the
-    system when it ends, as its worker process stays for other tasks."""
+    system when it ends, as its worker process stays for other tasks. What tasks
+    that keep something (keeps) left in the process goes when another task begins."""
 
     def wrapped(batches):
+        import sys
+
+        if not keeps:
+            sys.__dict__.pop("_nodeloom_kept", None)
         try:
             yield from run(batches)
         finally:

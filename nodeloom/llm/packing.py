@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, eod: int) -> DataFrame:
                     rows.append((doc, k, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(lean(cut), PIECES)
+    return docs.select("doc_id", "text").mapInPandas(lean(cut, keeps=True), PIECES)
 
 
 def plan(counts: dict[int, int], tokens: int, documents: int, attention: int, score: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> list[tuple[int, int, int, int, int, int]]:

@@ -53,7 +53,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
             yield pd.DataFrame([(name, block, bytes(held), closed, done)], columns=["file", "block", "ids", "doc_ids", "first_doc"])
 
     with small_batches(docs.sparkSession):
-        return settle(docs.select("doc_id", "text").mapInPandas(lean(fill), BLOCKS), "flat")
+        return settle(docs.select("doc_id", "text").mapInPandas(lean(fill, keeps=True), BLOCKS), "flat")
 
 
 def raw_blocks(spark, paths: str, block_tokens: int = 1 << 18, width: int = 4) -> DataFrame:

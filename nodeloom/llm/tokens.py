@@ -44,19 +44,23 @@ class WordIds:
     words are lowered and cut further, into runs of letters, digits and runs of
     signs. The pieces that are new in a text are tokenized in one call; the last
     id of each is one that ends a word. All other words are tokenized one by
-    one. most bounds the words that are kept, and the pieces too.
+    one. Words and pieces are kept in two generations of at most most each: when
+    the young one is full it becomes the old one, from which what is met again
+    comes back, so that rare words leave and common ones stay.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = 60_000):
+    def __init__(self, path: str, plain: bool = False, most: int = 200_000):
         self.tokenizer, self.most, self.plain = _tokenizer(path), most, plain
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> np.ndarray:
         self.tokenizer.encode_special_tokens = self.plain
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: set[bytes]) -> None:
         cut = {}
@@ -67,8 +71,11 @@ class WordIds:
             else:
                 self.words[word] = self._encode(text).tobytes()
         if len(self.pieces) >= self.most:
-            self.pieces.clear()
-        new = list(set(chain.from_iterable(cut.values())).difference(self.pieces))
+            self.pieces, self.old_pieces = {}, self.pieces
+        new = set(chain.from_iterable(cut.values())).difference(self.pieces)
+        again = {x for x in new if x in self.old_pieces}
+        self.pieces.update(zip(again, map(self.old_pieces.__getitem__, again)))
+        new = list(new - again)
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             ids = self._encode(" ".join(some))
@@ -89,8 +96,11 @@ class WordIds:
     def of(self, text: str) -> bytes:
         words = text.encode("utf-8", "replace").split()
         if len(self.words) >= self.most:
-            self.words.clear()
+            self.words, self.old_words = {}, self.words
         new = set(words).difference(self.words)
+        again = {x for x in new if x in self.old_words}
+        self.words.update(zip(again, map(self.old_words.__getitem__, again)))
+        new -= again
         if new:
             self._learn(new)
         ids = b"".join(map(self.words.__getitem__, words))

@@ -122,22 +122,25 @@ def _links(r, threshold: float, directions: int, window: float, need: int) -> pd
     pa, pb = (a @ d).astype(np.float32), (b @ d).astype(np.float32)
     w = np.float32(window + 1e-5)
     orders = np.argsort(pb, axis=0, kind="stable")
-    lines = np.take_along_axis(pb, orders, axis=0)
+    lines = np.ascontiguousarray(np.take_along_axis(pb, orders, axis=0).T)
+    first = min(directions, 2 * directions // 3)
     ii, jj = [], []
     for at in range(0, len(ia), 256):
         some = pa[at : at + 256]
-        hits, query = np.zeros((len(some), len(ib)), np.int8), np.arange(len(some))
-        for k in range(directions):
-            line = np.ascontiguousarray(lines[:, k])
-            edge = np.zeros((len(some), len(ib) + 1), np.int8)
-            edge[query, np.searchsorted(line, some[:, k] - w, "left")] += 1
-            edge[query, np.searchsorted(line, some[:, k] + w, "right")] -= 1
-            hits[:, orders[:, k]] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8)
-            if k % 12 == 11 and k < directions - 1 and not (hits + (directions - 1 - k) >= need).any():
-                break
-        i, j = np.nonzero(hits >= need)
-        ii.append(i + at)
-        jj.append(j)
+        # A column per query: its window on a line begins and ends with a step, the running sum is 1 within.
+        hits, query = np.zeros((len(ib), len(some)), np.int8), np.arange(len(some))
+        for k in range(first):
+            edge = np.zeros((len(ib) + 1, len(some)), np.int8)
+            edge[np.searchsorted(lines[k], some[:, k] - w, "left"), query] += 1
+            edge[np.searchsorted(lines[k], some[:, k] + w, "right"), query] -= 1
+            hits[orders[:, k]] += np.cumsum(edge[:-1], axis=0, dtype=np.int8)
+        # Of the last directions only what can still reach the count is looked at.
+        j, i = np.nonzero(hits >= need - (directions - first))
+        count = hits[j, i].astype(np.int16)
+        for k in range(first, directions):
+            count += np.abs(some[i, k] - pb[j, k]) <= w
+        ii.append(i[count >= need] + at)
+        jj.append(j[count >= need])
     i, j = np.concatenate(ii), np.concatenate(jj)
     if same:
         i, j = i[i < j], j[i < j]

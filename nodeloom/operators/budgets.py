@@ -145,3 +145,18 @@ def names_in(formulas: dict[str, str]) -> list[str]:
     import re
 
     return list(dict.fromkeys(x for f in formulas.values() for x in re.findall(r"[A-Za-z_]\w*", f) if x not in ("avg",)))
+
+
+def augmented(u: tuple[str, str, str], p: str, grad) -> dict[str, str]:
+    """The 44 statistics of a velocity u and a pressure p at a node, by name;
+    grad(f, c): the derivative of component f along c."""
+    out = {x: f for x, f in zip("UVW", u, strict=True)} | {"P": p, "PP": f"{p}*{p}"}
+    at = dict(zip("UVW", u, strict=True))
+    second = ["UU", "VV", "WW", "UV", "UW", "VW"]
+    third = ["UUU", "VVV", "WWW", "UUV", "UUW", "UVV", "UVW", "VVW", "UWW", "VWW"]
+    fourth = ["UUUU", "VVVV", "WWWW"]
+    out |= {name: "*".join(at[c] for c in name) for name in [*second, *third, *fourth]}
+    out |= {"PPP": f"{p}*{p}*{p}", "PPPP": f"{p}*{p}*{p}*{p}"} | {f"P{c}": f"{p}*{at[c]}" for c in "UVW"}
+    out |= {f"PD{c}D{x.upper()}": f"{p}*{grad(at[c], x)}" for c in "UVW" for x in "xyz"}
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+    return out | {f"E{i + 1}{j + 1}": "(" + " + ".join(f"{grad(u[i], x)}*{grad(u[j], x)}" for x in "xyz") + ")" for i, j in pairs}

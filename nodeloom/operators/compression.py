@@ -70,3 +70,45 @@ def gp_sample(values: np.ndarray, n: int, samples: int, noise: float = 1e-10) ->
         gain = np.linalg.solve(small, k[chosen])
         var = np.diag(k) - np.einsum("ij,ij->j", k[chosen], gain)
     return chosen, gain.T @ values[chosen]
+
+
+def write_samples(samples, folder: str, settings: dict) -> None:
+    """Compressed samples (a table of payloads) with the settings that read them back."""
+    import json
+
+    samples.write.mode("overwrite").parquet(f"{folder}/samples")
+    spark = samples.sparkSession
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string").coalesce(1).write.mode("overwrite").json(f"{folder}/settings")
+
+
+def read_samples(spark, folder: str) -> tuple:
+    """(samples, settings)."""
+    import json
+
+    kept = spark.read.schema("settings string").json(f"{folder}/settings").first()["settings"]
+    return spark.read.parquet(f"{folder}/samples"), json.loads(kept)
+
+
+def average_spectrum(rows, group: Column):
+    """Mean squared modal coefficients over groups of elements: g, p, power.
+    rows: p (the mode) and c (its coefficient in an element)."""
+    return rows.groupBy(group.alias("g"), "p").agg(F.avg(F.col("c") * F.col("c")).alias("power"))
+
+
+def bitplane_payload(column: str, bits: int) -> Column:
+    """struct of low, high and data: each array's values between their extremes, as planes of bits."""
+
+    @F.pandas_udf("low double, high double, data binary")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = [bitplanes(np.asarray(v, float), bits) for v in values]
+        return pd.DataFrame(rows, columns=["low", "high", "data"])
+
+    return run(column)
+
+
+def from_payload(low: str, high: str, data: str, n: int, bits: int) -> Column:
+    @F.pandas_udf("array<double>")
+    def run(lo: pd.Series, hi: pd.Series, payload: pd.Series) -> pd.Series:
+        return pd.Series([from_bitplanes(a, b, d, n, bits) for a, b, d in zip(lo, hi, payload, strict=True)])
+
+    return run(low, high, data)

@@ -1,8 +1,11 @@
 """Proper orthogonal decomposition of snapshots, whole and streaming.
 
-Snapshots are rows (snap, values array, in mass-weighted space after scaling).
-Matrices over rows stay distributed; what the driver holds has the size of the
-snapshots (or the modes) squared."""
+A tall matrix is a table of rows, each an array of its values in all snapshots
+(complex matrices have a second array, the imaginary parts). Its singular value
+decomposition goes through QR: each batch of rows is reduced to its triangle,
+triangles are stacked and reduced again in groups, and only the last few come to
+the driver. That keeps the digits that a Gram matrix would lose. Left vectors
+stay distributed."""
 
 from __future__ import annotations
 
@@ -13,16 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def gram(rows: DataFrame, key: str, snap: str, value: str) -> DataFrame:
-    """(a, b, g): inner products of snapshots over shared rows, upper triangle."""
-    x = rows.select(F.col(key).alias("_k"), F.col(snap).alias("a"), F.col(value).alias("_x"))
-    y = rows.select(F.col(key).alias("_k"), F.col(snap).alias("b"), F.col(value).alias("_y"))
-    return x.join(y, "_k").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("g"))
+FAN = 32  #: triangles that a task of the next step stacks; as many at most come to the driver
 
 
 def gram_arrays(rows: DataFrame, snap: str, column: str) -> DataFrame:
-    """(a, b, g) as of gram, of snapshots that are an array each: pairs are made once, not once per value."""
+    """(a, b, g): inner products of snapshots that are an array each, upper triangle."""
     x, y = (rows.select(F.col(snap).alias(s), F.col(column).alias(f"_{s}")) for s in "ab")
     products = F.zip_with("_a", "_b", lambda p, q: p * q)
     return x.join(y, F.col("a") <= F.col("b")).select("a", "b", F.aggregate(products, F.lit(0.0), lambda s, p: s + p).alias("g"))
@@ -45,11 +43,58 @@ def gram_matrix(blocks: DataFrame, column: str) -> np.ndarray:
     return parts["v"].to_numpy().reshape(n, n)
 
 
+def _triangle(m: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(m, mode="r")
+
+
+def triangle(blocks: DataFrame, column: str, imaginary: str | None = None) -> np.ndarray:
+    """R of the QR decomposition of the matrix, at most snapshots by snapshots."""
+
+    def stacked(b: pd.DataFrame) -> np.ndarray:
+        m = np.stack([np.asarray(v, float) for v in b[column]])
+        return m + 1j * np.stack([np.asarray(v, float) for v in b[imaginary]]) if imaginary else m
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = None
+        for b in batches:
+            if len(b):
+                r = _triangle(stacked(b) if r is None else np.vstack([r, stacked(b)]))
+        if r is not None:
+            yield pd.DataFrame({"rows": [r.shape[0]], "r": [np.ascontiguousarray(r, dtype=complex if imaginary else float).tobytes()]})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = None
+        for b in batches:
+            for rows, data in zip(b["rows"], b["r"], strict=True):
+                m = np.frombuffer(data, complex if imaginary else float).reshape(rows, -1)
+                r = m if r is None else _triangle(np.vstack([r, m]))
+        if r is not None:
+            yield pd.DataFrame({"rows": [r.shape[0]], "r": [np.ascontiguousarray(r).tobytes()]})
+
+    schema = "rows long, r binary"
+    parts = blocks.rdd.getNumPartitions()
+    out = blocks.select(*[column, *([imaginary] if imaginary else [])]).mapInPandas(reduce, schema)
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        out = out.repartition(parts).mapInPandas(again, schema)
+    found = out.collect()  # FAN triangles at most
+    if not found:
+        return np.zeros((0, 0))
+    return _triangle(np.vstack([np.frombuffer(r["r"], complex if imaginary else float).reshape(r["rows"], -1) for r in found]))
+
+
+def svd(blocks: DataFrame, column: str, k: int, imaginary: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest singular values and the right vectors (k x snapshots)."""
+    r = triangle(blocks, column, imaginary)
+    if not r.size:
+        return np.zeros(0), np.zeros((0, 0))
+    _, sigma, vt = np.linalg.svd(r, full_matrices=False)
+    return sigma[:k], vt[:k]
+
+
 def pod(blocks: DataFrame, row: str, column: str, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Singular values, right vectors (k x snapshots) and the modes: a table (row, mode array of k)."""
-    values, vectors = np.linalg.eigh(gram_matrix(blocks, column))
-    order = np.argsort(values)[::-1][:k]
-    sigma, vt = np.sqrt(np.maximum(values[order], 0)), vectors[:, order].T
+    sigma, vt = svd(blocks, column, k)
     rotate = (vt / np.where(sigma > 1e-12, sigma, 1.0)[:, None]).T
 
     @F.pandas_udf("array<double>")
@@ -59,9 +104,69 @@ def pod(blocks: DataFrame, row: str, column: str, k: int) -> tuple[np.ndarray, n
     return sigma, vt, blocks.select(row, modes(column).alias("mode"))
 
 
+def complex_pod(blocks: DataFrame, row: str, re: str, im: str, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The same for a complex matrix: modes has the arrays re and im."""
+    sigma, vt = svd(blocks, re, k, im)
+    rotate = (vt / np.where(sigma > 1e-12, sigma, 1.0)[:, None]).conj().T
+
+    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    def modes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        u = (np.stack(a.to_numpy()) + 1j * np.stack(b.to_numpy())) @ rotate if len(a) else np.zeros((0, k))
+        return pd.DataFrame({"re": list(u.real), "im": list(u.imag)})
+
+    return sigma, vt, blocks.select(row, modes(re, im).alias("_m")).select(row, "_m.re", "_m.im")
+
+
+def scaled(blocks: DataFrame, column: str, mass: str, divide: bool = False, least: float = 1e-12) -> DataFrame:
+    """Rows times the square root of their mass (a zero mass counts as least), or divided by it."""
+    root = F.sqrt(F.when(F.col(mass) == 0, F.lit(least)).otherwise(F.col(mass)))
+    return blocks.withColumn(column, F.transform(column, lambda v: v / root if divide else v * root))
+
+
+def weighted_pod(blocks: DataFrame, row: str, column: str, mass: str, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """POD in the mass inner product; the modes are those of physical space."""
+    own = scaled(blocks.select(row, column, mass), column, mass)
+    sigma, vt, modes = pod(own, row, column, k)
+    back = scaled(modes.join(blocks.select(row, mass), row), "mode", mass, divide=True)
+    return sigma, vt, back.select(row, "mode")
+
+
+def reconstructed(modes: DataFrame, row: str, sigma: np.ndarray, vt: np.ndarray, out: str = "a") -> DataFrame:
+    """row and the snapshots that the modes make up: sum of mode, singular value and right vector."""
+    back = sigma[:, None] * vt
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(m.to_numpy()) @ back)) if len(m) else pd.Series([], dtype=object)
+
+    return modes.select(row, run("mode").alias(out))
+
+
+def extended(modes_of: DataFrame, row: str, column: str, sigma: np.ndarray, vt: np.ndarray) -> DataFrame:
+    """Extended modes: what other fields (row, column) have in common with the
+    right vectors of a decomposition, A v / sigma."""
+    rotate = (vt / np.where(sigma > 1e-12, sigma, 1.0)[:, None]).conj().T.real
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(a.to_numpy()) @ rotate)) if len(a) else pd.Series([], dtype=object)
+
+    return modes_of.select(row, run(column).alias("mode"))
+
+
+def perp_ratio(rows: DataFrame, modes: str, vector: str) -> float:
+    """|v - u u^T v| / |v| of a vector (a number per row) and orthonormal modes (an array per row)."""
+    n = F.size(modes)
+    dots = rows.select(F.posexplode(F.transform(modes, lambda m: m * F.col(vector))).alias("k", "d")).groupBy("k").agg(F.sum("d").alias("d")).orderBy("k").collect()
+    lit = F.array(*[F.lit(float(r["d"])) for r in dots]) if dots else F.array().cast("array<double>")
+    left = F.col(vector) - F.aggregate(F.zip_with(modes, lit, lambda m, d: m * d), F.lit(0.0), lambda s, x: s + x)
+    up, down = rows.where(n > 0).agg(F.sum(left * left), F.sum(F.col(vector) * F.col(vector))).first()
+    return float((up / down) ** 0.5) if down else 0.0
+
+
 class StreamingPod:
     """Rank-k update by batches of snapshots: the SVD of [U S, new columns] is
-    taken through its small Gram matrix; U is never collected."""
+    taken through its triangle; U is never collected."""
 
     def __init__(self, row: str, k: int):
         self.row, self.k, self.modes, self.sigma, self.vt = row, k, None, None, None
@@ -86,6 +191,21 @@ class StreamingPod:
         self.vt = rotated @ keep
         return self
 
+    def save(self, folder: str) -> None:
+        """The state as tables: modes; singular values with their right vectors."""
+        spark = self.modes.sparkSession
+        self.modes.write.mode("overwrite").parquet(f"{folder}/modes")
+        rows = [(k, float(s), [float(x) for x in v]) for k, (s, v) in enumerate(zip(self.sigma, self.vt, strict=True))]
+        spark.createDataFrame(rows, "k int, sigma double, vt array<double>").write.mode("overwrite").parquet(f"{folder}/right")
+
+    @classmethod
+    def load(cls, spark, folder: str, row: str, k: int) -> "StreamingPod":
+        out = cls(row, k)
+        out.modes = spark.read.parquet(f"{folder}/modes")
+        right = spark.read.parquet(f"{folder}/right").orderBy("k").collect()  # k rows
+        out.sigma, out.vt = np.array([r["sigma"] for r in right]), np.array([r["vt"] for r in right])
+        return out
+
 
 def line_dft(rows: DataFrame, keys: list[str], index: str, value: str, n: int) -> DataFrame:
     """Discrete Fourier transform of lines over sqrt(n): kappa 0 .. n//2, re, im; no Python."""

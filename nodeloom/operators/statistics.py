@@ -10,10 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def file_index(files: DataFrame, series: str, order: list[str], time: str) -> DataFrame:
-    """Adds idx, time_prev and dt per series; the first interval starts at the series' own first time."""
+def file_index(files: DataFrame, series: str, order: list[str], time: str, start: Column | None = None, statistics_start: Column | None = None) -> DataFrame:
+    """Adds idx, time_prev and dt per series. The first interval begins at start
+    (of the run), for series whose name holds stat or mean at statistics_start;
+    without them at the series' own first time."""
     w = W.partitionBy(series).orderBy(*order)
-    prev = F.coalesce(F.lag(time).over(w), F.col(time))
+    begin = F.col(time) if start is None else start
+    if statistics_start is not None:
+        begin = F.when(F.col(series).cast("string").rlike("stat|mean"), statistics_start).otherwise(begin)
+    prev = F.coalesce(F.lag(time).over(w), begin)
     return files.withColumn("idx", F.row_number().over(w) - 1).withColumn("time_prev", prev).withColumn("dt", F.col(time) - prev)
 
 
@@ -31,10 +36,10 @@ def inspect(fields: DataFrame, file: str, values: list[str]) -> DataFrame:
     return fields.groupBy(file).agg(*aggs)
 
 
-def time_batches(index: DataFrame, series: str, order: list[str], length: float, slack: float = 0.05) -> DataFrame:
+def time_batches(index: DataFrame, series: str, order: list[str], length: float, slack: float = 0.05, empty_first: bool = False) -> DataFrame:
     """Adds batch: files in order are taken into a batch while its intervals add
     up to at most length * (1 + slack). A first interval that is longer has a
-    batch of its own; batches are numbered from 0 without empty ones.
+    batch of its own: batch 0, or, with empty_first, batch 1 after an empty one.
 
     The scan is sequential by definition, so a series is one task; series run in
     parallel, and only the order columns and dt are sent."""
@@ -44,7 +49,7 @@ def time_batches(index: DataFrame, series: str, order: list[str], length: float,
         b = b.sort_values(order, kind="stable").reset_index(drop=True)
         batch, total, out = 0, 0.0, []
         for k, dt in enumerate(b["dt"].tolist()):
-            if k and total + dt > limit:
+            if (k or empty_first) and total + dt > limit:
                 batch, total = batch + 1, 0.0
             total += dt
             out.append(batch)
@@ -115,51 +120,91 @@ def rotate_tensor(x: Column, y: Column, t: dict[str, Column]) -> dict[str, Colum
     }
 
 
+def basis(v1: list[Column], v2: list[Column], v3: list[Column]) -> list[list[Column]]:
+    """The rotation whose rows are three vectors."""
+    return [v1, v2, v3]
+
+
+def rotate_three(q: list[list[Column]], v: list[Column]) -> list[Column]:
+    """q v at a point."""
+    return [q[i][0] * v[0] + q[i][1] * v[1] + q[i][2] * v[2] for i in range(3)]
+
+
+def rotate_six(q: list[list[Column]], t: dict[str, Column]) -> dict[str, Column]:
+    """q t q^T of a symmetric tensor given by 11 22 33 12 13 23."""
+    at = lambda i, j: t[f"{min(i, j) + 1}{max(i, j) + 1}"]
+    half = [[q[i][0] * at(0, b) + q[i][1] * at(1, b) + q[i][2] * at(2, b) for b in range(3)] for i in range(3)]
+    whole = lambda i, j: half[i][0] * q[j][0] + half[i][1] * q[j][1] + half[i][2] * q[j][2]
+    return {k: whole(int(k[0]) - 1, int(k[1]) - 1) for k in ("11", "22", "33", "12", "13", "23")}
+
+
+def _newton(grid, p, x, d, tolerance: float, iterations: int):
+    """Reference coordinates of points p (count, 3) in elements grid (count, 3, n, n, n),
+    all at once: those that have converged, or whose Jacobian is singular, step no more."""
+    import numpy as np
+
+    from nodeloom.functions.spectral import lagrange_rows
+
+    q = np.zeros_like(p)
+    left = np.arange(len(p))
+    for _ in range(iterations):
+        if not len(left):
+            break
+        g = grid[left]
+        row = [lagrange_rows(x, q[left, c]) for c in range(3)]  # r, s, t
+        der = [v @ d for v in row]
+        # One axis after the other: values and derivatives along i, then j, then k.
+        along, slope = np.einsum("eckji,ei->eckj", g, row[0]), np.einsum("eckji,ei->eckj", g, der[0])
+        both, s_slope, r_slope = np.einsum("eckj,ej->eck", along, row[1]), np.einsum("eckj,ej->eck", along, der[1]), np.einsum("eckj,ej->eck", slope, row[1])
+        at = np.einsum("eck,ek->ec", both, row[2])
+        jac = np.stack([np.einsum("eck,ek->ec", r_slope, row[2]), np.einsum("eck,ek->ec", s_slope, row[2]), np.einsum("eck,ek->ec", both, der[2])], axis=2)
+        able = np.abs(np.linalg.det(jac)) > 1e-300
+        jac[~able] = np.eye(3)
+        step = np.where(able[:, None], np.linalg.solve(jac, (p[left] - at)[..., None])[..., 0], 0.0)
+        q[left] = np.clip(q[left] + step, -1.5, 1.5)
+        left = left[np.abs(step).max(axis=1) >= tolerance]
+    row = [lagrange_rows(x, q[:, c]) for c in range(3)]
+    back = np.einsum("eckj,ej,ek->ec", np.einsum("eckji,ei->eckj", grid, row[0]), row[1], row[2])
+    return q, np.abs(back - p).max(axis=1)
+
+
 def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float, tolerance: float = 1e-10, iterations: int = 50, accept: float = 1e-4) -> DataFrame:
     """Element and reference coordinates of each probe (probe_id, x, y, z).
 
     mesh: e and arrays xs, ys, zs of n^3 coordinates. Candidates come from a
-    join on grid cells of boxes; each candidate is inverted by Newton steps in
-    Arrow batches. Of a probe's candidates the inside one (err_code 1), then the
-    smallest remaining error, then the smallest element wins. A probe without
-    candidates has err_code 0, one without an inside candidate -10."""
+    join on grid cells of boxes, of which only the ids go along; the coordinates
+    join the candidates by element afterwards. All candidates of an Arrow batch
+    are inverted by Newton steps together. Of a probe's candidates the inside one
+    (err_code 1), then the smallest remaining error, then the smallest element
+    wins. A probe without candidates has err_code 0, one without an inside
+    candidate -10."""
     import numpy as np
 
-    from nodeloom.functions.spectral import derivative, gll, lagrange_rows
+    from nodeloom.functions.spectral import derivative, gll
 
     pick = lambda f, c: f(c)
-    boxes = mesh.select("e", "xs", "ys", "zs", *[pick(f, f"{c}s").alias(f"{c}_{s}") for c in "xyz" for f, s in ((F.array_min, "lo"), (F.array_max, "hi"))])
-    pairs = box_join(probes, boxes, ["x", "y", "z"], {c: size for c in "xyz"})
+    boxes = mesh.select("e", *[pick(f, f"{c}s").alias(f"{c}_{s}") for c in "xyz" for f, s in ((F.array_min, "lo"), (F.array_max, "hi"))])
+    pairs = box_join(probes.select("probe_id", "x", "y", "z"), boxes, ["x", "y", "z"], {c: size for c in "xyz"}).select("probe_id", "x", "y", "z", "e")
     nodes_x, d = gll(n)[0], derivative(n)
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                grid = np.stack([np.asarray(c, float).reshape(n, n, n) for c in (row.xs, row.ys, row.zs)])
-                p, q = np.array([row.x, row.y, row.z]), np.zeros(3)
-                for _ in range(iterations):
-                    l = [lagrange_rows(nodes_x, v)[0] for v in q]  # noqa: E741
-                    at = np.einsum("ckji,k,j,i->c", grid, l[2], l[1], l[0])
-                    g = [v @ d for v in l]
-                    jac = np.stack([np.einsum("ckji,k,j,i->c", grid, l[2], l[1], g[0]), np.einsum("ckji,k,j,i->c", grid, l[2], g[1], l[0]), np.einsum("ckji,k,j,i->c", grid, g[2], l[1], l[0])], axis=1)
-                    step = np.linalg.solve(jac, p - at) if abs(np.linalg.det(jac)) > 1e-300 else np.zeros(3)
-                    q = np.clip(q + step, -1.5, 1.5)
-                    if np.abs(step).max() < tolerance:
-                        break
-                error = float(np.abs(np.einsum("ckji,k,j,i->c", grid, *[lagrange_rows(nodes_x, v)[0] for v in q[::-1]]) - p).max())
-                inside = bool((np.abs(q) <= 1 + 1e-6).all()) and error <= accept
-                out.append((row.probe_id, row.e, *q, 1 if inside else -10, error))
-            yield pd.DataFrame(out, columns=["probe_id", "e", "r", "s", "t", "err_code", "test_error"])
-
-    tried = pairs.select("probe_id", "x", "y", "z", "e", "xs", "ys", "zs").mapInPandas(invert, "probe_id long, e long, r double, s double, t double, err_code int, test_error double")
-    best = W.partitionBy("probe_id").orderBy(F.col("err_code") != 1, "test_error", "e")
-    first = tried.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+        for whole in batches:
+            for at in range(0, len(whole), 4096):
+                b = whole.iloc[at : at + 4096]
+                grid = np.stack([np.stack(b[f"{c}s"].to_numpy()).astype(float) for c in "xyz"], axis=1).reshape(-1, 3, n, n, n)
+                q, error = _newton(grid, b[["x", "y", "z"]].to_numpy(float), nodes_x, d, tolerance, iterations)
+                inside = (np.abs(q) <= 1 + 1e-6).all(axis=1) & (error <= accept)
+                yield pd.DataFrame({"probe_id": b["probe_id"], "e": b["e"], "r": q[:, 0], "s": q[:, 1], "t": q[:, 2], "err_code": np.where(inside, 1, -10).astype(np.int32), "test_error": error})
+
+    tried = pairs.join(mesh.select("e", "xs", "ys", "zs"), "e").select("probe_id", "x", "y", "z", "e", "xs", "ys", "zs").mapInPandas(invert, "probe_id long, e long, r double, s double, t double, err_code int, test_error double")
+    best = F.min_by(F.struct("e", "r", "s", "t", "err_code", "test_error"), F.struct(F.col("err_code") != 1, "test_error", "e")).alias("b")
+    first = tried.groupBy("probe_id").agg(best).select("probe_id", "b.*")
     return probes.join(first, "probe_id", "left").withColumn("err_code", F.coalesce("err_code", F.lit(0)))
 
 
-def evaluate(located: DataFrame, mesh: DataFrame, field: str, n: int) -> DataFrame:
-    """Adds value: the field (array per element) at each located probe; 0 where it was not found."""
+def evaluate(located: DataFrame, mesh: DataFrame | None, field: str, n: int) -> DataFrame:
+    """Adds value: the field (array per element) at each located probe; 0 where it
+    was not found. Without a mesh the probes have the field's array themselves."""
     import numpy as np
 
     from nodeloom.functions.spectral import gll, lagrange_rows
@@ -176,4 +221,5 @@ def evaluate(located: DataFrame, mesh: DataFrame, field: str, n: int) -> DataFra
             out[some] = np.einsum("pkji,pk,pj,pi->p", grid, *rows)
         return pd.Series(out)
 
-    return located.join(mesh.select("e", F.col(field).alias("_u")), "e", "left").withColumn("value", at("_u", "r", "s", "t")).drop("_u")
+    rows = located.join(mesh.select("e", F.col(field).alias("_u")), "e", "left") if mesh is not None else located.withColumnRenamed(field, "_u")
+    return rows.withColumn("value", at("_u", "r", "s", "t")).drop("_u")

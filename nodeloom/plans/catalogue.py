@@ -4,7 +4,7 @@ nodes; events are outputs of files over time; lineitem holds weighted samples.""
 
 from __future__ import annotations
 
-import os
+import importlib
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +21,7 @@ from nodeloom.operators import statistics as st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 N = 4
+MODULES = ("curved", "meshes", "decomposition", "storage")
 
 
 def query(sql: str | None = None):
@@ -47,11 +48,10 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brick_arrays(spark: SparkSession, sf_dir: str, warp: float = 0.02) -> DataFrame:
     """Elements with coordinate arrays of a slightly deformed brick."""
-    x = [float(v) for v in (sp.gll(N)[0] + 1) / 2]
-    at = {"xs": ("e % 8", lambda p: x[p % 4]), "ys": ("(e div 8) % 8", lambda p: x[p // 4 % 4]), "zs": ("e div 64", lambda p: x[p // 16])}
+    x = "array(" + ", ".join(f"{float(v)!r}D" for v in (sp.gll(N)[0] + 1) / 2) + ")"
     out = arrays(spark, sf_dir)
-    for name, (cell, local) in at.items():
-        out = out.withColumn(name, F.expr(f"array({', '.join(f'{cell} + {local(p)!r}D' + (f' + {warp}D * u[{p}]' if name == 'xs' and warp else '') for p in range(64))})"))
+    for name, cell, local, more in (("xs", "e % 8", "p % 4", f" + {warp}D * v" if warp else ""), ("ys", "(e div 8) % 8", "(p div 4) % 4", ""), ("zs", "e div 64", "p div 16", "")):
+        out = out.withColumn(name, F.expr(f"transform(u, (v, p) -> {cell} + {x}[cast({local} as int)]{more})"))
     return out
 
 
@@ -306,23 +306,13 @@ def grid_bins(spark, d):
     return e.groupBy(st.grid_bin(F.col("value"), F.lit(lo), F.lit(hi), 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _in_boxes(spark, d, which: str):
+@query("with p as (select event_id, value/10.0::double as x, (event_id%50)::double as y from events), b as (select p_partkey, p_size*1.0::double as x_lo, p_size+1.5::double as x_hi, (p_partkey%50)::double as y_lo, (p_partkey%50)+2.0::double as y_hi from part) select event_id, p_partkey from p join b on x between x_lo and x_hi and y between y_lo and y_hi")
+def bbox_range_join(spark, d):
     p = table(spark, d, "events").select("event_id", F.expr("value / 10.0D").alias("x"), F.expr("cast(event_id % 50 as double)").alias("y"))
-    b = table(spark, d, "part").where(which).select("p_partkey", F.expr("p_size * 1.0D").alias("x_lo"), F.expr("p_size + 1.5D").alias("x_hi"), F.expr("cast(p_partkey % 50 as double)").alias("y_lo"), F.expr("p_partkey % 50 + 2.0D").alias("y_hi"))
+    b = table(spark, d, "part").select("p_partkey", F.expr("p_size * 1.0D").alias("x_lo"), F.expr("p_size + 1.5D").alias("x_hi"), F.expr("cast(p_partkey % 50 as double)").alias("y_lo"), F.expr("p_partkey % 50 + 2.0D").alias("y_hi"))
     return st.box_join(p, b, ["x", "y"], {"x": 2.0, "y": 2.0}).select("event_id", "p_partkey")
 
 
-@query("with p as (select event_id, value/10.0::double as x, (event_id%50)::double as y from events), b as (select p_partkey, p_size*1.0::double as x_lo, p_size+1.5::double as x_hi, (p_partkey%50)::double as y_lo, (p_partkey%50)+2.0::double as y_hi from part where p_partkey <= 500) select event_id, p_partkey from p join b on x between x_lo and x_hi and y between y_lo and y_hi")
-def bbox_range_join(spark, d):
-    return _in_boxes(spark, d, "p_partkey <= 500")
-
-
-@query()
-def bbox_range_join_whole(spark, d):
-    """All boxes; bbox_range_join and its SQL keep the first 500 parts only."""
-    return _in_boxes(spark, d, "true")
-
-
 @query(f"with {SQL_BRICK}, c as (select e, (min(x)+max(x))/2 as cx, (min(y)+max(y))/2 as cy, (min(z)+max(z))/2 as cz from brick group by e) select e, k, j, i, round(u, 6) as u from brick semi join (select e from c where cx > 1 and cx < 5 and cy > 2 and cy < 7 and cz > -1 and cz < 4) using (e)")
 def subdomain_filter(spark, d):
     """Elements whose box centre lies strictly inside a box."""
@@ -407,16 +397,11 @@ def probe_interpolation(spark, d):
 
 
 # --- decomposition ----------------------------------------------------------
-@query(f"with {SQL_NODES} select a.e as a, b.e as b, round(sum(a.u*b.u), 6) as g from nodes a join nodes b on a.p=b.p where a.e < 40 and b.e < 40 and a.e <= b.e group by 1, 2")
+@query(f"with {SQL_NODES} select cast(a.p as int) as a, cast(b.p as int) as b, round(sum(a.u*b.u), 4) as g from nodes a join nodes b on a.e=b.e where a.p <= b.p group by 1, 2")
 def gram_matrix(spark, d):
-    r = long(spark, d).where("e < 40").select("e", F.expr("k*16 + j*4 + i").alias("p"), "u")
-    return rom.gram(r, "p", "e", "u").select("a", "b", F.round("g", 6).alias("g"))
-
-
-@query()
-def gram_matrix_whole(spark, d):
-    """Inner products of all elements; gram_matrix and its SQL keep the first 40 only."""
-    return rom.gram_arrays(arrays(spark, d), "e", "u").select("a", "b", F.round("g", 6).alias("g"))
+    """Inner products of all snapshots (the 64 values of an element) over all elements."""
+    g = rom.gram_matrix(arrays(spark, d), "u")
+    return spark.createDataFrame([(i, j, round(float(g[i, j]), 4)) for i in range(len(g)) for j in range(i, len(g))], "a int, b int, g double")
 
 
 @query(f"with {SQL_NODES} select e, round(sum(u*u), 6) as energy from nodes group by e")
@@ -471,19 +456,31 @@ def line_dft(spark, d):
     return t.select("e", "k", "j", "kappa", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
+def _spectra(spark, d):
+    """Lines along i transformed: per wavenumber and element the real and the imaginary parts of 16 lines."""
+    t = rom.line_dft(long(spark, d), ["e", "k", "j"], "i", "u", N)
+    part = lambda c: F.transform(F.col("l"), lambda x: x[c]).alias(c)
+    return t.groupBy("kappa", "e").agg(F.array_sort(F.collect_list(F.struct("k", "j", "re", "im"))).alias("l")).select("kappa", "e", part("re"), part("im"))
+
+
 @query()
 def fft_pod(spark, d):
-    """Singular values per wavenumber: lines along i are transformed, each wavenumber has a decomposition of its own."""
-    t = rom.line_dft(long(spark, d), ["e", "k", "j"], "i", "u", N)
-    rows = t.groupBy("kappa", "e").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "j", "re", "im"))), lambda x: x["re"]).alias("a")).cache()
-    out = []
+    """Singular values per wavenumber: each has a decomposition of its own, of the complex matrix."""
+    _folder(spark)
+    rows, out = _spectra(spark, d).checkpoint(), []
     for kappa in range(N // 2 + 1):
-        sigma, _, _ = rom.pod(rows.where(F.col("kappa") == kappa).select("e", "a"), "e", "a", 4)
+        sigma, _ = rom.svd(rows.where(F.col("kappa") == kappa), "re", 16, "im")
         out += [(kappa, k, float(s * (2**0.5 if kappa else 1.0))) for k, s in enumerate(sigma)]
-    rows.unpersist()
     return spark.createDataFrame(out, "kappa int, k int, sigma double")
 
 
+@query(f"with {SQL_NODES}, t as (select e, k, j, kappa, sum(u*cos(2*pi()*kappa*i/4))/2 as re, -sum(u*sin(2*pi()*kappa*i/4))/2 as im from nodes, range(3) t(kappa) group by 1, 2, 3, 4) select cast(kappa as int) as kappa, round(sum(re*re+im*im)*case when kappa > 0 then 2 else 1 end, 2) as energy from t group by kappa")
+def fft_pod_energy(spark, d):
+    """Sum of the squared singular values of each wavenumber: the energy of its lines."""
+    f = fft_pod(spark, d)
+    return f.groupBy("kappa").agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 2).alias("energy"))
+
+
 @query()
 def hilbert_line(spark, d):
     @F.pandas_udf("struct<re:array<double>,im:array<double>>")
@@ -597,9 +594,9 @@ def field_file_roundtrip(spark, d):
     """Writes a field file into the shared folder and reads two of its variables back by partitions."""
     from nodeloom.sources import fieldfile as ff
 
-    base = _folder(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(base, exist_ok=True)
-    path = f"{base}/field-{uuid.uuid4().hex}0.f00001"
+    folder = f"{_folder(spark)}/field-{uuid.uuid4().hex}"
+    ff._store(folder)[0].create_dir(ff._store(folder)[1], recursive=True)
+    path = f"{folder}/field0.f00001"
     e, p = np.arange(24.0)[:, None], np.arange(64.0)[None, :]
     ff.write(path, {"x": e + p / 10, "y": e - p, "z": e * p, "t": 2 * e - p * 0.5}, (4, 4, 4), time=1.5)
     spark.dataSource.register(ff.FieldFile)
@@ -639,9 +636,17 @@ def stream_totals(spark, d):
     return rows.groupBy("event_type").agg(F.max_by(F.struct("n", "total"), "k").alias("s")).select("event_type", "s.n", F.round("s.total", 2).alias("total"))
 
 
+def _whole() -> None:
+    """The other modules add their queries when they are imported."""
+    for name in MODULES:
+        importlib.import_module(f"nodeloom.plans.{name}")
+
+
 def queries() -> dict:
+    _whole()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _whole()
     return dict(SQL)

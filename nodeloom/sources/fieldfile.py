@@ -1,26 +1,54 @@
-"""Field files, probe files and solver logs as Spark sources.
+"""Field files, probe files and solver logs as Spark sources and sinks.
 
 A field file: a 132-byte text header, a 4-byte float that tells the byte order,
 the element numbers, then a block per variable over all elements (vectors
-element by element: all x, all y, all z)."""
+element by element: all x, all y, all z). A field may lie in several files, each
+with some of its elements; the header says how many there are in all.
+
+Files are opened with pyarrow's file systems, so a path may be local or a URI of
+any store that these know (file, hdfs, s3, gs ..). Only the header and the bytes
+of the wanted variables and elements are read."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 HEADER, ENDIAN = 132, 6.54321  # fixed values of the format
 
 
-def header(wdsz: int, shape: tuple[int, int, int], elements: int, time: float, step: int, variables: str) -> bytes:
+def _store(path: str):
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return fs.LocalFileSystem(), path
+
+
+def files_of(path: str) -> list[str]:
+    """The path itself, or the field files in a folder, by name."""
+    from pyarrow import fs
+
+    store, local = _store(path)
+    info = store.get_file_info(local)
+    if info.type != fs.FileType.Directory:
+        return [path]
+    names = sorted(f.base_name for f in store.get_file_info(fs.FileSelector(local)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+    return [f"{path.rstrip('/')}/{n}" for n in names]
+
+
+def header(wdsz: int, shape: tuple[int, int, int], elements: int, time: float, step: int, variables: str, total: int | None = None, number: int = 0, files: int = 0) -> bytes:
     lx, ly, lz = shape
-    return f"#std {wdsz:1d} {lx:2d} {ly:2d} {lz:2d} {elements:10d} {elements:10d} {time:20.13E} {step:9d} {0:6d} {1:6d} {variables}".ljust(HEADER).encode()
+    return f"#std {wdsz:1d} {lx:2d} {ly:2d} {lz:2d} {elements:10d} {elements if total is None else total:10d} {time:20.13E} {step:9d} {number:6d} {files:6d} {variables}".ljust(HEADER).encode()
 
 
 def parse_header(raw: bytes) -> dict:
-    f = raw.decode("ascii", "replace").split()
+    """The header's values; order: the byte order that the tag behind it tells."""
+    f = raw[:HEADER].decode("ascii", "replace").split()
+    if not f or f[0] != "#std":
+        raise ValueError("not a field file")
     code, variables = f[11], {}
     k = 0
     while k < len(code):
@@ -30,11 +58,15 @@ def parse_header(raw: bytes) -> dict:
         else:
             variables[{"X": "pos", "U": "vel", "P": "p", "T": "t"}[code[k]]] = 1
             k += 1
-    return {"wdsz": int(f[1]), "shape": tuple(int(x) for x in f[2:5]), "elements": int(f[5]), "time": float(f[7]), "step": int(f[8]), "variables": variables}
+    tag = raw[HEADER : HEADER + 4]
+    order = next((o for o in "<>" if len(tag) == 4 and abs(np.frombuffer(tag, f"{o}f4")[0] - ENDIAN) < 1e-4), None)
+    if order is None:
+        raise ValueError("the byte-order tag is not there")
+    return {"wdsz": int(f[1]), "shape": tuple(int(x) for x in f[2:5]), "elements": int(f[5]), "total": int(f[6]), "time": float(f[7]), "step": int(f[8]), "number": int(f[9]), "files": int(f[10]), "variables": variables, "order": order}
 
 
 def columns(h: dict) -> list[tuple[str, int]]:
-    """(name, byte offset of the variable's block, in values before it) in file order."""
+    """(name, place) of the variables in file order."""
     dim = 3 if h["shape"][2] > 1 else 2
     names: list[str] = []
     for v in h["variables"]:
@@ -42,42 +74,53 @@ def columns(h: dict) -> list[tuple[str, int]]:
     return [(n, i) for i, n in enumerate(names)]
 
 
-def write(path: str, arrays: dict[str, np.ndarray], n: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8) -> None:
-    """arrays: name -> (elements, nodes); groups x y z, u v w, p, t, s0 .. in file order."""
+def encode(arrays: dict[str, np.ndarray], ids: np.ndarray, n: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, total: int | None = None, number: int = 0, files: int = 0, order: str = "<") -> bytes:
+    """A field file of arrays: name -> (elements, nodes); groups x y z, u v w, p, t, s0 .. in file order."""
     dim = 3 if n[2] > 1 else 2
     groups = [g for g in (list("xyz")[:dim], list("uvw")[:dim], ["p"], ["t"]) if g[0] in arrays]
-    scalars = [k for k in arrays if k[0] == "s" and k[1:].isdigit()]
+    scalars = sorted((k for k in arrays if k[0] == "s" and k[1:].isdigit()), key=lambda k: int(k[1:]))
     code = "".join({"x": "X", "u": "U", "p": "P", "t": "T"}[g[0]] for g in groups) + (f"S{len(scalars):02d}" if scalars else "")
+    kind, every = f"{order}f{wdsz}", [*groups, *[[s] for s in scalars]]
+    out = [header(wdsz, n, len(ids), time, step, code, total, number, files), np.array([ENDIAN], f"{order}f4").tobytes(), np.asarray(ids).astype(f"{order}i4").tobytes()]
+    out += [np.stack([arrays[c] for c in g], axis=1).astype(kind).tobytes() for g in every]
+    if dim == 3:
+        out += [np.stack([np.stack([arrays[c].min(axis=1), arrays[c].max(axis=1)], axis=1) for c in g], axis=1).astype(f"{order}f4").tobytes() for g in every if len(ids)]
+    return b"".join(out)
+
+
+def write(path: str, arrays: dict[str, np.ndarray], n: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, ids: np.ndarray | None = None, order: str = "<") -> None:
+    """One field file, from arrays that the driver has."""
     count = len(next(iter(arrays.values())))
-    kind = f"<f{wdsz}"
-    with open(path, "wb") as f:
-        f.write(header(wdsz, n, count, time, step, code))
-        f.write(np.array([ENDIAN], "<f4").tobytes())
-        f.write(np.arange(1, count + 1, dtype="<i4").tobytes())
-        for g in groups:
-            f.write(np.stack([arrays[c] for c in g], axis=1).astype(kind).tobytes())
-        for s in scalars:
-            f.write(arrays[s].astype(kind).tobytes())
-        if dim == 3:
-            for g in [*groups, *[[s] for s in scalars]]:
-                f.write(np.stack([np.stack([arrays[c].min(axis=1), arrays[c].max(axis=1)], axis=1) for c in g], axis=1).astype("<f4").tobytes())
+    store, local = _store(path)
+    with store.open_output_stream(local) as f:
+        f.write(encode(arrays, np.arange(1, count + 1) if ids is None else ids, n, time, step, wdsz, order=order))
 
 
 class Range(InputPartition):
-    def __init__(self, first: int, count: int):
-        self.first, self.count = first, count
+    def __init__(self, path: str, head: dict, first: int, count: int):
+        self.path, self.head, self.first, self.count = path, head, first, count
+
+
+def linear_ranges(elements: int, parts: int) -> list[tuple[int, int]]:
+    """(first, count) of each part: equal shares, the larger ones first."""
+    parts = max(1, min(parts, elements or 1))
+    sizes = [(elements + parts - r - 1) // parts for r in range(parts)]
+    return [(sum(sizes[:r]), s) for r, s in enumerate(sizes)]
 
 
 class FieldFile(DataSource):
-    """format("fieldfile"), options path, keys (comma-separated; others are skipped by offset), partitions."""
+    """format("fieldfile"). Read: path (a file, or a folder of the files of a
+    field), keys (comma-separated; other variables are skipped by offset),
+    partitions (per file); rows have the element's own number, from 0, as e.
+    Write: path (a folder), shape ("4,4,4"), elements (in all), files, time,
+    step, wdsz (8 or 4): each task writes a file of its own."""
 
     @classmethod
     def name(cls) -> str:
         return "fieldfile"
 
     def _head(self) -> dict:
-        with open(self.options["path"], "rb") as f:
-            return parse_header(f.read(HEADER))
+        return read_header(files_of(self.options["path"])[0])
 
     def _keys(self, h: dict) -> list[str]:
         names = [c for c, _ in columns(h)]
@@ -87,35 +130,113 @@ class FieldFile(DataSource):
         return "e long, time double, " + ", ".join(f"{k} array<double>" for k in self._keys(self._head()))
 
     def reader(self, schema):
-        h = self._head()
-        return FieldReader(self.options["path"], h, self._keys(h), int(self.options.get("partitions", 4)))
+        return FieldReader(self.options["path"], self._keys(self._head()), int(self.options.get("partitions", 4)))
+
+    def writer(self, schema, overwrite):
+        return FieldWriter(dict(self.options), [f.name for f in schema.fields], overwrite)
+
+
+def read_header(path: str) -> dict:
+    store, local = _store(path)
+    with store.open_input_file(local) as f:
+        return parse_header(f.read(HEADER + 4))
 
 
 class FieldReader(DataSourceReader):
-    def __init__(self, path: str, h: dict, keys: list[str], parts: int):
-        self.path, self.h, self.keys, self.parts = path, h, keys, parts
+    def __init__(self, path: str, keys: list[str], parts: int):
+        self.path, self.keys, self.parts = path, keys, parts
 
     def partitions(self):
-        m, p = self.h["elements"], max(1, min(self.parts, self.h["elements"]))
-        sizes = [(m + p - r - 1) // p for r in range(p)]
-        return [Range(sum(sizes[:r]), s) for r, s in enumerate(sizes)]
+        out = []
+        for path in files_of(self.path):
+            h = read_header(path)
+            out += [Range(path, h, first, count) for first, count in linear_ranges(h["elements"], self.parts)]
+        return out
 
     def read(self, part):
-        h, dim = self.h, 3 if self.h["shape"][2] > 1 else 2
-        n, size, start = int(np.prod(h["shape"])), h["wdsz"], HEADER + 4 + 4 * h["elements"]
+        h, dim = part.head, 3 if part.head["shape"][2] > 1 else 2
+        n, size, order = int(np.prod(h["shape"])), h["wdsz"], h["order"]
+        start = HEADER + 4 + 4 * h["elements"]
         names = [c for c, _ in columns(h)]
         got = {}
-        with open(self.path, "rb") as f:
+        store, local = _store(part.path)
+        with store.open_input_file(local) as f:
+            f.seek(HEADER + 4 + 4 * part.first)
+            ids = np.frombuffer(f.read(4 * part.count), f"{order}i4")
             for key in self.keys:
                 k = names.index(key)
-                group = next((g for g in ("xyz"[:dim], "uvw"[:dim]) if key in g), key)
-                first = names.index(group[0]) if key in group and len(group) == dim and key in "xyzuvw" else k
-                width = dim if first != k or key in "xu" else 1
+                group = next((g for g in ("xyz"[:dim], "uvw"[:dim]) if key in g), None)
+                first, width = (names.index(group[0]), dim) if group else (k, 1)
                 f.seek(start + size * n * (h["elements"] * first + part.first * width))
-                block = np.frombuffer(f.read(size * n * part.count * width), dtype=f"<f{size}").reshape(part.count, width, n)
+                block = np.frombuffer(f.read(size * n * part.count * width), dtype=f"{order}f{size}").reshape(part.count, width, n)
                 got[key] = block[:, k - first].astype(float)
         for i in range(part.count):
-            yield (part.first + i, h["time"], *[got[k][i].tolist() for k in self.keys])
+            yield (int(ids[i]) - 1, h["time"], *[got[k][i].tolist() for k in self.keys])
+
+
+class Written(WriterCommitMessage):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class FieldWriter(DataSourceWriter):
+    """A task's rows become one file, under a name of the task; files of failed or
+    repeated attempts are removed when the job commits or aborts."""
+
+    def __init__(self, options: dict, names: list[str], overwrite: bool):
+        self.o, self.names = options, names
+        store, local = _store(options["path"])
+        if overwrite and store.get_file_info(local).type.name == "Directory":
+            store.delete_dir_contents(local)
+        store.create_dir(local, recursive=True)
+        self.before = {p.rsplit("/", 1)[-1] for p in files_of(options["path"])}
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        rows = [r.asDict() for r in iterator]
+        context = TaskContext.get()
+        number = context.partitionId()
+        name = f"{self.o['path'].rstrip('/')}/field-{number:06d}-{context.taskAttemptId()}.f{int(self.o.get('step', 0)):05d}"
+        if not rows:
+            return Written("")
+        rows.sort(key=lambda r: r["e"])
+        arrays = {c: np.array([r[c] for r in rows], float) for c in self.names if c not in ("e", "time")}
+        ids = np.array([r["e"] + 1 for r in rows])
+        shape = tuple(int(v) for v in self.o["shape"].split(","))
+        data = encode(arrays, ids, shape, float(self.o.get("time", 0.0)), int(self.o.get("step", 0)), int(self.o.get("wdsz", 8)), int(self.o["elements"]), number, int(self.o["files"]))
+        store, local = _store(name)
+        with store.open_output_stream(local) as f:
+            f.write(data)
+        return Written(name)
+
+    def commit(self, messages):
+        self._keep({m.path.rsplit("/", 1)[-1] for m in messages if m and m.path})
+
+    def abort(self, messages):
+        self._keep(set())
+
+    def _keep(self, names: set[str]) -> None:
+        for path in files_of(self.o["path"]):
+            if path.rsplit("/", 1)[-1] not in names | self.before:
+                store, local = _store(path)
+                store.delete_file(local)
+
+
+def write_field(df: DataFrame, path: str, shape: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, files: int = 4) -> None:
+    """Writes e and arrays of nodal values as the files of one field, in the order
+    of the elements: each task a range of them."""
+    spark = df.sparkSession
+    spark.dataSource.register(FieldFile)
+    out = df.repartitionByRange(files, "e")
+    o = {"shape": ",".join(map(str, shape)), "elements": str(df.count()), "files": str(files), "time": repr(time), "step": str(step), "wdsz": str(wdsz)}
+    out.write.format("fieldfile").mode("overwrite").options(**o).save(path)
+
+
+def read_field(spark, path: str, keys: str = "", partitions: int = 4) -> DataFrame:
+    spark.dataSource.register(FieldFile)
+    reader = spark.read.format("fieldfile").option("path", path).option("partitions", partitions)
+    return (reader.option("keys", keys) if keys else reader).load()
 
 
 def read_probes_csv(lines: DataFrame) -> DataFrame:
@@ -130,10 +251,14 @@ def read_probes_csv(lines: DataFrame) -> DataFrame:
 
 def index_log(lines: DataFrame) -> DataFrame:
     """lines: line_no, text. Every line with an output number becomes an index
-    row with the last file name and time seen before it."""
+    row with the last file name and time seen before it. A log is one text that
+    one solver wrote in order; several logs come with a column log."""
     from pyspark.sql import Window as W
 
     one = lambda p: F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1))
-    w = W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    seen = lines.withColumn("file", F.last(one(r"File name\s*:\s*(\S+)"), True).over(w)).withColumn("time", F.last(one(r"\bt\s*=\s*([0-9.eE+-]+)").cast("double"), True).over(w))
+    # Only the lines that say something are put in order.
+    told = lines.where(F.col("text").rlike(r"File name\s*:|\bt\s*=|Output number\s*:"))
+    log = F.col("log") if "log" in lines.columns else F.lit(0)
+    w = W.partitionBy(log).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    seen = told.withColumn("file", F.last(one(r"File name\s*:\s*(\S+)"), True).over(w)).withColumn("time", F.last(one(r"\bt\s*=\s*([0-9.eE+-]+)").cast("double"), True).over(w))
     return seen.withColumn("number", one(r"Output number\s*:\s*(\d+)").cast("long")).where("number is not null").select("number", "file", "time")

@@ -49,6 +49,126 @@ def test_decompositions(spark):
     assert catalogue.queries()["pod_reconstruction"](spark, SF).where("error > 0.001").count() == 0
     stream = [r["sigma"] for r in catalogue.queries()["pod_streaming"](spark, SF).orderBy("k").collect()]
     assert np.allclose(stream[0], want[0], rtol=0.05)
+    again = [r["sigma"] for r in catalogue.queries()["pod_restart"](spark, SF).orderBy("k").collect()]
+    assert np.allclose(again, stream, rtol=1e-10)
+
+
+def _snapshots(spark):
+    rows = catalogue.table(spark, SF, "embeddings").orderBy("vec_id").collect()
+    return np.array([r["vec_id"] for r in rows]), np.stack([np.asarray(r["embedding"], float) for r in rows])
+
+
+def test_singular_values_keep_their_digits(spark):
+    """A matrix whose small singular values a Gram matrix would lose."""
+    from nodeloom.operators import rom
+
+    rng = np.random.default_rng(4)
+    a = np.linalg.qr(rng.standard_normal((300, 6)))[0] @ np.diag([1.0, 1e-2, 1e-5, 1e-8, 1e-10, 1e-12]) @ np.linalg.qr(rng.standard_normal((6, 6)))[0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(a)], "row long, a array<double>").repartition(40)
+    sigma, vt, modes = rom.pod(df, "row", "a", 6)
+    assert np.allclose(sigma, [1.0, 1e-2, 1e-5, 1e-8, 1e-10, 1e-12], rtol=1e-3)
+    u = np.stack([r["mode"] for r in modes.orderBy("row").collect()])
+    assert np.allclose((u * sigma) @ vt, a, atol=1e-13)
+
+
+def test_fourier_decomposition_equals_numpy(spark):
+    _, a = _snapshots(spark)
+    x = np.fft.fft(a.reshape(-1, 4, 4, 4), axis=-1) / 2
+    got = catalogue.queries()["fft_pod"](spark, SF).toPandas()
+    for kappa in range(3):
+        want = np.linalg.svd(x[..., kappa].reshape(len(a), 16), compute_uv=False) * (2**0.5 if kappa else 1)
+        assert np.allclose(got[got.kappa == kappa].sort_values("k").sigma, want, atol=1e-10)
+
+
+def test_modes_equal_numpy(spark):
+    """Values of the modes, weighted and not, up to their signs; extended modes; what a projection leaves."""
+    ids, a = _snapshots(spark)
+    q = catalogue.queries()
+
+    def modes(name):
+        f = q[name](spark, SF).toPandas().pivot(index="row", columns="k", values="value").sort_index()
+        return f.to_numpy()
+
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(np.abs(modes("pod_modes")), np.abs(u[:, :8]), atol=1e-6)
+    m = np.where(ids % 7 == 0, 1e-12, ids % 7.0)
+    w = np.linalg.svd(a * np.sqrt(m)[:, None], full_matrices=False)
+    assert np.allclose([r["sigma"] for r in q["weighted_pod_sigma"](spark, SF).orderBy("k").collect()], w[1], rtol=1e-9)
+    assert np.allclose(np.abs(modes("weighted_pod_modes")), np.abs(w[0][:, :4] / np.sqrt(m)[:, None]), rtol=1e-4, atol=1e-6)
+    assert np.allclose(np.abs(modes("extended_modes")), np.abs((a * a) @ vt[:4].T / s[:4]), atol=1e-8)
+    part = np.linalg.svd(a[:, :32], full_matrices=False)[0][:, :8]
+    v = a[:, 40]
+    assert abs(q["perpendicular_ratio"](spark, SF).first()[0] - np.linalg.norm(v - part @ (part.T @ v)) / np.linalg.norm(v)) < 1e-9
+
+
+def test_hilbert_line_equals_numpy(spark):
+    _, a = _snapshots(spark)
+    got = catalogue.queries()["hilbert_line"](spark, SF).toPandas().sort_values(["e", "p"])
+    x = np.concatenate([a, a[:, ::-1]], axis=1)
+    f = np.fft.fft(x, axis=1)
+    f[:, 1:64] *= 2
+    f[:, 65:] = 0
+    want = np.fft.ifft(f, axis=1)[:, :64]
+    assert np.allclose(got["re"], want.real.ravel(), atol=2e-6) and np.allclose(got["im"], want.imag.ravel(), atol=2e-6)
+
+
+def test_location_on_curved_elements(spark):
+    """Points of known reference coordinates in warped elements come back."""
+    from nodeloom.operators import statistics as st
+
+    rng, x = np.random.default_rng(5), sp.gll(4)[0]
+    t, s, r = np.meshgrid(x, x, x, indexing="ij")
+    mesh, probes, want = [], [], {}
+    for e in range(12):
+        grid = [e + (r + 1) / 2 + 0.05 * np.sin(2 * s + t), (s + 1) / 2 + 0.05 * np.cos(r * t + e), (t + 1) / 2 + 0.04 * r * s]
+        mesh.append((e, *[g.ravel().tolist() for g in grid]))
+        for k in range(6):
+            q = rng.uniform(-0.9, 0.9, 3)
+            rows = [sp.lagrange_rows(x, v)[0] for v in q]
+            at = [float(np.einsum("kji,k,j,i", g, rows[2], rows[1], rows[0])) for g in grid]
+            probes.append((100 * e + k, *at))
+            want[100 * e + k] = (e, *q)
+    probes.append((9999, 100.0, 0.5, 0.5))
+    m = spark.createDataFrame(mesh, "e long, xs array<double>, ys array<double>, zs array<double>")
+    got = {p["probe_id"]: p for p in st.locate(spark.createDataFrame(probes, "probe_id long, x double, y double, z double"), m, 4, 0.7).collect()}
+    assert got.pop(9999)["err_code"] == 0
+    for k, p in got.items():
+        assert p["err_code"] == 1 and p["e"] == want[k][0] and np.allclose([p["r"], p["s"], p["t"]], want[k][1:], atol=1e-7)
+
+
+def test_field_files_of_any_byte_order(spark, tmp_path):
+    """Big-endian values, element numbers out of order, and a wrong tag."""
+    from nodeloom.sources import fieldfile as ff
+
+    u = np.random.default_rng(1).standard_normal((5, 8))
+    ids = np.array([3, 1, 5, 2, 4])
+    ff.write(f"{tmp_path}/a0.f00001", {"x": u, "y": u + 1, "z": u + 2, "p": 2 * u}, (2, 2, 2), ids=ids, order=">")
+    got = {r["e"]: r for r in ff.read_field(spark, f"{tmp_path}/a0.f00001", "y,p", 2).collect()}
+    assert all(np.allclose(got[i - 1]["y"], u[k] + 1) and np.allclose(got[i - 1]["p"], 2 * u[k]) for k, i in enumerate(ids))
+    raw = bytearray((tmp_path / "a0.f00001").read_bytes())
+    raw[132:136] = b"\0\0\0\0"
+    (tmp_path / "b0.f00001").write_bytes(raw)
+    with pytest.raises(Exception, match="byte-order"):
+        ff.read_field(spark, f"{tmp_path}/b0.f00001")
+    got = ff.parse_header(ff.header(4, (3, 3, 1), 7, 0.5, 9, "XUPTS02", 20, 1, 3) + np.array([6.54321], "<f4").tobytes())
+    assert (got["elements"], got["total"], got["number"], got["files"], got["order"]) == (7, 20, 1, 3, "<")
+
+
+def test_merged_axes_and_guards(spark, tmp_path):
+    from nodeloom.functions import monitor
+    from nodeloom.operators import routing
+    from nodeloom.sources import container
+
+    assert container.merged_axes([2, 3, 4, 5], [6, 20]) == [(0, 2), (2, 4)] and container.merged_axes([2, 3], [4]) is None
+    assert monitor.may_write(spark, str(tmp_path), True) == "overwrite"
+    with pytest.raises(FileExistsError):
+        monitor.may_write(spark, str(tmp_path), False)
+    log = monitor.Logger("test")
+    log.tic()
+    assert log.toc("step") >= 0 and monitor.MemoryMonitor().table_mb(spark.range(1000), "range") > 0
+    assert routing.all_gather(spark.range(10)).count() == 10
+    with pytest.raises(ValueError):
+        routing.all_gather(spark.range(11), 10)
 
 
 def test_solver_and_codecs(spark):
@@ -107,21 +227,11 @@ def test_gp_samples_of_all_elements(spark, few_elements):
         assert np.allclose(r["mean"], cov[:, s] @ np.linalg.solve(cov[np.ix_(s, s)] + noise * np.eye(16), u[e][s]), atol=1e-5)
 
 
-def test_gram_matrix_of_all_elements(spark):
-    a = {r["e"]: np.asarray(r["u"]) for r in catalogue.arrays(spark, SF).collect()}
-    ids = sorted(a)
-    want = np.stack([a[e] for e in ids]) @ np.stack([a[e] for e in ids]).T
-    got = catalogue.queries()["gram_matrix_whole"](spark, SF).toPandas()
-    assert len(got) == len(ids) * (len(ids) + 1) // 2 and (got["a"] <= got["b"]).all() and not got.duplicated(["a", "b"]).any()
-    at = {e: n for n, e in enumerate(ids)}
-    assert np.allclose(got["g"], want[got["a"].map(at), got["b"].map(at)], atol=2e-6)
-
-
 def test_box_join_of_all_boxes(spark, tmp_path):
     rng = np.random.default_rng(8)
     value, size = rng.uniform(0, 500, 200).round(1), rng.integers(1, 51, 1200)
     spark.createDataFrame([(k, float(v)) for k, v in enumerate(value)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(k + 1, int(v)) for k, v in enumerate(size)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     want = sorted((e, b + 1) for e, v in enumerate(value) for b, s in enumerate(size) if s <= v / 10 <= s + 1.5 and (b + 1) % 50 <= e % 50 <= (b + 1) % 50 + 2)
-    got = sorted((r["event_id"], r["p_partkey"]) for r in catalogue.queries()["bbox_range_join_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r["event_id"], r["p_partkey"]) for r in catalogue.queries()["bbox_range_join"](spark, str(tmp_path)).collect())
     assert got == want and any(b > 500 for _, b in want)

@@ -55,11 +55,16 @@ def advection(df: DataFrame, field: str, velocity: tuple[str, str, str], out: st
     return _times(df, out, weights(n) * (2 / h) * (h / 2) ** 3).drop(*terms)
 
 
-def conjugate_gradients(apply, b: DataFrame, key: list[str], inverse_diagonal: DataFrame | None = None, tol: float = 1e-8, most: int = 200, cut: int = 10) -> tuple[DataFrame, int, float]:
+def conjugate_gradients(apply, b: DataFrame, key: list[str], inverse_diagonal: DataFrame | None = None, tol: float = 1e-8, most: int = 200, project=None) -> tuple[DataFrame, int, float]:
     """Solves apply(x) = b on unique nodes. b: key columns and v; apply maps such
-    a table to another; inverse_diagonal likewise. Stops when the root mean
-    square of the residual is below tol. Vectors stay distributed; every step is
+    a table to another; inverse_diagonal likewise. project maps a table to its
+    part that the system can reach (a singular system's right side, and what
+    apply and the solution gain beside it). Stops when the root mean square of
+    the residual is below tol. Vectors stay distributed; every step is
     written to the checkpoint folder, so lost executors recompute one step."""
+    if project is not None:
+        b, inner = project(b), apply
+        apply = lambda v: project(inner(v))
     n = b.count()
     state = b.select(*key, F.lit(0.0).alias("x"), F.col("v").alias("r"))
     state = state.join(inverse_diagonal.select(*key, F.col("v").alias("m")), key) if inverse_diagonal is not None else state.withColumn("m", F.lit(1.0))
@@ -75,4 +80,12 @@ def conjugate_gradients(apply, b: DataFrame, key: list[str], inverse_diagonal: D
         new, rr = state.agg(F.sum(F.col("r") * F.col("r") * F.col("m")), F.sum(F.col("r") * F.col("r"))).first()
         state = state.withColumn("p", F.col("r") * F.col("m") + (new / rz) * F.col("p"))
         rz, step = new, step + 1
-    return state.select(*key, F.col("x").alias("v")), step, (rr / n) ** 0.5
+    x = state.select(*key, F.col("x").alias("v"))
+    return (project(x) if project is not None else x), step, (rr / n) ** 0.5
+
+
+def without_mean(table: DataFrame) -> DataFrame:
+    """v less its mean over all nodes. The table is written before, as it is read twice."""
+    kept = table.checkpoint()
+    mean = kept.agg(F.avg("v")).first()[0] or 0.0
+    return kept.withColumn("v", F.col("v") - F.lit(float(mean)))

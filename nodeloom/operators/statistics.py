@@ -91,10 +91,20 @@ def box_join(points: DataFrame, boxes: DataFrame, axes: list[str], size: dict[st
     return p.join(b, keys).where(inside).drop(*keys)
 
 
+def number_elements(kept: DataFrame, per_block: int = 100_000) -> DataFrame:
+    """e and new_e: elements numbered from 0 in their order. Elements are counted
+    by ranges of their numbers first, each range then numbers its own, so that no
+    task holds all."""
+    dealt = kept.select("e", F.floor(F.col("e") / per_block).alias("_block"))
+    counts = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("_block", F.coalesce(F.sum("n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(W.partitionBy("_block").orderBy("e")) - 1
+    return dealt.join(base, "_block").select("e", (F.col("base") + inside).cast("long").alias("new_e"))
+
+
 def keep_elements(long: DataFrame, condition: Column) -> DataFrame:
     """Elements of which any node meets the condition, renumbered from 0 in their order."""
-    kept = long.groupBy("e").agg(F.bool_or(condition).alias("any")).where("any").select("e")
-    return kept.withColumn("new_e", F.row_number().over(W.orderBy("e")).cast("long") - 1)
+    return number_elements(long.groupBy("e").agg(F.bool_or(condition).alias("any")).where("any").select("e"))
 
 
 def rotate_vector(x: Column, y: Column, v: list[Column]) -> list[Column]:

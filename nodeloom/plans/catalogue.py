@@ -21,7 +21,7 @@ from nodeloom.operators import statistics as st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 N = 4
-MODULES = ("curved", "meshes", "decomposition", "storage")
+MODULES = ("curved", "meshes", "decomposition", "storage", "drivers")
 
 
 def query(sql: str | None = None):

@@ -30,3 +30,13 @@ def stream_pod(stream: DataFrame, state, row: str, column: str, log: str) -> Non
             state.update(batch.select(row, column), column)
 
     stream.writeStream.foreachBatch(feed).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+def fold(stream: DataFrame, out: str, log: str) -> None:
+    """Runs an aggregating stream over all that is there; each micro-batch writes
+    the groups that it changed, under its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number:09d}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()

@@ -235,3 +235,61 @@ def test_box_join_of_all_boxes(spark, tmp_path):
     want = sorted((e, b + 1) for e, v in enumerate(value) for b, s in enumerate(size) if s <= v / 10 <= s + 1.5 and (b + 1) % 50 <= e % 50 <= (b + 1) % 50 + 2)
     got = sorted((r["event_id"], r["p_partkey"]) for r in catalogue.queries()["bbox_range_join"](spark, str(tmp_path)).collect())
     assert got == want and any(b > 500 for _, b in want)
+
+
+def test_singular_system_without_mean(spark):
+    """The Laplacian of a path of six nodes against its pseudo-inverse; the solver keeps out of the constants."""
+    from pyspark.sql import functions as F
+
+    from nodeloom.operators import solver
+
+    catalogue._folder(spark)
+    a = np.diag([1.0, 2, 2, 2, 2, 1]) - np.eye(6, k=1) - np.eye(6, k=-1)
+    entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(6) for j in range(6) if a[i, j]], "i long, k long, m double")
+    b = np.arange(6.0) ** 2
+    rhs = spark.createDataFrame([(k, float(v)) for k, v in enumerate(b)], "k long, v double")
+
+    def apply(v):
+        return entries.join(v, "k").groupBy("i").agg(F.sum(F.col("m") * F.col("v")).alias("v")).withColumnRenamed("i", "k")
+
+    x, steps, rms = solver.conjugate_gradients(apply, rhs, ["k"], tol=1e-10, most=8, project=solver.without_mean)
+    got = np.array([r["v"] for r in x.orderBy("k").collect()])
+    assert steps <= 6 and rms < 1e-10 and np.allclose(got, np.linalg.pinv(a) @ (b - b.mean()), atol=1e-8)
+
+
+def test_stream_of_snapshots(spark):
+    q = catalogue.queries()
+    want = [r["sigma"] for r in q["pod_streaming"](spark, SF).orderBy("k").collect()]
+    assert np.allclose([r["sigma"] for r in q["stream_pod"](spark, SF).orderBy("k").collect()], want, rtol=1e-9)
+
+
+def test_oriented_boxes_hold_turned_elements(spark):
+    """A long element along a diagonal: its oriented box is far smaller than the straight one, and holds it."""
+    from nodeloom.operators import search
+
+    x = sp.gll(4)[0]
+    t, s, r = (v.ravel() for v in np.meshgrid(x, x, x, indexing="ij"))
+    mesh = spark.createDataFrame([(0, (5 * r - 0.1 * s).tolist(), (5 * r + 0.1 * s).tolist(), (0.1 * t).tolist())], "e long, xs array<double>, ys array<double>, zs array<double>")
+    b = np.array(search.oriented_boxes(mesh, 4).first()["obb"])
+    assert np.allclose(np.sort(b[12:]), np.sort([5 * 2**0.5 * 1.05, 0.1 * 2**0.5 * 1.05, 0.1 * 1.05]))
+    points = spark.createDataFrame([(1, 2.0, 2.0, 0.0), (2, 2.0, -2.0, 0.0)], "probe_id long, x double, y double, z double")
+    found = search.ball_candidates(points, mesh)
+    assert found.count() == 2 and [r["probe_id"] for r in search.refine_oriented(found, search.oriented_boxes(mesh, 4)).collect()] == [1]
+
+
+def test_command_lines(spark, tmp_path):
+    from nodeloom import cli
+    from nodeloom.sources import fieldfile as ff
+
+    u = np.random.default_rng(2).standard_normal((4, 8))
+    x = np.array([[k + (p % 2) for p in range(8)] for k in range(4)], float)
+    zero = np.array([[(p // 2) % 2 for p in range(8)]] * 4, float), np.array([[p // 4 for p in range(8)]] * 4, float)
+    for n, time in ((0, 0.5), (1, 1.5), (2, 3.0)):
+        ff.write(f"{tmp_path}/mean0.f{n:05d}", {"x": x, "y": zero[0], "z": zero[1], "p": u + n}, (2, 2, 2), time=time)
+    (tmp_path / "notes.txt").write_text("no field file")
+    rows = [(r["idx"], r["time_prev"], r["dt"]) for r in cli.index_folder(spark, str(tmp_path), 0.25, 0.0).orderBy("number").collect()]
+    assert rows == [(0, 0.0, 0.5), (1, 0.5, 1.0), (2, 1.5, 1.5)]
+    assert cli.visnek(str(tmp_path), "mean").splitlines() == ["filetemplate: mean%01d.f%05d", "firsttimestep: 0", "numtimesteps: 3"]
+    assert cli.subdomain(spark, f"{tmp_path}/mean0.f00001", f"{tmp_path}/cut", cli.parse_bounds("1,3,,,,"), ["p"]) == 2
+    got = {r["e"]: r["p"] for r in ff.read_field(spark, f"{tmp_path}/cut", "p").collect()}
+    assert np.allclose([got[0], got[1]], u[1:3] + 1)

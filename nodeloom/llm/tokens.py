@@ -31,6 +31,9 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Texts of ASCII and Latin-1 letters alone; and how the tokenizer cuts them once they are in lower case.
+SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+CUT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 #: Words of ASCII signs (but the apostrophe, which opens contractions) and Latin-1 letters, cut as the tokenizer cuts them.
 PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]{1,64}")
 PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -44,7 +47,8 @@ class WordIds:
     words are lowered and cut further, into runs of letters, digits and runs of
     signs. The pieces that are new in a text are tokenized in one call; the last
     id of each is one that ends a word. All other words are tokenized one by
-    one. Words and pieces are kept in two generations of at most most each: when
+    one. A text of ASCII and Latin-1 letters, without what may open a special
+    token, is cut into pieces as a whole. Words and pieces are kept in two generations of at most most each: when
     the young one is full it becomes the old one, from which what is met again
     comes back, so that rare words leave and common ones stay.
     """
@@ -70,9 +74,14 @@ class WordIds:
                 cut[word] = PIECE.findall(text.lower())
             else:
                 self.words[word] = self._encode(text).tobytes()
+        self._learn_pieces(set(chain.from_iterable(cut.values())))
+        for word, parts in cut.items():
+            self.words[word] = b"".join(map(self.pieces.__getitem__, parts))
+
+    def _learn_pieces(self, met: set[str]) -> None:
         if len(self.pieces) >= self.most:
             self.pieces, self.old_pieces = {}, self.pieces
-        new = set(chain.from_iterable(cut.values())).difference(self.pieces)
+        new = met.difference(self.pieces)
         again = {x for x in new if x in self.old_pieces}
         self.pieces.update(zip(again, map(self.old_pieces.__getitem__, again)))
         new = list(new - again)
@@ -85,8 +94,6 @@ class WordIds:
             raw, begin = ids.tobytes(), 0
             for piece, end in zip(some, (4 * ends).tolist(), strict=True):
                 self.pieces[piece], begin = raw[begin:end], end
-        for word, parts in cut.items():
-            self.words[word] = b"".join(map(self.pieces.__getitem__, parts))
 
     @classmethod
     def shared(cls, path: str, plain: bool = False) -> "WordIds":
@@ -94,6 +101,15 @@ class WordIds:
         return _kept("words", (path, plain), lambda: cls(path, plain))
 
     def of(self, text: str) -> bytes:
+        if "<|" not in text and SIMPLE.fullmatch(text):
+            cut = CUT.findall(text.lower())
+            met = set(cut)
+            self._learn_pieces(met)
+            ids = b"".join(map(self.pieces.__getitem__, cut))
+            for piece in met:
+                if len(piece) > 128:
+                    del self.pieces[piece]
+            return ids
         words = text.encode("utf-8", "replace").split()
         if len(self.words) >= self.most:
             self.words, self.old_words = {}, self.words

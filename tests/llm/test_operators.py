@@ -200,7 +200,7 @@ def test_words_are_tokenized_like_whole_texts(plain):
 
     t, words = Tokenizer.from_file(tokens.default_path()), tokens.WordIds(tokens.default_path(), plain, most=40)
     t.encode_special_tokens = plain
-    texts = ["", " \n\t ", "it's don't 'S 've x's can't'll''s", "a<|endoftext|>b <|startoftext|> <| x |>", "ÀÉß. Straße Æ×÷ ªº µ", "ﬁ Σας ΟΔΟΣ İI ıi", "e\u0301 \u0301a", "12345 a1b2 ½ ²", "日本語 text中 😀😀a😀", "x\xa0y\x85z\x1cq\x00r\x7f", "_a_b__c ...!!!?? a.\nAs ###", "é" * 300 + " " + "ab" * 500]
+    texts = ["", " \n\t ", "it's don't 'S 've x's can't'll''s", "a<|endoftext|>b <|startoftext|> <| x |>", "ÀÉß. Straße Æ×÷ ªº µ", "ﬁ Σας ΟΔΟΣ İI ıi", "e\u0301 \u0301a", "12345 a1b2 ½ ²", "(\"'s), ''ll a'b 'Tis 'RE\x0b\x0c'", "!" * 200 + " z" * 130, "日本語 text中 😀😀a😀", "x\xa0y\x85z\x1cq\x00r\x7f", "_a_b__c ...!!!?? a.\nAs ###", "é" * 300 + " " + "ab" * 500]
     for text in [*texts, " ".join(texts), *texts]:
         assert np.frombuffer(words.of(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 

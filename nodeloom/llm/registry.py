@@ -86,10 +86,8 @@ from t window w as (partition by norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     ops = (op1_embedding_near_dedup, op2_sharding, op3_best_fit_packing, op4_chat_formatting, op5_language_id, op6_ngram_jaccard_join, op7_token_counts, op8_pii, op9_exact_dedup, op10_mixing)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,14 +49,14 @@ def oriented_candidates(spark, d):
 
 
 # --- streams ------------------------------------------------------------------
-@query("select event_type, time_bucket(interval '6 hours', ts) as starts, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+@query("select event_type, epoch(time_bucket(interval '6 hours', ts))::bigint as starts, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def stream_windows(spark, d):
     """Tumbling windows over a stream of steps; nothing is late enough to be left out."""
     src, out = _home(spark, "steps"), _home(spark, "windows")
     events = table(spark, d, "events")
     events.select("event_type", "ts", "value").repartition(3).write.parquet(src)
     stream = pipelines.windowed(pipelines.steps(spark, src, "event_type string, ts timestamp, value double"), "ts", "3650 days", "6 hours", "event_type", "value")
-    pipelines.fold(stream.select("event_type", F.col("window.start").alias("starts"), "n", "total"), out, f"{out}-log")
+    pipelines.fold(stream.select("event_type", F.unix_timestamp("window.start").alias("starts"), "n", "total"), out, f"{out}-log")
     last = spark.read.option("recursiveFileLookup", "true").parquet(out).groupBy("event_type", "starts").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
     return last.select("event_type", "starts", "s.n", F.round("s.total", 2).alias("total"))
 
@@ -74,7 +74,7 @@ def stream_pod(spark, d):
 
 
 # --- JSON, aggregates, sorting --------------------------------------------------
-@query("select p_partkey, json_object('size', p_size, 'brand', p_brand) as settings, p_size * 2 as twice from part")
+@query("select p_partkey, json_object('size', p_size, 'brand', p_brand)::varchar as settings, p_size * 2 as twice from part")
 def settings_json(spark, d):
     """Settings as JSON texts, written and read back."""
     p = table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))).alias("settings"))

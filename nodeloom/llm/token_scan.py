@@ -56,18 +56,38 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
         return settle(docs.select("doc_id", "text").mapInPandas(lean(fill, keeps=True), BLOCKS), "flat")
 
 
-def raw_blocks(spark, paths: str, block_tokens: int = 1 << 18, width: int = 4) -> DataFrame:
-    """Blocks of raw flat files (unsigned little-endian ids of width bytes) under
-    paths; for files that fit a task each, as Spark's binaryFile source reads them whole."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def raw_blocks(spark, paths: list[str], block_tokens: int = 1 << 18, width: int = 4) -> DataFrame:
+    """Blocks of raw flat files (unsigned little-endian ids of width bytes), read
+    by byte ranges: a file of any size is dealt over many tasks. paths may be
+    local or URIs of any store that pyarrow knows; the driver only asks for sizes.
+    Bytes behind the last whole id are an error."""
+    size = width * block_tokens
+
+    def opened(path: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+    rows = []
+    for path in paths:
+        store, local = opened(path)
+        length = store.get_file_info(local).size
+        if length is None or length % width:
+            raise ValueError(f"{path}: not a file of whole ids")
+        rows.append((path, length))
+    files = spark.createDataFrame(rows, "file string, length long")
+    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / size) - 1, F.lit(0)))).alias("block")).where("length > 0")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                for k, at in enumerate(range(0, len(content), width * block_tokens)):
-                    ids = np.frombuffer(content[at : at + width * block_tokens], dtype=f"<u{width}").astype("<u4").tobytes()
-                    yield pd.DataFrame([(name, k, ids)], columns=["file", "block", "ids"])
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(split, "file string, block long, ids binary")
+            for name, block in zip(batch["file"], batch["block"], strict=True):
+                store, local = opened(name)
+                with store.open_input_file(local) as f:
+                    f.seek(block * size)
+                    ids = np.frombuffer(f.read(size), dtype=f"<u{width}").astype("<u4").tobytes()
+                yield pd.DataFrame([(name, block, ids)], columns=["file", "block", "ids"])
+
+    return ranges.repartition("file", "block").select("file", "block").mapInPandas(lean(read), "file string, block long, ids binary")
 
 
 def scan(blocks: DataFrame, eod: int = 49407) -> DataFrame:

@@ -231,6 +231,26 @@ def test_token_scan(spark, docs, odd, none):
     assert rows == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 4, True), (3, 8, 1, False)]
 
 
+def test_token_scan_of_raw_files(spark, tmp_path):
+    """Flat files read by byte ranges: documents over several blocks, an empty file, half an id."""
+    rnd, want = np.random.default_rng(3), {}
+    for name, n in (("a.bin", 5000), ("b.bin", 1), ("c.bin", 0)):
+        ids = rnd.integers(0, 60, n).astype("<u2")
+        (tmp_path / name).write_bytes(ids.tobytes())
+        ends = np.flatnonzero(ids == 7)
+        starts = np.r_[0, ends + 1]
+        rows = [(k, int(starts[k]), int(e - starts[k]), True) for k, e in enumerate(ends)]
+        want[name] = rows + ([(len(ends), int(starts[-1]), int(n - starts[-1]), False)] if starts[-1] < n else [])
+    paths = [f"{tmp_path}/{n}" for n in want]
+    got = {n: [] for n in want}
+    for r in token_scan.scan(token_scan.raw_blocks(spark, paths, 64, 2), 7).collect():
+        got[r["file"].rsplit("/", 1)[-1]].append((r["ordinal"], r["start"], r["n_tokens"], r["closed"]))
+    assert {n: sorted(v) for n, v in got.items()} == want
+    (tmp_path / "d.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError):
+        token_scan.raw_blocks(spark, [f"{tmp_path}/d.bin"], 64, 2)
+
+
 def test_language_id(docs, odd, none):
     got = langid.identify(docs).toPandas()
     held = got[got.held_out]

@@ -4,13 +4,26 @@ They are small (n x n), so operators write them as literals into expressions."""
 
 from __future__ import annotations
 
-from functools import cache
+from functools import wraps
 
 import numpy as np
 from numpy.polynomial import legendre as leg
 
 
-@cache
+def _once(f):
+    """Keeps f's results. A plain function, unlike those of functools.cache, goes to workers by value."""
+    held: dict = {}
+
+    @wraps(f)
+    def run(n: int):
+        if n not in held:
+            held[n] = f(n)
+        return held[n]
+
+    return run
+
+
+@_once
 def gll(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes (ascending) and weights 2 / (n (n-1) P_{n-1}(x)^2)."""
     if n < 2:
@@ -27,7 +40,7 @@ def glc(n: int) -> np.ndarray:
     return -np.cos(np.pi * np.arange(n) / (n - 1))
 
 
-@cache
+@_once
 def derivative(n: int) -> np.ndarray:
     """D[i, l]: derivative at node i of the Lagrange polynomial of node l."""
     x, _ = gll(n)
@@ -39,7 +52,7 @@ def derivative(n: int) -> np.ndarray:
     return d
 
 
-@cache
+@_once
 def modal(n: int) -> tuple[np.ndarray, np.ndarray]:
     """v (nodes x modes, normalised Legendre; the last mode uses 2/(n-1)) and its inverse v^T W."""
     x, w = gll(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import json
 
 import numpy as np
 import pandas as pd
@@ -74,8 +75,6 @@ def gp_sample(values: np.ndarray, n: int, samples: int, noise: float = 1e-10) ->
 
 def write_samples(samples, folder: str, settings: dict) -> None:
     """Compressed samples (a table of payloads) with the settings that read them back."""
-    import json
-
     samples.write.mode("overwrite").parquet(f"{folder}/samples")
     spark = samples.sparkSession
     spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string").coalesce(1).write.mode("overwrite").json(f"{folder}/settings")
@@ -83,8 +82,6 @@ def write_samples(samples, folder: str, settings: dict) -> None:
 
 def read_samples(spark, folder: str) -> tuple:
     """(samples, settings)."""
-    import json
-
     kept = spark.read.schema("settings string").json(f"{folder}/settings").first()["settings"]
     return spark.read.parquet(f"{folder}/samples"), json.loads(kept)
 

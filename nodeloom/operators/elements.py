@@ -65,11 +65,17 @@ def tensor(df: DataFrame, column: str, matrix: np.ndarray, out: str) -> DataFram
 
 
 def gradient_rst(df: DataFrame, column: str, n: int, transposed: bool = False) -> DataFrame:
-    """Adds column_r, column_s, column_t: derivatives in reference coordinates."""
+    """Adds column_r, column_s, column_t: derivatives in reference coordinates, all of an Arrow batch together."""
     d = derivative(n).T if transposed else derivative(n)
-    for axis in AXES:
-        df = apply_axis(df, column, np.ascontiguousarray(d), axis, f"{column}_{axis}")
-    return df
+
+    @F.pandas_udf("r array<double>, s array<double>, t array<double>")
+    def kernel(values: pd.Series) -> pd.DataFrame:
+        u = np.stack([np.asarray(v, float) for v in values]).reshape(-1, n, n, n) if len(values) else np.zeros((0, n, n, n))
+        out = {a: np.moveaxis(np.tensordot(u, d, axes=([1 + k], [1])), -1, 1 + k) for a, k in AXES.items()}
+        return pd.DataFrame({a: list(v.reshape(len(values), -1)) for a, v in out.items()})
+
+    made = df.withColumn("_g", kernel(column))
+    return made.select(*df.columns, *[F.col(f"_g.{a}").alias(f"{column}_{a}") for a in AXES])
 
 
 def nodes(df: DataFrame, element: str, columns: list[str], n: int, names: list[str] | None = None) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nodeloom.functions.spectral import derivative, gll, lagrange_rows
+
 
 def file_index(files: DataFrame, series: str, order: list[str], time: str, start: Column | None = None, statistics_start: Column | None = None) -> DataFrame:
     """Adds idx, time_prev and dt per series. The first interval begins at start
@@ -151,10 +154,6 @@ def rotate_six(q: list[list[Column]], t: dict[str, Column]) -> dict[str, Column]
 def _newton(grid, p, x, d, tolerance: float, iterations: int):
     """Reference coordinates of points p (count, 3) in elements grid (count, 3, n, n, n),
     all at once: those that have converged, or whose Jacobian is singular, step no more."""
-    import numpy as np
-
-    from nodeloom.functions.spectral import lagrange_rows
-
     q = np.zeros_like(p)
     left = np.arange(len(p))
     for _ in range(iterations):
@@ -188,10 +187,6 @@ def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float, tolerance: f
     (err_code 1), then the smallest remaining error, then the smallest element
     wins. A probe without candidates has err_code 0, one without an inside
     candidate -10."""
-    import numpy as np
-
-    from nodeloom.functions.spectral import derivative, gll
-
     pick = lambda f, c: f(c)
     boxes = mesh.select("e", *[pick(f, f"{c}s").alias(f"{c}_{s}") for c in "xyz" for f, s in ((F.array_min, "lo"), (F.array_max, "hi"))])
     pairs = box_join(probes.select("probe_id", "x", "y", "z"), boxes, ["x", "y", "z"], {c: size for c in "xyz"}).select("probe_id", "x", "y", "z", "e")
@@ -215,10 +210,6 @@ def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float, tolerance: f
 def evaluate(located: DataFrame, mesh: DataFrame | None, field: str, n: int) -> DataFrame:
     """Adds value: the field (array per element) at each located probe; 0 where it
     was not found. Without a mesh the probes have the field's array themselves."""
-    import numpy as np
-
-    from nodeloom.functions.spectral import gll, lagrange_rows
-
     x = gll(n)[0]
 
     @F.pandas_udf("double")

@@ -293,3 +293,25 @@ def test_command_lines(spark, tmp_path):
     assert cli.subdomain(spark, f"{tmp_path}/mean0.f00001", f"{tmp_path}/cut", cli.parse_bounds("1,3,,,,"), ["p"]) == 2
     got = {r["e"]: r["p"] for r in ff.read_field(spark, f"{tmp_path}/cut", "p").collect()}
     assert np.allclose([got[0], got[1]], u[1:3] + 1)
+
+
+def test_workers_need_no_package(tmp_path):
+    """The driver runs in another folder and workers can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(catalogue.__file__)))!r} + "/..")
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+from nodeloom.plans import catalogue
+q = catalogue.queries()
+for name in ("strain_tensor", "modal_filter", "metric_terms", "stiffness_curved", "scalar_derivatives", "locate_points", "probe_interpolation", "fft_pod", "gp_sampling", "stored_bitplanes", "field_files", "oriented_candidates"):
+    assert q[name](spark, {SF!r}).count() > 0, name
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "all ran" in out.stdout, out.stderr[-2000:]

@@ -62,7 +62,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 800, size: str = "16m"):
+def small_batches(spark: SparkSession, rows: int = 800, size: str = "6m"):
     """Rows go to Python so many, or so many bytes, at a time; what is run inside is bounded."""
     limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
     before = {name: spark.conf.get(name) for name in limits}

@@ -1,8 +1,8 @@
-"""Command lines: python -m nodeloom.cli index | subdomain | visnek.
+"""Command lines: python -m nodeloom.cli index | subdomain | sequence.
 
 index: the files of a folder, per series in order, with times and intervals, as
 JSON lines. subdomain: the elements of a field whose box centres lie strictly
-inside bounds, renumbered, as a new field. visnek: the text file that viewers
+inside bounds, renumbered, as a new field. sequence: the text file that viewers
 want beside a sequence of field files."""
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def subdomain(spark: SparkSession, path: str, out: str, bounds: list[tuple[float
     return numbers.count()
 
 
-def visnek(folder: str, series: str) -> str:
+def sequence(folder: str, series: str) -> str:
     """The viewer's text for a series in a folder."""
     numbers = sorted(int(m[2]) for p in fieldfile.files_of(folder) if (m := NAME.match(p.rsplit("/", 1)[-1])) and m[1] == series)
     if not numbers:
@@ -81,12 +81,12 @@ def main(args: list[str] | None = None) -> None:
     s.add_argument("out")
     s.add_argument("--bounds", required=True)
     s.add_argument("--fields", default="")
-    v = sub.add_parser("visnek")
+    v = sub.add_parser("sequence")
     v.add_argument("folder")
     v.add_argument("series")
     a = p.parse_args(args)
-    if a.command == "visnek":
-        print(visnek(a.folder, a.series), end="")
+    if a.command == "sequence":
+        print(sequence(a.folder, a.series), end="")
         return
     spark = SparkSession.builder.getOrCreate()
     if a.command == "index":

@@ -289,7 +289,7 @@ def test_command_lines(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("no field file")
     rows = [(r["idx"], r["time_prev"], r["dt"]) for r in cli.index_folder(spark, str(tmp_path), 0.25, 0.0).orderBy("number").collect()]
     assert rows == [(0, 0.0, 0.5), (1, 0.5, 1.0), (2, 1.5, 1.5)]
-    assert cli.visnek(str(tmp_path), "mean").splitlines() == ["filetemplate: mean%01d.f%05d", "firsttimestep: 0", "numtimesteps: 3"]
+    assert cli.sequence(str(tmp_path), "mean").splitlines() == ["filetemplate: mean%01d.f%05d", "firsttimestep: 0", "numtimesteps: 3"]
     assert cli.subdomain(spark, f"{tmp_path}/mean0.f00001", f"{tmp_path}/cut", cli.parse_bounds("1,3,,,,"), ["p"]) == 2
     got = {r["e"]: r["p"] for r in ff.read_field(spark, f"{tmp_path}/cut", "p").collect()}
     assert np.allclose([got[0], got[1]], u[1:3] + 1)

@@ -23,7 +23,7 @@ from nodeloom.llm.tokens import WordIds, default_path
 BLOCKS = "file string, block long, ids binary, doc_ids array<bigint>, first_doc long"
 
 
-def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block_tokens: int = 1 << 18) -> DataFrame:
+def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block_tokens: int = 1 << 16) -> DataFrame:
     """Tokenizes documents into flat files of blocks, in the shared folder: rows
     file, block, ids (little-endian unsigned 32-bit; every block but a file's
     last is full). Beside them, not in them, goes a manifest: doc_ids, the
@@ -56,7 +56,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
         return settle(docs.select("doc_id", "text").mapInPandas(lean(fill, keeps=True), BLOCKS), "flat")
 
 
-def raw_blocks(spark, paths: list[str], block_tokens: int = 1 << 18, width: int = 4) -> DataFrame:
+def raw_blocks(spark, paths: list[str], block_tokens: int = 1 << 16, width: int = 4) -> DataFrame:
     """Blocks of raw flat files (unsigned little-endian ids of width bytes), read
     by byte ranges: a file of any size is dealt over many tasks. paths may be
     local or URIs of any store that pyarrow knows; the driver only asks for sizes.
@@ -109,7 +109,7 @@ def scan(blocks: DataFrame, eod: int = 49407) -> DataFrame:
                 out.append((name, block, len(ids), len(ends), ends.astype(np.int64)))
             yield pd.DataFrame(out, columns=["file", "block", "n", "n_ends", "ends"])
 
-    with small_batches(blocks.sparkSession, 16):
+    with small_batches(blocks.sparkSession, 64):
         found = settle(blocks.select("file", "block", "ids").mapInPandas(lean(search), "file string, block long, n long, n_ends long, ends array<bigint>"), "ends")
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("file")
@@ -127,7 +127,7 @@ def scan(blocks: DataFrame, eod: int = 49407) -> DataFrame:
     return docs.unionByName(tail)
 
 
-def token_counts(docs: DataFrame, path: str | None = None, eod: int = 49407, block_tokens: int = 1 << 18) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, eod: int = 49407, block_tokens: int = 1 << 16) -> DataFrame:
     """One row per row of docs: doc_id, file, ordinal, start, n_tokens. Writes
     the flat files, scans them, and names the counts by the manifest. A null
     text counts as empty. Rows that repeat a doc_id are documents of their own.

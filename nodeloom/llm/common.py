@@ -4,6 +4,7 @@ that no single task has to hold, and connected components."""
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -18,10 +19,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that
+    is unset, a run within one process gets a temporary one; on a cluster it is
+    an error, as each machine would have a folder of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="nodeloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

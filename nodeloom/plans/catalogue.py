@@ -554,11 +554,15 @@ def advection_apply(spark, d):
 
 
 def _folder(spark) -> str:
-    """The shared folder, set where it is unset."""
+    """The shared folder; a run within one process gets a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        import re
         import tempfile
 
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+
         base = tempfile.mkdtemp(prefix="nodeloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -160,3 +160,31 @@ def augmented(u: tuple[str, str, str], p: str, grad) -> dict[str, str]:
     out |= {f"PD{c}D{x.upper()}": f"{p}*{grad(at[c], x)}" for c in "UVW" for x in "xyz"}
     pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
     return out | {f"E{i + 1}{j + 1}": "(" + " + ".join(f"{grad(u[i], x)}*{grad(u[j], x)}" for x in "xyz") + ")" for i, j in pairs}
+
+
+def derived() -> dict[str, tuple[str, int, str]]:
+    """The 99 derivatives that the budgets need: name -> (statistic, order, axis),
+    as d() and d2() name them."""
+    pairs, triples = [low(i, j) for i, j in PAIRS], [low(*t) for t in combos(range(3), 3)]
+    out: dict[str, tuple[str, int, str]] = {}
+    for names, orders in ((list(C), (1, 2)), (["P"], (1, 2)), ([f"P{c}" for c in C], (1,)), (pairs, (1, 2)), (triples, (1,))):
+        for name in names:
+            for order in orders:
+                out |= {(d if order == 1 else d2)(name, k): (name, order, X[k]) for k in range(3)}
+    return out
+
+
+def derived_scalar() -> dict[str, list[tuple[str, int, str]]]:
+    """The 34 derivatives of the scalar's statistics: name -> terms that add up.
+    Flux and gradient statistics are named by their factors: uS, uSS, uuS, PS,
+    UdSdx, SdUdx."""
+    out: dict[str, list[tuple[str, int, str]]] = {}
+    for name in ("S", "SS"):
+        for order in (1, 2):
+            out |= {(d if order == 1 else d2)(name, k): [(name, order, X[k])] for k in range(3)}
+    out |= {d(f"{low(i)}S", k): [(f"{low(i)}S", 1, X[k])] for i in range(3) for k in range(3)}
+    out["div_uSS"] = [(f"{low(j)}SS", 1, X[j]) for j in range(3)]
+    out |= {f"div_{low(i)}uS": [(f"{low(i, j)}S", 1, X[j]) for j in range(3)] for i in range(3)}
+    out |= {d("PS", k): [("PS", 1, X[k])] for k in range(3)}
+    out |= {f"div_{C[i]}dS": [(f"{C[i]}dSd{X[j]}", 1, X[j]) for j in range(3)] for i in range(3)}
+    return out | {f"div_Sd{C[i]}": [(f"Sd{C[i]}d{X[j]}", 1, X[j]) for j in range(3)] for i in range(3)}

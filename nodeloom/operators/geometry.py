@@ -211,3 +211,27 @@ def space_derivatives(df: DataFrame, fields: list[str], n: int, coords: tuple[st
         return pd.DataFrame(out)
 
     return df.withColumn("_d", derive(*coords, *fields)).select(*df.columns, "_d.*")
+
+
+def derived_statistics(df: DataFrame, wanted: dict[str, list[tuple[str, int, str]]], n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
+    """e and an array per wanted column: sums of first or second derivatives in
+    space of df's statistics (arrays per element): name -> (statistic, order, axis)."""
+    fields = list(dict.fromkeys(name for terms in wanted.values() for name, _, _ in terms))
+
+    @F.pandas_udf(", ".join(f"{c} array<double>" for c in wanted))
+    def derive(*parts: pd.Series) -> pd.DataFrame:
+        if not len(parts[0]):
+            return pd.DataFrame({c: [] for c in wanted})
+        inverse, _, _ = _terms(np.stack([_stack(c, n) for c in parts[:3]], axis=1), n)
+        space = lambda u: np.einsum("eackji,eakji->eckji", inverse, _grad(u, n))
+        first = {f: space(_stack(part, n)) for f, part in zip(fields, parts[3:], strict=True)}
+        out = {}
+        for c, terms in wanted.items():
+            total = 0.0
+            for f, order, axis in terms:
+                k = "xyz".index(axis)
+                total = total + (first[f][:, k] if order == 1 else space(first[f][:, k])[:, k])
+            out[c] = list(total.reshape(len(parts[0]), -1))
+        return pd.DataFrame(out)
+
+    return df.select("e", derive(*coords, *fields).alias("_d")).select("e", "_d.*")

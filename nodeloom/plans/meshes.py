@@ -118,6 +118,28 @@ def augmented_statistics(spark, d):
     return n.groupBy("e").agg(*[F.round(F.sum(F.col("b") * F.expr(f)) / F.sum("b"), 4).alias(f"{k.lower()}_") for k, f in cols.items()])
 
 
+def _sql_derived(wanted: dict, factor: dict[str, int]) -> str:
+    term = lambda f, order, axis: f"{factor[f]}*{f'u_{axis}' if order == 1 else f'({" + ".join(f"s_{axis}{a}.v*{a}{axis}" for a in "rst")})'}"
+    shown = ", ".join(f"round(avg({' + '.join(term(*t) for t in terms)}), 3) as {name}" for name, terms in wanted.items())
+    return f"{_sql_metric({'u': 'u'})}, first1 as (select *, {_FIRST} from m), {_SECOND_DERS} select e, {shown} from first1 {_SECOND_JOIN} group by e"
+
+
+_DERIVED = {name: [term] for name, term in bg.derived().items()}
+for _name, _wanted in (("derived_statistics", _DERIVED), ("derived_scalar_statistics", bg.derived_scalar())):
+    _factor = {f: k % 9 + 1 for k, f in enumerate(dict.fromkeys(f for terms in _wanted.values() for f, _, _ in terms))}
+
+    def _derived(spark, d, wanted=_wanted, factor=_factor):
+        """Derivative columns of a solver's statistics (multiples of a field here), averaged over each element's nodes."""
+        a = brick_arrays(spark, d)
+        a = a.select("e", "xs", "ys", "zs", *[F.expr(f"transform(u, v -> {k} * v)").alias(f) for f, k in factor.items()])
+        out = geo.derived_statistics(a, wanted, N)
+        mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+        return out.select("e", *[F.round(mean(c), 3).alias(c) for c in wanted])
+
+    _derived.__name__ = _name
+    query(_sql_derived(_wanted, _factor))(_derived)
+
+
 # --- averages with start times --------------------------------------------------
 _LONG = 200_000.0
 _STARTED = "idx as (select user_id, event_id, value, t, row_number() over w - 1 as idx, t - coalesce(lag(t) over w, start) as dt from (select *, epoch_us(ts)/1000000.0::double as t, (select min(epoch_us(ts))/1000000.0::double from events) as start from events) window w as (partition by user_id order by t, event_id))"

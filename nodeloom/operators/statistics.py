@@ -105,6 +105,24 @@ def number_elements(kept: DataFrame, per_block: int = 100_000) -> DataFrame:
     return dealt.join(base, "_block").select("e", (F.col("base") + inside).cast("long").alias("new_e"))
 
 
+def neighbours(rows: DataFrame, order: list[str], value: str, blocks: int = 64) -> DataFrame:
+    """Adds before and after: value in the row before and behind in the order over
+    all rows. Rows are dealt into ranges of the first order column by its
+    quantiles; only the ends of the ranges, a row each, are put in order together."""
+    bounds = sorted(set(rows.approxQuantile(order[0], [k / blocks for k in range(1, blocks)], 0.25 / blocks)))
+    block = F.lit(0)
+    for b in bounds:
+        block = block + F.when(F.col(order[0]) >= b, 1).otherwise(0)
+    dealt = rows.withColumn("_block", block)
+    place = F.struct(*order)
+    ends = dealt.groupBy("_block").agg(F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last"))
+    w, own = W.orderBy("_block"), W.partitionBy("_block").orderBy(*order)
+    ends = ends.select("_block", F.lag("_last").over(w).alias("_before"), F.lead("_first").over(w).alias("_after"))
+    met = dealt.join(F.broadcast(ends), "_block")  # as many rows as blocks
+    out = met.withColumn("before", F.coalesce(F.lag(value).over(own), "_before")).withColumn("after", F.coalesce(F.lead(value).over(own), "_after"))
+    return out.drop("_block", "_before", "_after")
+
+
 def keep_elements(long: DataFrame, condition: Column) -> DataFrame:
     """Elements of which any node meets the condition, renumbered from 0 in their order."""
     return number_elements(long.groupBy("e").agg(F.bool_or(condition).alias("any")).where("any").select("e"))

@@ -361,11 +361,9 @@ def point_cloud(spark, d):
 
 @query("with o as (select p_partkey as i, p_retailprice as x from part), m as (select i, x, lag(x) over w as a, lead(x) over w as b from o window w as (order by x, i)) select i, round((coalesce(b, x) - coalesce(a, x))/2, 6) as width from m")
 def cell_widths(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("x", "i")
     o = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("x"))
-    return o.select("i", F.round((F.coalesce(F.lead("x").over(w), "x") - F.coalesce(F.lag("x").over(w), "x")) / 2, 6).alias("width"))
+    n = st.neighbours(o, ["x", "i"], "x")
+    return n.select("i", F.round((F.coalesce("after", "x") - F.coalesce("before", "x")) / 2, 6).alias("width"))
 
 
 def _probes(spark, d):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.llm import exact_dedup, jaccard, langid, mixing, packing
-from nodeloom.llm.common import few, settle, small_batches
+from nodeloom.llm.common import few, release, settle, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BYTES = 8.0  #: bits per byte of a text that a language's model explains no better than chance
@@ -25,6 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """lang becomes the predicted language. Rejects documents without one: null
     texts, those without a letter, and those whose bytes no language's model
     codes shorter than equal chances of all bytes would."""
+    release(spark)
     named = langid.identify(docs.select(*COLUMNS), bits=True)
     kept = named.where((F.col("lang_pred") != langid.UND) & (F.col("bits") < BYTES))
     with small_batches(spark):
@@ -43,6 +44,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal texts the row with the largest doc_id stays (of
     several such rows, one)."""
+    release(spark)
     docs, key = _numbered(docs)
     found = exact_dedup.exact_dedup(docs.select(F.struct("doc_id", key.alias("row")).alias("doc_id"), "text"))
     gone = settle(found.where("not kept").select(F.col("doc_id.row").alias("_key")), "dropped")
@@ -52,6 +54,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays: that with the smallest doc_id,
     or, where doc_id is no key, the first one."""
+    release(spark)
     docs, key = _numbered(docs)
     found = jaccard.similar(docs.select(key.alias("doc_id"), "text"))
     gone = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_key")), "dropped")
@@ -69,6 +72,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every row of docs, with their places in sequences."""
+    release(spark)
     return packing.pack(docs)
 
 

@@ -121,6 +121,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ids_as_text(docs: DataFrame) -> DataFrame:
+    """doc_id (as text) and text, for pandas: there, whole numbers beside a null
+    would become floating point and lose their last digits."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+def ids_as_numbers(made: DataFrame, kind: str = "long") -> DataFrame:
+    """The reverse: doc_id as numbers again."""
+    return made.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)

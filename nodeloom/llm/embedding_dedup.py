@@ -124,11 +124,12 @@ def _links(r, threshold: float, directions: int, window: float, need: int) -> pd
     orders = np.argsort(pb, axis=0, kind="stable")
     lines = np.ascontiguousarray(np.take_along_axis(pb, orders, axis=0).T)
     first = min(directions, 2 * directions // 3)
+    kind = np.int8 if first < 128 else np.int16  # counts
     ii, jj = [], []
     for at in range(0, len(ia), 256):
         some = pa[at : at + 256]
         # A column per query: its window on a line begins and ends with a step, the running sum is 1 within.
-        hits, query = np.zeros((len(ib), len(some)), np.int8), np.arange(len(some))
+        hits, query = np.zeros((len(ib), len(some)), kind), np.arange(len(some))
         for k in range(first):
             edge = np.zeros((len(ib) + 1, len(some)), np.int8)
             edge[np.searchsorted(lines[k], some[:, k] - w, "left"), query] += 1

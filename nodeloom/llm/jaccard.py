@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import components, discard, few, lean, release, settle, small_batches
+from nodeloom.llm.common import components, discard, few, ids_as_numbers, ids_as_text, lean, release, settle, small_batches
 
 U = np.uint64
 TINY = 64  #: sets below this size have a segment per shingle
@@ -267,7 +267,7 @@ def similar(docs: DataFrame, threshold: Threshold | None = None, width: int = 5,
             rows = []
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 h = shingles(text, words, width)
-                known = doc is not None and doc == doc
+                known = doc is not None
                 print_ = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
                 codes, drawn, placed, own, r_own, r_above = b"", None, True, 0, 1, 1
                 # A copy of what this task has seen shares its signatures and is linked by its print alone.
@@ -279,21 +279,20 @@ def similar(docs: DataFrame, threshold: Threshold | None = None, width: int = 5,
                     placed = got is not None
                     if got is not None:
                         codes, drawn, own, r_own, r_above = got[0].tobytes(), sketch(h), *got[1:]
-                rows.append((int(doc) if known else None, len(h), print_, codes, len(codes) // 8, drawn, placed, own, r_own, r_above))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print", "codes", "n_codes", "sketch", "placed", "own", "r_own", "r_above"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                rows.append((doc, len(h), print_, codes, len(codes) // 8, drawn, placed, own, r_own, r_above))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print", "codes", "n_codes", "sketch", "placed", "own", "r_own", "r_above"])
 
     with small_batches(spark):
-        meta = settle(docs.mapInPandas(lean(describe), "doc_id long, n_shingles long, print binary, codes binary, n_codes int, sketch binary, placed boolean, own int, r_own int, r_above int").withColumn("row", F.monotonically_increasing_id()), "sets")
+        meta = settle(ids_as_numbers(ids_as_text(docs).mapInPandas(lean(describe), "doc_id string, n_shingles long, print binary, codes binary, n_codes int, sketch binary, placed boolean, own int, r_own int, r_above int")).withColumn("row", F.monotonically_increasing_id()), "sets")
     same = meta.where("print is not null and doc_id is not null").select(F.col("print").alias("p"), "doc_id")
     reps = same.groupBy("p").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("p", "rep")
     copies = settle(same.join(few(settle(reps, "prints")), "p").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), "copies")
 
     total = meta.agg(F.sum(F.col("n_codes").cast("long"))).first()[0] or 0
     buckets = min(1 << 16, max(256, total * 8 // BUCKET_BYTES))
+    parts = max(spark.sparkContext.defaultParallelism, total * 8 // (2 * BUCKET_BYTES))  # so that a task's share stays as it is when the table grows
     coded = meta.where("n_codes > 0").select("row", "codes")
-    dealt = coded.mapInPandas(lean(_spread(buckets)), "bucket int, part long, codes binary, who binary, times binary").repartition(F.expr(f"bucket div {TOGETHER}")).sortWithinPartitions("bucket")
+    dealt = coded.mapInPandas(lean(_spread(buckets)), "bucket int, part long, codes binary, who binary, times binary").repartition(parts, F.expr(f"bucket div {TOGETHER}")).sortWithinPartitions("bucket")
     with small_batches(spark, 10_000):
         met = settle(dealt.mapInPandas(lean(_meetings), "leader long, key long, doc long, times int"), "met")
     sketches = settle(meta.where("sketch is not null").select("doc_id", "sketch"), "sketches")

@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import blocks_for, lean, prefix_sums, settle, small_batches
+from nodeloom.llm.common import blocks_for, ids_as_numbers, ids_as_text, lean, prefix_sums, settle, small_batches
 from nodeloom.llm.tokens import WordIds, default_path
 
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length int, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, eod: int) -> DataFrame:
@@ -45,9 +45,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, eod: int) -> DataFrame:
                 for k, start in enumerate(range(0, n, capacity)):
                     part = buffer[4 * start : 4 * min(n, start + capacity)]
                     rows.append((doc, k, start, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(lean(cut, keeps=True), PIECES)
+    return ids_as_numbers(ids_as_text(docs).mapInPandas(lean(cut, keeps=True), PIECES))
 
 
 def plan(counts: dict[int, int], tokens: int, documents: int, attention: int, score: str = "residual_norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> list[tuple[int, int, int, int, int, int]]:
@@ -162,4 +162,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, eod: in
                 off[at] = offset[k] + past % per[k] * x
             yield batch[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=seq, offset=off)
 
-    return ranked.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "rank").mapInPandas(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "rank").mapInPandas(lean(place), "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ids_as_numbers(placed)

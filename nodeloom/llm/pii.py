@@ -21,17 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.common import lean, settle, small_batches
+from nodeloom.llm.common import ids_as_numbers, ids_as_text, lean, settle, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Runs of characters that an address, a dotted number or a number may hold: a match never leaves its run.
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+#: The two sides of an address's @.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: Runs of characters that a dotted number may hold: a match never leaves its run.
 DOTTED_RUN = re.compile(r"[0-9][0-9.]*")
-AROUND = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
 #: Of any length; a match can only begin where its run does, so that long runs cost one try.
 LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?(?:\(at\)|\[at\]) ?| at )[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z0-9-]++)+")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -48,16 +49,18 @@ def luhn(digits: str) -> bool:
 
 
 def _email_spans(text: str) -> Iterator[Span]:
+    """What EMAIL matches, in time that grows with the text: each @ is looked at
+    once, with the local part before it and the domain behind it."""
     at, done = text.find("@"), 0
     while at >= 0:
-        low, high = at, at
-        while low > done and text[low - 1] in AROUND:
+        low = at
+        while low > done and text[low - 1] in LOCAL:
             low -= 1
-        high = EMAIL_RUN.match(text, at).end()
-        for m in EMAIL.finditer(text, low, high):
-            yield "email", m.start(), m.end()
-        done = high
-        at = text.find("@", high)
+        domain = DOMAIN.match(text, at + 1) if low < at else None
+        if domain:
+            yield "email", low, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -149,7 +152,8 @@ def mentions(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "found": out})
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(lean(find), f"doc_id {kind}, text_key long, found array<{MENTION}>")
+    keyed = ids_as_text(docs).withColumn("text_key", F.xxhash64("text"))
+    return ids_as_numbers(keyed.mapInPandas(lean(find), f"doc_id string, text_key long, found array<{MENTION}>"), kind)
 
 
 def discover(found: DataFrame, support: int = 5, confidence: float = 0.9) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from nodeloom.llm.common import lean, settle, small_batches
+from nodeloom.llm.common import ids_as_text, lean, settle, small_batches
 from nodeloom.llm.tokens import WordIds, default_path
 
 BLOCKS = "file string, block long, ids binary, doc_ids array<bigint>, first_doc long"
@@ -42,7 +42,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 held += ids.of(text) if isinstance(text, str) else b""
                 held += end
-                closed.append(None if doc is None or doc != doc else int(doc))
+                closed.append(None if doc is None else int(doc))
                 while len(held) >= size:
                     rows.append((name, block, bytes(held[:size]), closed, done))
                     del held[:size]
@@ -53,7 +53,7 @@ def write_flat(docs: DataFrame, path: str | None = None, eod: int = 49407, block
             yield pd.DataFrame([(name, block, bytes(held), closed, done)], columns=["file", "block", "ids", "doc_ids", "first_doc"])
 
     with small_batches(docs.sparkSession):
-        return settle(docs.select("doc_id", "text").mapInPandas(lean(fill, keeps=True), BLOCKS), "flat")
+        return settle(ids_as_text(docs).mapInPandas(lean(fill, keeps=True), BLOCKS), "flat")
 
 
 def raw_blocks(spark, paths: list[str], block_tokens: int = 1 << 16, width: int = 4) -> DataFrame:

@@ -90,7 +90,7 @@ def points_1d(low: float, high: float, n: int, mode: str = "equal", gain: float
     elif mode == "tanh":
         s = (np.tanh(gain * np.linspace(-1, 1, n)) / np.tanh(gain) + 1) / 2
     elif mode == "half_tanh":
-        s = np.tanh(gain * np.linspace(0, 1, n)) / np.tanh(gain)
+        s = (np.tanh(gain * np.linspace(-1, 1, 2 * n)) / np.tanh(gain))[n:]  # the upper half of 2 n points from -1 to 1
     else:
         raise ValueError(mode)
     return low + (high - low) * s

@@ -86,10 +86,12 @@ def read_samples(spark, folder: str) -> tuple:
     return spark.read.parquet(f"{folder}/samples"), json.loads(kept)
 
 
-def average_spectrum(rows, group: Column):
-    """Mean squared modal coefficients over groups of elements: g, p, power.
-    rows: p (the mode) and c (its coefficient in an element)."""
-    return rows.groupBy(group.alias("g"), "p").agg(F.avg(F.col("c") * F.col("c")).alias("power"))
+def average_spectrum(rows, group: Column, kind: str = "mean"):
+    """Diagonal covariance of groups of elements: g, p, power. rows: p (the mode)
+    and c (its coefficient in an element). kind: mean (the square of the mean
+    coefficient) or variance (the sample variance of the coefficients)."""
+    power = {"mean": F.avg("c") * F.avg("c"), "variance": F.var_samp("c")}[kind]
+    return rows.groupBy(group.alias("g"), "p").agg(power.alias("power"))
 
 
 def bitplane_payload(column: str, bits: int) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nodeloom.operators.elements import hex_cells
+from nodeloom.operators.statistics import number_elements
+
 WIDTH = 64  #: of a bin, in tolerances
 
 
@@ -55,6 +58,28 @@ def gather_scatter(nodes: DataFrame, node: str, value: str, axes: list[str], tol
     return labelled.withColumn("total", F.sum(value).over(w)).withColumn("copies", F.count(F.lit(1)).over(w))
 
 
+def numbered_places(nodes: DataFrame, node: str, axes: list[str], tol: float, per_block: int = 100_000) -> DataFrame:
+    """node, label (the smallest node in the same place) and place: a dense number
+    of the places from 0, in the order of their labels. Labels are counted by
+    ranges of their numbers, and each range goes on where the ones before end."""
+    labelled = place(nodes, node, axes, tol)
+    # Every place has one node that is its own label.
+    numbers = number_elements(labelled.where(F.col(node) == F.col("label")).select("label"), per_block, "label", "place")
+    return labelled.join(numbers, "label").select(node, "label", "place")
+
+
+def global_cells(numbered: DataFrame, node: str, n: int) -> DataFrame:
+    """e, cell, ids: the linear hexahedra of all elements (VTK order of corners) by
+    the numbers of their places. numbered: node = e * n^3 + (k * n + j) * n + i, and place.
+    A node brings its place to the cells that it is a corner of; the cells of an
+    element are put together by element."""
+    element, p = F.expr(f"{node} div {n**3}"), F.col(node) % n**3
+    own = numbered.select(element.alias("e"), p.cast("int").alias("p"), "place")
+    whole = own.groupBy("e").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "place"))), lambda x: x["place"]).alias("_places"))
+    cells = whole.select("e", "_places", F.posexplode(hex_cells(n, F.lit(0).cast("long"))).alias("cell", "_corners"))
+    return cells.select("e", "cell", F.transform("_corners", lambda c: F.element_at("_places", (c + 1).cast("int"))).alias("ids"))
+
+
 def boundary_nodes_2d(long: DataFrame, n: int, tol: float, keep: Column | None = None) -> DataFrame:
     """long: e, j, i, x, y of two-dimensional elements. The nodes on edges that
     no other element shares, and that keep (a predicate) allows: e, edge, j, i."""

@@ -182,14 +182,15 @@ def advection(df: DataFrame, field: str, velocity: tuple[str, str, str], out: st
 
 
 def spacing(df: DataFrame, n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
-    """Node spacing of the mesh check: per node and axis the length of the metric
-    vector times half the distance between the reference neighbours. Long form
-    with hr, hs, ht."""
+    """Node spacing of the mesh check, long form with hx, hy, hz: along each axis
+    of space the length of its changes over half the distance between the
+    reference neighbours; an end node has one neighbour, and half the distance to it."""
     x = gll(n)[0]
-    half = [float(v) for v in np.gradient(x, np.arange(n))]
-    long = with_derivatives(df, [], n, coords)
-    step = F.array(*[F.lit(v) for v in half])
-    return long.withColumns({f"h{a}": F.sqrt(F.expr(f"x{a} * x{a} + y{a} * y{a} + z{a} * z{a}")) * F.element_at(step, F.col(i) + 1) for a, i in zip(AXES, "ijk", strict=True)})
+    half = (np.append(x[1:], x[-1]) - np.insert(x[:-1], 0, x[0])) / 2
+    step = F.array(*[F.lit(float(v)) for v in half])
+    long = with_derivatives(df, [], n, coords).withColumns({f"_{a}": F.element_at(step, F.col(i) + 1) for a, i in zip(AXES, "ijk", strict=True)})
+    out = long.withColumns({f"h{c}": F.sqrt(F.expr(" + ".join(f"{c}{a} * _{a} * {c}{a} * _{a}" for a in AXES))) for c in "xyz"})
+    return out.drop(*[f"_{a}" for a in AXES])
 
 
 def space_derivatives(df: DataFrame, fields: list[str], n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:

@@ -142,6 +142,18 @@ def reconstructed(modes: DataFrame, row: str, sigma: np.ndarray, vt: np.ndarray,
     return modes.select(row, run("mode").alias(out))
 
 
+def complex_reconstructed(modes: DataFrame, row: str, sigma: np.ndarray, vt: np.ndarray) -> DataFrame:
+    """row, re, im: what the modes of a complex decomposition make up."""
+    back = sigma[:, None] * vt
+
+    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        x = (np.stack(a.to_numpy()) + 1j * np.stack(b.to_numpy())) @ back if len(a) else np.zeros((0, back.shape[1]))
+        return pd.DataFrame({"re": list(x.real), "im": list(x.imag)})
+
+    return modes.select(row, run("re", "im").alias("_m")).select(row, "_m.re", "_m.im")
+
+
 def extended(modes_of: DataFrame, row: str, column: str, sigma: np.ndarray, vt: np.ndarray) -> DataFrame:
     """Extended modes: what other fields (row, column) have in common with the
     right vectors of a decomposition, A v / sigma."""
@@ -169,12 +181,15 @@ class StreamingPod:
     taken through its triangle; U is never collected."""
 
     def __init__(self, row: str, k: int):
-        self.row, self.k, self.modes, self.sigma, self.vt = row, k, None, None, None
+        self.row, self.k, self.modes, self.sigma, self.vt = row, k, None, np.zeros(0), None
 
     def update(self, batch: DataFrame, column: str) -> "StreamingPod":
         """batch: row and an array of new snapshot values per row."""
         new = batch.select(self.row, F.col(column).alias("_new"))
-        width = len(new.first()["_new"])
+        first = new.first()
+        if first is None:  # no rows, no state
+            return self
+        width = len(first["_new"])
         if self.modes is None:
             both, before = new.select(self.row, F.col("_new").alias("_a")), 0
         else:
@@ -215,12 +230,30 @@ def line_dft(rows: DataFrame, keys: list[str], index: str, value: str, n: int) -
 
 
 def analytic_signal(values: np.ndarray) -> np.ndarray:
-    """Hilbert transform by FFT of the mirror-extended signal."""
-    x = np.concatenate([values, values[..., ::-1]], axis=-1)
-    n = x.shape[-1]
-    h = np.zeros(n)
+    """Hilbert transform by FFT along the last axis. The signal goes on mirrored at
+    its last value, which, like the first, is not repeated."""
+    n = values.shape[-1]
+    x = np.concatenate([values, values[..., n - 2 : 0 : -1]], axis=-1)
+    m = x.shape[-1]
+    h = np.zeros(m)
     h[0] = 1
-    h[1 : (n + 1) // 2] = 2
-    if n % 2 == 0:
-        h[n // 2] = 1
-    return np.fft.ifft(np.fft.fft(x, axis=-1) * h, axis=-1)[..., : values.shape[-1]]
+    h[1 : (m + 1) // 2] = 2
+    if m % 2 == 0:
+        h[m // 2] = 1
+    return np.fft.ifft(np.fft.fft(x, axis=-1) * h, axis=-1)[..., :n]
+
+
+def analytic(rows: DataFrame, row: str, column: str) -> DataFrame:
+    """row, re, im: the analytic signals of arrays; those of one length in a batch together."""
+
+    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
+    def run(u: pd.Series) -> pd.DataFrame:
+        out: list = [None] * len(u)
+        sizes = u.map(len)
+        for size in sizes.unique():
+            at = np.flatnonzero(sizes == size)
+            for k, h in zip(at, analytic_signal(np.stack([np.asarray(v, float) for v in u.iloc[at]])), strict=True):
+                out[k] = h
+        return pd.DataFrame({"re": [h.real for h in out], "im": [h.imag for h in out]})
+
+    return rows.select(row, run(column).alias("_h")).select(row, "_h.re", "_h.im")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.spectral import derivative, gll
-from nodeloom.operators.statistics import box_join
+from nodeloom.operators.statistics import level_join
 
 GROWTH = 1.01 * (1 + 1e-6)  #: of the ball's radius over the largest half diagonal
 
@@ -27,16 +27,12 @@ def boxes(mesh: DataFrame) -> DataFrame:
 def ball_candidates(points: DataFrame, mesh: DataFrame, radius: float | None = None) -> DataFrame:
     """point columns and e for elements whose box centre is within radius (by
     default the largest half diagonal, grown a little) and whose box holds the
-    point. Points meet balls in grid cells as wide as the radius."""
+    point. Points meet boxes in grid cells of the boxes' own sizes."""
     b = boxes(mesh)
     r = radius if radius is not None else float(b.agg(F.max("half")).first()[0] or 0.0) * GROWTH
-    ball = b.select("e", "cx", "cy", "cz", *[F.col(f"{c}_{s}").alias(f"b{c}_{s}") for c in "xyz" for s in ("lo", "hi")], *[x for c in "xyz" for x in ((F.col(f"c{c}") - r).alias(f"{c}_lo"), (F.col(f"c{c}") + r).alias(f"{c}_hi"))])
-    met = box_join(points, ball, ["x", "y", "z"], {c: r or 1.0 for c in "xyz"})
+    met = level_join(points, b, ["x", "y", "z"])
     near = sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz") <= r * r
-    inside = F.lit(True)
-    for c in "xyz":
-        inside = inside & F.col(c).between(F.col(f"b{c}_lo"), F.col(f"b{c}_hi"))
-    return met.where(near & inside).select(*points.columns, "e")
+    return met.where(near).select(*points.columns, "e")
 
 
 def oriented_boxes(mesh: DataFrame, n: int, margin: float = 0.05) -> DataFrame:
@@ -75,7 +71,7 @@ STRUCTURES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"kdtree":
 
 
 def structure(name: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """boxes (grid cells of boxes) or kdtree (balls around centres)."""
+    """boxes (grid cells of the boxes' own sizes) or kdtree (balls around centres)."""
     if name == "boxes":
-        return lambda points, mesh: box_join(points, boxes(mesh).select("e", *[f"{c}_{s}" for c in "xyz" for s in ("lo", "hi")]), ["x", "y", "z"], {c: 1.0 for c in "xyz"}).select(*points.columns, "e")
+        return lambda points, mesh: level_join(points, boxes(mesh).select("e", *[f"{c}_{s}" for c in "xyz" for s in ("lo", "hi")]), ["x", "y", "z"]).select(*points.columns, "e")
     return STRUCTURES[name]

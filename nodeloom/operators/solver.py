@@ -73,6 +73,8 @@ def conjugate_gradients(apply, b: DataFrame, key: list[str], inverse_diagonal: D
         b, inner = project(b), apply
         apply = lambda v: project(inner(v))
     n = b.count()
+    if not n:
+        return b.select(*key, "v"), 0, 0.0
     state = b.select(*key, F.lit(0.0).alias("x"), F.col("v").alias("r"))
     state = state.join(inverse_diagonal.select(*key, F.col("v").alias("m")), key) if inverse_diagonal is not None else state.withColumn("m", F.lit(1.0))
     state = state.withColumn("p", F.col("r") * F.col("m")).checkpoint()

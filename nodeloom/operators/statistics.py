@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -94,15 +95,71 @@ def box_join(points: DataFrame, boxes: DataFrame, axes: list[str], size: dict[st
     return p.join(b, keys).where(inside).drop(*keys)
 
 
-def number_elements(kept: DataFrame, per_block: int = 100_000) -> DataFrame:
-    """e and new_e: elements numbered from 0 in their order. Elements are counted
-    by ranges of their numbers first, each range then numbers its own, so that no
-    task holds all."""
-    dealt = kept.select("e", F.floor(F.col("e") / per_block).alias("_block"))
-    counts = dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select("_block", F.coalesce(F.sum("n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.row_number().over(W.partitionBy("_block").orderBy("e")) - 1
-    return dealt.join(base, "_block").select("e", (F.col("base") + inside).cast("long").alias("new_e"))
+LEVELS = 40  #: grid levels below the largest that a box can have
+
+
+def level_join(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFrame:
+    """The same pairs, with cells from the data: a box lies on the grid level whose
+    cells are as wide as its longest side, so that it touches two cells per axis
+    at most, however far the sizes of boxes are apart. A point asks the cells of
+    the levels that occur, of which there are LEVELS at most: smaller boxes share
+    the lowest one. Points outside the hull of all boxes ask none."""
+    ends = boxes.agg(*[f(f"{a}_{e}").alias(f"{a}_{e}") for a in axes for f, e in ((F.min, "lo"), (F.max, "hi"))], *[F.max(F.col(f"{a}_hi") - F.col(f"{a}_lo")).alias(f"{a}_w") for a in axes]).first()
+    if ends is None or any(ends[f"{a}_lo"] is None for a in axes):
+        return points.join(boxes, F.lit(False))
+    far = max(1e-300, *[abs(float(ends[f"{a}_{e}"])) for a in axes for e in ("lo", "hi")], *[float(ends[f"{a}_w"]) for a in axes])
+    lowest = int(np.ceil(np.log2(far))) - LEVELS
+    wide = F.greatest(*[F.col(f"{a}_hi") - F.col(f"{a}_lo") for a in axes])
+    b = boxes.withColumn("_level", F.when(wide > 2.0**lowest, F.ceil(F.log2(wide))).otherwise(lowest).cast("int"))
+    levels = [r["_level"] for r in b.select("_level").distinct().collect()]  # LEVELS at most, and one
+    cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    inside = reduce(lambda x, y: x & y, [F.col(a).between(float(ends[f"{a}_lo"]), float(ends[f"{a}_hi"])) for a in axes])
+    p = points.where(inside).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
+    for a in axes:
+        p = p.withColumn(f"_c{a}", cell(a))
+        b = b.withColumn(f"_c{a}", F.explode(F.sequence(cell(f"{a}_lo"), cell(f"{a}_hi"))))
+    keys = ["_level", *[f"_c{a}" for a in axes]]
+    held = reduce(lambda x, y: x & y, [F.col(a).between(F.col(f"{a}_lo"), F.col(f"{a}_hi")) for a in axes])
+    return p.join(b, keys).where(held).drop(*keys)
+
+
+GROUPED = 1024  #: ranges whose counts are added up in one group
+
+
+def carried(counts: DataFrame, block: str, n: str, out: str) -> DataFrame:
+    """block and out: the sum of n over all blocks before. Blocks are added up in
+    groups, these in groups again, so that a group of groups stays small."""
+    up = [F.col(block), F.expr(f"{block} div {GROUPED}"), F.expr(f"{block} div {GROUPED * GROUPED}")]
+    c = counts.select(up[0].alias("_b0"), up[1].alias("_b1"), up[2].alias("_b2"), F.col(n).alias("_n"))
+    zero = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    low = c.select("_b0", "_b1", "_b2", zero(W.partitionBy("_b2", "_b1").orderBy("_b0")).alias("_low"))
+    mid = c.groupBy("_b2", "_b1").agg(F.sum("_n").alias("_n")).select("_b1", zero(W.partitionBy("_b2").orderBy("_b1")).alias("_mid"))
+    top = c.groupBy("_b2").agg(F.sum("_n").alias("_n")).select("_b2", zero(W.orderBy("_b2")).alias("_top"))
+    return low.join(mid, "_b1").join(top, "_b2").select(F.col("_b0").alias(block), (F.col("_low") + F.col("_mid") + F.col("_top")).alias(out))
+
+
+def number_elements(kept: DataFrame, per_block: int = 100_000, element: str = "e", out: str = "new_e") -> DataFrame:
+    """element and out: elements (different whole numbers) numbered from 0 in their
+    order. Elements are counted by ranges of their numbers first, each range then
+    numbers its own, so that no task holds all."""
+    dealt = kept.select(element, F.floor(F.col(element) / per_block).alias("_block"))
+    base = carried(dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("n")), "_block", "n", "base")
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(element)) - 1
+    return dealt.join(base, "_block").select(element, (F.col("base") + inside).cast("long").alias(out))
+
+
+def filled(rows: DataFrame, group: list[str], part: str, order: str, columns: list[str]) -> DataFrame:
+    """rows with each null of columns replaced by the last value before it in the
+    order (part, order) of its group. A part fills itself; what it lacks at its
+    begin comes from the last values of the parts before, a row each. No window
+    holds more than a part, or the ends of a group's parts."""
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    ends = rows.groupBy(*group, part).agg(*[F.max_by(c, known(c)).alias(f"_{c}") for c in columns])
+    before = W.partitionBy(*group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(*group, part, *[F.last(f"_{c}", True).over(before).alias(f"_{c}") for c in columns])
+    own = W.partitionBy(*group, part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    met = rows.join(carry, [*group, part])
+    return met.withColumns({c: F.coalesce(F.last(c, True).over(own), f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def neighbours(rows: DataFrame, order: list[str], value: str, blocks: int = 64) -> DataFrame:
@@ -195,11 +252,12 @@ def _newton(grid, p, x, d, tolerance: float, iterations: int):
     return q, np.abs(back - p).max(axis=1)
 
 
-def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float, tolerance: float = 1e-10, iterations: int = 50, accept: float = 1e-4) -> DataFrame:
+def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float | None = None, tolerance: float = 1e-10, iterations: int = 50, accept: float = 1e-4) -> DataFrame:
     """Element and reference coordinates of each probe (probe_id, x, y, z).
 
     mesh: e and arrays xs, ys, zs of n^3 coordinates. Candidates come from a
-    join on grid cells of boxes, of which only the ids go along; the coordinates
+    join on grid cells of boxes (of the boxes' own sizes, or of size), of which
+    only the ids go along; the coordinates
     join the candidates by element afterwards. All candidates of an Arrow batch
     are inverted by Newton steps together. Of a probe's candidates the inside one
     (err_code 1), then the smallest remaining error, then the smallest element
@@ -207,7 +265,9 @@ def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float, tolerance: f
     candidate -10."""
     pick = lambda f, c: f(c)
     boxes = mesh.select("e", *[pick(f, f"{c}s").alias(f"{c}_{s}") for c in "xyz" for f, s in ((F.array_min, "lo"), (F.array_max, "hi"))])
-    pairs = box_join(probes.select("probe_id", "x", "y", "z"), boxes, ["x", "y", "z"], {c: size for c in "xyz"}).select("probe_id", "x", "y", "z", "e")
+    own = probes.select("probe_id", "x", "y", "z")
+    pairs = level_join(own, boxes, ["x", "y", "z"]) if size is None else box_join(own, boxes, ["x", "y", "z"], {c: size for c in "xyz"})
+    pairs = pairs.select("probe_id", "x", "y", "z", "e")
     nodes_x, d = gll(n)[0], derivative(n)
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -21,7 +21,7 @@ from nodeloom.operators import statistics as st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 N = 4
-MODULES = ("curved", "meshes", "decomposition", "storage", "drivers")
+MODULES = ("curved", "meshes", "decomposition", "spectra", "storage", "drivers")
 
 
 def query(sql: str | None = None):
@@ -310,7 +310,16 @@ def grid_bins(spark, d):
 def bbox_range_join(spark, d):
     p = table(spark, d, "events").select("event_id", F.expr("value / 10.0D").alias("x"), F.expr("cast(event_id % 50 as double)").alias("y"))
     b = table(spark, d, "part").select("p_partkey", F.expr("p_size * 1.0D").alias("x_lo"), F.expr("p_size + 1.5D").alias("x_hi"), F.expr("cast(p_partkey % 50 as double)").alias("y_lo"), F.expr("p_partkey % 50 + 2.0D").alias("y_hi"))
-    return st.box_join(p, b, ["x", "y"], {"x": 2.0, "y": 2.0}).select("event_id", "p_partkey")
+    return st.level_join(p, b, ["x", "y"]).select("event_id", "p_partkey")
+
+
+@query("with p as (select event_id, value as x, (event_id%500)::double as y from events), b as (select p_partkey, (p_retailprice*7) % 60 as x_lo, (p_retailprice*7) % 60 + power(10, p_partkey%7 - 5) as x_hi, (p_partkey%499)::double as y_lo, p_partkey%499 + power(10, p_partkey%5 - 2) as y_hi from part) select event_id, p_partkey from p join b on x between x_lo and x_hi and y between y_lo and y_hi")
+def graded_boxes(spark, d):
+    """Boxes whose sides differ by up to a million times, each met on its own grid level."""
+    p = table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.expr("cast(event_id % 500 as double)").alias("y"))
+    x, y = (F.col("p_retailprice") * 7) % 60, (F.col("p_partkey") % 499).cast("double")
+    b = table(spark, d, "part").select("p_partkey", x.alias("x_lo"), (x + F.pow(F.lit(10.0), F.expr("p_partkey % 7 - 5"))).alias("x_hi"), y.alias("y_lo"), (y + F.pow(F.lit(10.0), F.expr("p_partkey % 5 - 2"))).alias("y_hi"))
+    return st.level_join(p, b, ["x", "y"]).select("event_id", "p_partkey")
 
 
 @query(f"with {SQL_BRICK}, c as (select e, (min(x)+max(x))/2 as cx, (min(y)+max(y))/2 as cy, (min(z)+max(z))/2 as cz from brick group by e) select e, k, j, i, round(u, 6) as u from brick semi join (select e from c where cx > 1 and cx < 5 and cy > 2 and cy < 7 and cz > -1 and cz < 4) using (e)")
@@ -344,19 +353,22 @@ def rotate_tensor(spark, d):
     return n.select("e", "k", "j", "i", *[F.round(c, 6).alias(f"t{k}") for k, c in t.items()])
 
 
-_CLOUD = {"r": sp.points_1d(0.0, 0.05, 6, "half_tanh", 1.5), "th": sp.points_1d(0.0, 2 * np.pi, 8, "equal", endpoint=False), "z": sp.points_1d(0.0, 1.0, 7, "cheb")}
+_CLOUD = {"r": sp.points_1d(0.0, 1.0, 6, "half_tanh", 1.5), "th": sp.points_1d(0.0, 2 * np.pi, 8, "equal", endpoint=False), "z": sp.points_1d(0.0, 1.0, 7, "cheb")}
 _WIDTH = {"r": sp.cell_widths(_CLOUD["r"]), "th": np.full(8, 2 * np.pi / 8), "z": sp.cell_widths(_CLOUD["z"])}
+# The points and widths written out: the upper half of 12 stretched points, equal angles, Chebyshev points.
+_SQL_CLOUD = "r1 as (select cast(i as int) as ir, tanh(1.5*(2*(6 + i)/11.0::double - 1))/tanh(1.5) as r from range(6) t(i)), lr as (select ir, r, (coalesce(lead(r) over (order by ir), r) - coalesce(lag(r) over (order by ir), r))/2 as dr from r1), lth as (select cast(i as int) as ith, 2*pi()*i/8 as th, 2*pi()/8 as dth from range(8) t(i)), z1 as (select cast(i as int) as iz, (1 - cos(pi()*i/6))/2 as z from range(7) t(i)), lz as (select iz, z, (coalesce(lead(z) over (order by iz), z) - coalesce(lag(z) over (order by iz), z))/2 as dz from z1)"
 
 
-def _line(spark, axis):
-    return spark.createDataFrame([(i, float(v), float(w)) for i, (v, w) in enumerate(zip(_CLOUD[axis], _WIDTH[axis], strict=True))], f"i{axis} int, {axis} double, d{axis} double")
-
-
-@query("with " + ", ".join(values(f"l{a}", f"i{a}, {a}, d{a}", [(i, float(v), float(w)) for i, (v, w) in enumerate(zip(_CLOUD[a], _WIDTH[a], strict=True))]) for a in ("r", "th", "z")) + " select iz, ith, ir, round(r*cos(th), 8) as x, round(r*sin(th), 8) as y, round(z, 8) as z, round(r*dr*dth*dz, 10) as mass from lr, lth, lz")
+@query(f"with {_SQL_CLOUD} select s_suppkey, iz, ith, ir, round(0.05*(s_suppkey%5+1)*r*cos(th), 8) as x, round(0.05*(s_suppkey%5+1)*r*sin(th), 8) as y, round(z*(1 + s_nationkey), 8) as z, round(0.0025*(s_suppkey%5+1)*(s_suppkey%5+1)*r*dr*dth*dz*(1 + s_nationkey), 9) as mass from supplier, lr, lth, lz")
 def point_cloud(spark, d):
-    """Structured cylinder cloud: three 1D distributions (a few points each) crossed, mass = r dr dth dz."""
-    g = _line(spark, "z").crossJoin(F.broadcast(_line(spark, "th"))).crossJoin(F.broadcast(_line(spark, "r")))
-    return g.select("iz", "ith", "ir", F.round(F.col("r") * F.cos("th"), 8).alias("x"), F.round(F.col("r") * F.sin("th"), 8).alias("y"), F.round("z", 8).alias("z"), F.round(F.col("r") * F.col("dr") * F.col("dth") * F.col("dz"), 10).alias("mass"))
+    """A structured cylinder cloud per supplier, of its own radius and height: the
+    points of three lines (a few each) unrolled per row, mass = r dr dth dz."""
+    line = lambda a: F.explode(F.array(*[F.struct(F.lit(i).alias(f"i{a}"), F.lit(float(v)).alias(a), F.lit(float(w)).alias(f"d{a}")) for i, (v, w) in enumerate(zip(_CLOUD[a], _WIDTH[a], strict=True))]))
+    g = table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 5 + 1) * 0.05).alias("radius"), (F.col("s_nationkey") + 1).alias("height"))
+    for a in ("z", "th", "r"):
+        g = g.withColumn(f"_{a}", line(a)).select(*g.columns, f"_{a}.*")
+    r = F.col("r") * F.col("radius")
+    return g.select("s_suppkey", "iz", "ith", "ir", F.round(r * F.cos("th"), 8).alias("x"), F.round(r * F.sin("th"), 8).alias("y"), F.round(F.col("z") * F.col("height"), 8).alias("z"), F.round(r * F.col("dr") * F.col("radius") * F.col("dth") * F.col("dz") * F.col("height"), 9).alias("mass"))
 
 
 @query("with o as (select p_partkey as i, p_retailprice as x from part), m as (select i, x, lag(x) over w as a, lead(x) over w as b from o window w as (order by x, i)) select i, round((coalesce(b, x) - coalesce(a, x))/2, 6) as width from m")
@@ -375,7 +387,7 @@ SQL_PROBES = "pr as (select event_id as probe_id, (event_id%83)*0.0973::double+0
 
 def _located(spark, d):
     mesh = brick_arrays(spark, d, 0.0).drop("u")
-    return st.locate(_probes(spark, d), mesh, N, 1.0)
+    return st.locate(_probes(spark, d), mesh, N)
 
 
 @query(f"with {SQL_PROBES} select probe_id, e, case when e is null then 0 else 1 end as err_code, round(case when e is not null then 2*(x-floor(x))-1 end, 6) as r, round(case when e is not null then 2*(y-floor(y))-1 end, 6) as s, round(case when e is not null then 2*(z-floor(z))-1 end, 6) as t from lo")
@@ -429,11 +441,8 @@ def pod_reconstruction(spark, d):
     """Largest error per row when all modes are kept: zero up to rounding."""
     b = _blocks(spark, d)
     sigma, vt, modes = rom.pod(b, "row", "a", 64)
-    back = (sigma[:, None] * vt).tolist()
-    lit = F.array(*[F.array(*[F.lit(float(back[k][s])) for k in range(64)]) for s in range(64)])
-    both = modes.join(b, "row")
-    rec = F.transform(lit, lambda col: F.aggregate(F.zip_with(col, "mode", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    return both.select("row", F.round(F.array_max(F.zip_with(rec, "a", lambda x, y: F.abs(x - y))), 4).alias("error"))
+    both = rom.reconstructed(modes, "row", sigma, vt, "back").join(b, "row")
+    return both.select("row", F.round(F.array_max(F.zip_with("back", "a", lambda x, y: F.abs(x - y))), 4).alias("error"))
 
 
 @query()
@@ -454,43 +463,6 @@ def line_dft(spark, d):
     return t.select("e", "k", "j", "kappa", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
-def _spectra(spark, d):
-    """Lines along i transformed: per wavenumber and element the real and the imaginary parts of 16 lines."""
-    t = rom.line_dft(long(spark, d), ["e", "k", "j"], "i", "u", N)
-    part = lambda c: F.transform(F.col("l"), lambda x: x[c]).alias(c)
-    return t.groupBy("kappa", "e").agg(F.array_sort(F.collect_list(F.struct("k", "j", "re", "im"))).alias("l")).select("kappa", "e", part("re"), part("im"))
-
-
-@query()
-def fft_pod(spark, d):
-    """Singular values per wavenumber: each has a decomposition of its own, of the complex matrix."""
-    _folder(spark)
-    rows, out = _spectra(spark, d).checkpoint(), []
-    for kappa in range(N // 2 + 1):
-        sigma, _ = rom.svd(rows.where(F.col("kappa") == kappa), "re", 16, "im")
-        out += [(kappa, k, float(s * (2**0.5 if kappa else 1.0))) for k, s in enumerate(sigma)]
-    return spark.createDataFrame(out, "kappa int, k int, sigma double")
-
-
-@query(f"with {SQL_NODES}, t as (select e, k, j, kappa, sum(u*cos(2*pi()*kappa*i/4))/2 as re, -sum(u*sin(2*pi()*kappa*i/4))/2 as im from nodes, range(3) t(kappa) group by 1, 2, 3, 4) select cast(kappa as int) as kappa, round(sum(re*re+im*im)*case when kappa > 0 then 2 else 1 end, 2) as energy from t group by kappa")
-def fft_pod_energy(spark, d):
-    """Sum of the squared singular values of each wavenumber: the energy of its lines."""
-    f = fft_pod(spark, d)
-    return f.groupBy("kappa").agg(F.round(F.sum(F.col("sigma") * F.col("sigma")), 2).alias("energy"))
-
-
-@query()
-def hilbert_line(spark, d):
-    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
-    def analytic(u):
-        import pandas as pd
-
-        h = [rom.analytic_signal(np.asarray(v)) for v in u]
-        return pd.DataFrame({"re": [x.real for x in h], "im": [x.imag for x in h]})
-
-    return arrays(spark, d).select("e", analytic("u").alias("h")).select("e", F.posexplode(F.arrays_zip("h.re", "h.im")).alias("p", "h")).select("e", "p", F.round("h.re", 6).alias("re"), F.round("h.im", 6).alias("im"))
-
-
 # --- compression ------------------------------------------------------------
 @query(f"with {SQL_NODES} select e, k, j, i, u from nodes")
 def bz2_roundtrip(spark, d):
@@ -539,10 +511,12 @@ def stiffness_apply(spark, d):
     return el.nodes(solver.stiffness(arrays(spark, d), "u", "v", N), "e", ["v"], N).withColumn("v", F.round("v", 6))
 
 
-@query(f"with {SQL_D}, {SQL_W}, o as (select l as a, sum(c*c*w) as o from d join w on w.a=d.a group by l) select cast(z.a as int) as k, cast(y.a as int) as j, cast(x.a as int) as i, round(0.5*(x.o*wy.w*wz.w + wx.w*y.o*wz.w + wx.w*wy.w*z.o), 6) as v from o x, o y, o z, w wx, w wy, w wz where wx.a=x.a and wy.a=y.a and wz.a=z.a")
+@query(f"with {SQL_NODES}, {SQL_D}, {SQL_W}, o as (select l as a, sum(c*c*w) as o from d join w on w.a=d.a group by l), g as (select z.a as k, y.a as j, x.a as i, 0.5*(x.o*wy.w*wz.w + wx.w*y.o*wz.w + wx.w*wy.w*z.o) as v from o x, o y, o z, w wx, w wy, w wz where wx.a=x.a and wy.a=y.a and wz.a=z.a) select 3*(e%8)+i as gx, 3*((e//8)%8)+j as gy, 3*(e//64)+k as gz, round(sum(v), 6) as v, count(*) as copies from nodes join g using (k, j, i) group by 1, 2, 3")
 def jacobi_diag(spark, d):
-    v = solver.jacobi_diagonal(N)
-    return spark.createDataFrame([(p // 16, p // 4 % 4, p % 4, round(float(x), 6)) for p, x in enumerate(v)], "k int, j int, i int, v double")
+    """The assembled diagonal of the stiffness on the unique nodes of all elements."""
+    lit = F.array(*[F.lit(float(x)) for x in solver.jacobi_diagonal(N)])
+    n = el.brick(long(spark, d)).select("gx", "gy", "gz", F.element_at(lit, F.expr("k*16 + j*4 + i") + 1).alias("v"))
+    return n.groupBy("gx", "gy", "gz").agg(F.round(F.sum("v"), 6).alias("v"), F.count(F.lit(1)).alias("copies"))
 
 
 @query(f"with {_VGRAD}, {SQL_W}, vel as (select e//3 as e, k, j, i, max(case when e%3=0 then u end) as u, max(case when e%3=1 then u end) as v, max(case when e%3=2 then u end) as w from nodes group by 1,2,3,4) select x.e, x.k, x.j, x.i, round((v.u*x.u_r + v.v*x.u_s + v.w*x.u_t)*2*0.125*a.w*b.w*c.w, 6) as v from wide x join vel v using (e,k,j,i) join w a on a.a=x.i join w b on b.a=x.j join w c on c.a=x.k")
@@ -591,37 +565,45 @@ def pcg_poisson(spark, d):
 
 
 # --- sources and streams ----------------------------------------------------
-@query("select cast(i as bigint) as e, cast(p as int) as p, round(i + p/10.0::double, 6) as x, round(2*i - p*0.5::double, 6) as t from range(24) a(i), range(64) b(p)")
+@query(f"with {SQL_NODES} select e, cast(p as int) as p, round(u + p/10.0::double, 6) as x, round(2*u - p*0.5::double, 6) as t from nodes")
 def field_file_roundtrip(spark, d):
-    """Writes a field file into the shared folder and reads two of its variables back by partitions."""
+    """The whole field in one file, of which two variables are read back by partitions."""
     from nodeloom.sources import fieldfile as ff
 
-    folder = f"{_folder(spark)}/field-{uuid.uuid4().hex}"
-    ff._store(folder)[0].create_dir(ff._store(folder)[1], recursive=True)
-    path = f"{folder}/field0.f00001"
-    e, p = np.arange(24.0)[:, None], np.arange(64.0)[None, :]
-    ff.write(path, {"x": e + p / 10, "y": e - p, "z": e * p, "t": 2 * e - p * 0.5}, (4, 4, 4), time=1.5)
-    spark.dataSource.register(ff.FieldFile)
-    got = spark.read.format("fieldfile").option("path", path).option("keys", "x,t").load()
+    a = arrays(spark, d).selectExpr("e", "transform(u, (v, p) -> v + p / 10.0D) as x", "u as y", "u as z", "transform(u, (v, p) -> 2 * v - p * 0.5D) as t")
+    path = f"{_folder(spark)}/field-{uuid.uuid4().hex}"
+    ff.write_field(a, path, (N, N, N), time=1.5, files=1)
+    got = ff.read_field(spark, path, "x,t")
     return got.select("e", F.posexplode(F.arrays_zip("x", "t")).alias("p", "v")).select("e", "p", F.round("v.x", 6).alias("x"), F.round("v.t", 6).alias("t"))
 
 
-@query("select probe_id, step, round(step*0.5::double, 6) as time, name, round(case when name='u' then probe_id + step else probe_id * step end, 6)::double as value from range(5) a(probe_id), range(3) b(step), (values ('u'), ('v')) n(name)")
+@query("with n as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as probe_id, s_acctbal from supplier) select probe_id, step, round(step*0.5::double, 6) as time, name, round(case when name='u' then s_acctbal + step else s_acctbal * step end, 6)::double as value from n, range(3) b(step), (values ('u'), ('v')) v(name)")
 def probe_csv_roundtrip(spark, d):
+    """A probe file of three times for all suppliers, written as text and read."""
     from nodeloom.sources import fieldfile as ff
 
-    lines = ["5,0,0,u,v", *[f"{i},0.0,1.0" for i in range(5)], *[f"{s * 0.5},{float(i + s)},{float(i * s)}" for s in range(3) for i in range(5)]]
-    rows = spark.createDataFrame(list(enumerate(lines)), "line_no long, text string")
-    return ff.read_probes_csv(rows).select("probe_id", "step", F.round("time", 6).alias("time"), "name", F.round("value", 6).alias("value"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    p = s.join(st.number_elements(s.select("s_suppkey"), element="s_suppkey", out="probe_id"), "s_suppkey")
+    n = p.count()
+    head = spark.range(1).select(F.lit(0).cast("long").alias("line_no"), F.lit(f"{n},0,0,u,v").alias("text"))
+    places = p.select((F.col("probe_id") + 1).alias("line_no"), F.concat_ws(",", "s_suppkey", F.lit("0.0"), F.lit("1.0")).alias("text"))
+    steps = p.withColumn("step", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    values = steps.select((F.col("probe_id") + 1 + n * (F.col("step") + 1)).alias("line_no"), F.concat_ws(",", F.col("step") * 0.5, F.col("s_acctbal") + F.col("step"), F.col("s_acctbal") * F.col("step")).alias("text"))
+    return ff.read_probes_csv(head.unionByName(places).unionByName(values)).select("probe_id", "step", F.round("time", 6).alias("time"), "name", F.round("value", 6).alias("value"))
 
 
-@query("select cast(n as bigint) as number, concat('fld', n, '.f0') as file, round(n*0.25::double, 6) as time from range(20) t(n)")
+@query("with w as (select event_type, event_id, last_value(case when event_id % 3 = 0 then concat('fld', event_id, '.f0') end ignore nulls) over w as file, last_value(case when event_id % 2 = 0 then value end ignore nulls) over w as time from events window w as (partition by event_type order by event_id)) select event_type, event_id as number, file, round(time, 6) as time from w")
 def log_index(spark, d):
+    """A solver's log per type of event, in several text files; an output has the
+    last file name and time that its log told before."""
     from nodeloom.sources import fieldfile as ff
 
-    lines = [x for n in range(20) for x in (f"File name : fld{n}.f0", f" t = {n * 0.25}", "noise", f"Output number : {n}")]
-    rows = spark.createDataFrame(list(enumerate(lines)), "line_no long, text string")
-    return ff.index_log(rows).select("number", "file", F.round("time", 6).alias("time"))
+    path = f"{_folder(spark)}/logs-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("event_type", "event_id", "value").repartitionByRange(4, "event_id").sortWithinPartitions("event_type", "event_id")
+    told = F.array_compact(F.array(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("File name : fld"), "event_id", F.lit(".f0"))), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" t = "), "value")), F.lit("noise"), F.concat(F.lit("Output number : "), "event_id")))
+    e.select("event_type", F.explode(told).alias("text")).write.partitionBy("event_type").text(path)
+    got = ff.index_log(ff.read_lines(spark, path))
+    return got.select(F.regexp_extract("log", "event_type=(.*)$", 1).alias("event_type"), "number", "file", F.round("time", 6).alias("time"))
 
 
 @query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by 1")

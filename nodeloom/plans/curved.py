@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from nodeloom.functions import spectral as sp
 from nodeloom.operators import elements as el
 from nodeloom.operators import geometry as geo
-from nodeloom.plans.catalogue import N, SQL_BRICK, SQL_D, SQL_W, _sql_deriv, brick_arrays, matrix, query, values
+from nodeloom.plans.catalogue import N, SQL_BRICK, SQL_D, SQL_W, _sql_deriv, brick_arrays, matrix, query
 
 _INVERSE, _DET = geo.cofactors()
 _AT = {"r": "i", "s": "j", "t": "k"}
@@ -113,10 +112,21 @@ def advection_curved(spark, d):
     return el.nodes(a, "e", ["v"], N).withColumn("v", F.round("v", 5))
 
 
-_HALF = [float(v) for v in np.gradient(sp.gll(N)[0], np.arange(N))]
+# Half distances of four nodes at -1, -1/sqrt(5), 1/sqrt(5), 1: the ends have one neighbour.
+_SQL_HALF = "hh(a, h) as (values (0, (1 - 1/sqrt(5.0::double))/2), (1, (1 + 1/sqrt(5.0::double))/2), (2, (1 + 1/sqrt(5.0::double))/2), (3, (1 - 1/sqrt(5.0::double))/2))"
 
 
-@query(f"{_sql_metric()}, {values('hh', 'a, h', list(enumerate(_HALF)))} select e, " + ", ".join(f"round(max(sqrt(x{a}*x{a}+y{a}*y{a}+z{a}*z{a})*h{a}.h), 6) as h{a}" for a in "rst") + " from m join hh hr on hr.a=i join hh hs on hs.a=j join hh ht on ht.a=k group by e")
+def _tilted(spark, d):
+    """The brick turned about z and sheared, so that no reference axis runs along one of space."""
+    a = brick_arrays(spark, d)
+    turned = {"xs": lambda x, y: 0.8 * x - 0.6 * y, "ys": lambda x, y: 0.6 * x + 0.8 * y}
+    return a.select("e", "u", *[F.zip_with("xs", "ys", f).alias(c) for c, f in turned.items()], F.zip_with("zs", "xs", lambda z, x: z + 0.5 * x).alias("zs"))
+
+
+_TILTED = {"px": "0.8::double*x - 0.6::double*y", "py": "0.6::double*x + 0.8::double*y", "pz": "z + 0.5::double*x"}
+
+
+@query(f"{_sql_metric(_TILTED)}, {_SQL_HALF} select e, " + ", ".join(f"round(max(sqrt(p{c}r*hr.h*p{c}r*hr.h + p{c}s*hs.h*p{c}s*hs.h + p{c}t*ht.h*p{c}t*ht.h)), 6) as h{c}" for c in "xyz") + " from m join hh hr on hr.a=i join hh hs on hs.a=j join hh ht on ht.a=k group by e")
 def mesh_check(spark, d):
-    """Largest node spacing per element and axis."""
-    return geo.spacing(brick_arrays(spark, d), N).groupBy("e").agg(*[F.round(F.max(f"h{a}"), 6).alias(f"h{a}") for a in "rst"])
+    """Largest node spacing per element and axis of space, on tilted elements."""
+    return geo.spacing(_tilted(spark, d), N).groupBy("e").agg(*[F.round(F.max(f"h{c}"), 6).alias(f"h{c}") for c in "xyz"])

@@ -68,8 +68,8 @@ def stream_pod(spark, d):
     b = _blocks(spark, d)
     state = rom.StreamingPod("row", 16)
     for at in range(0, 64, 16):
-        b.select("row", F.slice("a", at + 1, 16).alias("a")).coalesce(1).write.mode("append").parquet(src)
-        pipelines.stream_pod(pipelines.steps(spark, src, "row long, a array<double>"), state, "row", "a", log)
+        b.select("row", F.slice("a", at + 1, 16).alias("a")).repartition(4).write.mode("append").parquet(src)
+        pipelines.stream_pod(pipelines.steps(spark, src, "row long, a array<double>", 4), state, "row", "a", log)
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(state.sigma)], "k int, sigma double")
 
 

@@ -3,6 +3,7 @@ orientation, second derivatives and the augmented statistics."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nodeloom.operators import budgets as bg
@@ -47,14 +48,32 @@ def dssum_coordinates(spark, d):
     return g.select("e", "k", "j", "i", F.round("total", 6).alias("total"), "copies")
 
 
+_SQL_PLACES = f"with {SQL_FLAT}, l as (select *, e*64 + k*16 + j*4 + i as node, min(e*64 + k*16 + j*4 + i) over (partition by gx, gy, gz) as label from flat), pl as (select *, dense_rank() over (order by label) - 1 as place from l)"
+
+
+@query(f"{_SQL_PLACES} select e, k, j, i, place from pl")
+def global_places(spark, d):
+    """Dense numbers of the distinct places of all nodes, from coordinates alone."""
+    n = _shaken(spark, d)
+    return n.join(co.numbered_places(n, "node", ["x", "y", "z"], TOL, 1000), "node").select("e", "k", "j", "i", "place")
+
+
+@query(f"{_SQL_PLACES}, c(cell, k, j, i) as (select cast(c as int), cast(c // 9 as int), cast(c // 3 % 3 as int), cast(c % 3 as int) from range(27) t(c)), o(corner, dk, dj, di) as (values (0,0,0,0),(1,0,0,1),(2,0,1,1),(3,0,1,0),(4,1,0,0),(5,1,0,1),(6,1,1,1),(7,1,1,0)) select pl.e, c.cell, o.corner, pl.place from c, o, pl where pl.k = c.k + o.dk and pl.j = c.j + o.dj and pl.i = c.i + o.di")
+def global_cells(spark, d):
+    """Linear hexahedra of all elements by the global numbers of their corners."""
+    cells = co.global_cells(co.numbered_places(_shaken(spark, d), "node", ["x", "y", "z"], TOL, 1000), "node", N)
+    return cells.select("e", "cell", F.posexplode("ids").alias("corner", "place"))
+
+
 _SQL_EDGES = " union all ".join(f"select e, {k} as edge, j, i, gx, gy from flat2 where {c} = {v}" for k, (c, v) in enumerate([("j", 0), ("j", 3), ("i", 0), ("i", 3)]))
 
 
-@query(f"with {SQL_FLAT}, flat2 as (select * from flat where e < 64 and k = 0), en as ({_SQL_EDGES}), c as (select e, edge, min(gx)+max(gx) as cx, min(gy)+max(gy) as cy from en group by e, edge), free as (select e, edge from c a where not exists (select 1 from c b where a.cx=b.cx and a.cy=b.cy and a.e<>b.e)) select e, edge, j, i from en join free using (e, edge) where gx <= 12")
+@query(f"with {SQL_FLAT}, flat2 as (select * replace (gx + 27*(e//64) as gx) from flat where k = 0), en as ({_SQL_EDGES}), c as (select e, edge, min(gx)+max(gx) as cx, min(gy)+max(gy) as cy from en group by e, edge), free as (select e, edge from c a where not exists (select 1 from c b where a.cx=b.cx and a.cy=b.cy and a.e<>b.e)) select e, edge, j, i from en join free using (e, edge) where gx - 27*(e//64) <= 12")
 def boundary_nodes_2d(spark, d):
-    """The lowest layer as a two-dimensional mesh: nodes on its boundary with x at most 4."""
-    flat = _shaken(spark, d).where("e < 64 and k = 0").select("e", "j", "i", "x", "y")
-    return co.boundary_nodes_2d(flat, N, TOL, F.col("x") <= 4 + 1e-6)
+    """The lowest faces of all layers as two-dimensional meshes side by side: nodes on their boundaries with x at most 4."""
+    aside = F.expr("9.0D * (e div 64)")
+    flat = _shaken(spark, d).where("k = 0").select("e", "j", "i", (F.col("x") + aside).alias("x"), "y")
+    return co.boundary_nodes_2d(flat, N, TOL, F.col("x") - aside <= 4 + 1e-6)
 
 
 @query(f"with {SQL_FLAT}, {SQL_W}, m as (select f.*, a.w*b.w*c.w/8 as b from flat f join w a on a.a=f.i join w b on b.a=f.j join w c on c.a=f.k), o as (select *, min(e) over (partition by e%64) as owner from m) select owner, j, i, round(sum(u*b)/sum(b), 6) as u, round(sum(b), 6) as weight from o group by owner, j, i")
@@ -180,7 +199,7 @@ def set_operations(spark, d):
     """Candidates that two searches agree on, without those that a third one rules out."""
     p = table(spark, d, "part")
     brands = p.where("p_size > 40").select("p_brand").intersect(p.where("p_size < 5").select("p_brand")).exceptAll(p.where("p_size = 25 and p_partkey % 7 = 0").select("p_brand").distinct())
-    return p.join(F.broadcast(brands), "p_brand", "left_semi").select("p_partkey", "p_size")
+    return p.join(brands, "p_brand", "left_semi").select("p_partkey", "p_size")
 
 
 @query("select l_suppkey, count(distinct l_partkey) as parts, count(distinct l_returnflag) as modes from lineitem group by 1")
@@ -192,5 +211,5 @@ def distinct_counts(spark, d):
 @query("select user_id, event_id, round(t, 3) as time from (select user_id, event_id, epoch_us(ts)/1000000.0::double as t, row_number() over (partition by user_id order by epoch_us(ts) desc, event_id desc) as n from events) where n <= 3")
 def last_outputs(spark, d):
     """The three latest outputs of each series."""
-    best = _outputs(spark, d).groupBy("user_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("time")).alias("t"), (-F.col("event_id")).alias("i")))), 1, 3).alias("b"))
-    return best.select("user_id", F.explode("b").alias("b")).select("user_id", (-F.col("b.i")).alias("event_id"), F.round(-F.col("b.t"), 3).alias("time"))
+    latest = W.partitionBy("user_id").orderBy(F.desc("time"), F.desc("event_id"))
+    return _outputs(spark, d).withColumn("n", F.row_number().over(latest)).where("n <= 3").select("user_id", "event_id", F.round("time", 3).alias("time"))

@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from nodeloom.operators import compression, routing
+from nodeloom.operators import compression, routing, sequence
 from nodeloom.operators import elements as el
-from nodeloom.plans.catalogue import N, SQL, SQL_NODES, SQL_PROBES, _INV, _folder, _located, _sql_deriv, arrays, matrix, query, table
+from nodeloom.plans.catalogue import _INV, _KEYS, N, QUERIES, SQL, SQL_D, SQL_NODES, SQL_PROBES, _folder, _located, _probes, _sql_deriv, _sql_lagrange, arrays, brick_arrays, matrix, query, table
 from nodeloom.sources import container, fieldfile, probes
 
 
@@ -24,7 +24,7 @@ def field_files(spark, d):
     path = _home(spark, "field")
     fieldfile.write_field(a, path, (N, N, N), time=2.5, step=3)
     got = fieldfile.read_field(spark, path, "x,t,s1", 3)
-    time = got.select("time").first()[0]
+    time = fieldfile.read_header(fieldfile.files_of(path)[0])["time"]
     return el.nodes(got, "e", ["x", "t", "s1"], N).select("e", "k", "j", "i", *[F.round(c, 6).alias(c) for c in ("x", "t", "s1")], F.lit(time).alias("time"))
 
 
@@ -42,8 +42,8 @@ def field_files_2d(spark, d):
 @query(f"with {SQL_NODES} select e as row, cast((k-1)*4 + (i-1)*1 + (j-2)*2 as int) as place, round(u, 6) as v from nodes where e >= 10 and e < 60 and k >= 1 and k < 3 and j >= 2 and i >= 1 and i < 2")
 def container_slices(spark, d):
     """A dataset with four axes in a group; elements 10 to 59 and a block of each are read."""
-    root = _home(spark, "container")
-    container.write_dataset(arrays(spark, d).select(F.col("e").alias("row"), F.col("u").alias("v")), root, "u", [500, 4, 4, 4], group="fields/step0")
+    root, rows = _home(spark, "container"), arrays(spark, d).select(F.col("e").alias("row"), F.col("u").alias("v"))
+    container.write_dataset(rows, root, "u", [rows.count(), 4, 4, 4], group="fields/step0")
     got = container.read_dataset(spark, root, "u", "fields/step0", (10, 60), [(1, 3), (2, 4), (1, 2)])
     cut = got.select("row", F.posexplode("v").alias("q", "v"))
     return cut.select("row", F.expr("cast((q div 2) * 4 + (q % 2) * 2 as int)").alias("place"), F.round("v", 6).alias("v"))
@@ -81,6 +81,25 @@ def interpolate_sequence(spark, d):
     return got.select("probe_id", "time", F.round("value", 5).alias("value"))
 
 
+# Operating on each field before it is sampled: derivatives of the straight brick are those of the reference
+# coordinates times two, made continuous over shared nodes.
+_OPERATED_G = ", ".join(f"g{c} as ({_sql_deriv(a)})" for c, a in zip("xyz", "ijk", strict=True))
+_OPERATED = f"with {SQL_PROBES}, q as (select probe_id, e, 2*(x-floor(x))-1 as r, 2*(y-floor(y))-1 as s, 2*(z-floor(z))-1 as t from lo), b as (select probe_id, e, [{', '.join(_sql_lagrange('r'))}] as lr, [{', '.join(_sql_lagrange('s'))}] as ls, [{', '.join(_sql_lagrange('t'))}] as lt from q), {SQL_NODES}, {SQL_D}, {_OPERATED_G}, g as (select n.*, " + ", ".join(f"avg(2*g{c}.v) over (partition by {_KEYS}) as d{c}" for c in "xyz") + " from nodes n join gx using (e, k, j, i) join gy using (e, k, j, i) join gz using (e, k, j, i)), one as (select probe_id, " + ", ".join(f"coalesce(sum(lr[i+1]*ls[j+1]*lt[k+1]*{c}), 0) as {n}" for n, c in (("u", "u"), ("uu", "u*u"), ("dudx", "dx"), ("dudy", "dy"), ("dudz", "dz"))) + " from b left join g using (e) group by probe_id) select probe_id, s*0.5::double as time, round((s+1)*u, 5) as u, round((s+1)*(s+1)*uu, 4) as uu, " + ", ".join(f"round((s+1)*dud{c}, 4) as dud{c}" for c in "xyz") + " from one, range(2) t(s)"
+
+
+@query(_OPERATED)
+def operate_sequence(spark, d):
+    """Continuous gradients and products of two fields in time, sampled at probes; mesh, shared nodes and probes stay in their buckets."""
+    mesh = brick_arrays(spark, d, 0.0)
+    ready = sequence.prepare(spark, mesh.select("e", "xs", "ys", "zs"), _probes(spark, d), N, _home(spark, "sequence"))
+    out = None
+    for s in range(2):
+        step = arrays(spark, d).select("e", F.expr(f"transform(u, v -> v * {s + 1})").alias("u"))
+        got = sequence.operate(ready, step, ["u"], {"uu": ("u", "u")}).withColumn("time", F.lit(s * 0.5))
+        out = got if out is None else out.unionByName(got)
+    return out.select("probe_id", "time", F.round("u", 5).alias("u"), F.round("uu", 4).alias("uu"), *[F.round(f"dud{c}", 4).alias(f"dud{c}") for c in "xyz"])
+
+
 @query(f"with {SQL_PROBES} select probe_id, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z, 0 as err_code from lo where e is null")
 def probe_warnings(spark, d):
     """The report of probes that no element holds."""
@@ -93,8 +112,6 @@ def probe_warnings(spark, d):
 
 @query("select event_id as probe_id, round((event_id%83)*0.0973::double+0.0131::double, 6) as x, round((event_id%59)*0.1351::double+0.0171::double, 6) as y, round((event_id%37)*0.2113::double+0.0117::double, 6) as z from events")
 def probe_coordinates(spark, d):
-    from nodeloom.plans.catalogue import _probes
-
     out = _home(spark, "probes")
     probes.write_coordinates(_probes(spark, d), out)
     got = spark.read.schema("probe_id long, x double, y double, z double").option("header", True).csv(f"{out}/coordinates")
@@ -123,11 +140,20 @@ def stored_bitplanes(spark, d):
     return back.select("e", (far <= F.col("width") / (2 ** s["bits"] - 1) * 0.5001 + 1e-12).alias("near"))
 
 
-@query(f"with {SQL_NODES}, {matrix('m', _INV)}, t1 as ({_sql_deriv('i', 'm')}), t2 as ({_sql_deriv('j', 'm', 't1', 'v')}), t3 as ({_sql_deriv('k', 'm', 't2', 'v')}) select e % 5 as g, cast(k*16+j*4+i as int) as p, round(avg(v*v), 6) as power from t3 group by 1, 2")
-def average_spectrum(spark, d):
-    """Covariance of the sampler from the mean spectrum over groups of elements."""
-    t = el.nodes(el.tensor(arrays(spark, d), "u", _INV, "c"), "e", ["c"], N).withColumn("p", F.expr("k*16 + j*4 + i"))
-    return compression.average_spectrum(t, F.col("e") % 5).select("g", "p", F.round("power", 6).alias("power"))
+_SQL_MODAL = f"with {SQL_NODES}, {matrix('m', _INV)}, t1 as ({_sql_deriv('i', 'm')}), t2 as ({_sql_deriv('j', 'm', 't1', 'v')}), t3 as ({_sql_deriv('k', 'm', 't2', 'v')})"
+
+
+def _spectrum(kind: str):
+    def run(spark, d):
+        t = el.nodes(el.tensor(arrays(spark, d), "u", _INV, "c"), "e", ["c"], N).withColumn("p", F.expr("k*16 + j*4 + i"))
+        return compression.average_spectrum(t, F.expr("e div 10"), kind).select("g", "p", F.round("power", 6).alias("power"))
+
+    return run
+
+
+for _name, _kind, _power in (("average_spectrum", "mean", "avg(v)*avg(v)"), ("spectrum_variance", "variance", "case when count(*) > 1 then (sum(v*v) - sum(v)*sum(v)/count(*))/(count(*) - 1) end")):
+    QUERIES[_name] = _spectrum(_kind)
+    SQL[_name] = f"{_SQL_MODAL} select e // 10 as g, cast(k*16+j*4+i as int) as p, round({_power}, 6) as power from t3 group by 1, 2"
 
 
 # --- where statistics lie ------------------------------------------------------------
@@ -142,9 +168,12 @@ def file_fields(mean: str = "mean_field.fld", stats: str = "stats.fld") -> list[
     return [(name, file, *key) for file, names in ((mean, MEAN_FIELDS), (stats, STAT_FIELDS)) for name, key in zip(names, keys, strict=False)]
 
 
-@query("with s(name, n) as (values " + ", ".join(f"('{n}', {k})" for k, n in enumerate(STAT_FIELDS)) + "), m(name, n) as (values " + ", ".join(f"('{n}', {k})" for k, n in enumerate(MEAN_FIELDS)) + "), a as (select name, n, 'mean_field.fld' as file from m union all select name, n, 'stats.fld' from s) select name, file, case when n = 0 then 'pres' when n < 4 then concat('vel_', n - 1) when n = 4 then 'temp' else concat('scal_', n - 5) end as key, case when n < 5 then substr('puvwt', n + 1, 1) else concat('s', n - 5) end as short from a")
+@query("with s(name, n) as (values " + ", ".join(f"('{n}', {k})" for k, n in enumerate(STAT_FIELDS)) + "), m(name, n) as (values " + ", ".join(f"('{n}', {k})" for k, n in enumerate(MEAN_FIELDS)) + "), a as (select name, n, 'mean_field.fld' as file, n as place from m union all select name, n, 'stats.fld', n + 4 from s) select p_partkey, name, file, case when n = 0 then 'pres' when n < 4 then concat('vel_', n - 1) when n = 4 then 'temp' else concat('scal_', n - 5) end as key, case when n < 5 then substr('puvwt', n + 1, 1) else concat('s', n - 5) end as short from part join a on p_partkey % 45 = place")
 def statistics_files(spark, d):
-    return spark.createDataFrame(file_fields(), "name string, file string, key string, short string")
+    """Requests for statistics (parts, by number) with the file and the keys where each lies."""
+    known = spark.createDataFrame([(k, *f) for k, f in enumerate(file_fields())], "place int, name string, file string, key string, short string")
+    asked = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 45).cast("int").alias("place"))
+    return asked.join(F.broadcast(known), "place").drop("place")  # some forty rows
 
 
 # --- routing --------------------------------------------------------------------------
@@ -161,7 +190,9 @@ def write_offsets(spark, d):
     return routing.exclusive_offsets(table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("rank")), "rank")
 
 
-@query("select case when c_custkey < 10 then 0 when c_custkey < 40 then 1 when c_custkey < 100 then 2 end as destination, count(*) as n from customer group by 1")
+@query("with n as (select count(*) as n from customer) select case when c_custkey < n // 10 then 0 when c_custkey < n // 10 + n // 3 then 1 when c_custkey < n then 2 end as destination, count(*) as n from customer, n group by 1")
 def scattered_rows(spark, d):
+    """Customers in three shares, by their numbers; what is beyond goes nowhere."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("place"))
-    return routing.scatter(c, "place", [10, 30, 60]).groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+    n = c.count()
+    return routing.scatter(c, "place", [n // 10, n // 3, n - n // 10 - n // 3]).groupBy("destination").agg(F.count(F.lit(1)).alias("n"))

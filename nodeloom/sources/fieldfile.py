@@ -14,7 +14,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from nodeloom.operators.statistics import filled
 
 HEADER, ENDIAN = 132, 6.54321  # fixed values of the format
 
@@ -96,6 +98,14 @@ def write(path: str, arrays: dict[str, np.ndarray], n: tuple[int, int, int], tim
         f.write(encode(arrays, np.arange(1, count + 1) if ids is None else ids, n, time, step, wdsz, order=order))
 
 
+WRITE_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 32 << 20, 4 << 20  #: of a file, of a task that reads, of a batch
+
+
+def per_element(h: dict, keys: list[str]) -> int:
+    """Bytes of an element's values of these variables."""
+    return int(np.prod(h["shape"])) * h["wdsz"] * len(keys)
+
+
 class Range(InputPartition):
     def __init__(self, path: str, head: dict, first: int, count: int):
         self.path, self.head, self.first, self.count = path, head, first, count
@@ -111,7 +121,7 @@ def linear_ranges(elements: int, parts: int) -> list[tuple[int, int]]:
 class FieldFile(DataSource):
     """format("fieldfile"). Read: path (a file, or a folder of the files of a
     field), keys (comma-separated; other variables are skipped by offset),
-    partitions (per file); rows have the element's own number, from 0, as e.
+    partitions (per file; 0: by bytes); rows have the element's own number, from 0, as e.
     Write: path (a folder), shape ("4,4,4"), elements (in all), files, time,
     step, wdsz (8 or 4): each task writes a file of its own."""
 
@@ -130,7 +140,7 @@ class FieldFile(DataSource):
         return "e long, time double, " + ", ".join(f"{k} array<double>" for k in self._keys(self._head()))
 
     def reader(self, schema):
-        return FieldReader(self.options["path"], self._keys(self._head()), int(self.options.get("partitions", 4)))
+        return FieldReader(self.options["path"], self._keys(self._head()), int(self.options.get("partitions", 0)))
 
     def writer(self, schema, overwrite):
         return FieldWriter(dict(self.options), [f.name for f in schema.fields], overwrite)
@@ -142,7 +152,38 @@ def read_header(path: str) -> dict:
         return parse_header(f.read(HEADER + 4))
 
 
+def read_block(f, h: dict, keys: list[str], first: int, count: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Numbers (from 0) and values of count elements of an open file, from the first on."""
+    dim, n, size, order = 3 if h["shape"][2] > 1 else 2, int(np.prod(h["shape"])), h["wdsz"], h["order"]
+    start, names, got = HEADER + 4 + 4 * h["elements"], [c for c, _ in columns(h)], {}
+    f.seek(HEADER + 4 + 4 * first)
+    ids = np.frombuffer(f.read(4 * count), f"{order}i4").astype(np.int64) - 1
+    vectors: dict[str, np.ndarray] = {}
+    for key in keys:
+        k = names.index(key)
+        group = next((g for g in ("xyz"[:dim], "uvw"[:dim]) if key in g), None)
+        begin, width = (names.index(group[0]), dim) if group else (k, 1)
+        if (group or key) not in vectors:
+            f.seek(start + size * n * (h["elements"] * begin + first * width))
+            vectors[group or key] = np.frombuffer(f.read(size * n * count * width), dtype=f"{order}f{size}").reshape(count, width, n)
+        got[key] = vectors[group or key][:, k - begin].astype(float)
+    return ids, got
+
+
+def as_batch(h: dict, ids: np.ndarray, got: dict[str, np.ndarray], more: dict[str, np.ndarray] | None = None):
+    """An Arrow batch: more, e, time and an array of nodal values per variable."""
+    import pyarrow as pa
+
+    ends = np.arange(len(ids) + 1, dtype=np.int32)
+    lists = {k: pa.ListArray.from_arrays(pa.array(ends * v.shape[1]), pa.array(np.ascontiguousarray(v).ravel())) for k, v in got.items()}
+    whole = {**{k: pa.array(v) for k, v in (more or {}).items()}, "e": pa.array(ids), "time": pa.array(np.full(len(ids), h["time"]))} | lists
+    return pa.RecordBatch.from_arrays(list(whole.values()), names=list(whole))
+
+
 class FieldReader(DataSourceReader):
+    """Element ranges of the files, so many that each reads about READ_BYTES, or
+    parts per file; a range comes in batches of about BATCH_BYTES."""
+
     def __init__(self, path: str, keys: list[str], parts: int):
         self.path, self.keys, self.parts = path, keys, parts
 
@@ -150,28 +191,16 @@ class FieldReader(DataSourceReader):
         out = []
         for path in files_of(self.path):
             h = read_header(path)
-            out += [Range(path, h, first, count) for first, count in linear_ranges(h["elements"], self.parts)]
+            parts = self.parts or -(-h["elements"] * per_element(h, self.keys) // READ_BYTES)
+            out += [Range(path, h, first, count) for first, count in linear_ranges(h["elements"], parts)]
         return out
 
     def read(self, part):
-        h, dim = part.head, 3 if part.head["shape"][2] > 1 else 2
-        n, size, order = int(np.prod(h["shape"])), h["wdsz"], h["order"]
-        start = HEADER + 4 + 4 * h["elements"]
-        names = [c for c, _ in columns(h)]
-        got = {}
         store, local = _store(part.path)
+        some = max(1, BATCH_BYTES // max(1, per_element(part.head, self.keys)))
         with store.open_input_file(local) as f:
-            f.seek(HEADER + 4 + 4 * part.first)
-            ids = np.frombuffer(f.read(4 * part.count), f"{order}i4")
-            for key in self.keys:
-                k = names.index(key)
-                group = next((g for g in ("xyz"[:dim], "uvw"[:dim]) if key in g), None)
-                first, width = (names.index(group[0]), dim) if group else (k, 1)
-                f.seek(start + size * n * (h["elements"] * first + part.first * width))
-                block = np.frombuffer(f.read(size * n * part.count * width), dtype=f"{order}f{size}").reshape(part.count, width, n)
-                got[key] = block[:, k - first].astype(float)
-        for i in range(part.count):
-            yield (int(ids[i]) - 1, h["time"], *[got[k][i].tolist() for k in self.keys])
+            for at in range(part.first, part.first + part.count, some):
+                yield as_batch(part.head, *read_block(f, part.head, self.keys, at, min(some, part.first + part.count - at)))
 
 
 class Written(WriterCommitMessage):
@@ -179,7 +208,7 @@ class Written(WriterCommitMessage):
         self.path = path
 
 
-class FieldWriter(DataSourceWriter):
+class FieldWriter(DataSourceArrowWriter):
     """A task's rows become one file, under a name of the task; files of failed or
     repeated attempts are removed when the job commits or aborts."""
 
@@ -194,17 +223,21 @@ class FieldWriter(DataSourceWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        rows = [r.asDict() for r in iterator]
         context = TaskContext.get()
-        number = context.partitionId()
-        name = f"{self.o['path'].rstrip('/')}/field-{number:06d}-{context.taskAttemptId()}.f{int(self.o.get('step', 0)):05d}"
-        if not rows:
-            return Written("")
-        rows.sort(key=lambda r: r["e"])
-        arrays = {c: np.array([r[c] for r in rows], float) for c in self.names if c not in ("e", "time")}
-        ids = np.array([r["e"] + 1 for r in rows])
+        number, names = context.partitionId(), [c for c in self.names if c not in ("e", "time")]
         shape = tuple(int(v) for v in self.o["shape"].split(","))
-        data = encode(arrays, ids, shape, float(self.o.get("time", 0.0)), int(self.o.get("step", 0)), int(self.o.get("wdsz", 8)), int(self.o["elements"]), number, int(self.o["files"]))
+        ids, parts = [np.zeros(0, np.int64)], {c: [np.zeros((0, int(np.prod(shape))))] for c in names}
+        for b in iterator:
+            ids.append(b.column("e").to_numpy(zero_copy_only=False))
+            for c in names:
+                parts[c].append(b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+        e = np.concatenate(ids)
+        if not len(e) and (number or int(self.o["elements"])):
+            return Written("")
+        order = np.argsort(e, kind="stable")
+        arrays = {c: np.concatenate(v)[order] for c, v in parts.items()}
+        name = f"{self.o['path'].rstrip('/')}/field-{number:06d}-{context.taskAttemptId()}.f{int(self.o.get('step', 0)):05d}"
+        data = encode(arrays, e[order] + 1, shape, float(self.o.get("time", 0.0)), int(self.o.get("step", 0)), int(self.o.get("wdsz", 8)), int(self.o["elements"]), number, int(self.o["files"]))
         store, local = _store(name)
         with store.open_output_stream(local) as f:
             f.write(data)
@@ -223,17 +256,21 @@ class FieldWriter(DataSourceWriter):
                 store.delete_file(local)
 
 
-def write_field(df: DataFrame, path: str, shape: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, files: int = 4) -> None:
+def write_field(df: DataFrame, path: str, shape: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, files: int | None = None) -> None:
     """Writes e and arrays of nodal values as the files of one field, in the order
-    of the elements: each task a range of them."""
+    of the elements: each task a range of them. Without a number of files, so many
+    that each holds about WRITE_BYTES. A field without elements is one file."""
     spark = df.sparkSession
     spark.dataSource.register(FieldFile)
-    out = df.repartitionByRange(files, "e")
-    o = {"shape": ",".join(map(str, shape)), "elements": str(df.count()), "files": str(files), "time": repr(time), "step": str(step), "wdsz": str(wdsz)}
+    count = df.count()
+    files = files or max(1, -(-count * int(np.prod(shape)) * wdsz * len([c for c in df.columns if c not in ("e", "time")]) // WRITE_BYTES))
+    out = df.repartitionByRange(files, "e") if count else df.coalesce(1)
+    o = {"shape": ",".join(map(str, shape)), "elements": str(count), "files": str(files), "time": repr(time), "step": str(step), "wdsz": str(wdsz)}
     out.write.format("fieldfile").mode("overwrite").options(**o).save(path)
 
 
-def read_field(spark, path: str, keys: str = "", partitions: int = 4) -> DataFrame:
+def read_field(spark, path: str, keys: str = "", partitions: int = 0) -> DataFrame:
+    """partitions: per file; 0 for as many as the bytes of the wanted variables ask for."""
     spark.dataSource.register(FieldFile)
     reader = spark.read.format("fieldfile").option("path", path).option("partitions", partitions)
     return (reader.option("keys", keys) if keys else reader).load()
@@ -249,16 +286,29 @@ def read_probes_csv(lines: DataFrame) -> DataFrame:
     return pairs.select("probe_id", "step", "time", F.trim("x.names").alias("name"), F.col("x.values").alias("value"))
 
 
-def index_log(lines: DataFrame) -> DataFrame:
-    """lines: line_no, text. Every line with an output number becomes an index
-    row with the last file name and time seen before it. A log is one text that
-    one solver wrote in order; several logs come with a column log."""
-    from pyspark.sql import Window as W
+def read_lines(spark, path: str) -> DataFrame:
+    """Lines of the text files in a folder with their places: log (the folder of
+    the file), part (the file's name and where the block that a task read begins)
+    and line_no, which grows within a block. A file of any size is many blocks."""
+    lines = spark.read.text(path, recursiveFileLookup=True).select("value", "_metadata.file_path", "_metadata.file_name", "_metadata.file_block_start")
+    folder = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1)
+    return lines.select(folder.alias("log"), F.struct("file_name", "file_block_start").alias("part"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text"))
+
+
+LINES_OF_PART = 100_000  #: lines of a log that one window holds, where lines come without blocks
 
+
+def index_log(lines: DataFrame) -> DataFrame:
+    """number, file and time (and log, if lines have it). lines: line_no, text.
+    Every line with an output number becomes an index row with the last file name
+    and time seen before it, in its log, which is one text that one solver wrote.
+    Logs are filled by parts (a column part, or ranges of line_no), each of which
+    goes on with the last values of those before."""
     one = lambda p: F.when(F.col("text").rlike(p), F.regexp_extract("text", p, 1))
     # Only the lines that say something are put in order.
     told = lines.where(F.col("text").rlike(r"File name\s*:|\bt\s*=|Output number\s*:"))
-    log = F.col("log") if "log" in lines.columns else F.lit(0)
-    w = W.partitionBy(log).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    seen = told.withColumn("file", F.last(one(r"File name\s*:\s*(\S+)"), True).over(w)).withColumn("time", F.last(one(r"\bt\s*=\s*([0-9.eE+-]+)").cast("double"), True).over(w))
-    return seen.withColumn("number", one(r"Output number\s*:\s*(\d+)").cast("long")).where("number is not null").select("number", "file", "time")
+    group = ["log"] if "log" in lines.columns else []
+    if "part" not in lines.columns:
+        told = told.withColumn("part", F.floor(F.col("line_no") / LINES_OF_PART))
+    told = told.select(*group, "part", "line_no", one(r"File name\s*:\s*(\S+)").alias("file"), one(r"\bt\s*=\s*([0-9.eE+-]+)").cast("double").alias("time"), one(r"Output number\s*:\s*(\d+)").cast("long").alias("number"))
+    return filled(told, group, "part", "line_no", ["file", "time"]).where("number is not null").select(*group, "number", "file", "time")

@@ -101,17 +101,6 @@ def test_modes_equal_numpy(spark):
     assert abs(q["perpendicular_ratio"](spark, SF).first()[0] - np.linalg.norm(v - part @ (part.T @ v)) / np.linalg.norm(v)) < 1e-9
 
 
-def test_hilbert_line_equals_numpy(spark):
-    _, a = _snapshots(spark)
-    got = catalogue.queries()["hilbert_line"](spark, SF).toPandas().sort_values(["e", "p"])
-    x = np.concatenate([a, a[:, ::-1]], axis=1)
-    f = np.fft.fft(x, axis=1)
-    f[:, 1:64] *= 2
-    f[:, 65:] = 0
-    want = np.fft.ifft(f, axis=1)[:, :64]
-    assert np.allclose(got["re"], want.real.ravel(), atol=2e-6) and np.allclose(got["im"], want.imag.ravel(), atol=2e-6)
-
-
 def test_location_on_curved_elements(spark):
     """Points of known reference coordinates in warped elements come back."""
     from nodeloom.operators import statistics as st

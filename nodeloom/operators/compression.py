@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from nodeloom.functions.spectral import modal
-
 
 def keep_largest(coefficients: str, keep: int) -> Column:
     """The keep coefficients of largest magnitude (ties: the first), others zero; no shuffle."""
@@ -52,27 +50,6 @@ def from_bitplanes(lo: float, hi: float, data: bytes, n: int, bits: int) -> np.n
     return lo + q.astype(float) / (2**bits - 1) * (hi - lo)
 
 
-def gp_sample(values: np.ndarray, n: int, samples: int, noise: float = 1e-10) -> tuple[list[int], np.ndarray]:
-    """Greedy sampling: the node with the largest posterior deviation is added
-    until there are samples of them (ties: the lowest index). The covariance has
-    the element's own spectrum in the modal basis. Returns the nodes and the
-    posterior mean."""
-    v, inv = modal(n)
-    basis, back = np.kron(np.kron(v, v), v), np.kron(np.kron(inv, inv), inv)
-    spectrum = (back @ values) ** 2
-    k = (basis * spectrum) @ basis.T
-    chosen: list[int] = []
-    var = np.diag(k).copy()
-    for _ in range(samples):
-        free = var.copy()
-        free[chosen] = -1
-        chosen.append(int(np.argmax(free)))
-        small = k[np.ix_(chosen, chosen)] + noise * max(1e-300, np.trace(k) / len(k)) * np.eye(len(chosen))
-        gain = np.linalg.solve(small, k[chosen])
-        var = np.diag(k) - np.einsum("ij,ij->j", k[chosen], gain)
-    return chosen, gain.T @ values[chosen]
-
-
 def write_samples(samples, folder: str, settings: dict) -> None:
     """Compressed samples (a table of payloads) with the settings that read them back."""
     samples.write.mode("overwrite").parquet(f"{folder}/samples")

@@ -21,7 +21,7 @@ from nodeloom.operators import statistics as st
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 N = 4
-MODULES = ("curved", "meshes", "decomposition", "spectra", "storage", "drivers")
+MODULES = ("curved", "meshes", "decomposition", "spectra", "sampled", "storage", "drivers")
 
 
 def query(sql: str | None = None):
@@ -486,18 +486,6 @@ def bitplane_roundtrip(spark, d):
     return arrays(spark, d).select("e", (error("u") <= 1.0 / 2**16).alias("exact"))
 
 
-@query()
-def gp_sampling(spark, d):
-    @F.pandas_udf("struct<nodes:array<int>,mean:array<double>>")
-    def sample(u):
-        import pandas as pd
-
-        got = [compression.gp_sample(np.asarray(v), N, 16) for v in u]
-        return pd.DataFrame({"nodes": [g[0] for g in got], "mean": [g[1] for g in got]})
-
-    return arrays(spark, d).select("e", sample("u").alias("s")).select("e", F.size("s.nodes").alias("n"), F.size(F.array_distinct("s.nodes")).alias("different"), "s.nodes", "s.mean")
-
-
 # --- solvers ----------------------------------------------------------------
 def _weighted(src: str) -> str:
     return f"(select n.e, n.k, n.j, n.i, n.v*0.5::double*a.w*b.w*c.w as v from ({src}) n join w a on a.a=n.i join w b on b.a=n.j join w c on c.a=n.k)"

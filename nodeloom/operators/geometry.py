@@ -181,18 +181,44 @@ def advection(df: DataFrame, field: str, velocity: tuple[str, str, str], out: st
     return _kernel(df, [field, *velocity, *coords], out, run)
 
 
-def spacing(df: DataFrame, n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
+def spacing(df: DataFrame, n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs"), fields: tuple[str, ...] = ()) -> DataFrame:
     """Node spacing of the mesh check, long form with hx, hy, hz: along each axis
     of space the length of its changes over half the distance between the
-    reference neighbours; an end node has one neighbour, and half the distance to it."""
+    reference neighbours; an end node has one neighbour, and half the distance to it.
+    fields come along with their derivatives in reference coordinates."""
     x = gll(n)[0]
     half = (np.append(x[1:], x[-1]) - np.insert(x[:-1], 0, x[0])) / 2
     step = F.array(*[F.lit(float(v)) for v in half])
-    long = with_derivatives(df, [], n, coords).withColumns({f"_{a}": F.element_at(step, F.col(i) + 1) for a, i in zip(AXES, "ijk", strict=True)})
+    long = with_derivatives(df, list(fields), n, coords).withColumns({f"_{a}": F.element_at(step, F.col(i) + 1) for a, i in zip(AXES, "ijk", strict=True)})
     out = long.withColumns({f"h{c}": F.sqrt(F.expr(" + ".join(f"{c}{a} * _{a} * {c}{a} * _{a}" for a in AXES))) for c in "xyz"})
     return out.drop(*[f"_{a}" for a in AXES])
 
 
+def dissipation(long: DataFrame, velocity: tuple[str, str, str], scalar: str, pr: float, ra: float) -> DataFrame:
+    """Adds eps_k and eps_t, the dissipation of kinetic and of thermal energy of a
+    convection with these Prandtl and Rayleigh numbers, from the columns u_x, u_y .."""
+    at = lambda i, j: F.col(f"{velocity[i]}_{'xyz'[j]}")
+    square = lambda c: c * c
+    strain_sq = sum((square(at(i, j) + at(j, i)) for i in range(3) for j in range(3)), F.lit(0.0)) * 0.25
+    heat = sum((square(F.col(f"{scalar}_{c}")) for c in "xyz"), F.lit(0.0))
+    return long.withColumns({"eps_k": strain_sq * (2 * (pr / ra) ** 0.5), "eps_t": heat / (ra * pr) ** 0.5})
+
+
+def in_kolmogorov_units(nodes_: DataFrame, pr: float, ra: float) -> DataFrame:
+    """Per element e: the mean dissipation by mass (eps_k), the Kolmogorov length
+    eta from it, and the node spacings over it, again by mass (hx, hy, hz); and,
+    the same in each row, the length from the mean over all elements (eta_all) and
+    the Nusselt numbers by both dissipations. nodes_: e, b, hx, hy, hz, eps_k, eps_t."""
+    mu, lamb = (pr / ra) ** 0.5, 1 / (ra * pr) ** 0.5
+    each = nodes_.groupBy("e").agg(F.sum("b").alias("b"), *[F.sum(F.col(c) * F.col("b")).alias(c) for c in ("hx", "hy", "hz", "eps_k", "eps_t")])
+    b, k, t = nodes_.agg(F.sum("b"), F.sum(F.col("eps_k") * F.col("b")), F.sum(F.col("eps_t") * F.col("b"))).first()
+    if not b:
+        return each.select("e", "eps_k", F.lit(None).cast("double").alias("eta"), "hx", "hy", "hz", *[F.lit(None).cast("double").alias(c) for c in ("eta_all", "nu_k", "nu_t")])
+    whole = {"eta_all": (mu**3 / (k / b)) ** 0.25, "nu_k": 1 + k / b / (mu**3 * ra / pr**2), "nu_t": t / b / lamb}
+    each = each.withColumn("eps_k", F.col("eps_k") / F.col("b")).withColumn("eta", F.pow(F.lit(mu**3) / F.col("eps_k"), 0.25))
+    return each.select("e", "eps_k", "eta", *[(F.col(c) / F.col("b") / F.col("eta")).alias(c) for c in ("hx", "hy", "hz")], *[F.lit(v).alias(c) for c, v in whole.items()])
+
+
 def space_derivatives(df: DataFrame, fields: list[str], n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
     """Adds, as arrays per element, f_x, f_y, f_z and the pure second derivatives
     f_xx, f_yy, f_zz of each field f, by the chain rule applied twice."""

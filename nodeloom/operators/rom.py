@@ -222,6 +222,111 @@ class StreamingPod:
         return out
 
 
+def products(rows: DataFrame, left: str, right: str) -> np.ndarray:
+    """sum over rows of left^T right, of two arrays per row: a small matrix; batches are added up before they are sent."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            if len(b):
+                m = np.stack(b[left].to_numpy()).T @ np.stack(b[right].to_numpy())
+                total = m if total is None else total + m
+        if total is not None:
+            yield pd.DataFrame({"i": np.repeat(np.arange(total.shape[0]), total.shape[1]), "j": np.tile(np.arange(total.shape[1]), total.shape[0]), "v": total.ravel()})
+
+    got = rows.select(left, right).mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros((got["i"].max() + 1, got["j"].max() + 1)) if len(got) else np.zeros((0, 0))
+    out[got["i"], got["j"]] = got["v"]
+    return out
+
+
+class GrowingPod(StreamingPod):
+    """A streaming decomposition that takes as many modes as the snapshots ask for:
+    it begins with least, and each snapshot whose part outside the modes so far is
+    at least ratio of it adds one, up to most. ratios: what the tests found."""
+
+    def __init__(self, row: str, most: int, least: int = 1, ratio: float = 0.99):
+        super().__init__(row, least)
+        self.most, self.ratio, self.ratios = most, ratio, []
+
+    def update(self, batch: DataFrame, column: str) -> "GrowingPod":
+        if self.modes is not None:
+            met = self.modes.join(batch.select(self.row, F.col(column).alias("_new")), self.row)
+            both = met.select(F.concat("mode", "_new").alias("_both"), "_new")
+            p, k = products(both, "_both", "_new"), len(self.sigma)
+            whole = np.diag(p[k:]) if len(p) else np.zeros(0)
+            inside = (p[:k] ** 2).sum(axis=0) if len(p) else np.zeros(0)
+            for own, part in zip(whole, inside, strict=True):
+                out = float(np.sqrt(max(0.0, 1 - part / own))) if own > 0 else 0.0
+                self.ratios.append(out)
+                if out >= self.ratio and self.k < self.most:
+                    self.k += 1
+        super().update(batch, column)
+        return self
+
+
+class LocalPods:
+    """Decompositions of blocks of rows, each with k modes of its own, that go on
+    side by side and are merged at the end. Tables: modes (block, row, mode) and
+    right (block, sigma, vt: the right vectors one behind the other)."""
+
+    STATE = "block long, row long, mode array<double>, sigma array<double>, vt array<double>"
+
+    def __init__(self, k: int):
+        self.k, self.modes, self.right = k, None, None
+
+    def update(self, batch: DataFrame, column: str) -> "LocalPods":
+        """batch: block, row and an array of new snapshot values. A block is one group: it should fit a task."""
+        k = self.k
+        new = batch.select("block", "row", F.col(column).alias("new"))
+        if self.modes is None:
+            rows, right = new.withColumn("mode", F.array().cast("array<double>")), new.select("block").distinct().select("block", F.array().cast("array<double>").alias("sigma"), F.array().cast("array<double>").alias("vt"))
+        else:
+            rows, right = new.join(self.modes, ["block", "row"]), self.right
+
+        def run(b: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(b):
+                return pd.DataFrame(columns=["block", "row", "mode", "sigma", "vt"])
+            x = np.stack(b["new"].to_numpy()).astype(float)
+            s = np.asarray(r["sigma"].iloc[0], float)
+            before = np.asarray(r["vt"].iloc[0], float).reshape(len(s), -1) if len(s) else np.zeros((0, 0))
+            u = np.stack(b["mode"].to_numpy()).astype(float) * s if len(s) else np.zeros((len(x), 0))
+            left, sigma, turn = np.linalg.svd(np.hstack([u, x]), full_matrices=False)
+            left, sigma, turn = left[:, :k], sigma[:k], turn[:k]
+            vt = np.hstack([turn[:, : len(s)] @ before if len(s) else np.zeros((len(sigma), before.shape[1])), turn[:, len(s) :]])
+            out = b[["block", "row"]].assign(mode=list(left), sigma=None, vt=None)
+            return pd.concat([out, pd.DataFrame({"block": [b["block"].iloc[0]], "row": [None], "mode": [None], "sigma": [sigma], "vt": [vt.ravel()]})], ignore_index=True).astype({"row": "Int64"})
+
+        state = rows.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, self.STATE).checkpoint()
+        self.modes = state.where("sigma is null").select("block", "row", "mode")
+        self.right = state.where("sigma is not null").select("block", "sigma", "vt")
+        return self
+
+    def merge(self, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+        """Singular values, right vectors and modes (row, mode) of all rows together.
+        What a block hands over is its singular values times its right vectors, a
+        row per mode; their triangles are stacked like those of any tall matrix."""
+
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [v for s, vt in zip(b["sigma"], b["vt"], strict=True) for v in np.asarray(s, float)[:, None] * np.asarray(vt, float).reshape(len(s), -1)]
+                yield pd.DataFrame({"a": rows})
+
+        sigma, vt = svd(self.right.mapInPandas(spread, "a array<double>"), "a", k)
+        turn = vt.T / np.where(sigma > 1e-12, sigma, 1.0) if len(sigma) else np.zeros((0, 0))
+
+        def rotation(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"block": b["block"], "turn": [(np.asarray(s, float)[:, None] * np.asarray(v, float).reshape(len(s), -1) @ turn).ravel() for s, v in zip(b["sigma"], b["vt"], strict=True)]})
+
+        @F.pandas_udf("array<double>")
+        def turned(mode: pd.Series, by: pd.Series) -> pd.Series:
+            return pd.Series([np.asarray(m, float) @ np.asarray(t, float).reshape(len(m), -1) for m, t in zip(mode, by, strict=True)], dtype=object)
+
+        met = self.modes.join(self.right.mapInPandas(rotation, "block long, turn array<double>"), "block")
+        return sigma, vt, met.select("row", turned("mode", "turn").alias("mode"))
+
+
 def line_dft(rows: DataFrame, keys: list[str], index: str, value: str, n: int) -> DataFrame:
     """Discrete Fourier transform of lines over sqrt(n): kappa 0 .. n//2, re, im; no Python."""
     wave = rows.withColumn("kappa", F.explode(F.array(*[F.lit(k) for k in range(n // 2 + 1)])))

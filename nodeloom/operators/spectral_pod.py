@@ -77,7 +77,8 @@ def triangles(rows: DataFrame, branches: int = BRANCHES) -> DataFrame:
             if sum(r.nbytes for r in held.values()) > HELD:
                 yield frame(held)
                 held = {}
-        yield frame(held)
+        if held:
+            yield frame(held)
 
     def stack(group: pd.DataFrame) -> pd.DataFrame:
         r = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -68,6 +68,42 @@ def weighted_mean(rows: DataFrame, keys: list[str], values: list[str], weight: s
     return rows.groupBy(*keys).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(v) for v in values], F.sum(weight).alias("weight"))
 
 
+def own_aggregate(rows: DataFrame, keys: list[str], columns: list[str], part: Callable, merge: Callable, finish: Callable, out: dict[str, str]) -> DataFrame:
+    """keys and out (name -> type) by functions of the user's: part(arrays by
+    column) makes a state (a numpy array) of some rows, merge puts two together,
+    finish makes the values of out from one. States are made where the rows are;
+    only they are sent, one per key and task, so that a key may have any share of
+    the rows."""
+    kinds = dict(rows.dtypes)
+    key = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for k, g in b.groupby(keys, dropna=False, sort=False):
+                state = part({c: np.stack(g[c].to_numpy()) if g[c].dtype == object else g[c].to_numpy() for c in columns})
+                held[k] = merge(held[k], state) if k in held else state
+            if len(held) > 10_000:
+                yield frame(held)
+                held = {}
+        if held:
+            yield frame(held)
+
+    def frame(held: dict) -> pd.DataFrame:
+        made = pd.DataFrame(list(held), columns=keys)
+        return made.assign(state=[np.asarray(s, float).ravel() for s in held.values()], shape=[list(np.asarray(s).shape) for s in held.values()])
+
+    def last(g: pd.DataFrame) -> pd.DataFrame:
+        states = [np.asarray(s, float).reshape([int(x) for x in shape]) for s, shape in zip(g["state"], g["shape"], strict=True)]
+        whole = states[0]
+        for s in states[1:]:
+            whole = merge(whole, s)
+        return g[keys].iloc[:1].assign(**{c: [v] for c, v in zip(out, finish(whole), strict=True)})
+
+    states = rows.select(*keys, *columns).mapInPandas(first, f"{key}, state array<double>, shape array<int>")
+    return states.groupBy(*keys).applyInPandas(last, key + ", " + ", ".join(f"{c} {t}" for c, t in out.items()))
+
+
 def batch_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and variance of the mean over non-overlapping batches."""
     x = F.col(value)

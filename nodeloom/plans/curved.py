@@ -130,3 +130,26 @@ _TILTED = {"px": "0.8::double*x - 0.6::double*y", "py": "0.6::double*x + 0.8::do
 def mesh_check(spark, d):
     """Largest node spacing per element and axis of space, on tilted elements."""
     return geo.spacing(_tilted(spark, d), N).groupBy("e").agg(*[F.round(F.max(f"h{c}"), 6).alias(f"h{c}") for c in "xyz"])
+
+
+_PR, _RA = 0.5, 100.0
+_MU, _LAMB = "sqrt(0.5::double/100)", "(1/sqrt(0.5::double*100))"
+_STRAIN_SQ = " + ".join(f"power({_chain(f'f{i + 1}', 'xyz'[j])} + {_chain(f'f{j + 1}', 'xyz'[i])}, 2)" for i in range(3) for j in range(3))
+_HEAT = " + ".join(f"power({_chain('u', c)}, 2)" for c in "xyz")
+_HXYZ = ", ".join(f"sqrt({c}r*hr.h*{c}r*hr.h + {c}s*hs.h*{c}s*hs.h + {c}t*ht.h*{c}t*ht.h) as h{c}" for c in "xyz")
+
+
+@query(f"{_sql_metric(_FLOW | {'u': 'u'})}, {_SQL_HALF}, q as (select e, b, 2.5*2*{_MU}*0.25*({_STRAIN_SQ}) as eps_k, 2.5*{_LAMB}*({_HEAT}) as eps_t, {_HXYZ} from m join hh hr on hr.a=i join hh hs on hs.a=j join hh ht on ht.a=k), whole as (select sum(eps_k*b)/sum(b) as k, sum(eps_t*b)/sum(b) as t from q), el as (select e, sum(eps_k*b)/sum(b) as eps, " + ", ".join(f"sum(h{c}*b)/sum(b) as h{c}" for c in "xyz") + f" from q group by e) select e, round(eps, 3) as eps_k, round(power(power({_MU}, 3)/eps, 0.25), 6) as eta, " + ", ".join(f"round(h{c}/power(power({_MU}, 3)/eps, 0.25), 5) as h{c}" for c in "xyz") + f", round(power(power({_MU}, 3)/k, 0.25), 6) as eta_all, round(1 + k/(power({_MU}, 3)*100/0.25), 3) as nu_k, round(t/{_LAMB}, 3) as nu_t from el, whole")
+def mesh_kolmogorov(spark, d):
+    """Node spacing in Kolmogorov lengths, from the dissipation of two fields in time."""
+    a = brick_arrays(spark, d).withColumns({"f1": F.col("u"), "f2": F.zip_with("u", "ys", lambda p, q: p * q), "f3": F.zip_with("zs", "u", lambda p, q: p * p - q)})
+    fields = ["f1", "f2", "f3", "u"]
+    steps = None
+    for s in (1, 2):
+        of = a.select("e", "xs", "ys", "zs", *[F.expr(f"transform({f}, v -> v * {s})").alias(f) for f in fields])
+        n = geo.gradient(geo.with_mass(geo.metric(geo.spacing(of, N, fields=tuple(fields))), N), fields)
+        n = geo.dissipation(n, ("f1", "f2", "f3"), "u", _PR, _RA).select("e", "k", "j", "i", "b", "hx", "hy", "hz", "eps_k", "eps_t")
+        steps = n if steps is None else steps.unionByName(n)
+    mean = steps.groupBy("e", "k", "j", "i").agg(*[F.avg(c).alias(c) for c in ("b", "hx", "hy", "hz", "eps_k", "eps_t")])
+    digits = {"eps_k": 3, "eta": 6, "hx": 5, "hy": 5, "hz": 5, "eta_all": 6, "nu_k": 3, "nu_t": 3}
+    return geo.in_kolmogorov_units(mean, _PR, _RA).select("e", *[F.round(c, k).alias(c) for c, k in digits.items()])

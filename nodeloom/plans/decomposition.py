@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nodeloom.operators import rom
@@ -82,6 +83,40 @@ def pod_restart(spark, d):
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(again.sigma)], "k int, sigma double")
 
 
+@query()
+def pod_growing(spark, d):
+    """Rank by the snapshots: each that the modes so far leave out adds one."""
+    _folder(spark)
+    state, b = rom.GrowingPod("row", 12, 2, 0.9), _blocks(spark, d)
+    for at in range(0, 64, 8):
+        state.update(b.select("row", F.slice("a", at + 1, 8).alias("a")), "a")
+    return spark.createDataFrame([(k, float(s)) for k, s in enumerate(state.sigma)], "k int, sigma double")
+
+
+def _local(spark, d, k: int):
+    _folder(spark)
+    state = rom.LocalPods(k)
+    b = _blocks(spark, d).withColumn("block", F.expr("row div 100"))
+    for at in range(0, 64, 16):
+        state.update(b.select("block", "row", F.slice("a", at + 1, 16).alias("a")), "a")
+    return state
+
+
+@query(f"with {SQL_NODES} select e as row, cast(p as int) as p, round(u, 5) as v from nodes")
+def pod_local_merge(spark, d):
+    """Blocks of rows decomposed by themselves in four batches, merged: together the modes make up the snapshots."""
+    sigma, vt, modes = _local(spark, d, 64).merge(64)
+    back = rom.reconstructed(modes, "row", sigma, vt, "v")
+    return back.select("row", F.posexplode("v").alias("p", "v")).select("row", "p", F.round("v", 5).alias("v"))
+
+
+@query(f"with {SQL_NODES} select round(sum(u*u), 2) as energy from nodes")
+def pod_local_energy(spark, d):
+    """Sum of the squared singular values after the merge."""
+    sigma, _, _ = _local(spark, d, 64).merge(64)
+    return spark.createDataFrame([(round(float(np.square(sigma).sum()), 2),)], "energy double")
+
+
 def _mass_sql() -> str:
     return f"with {SQL_NODES}, {SQL_W} select e, round(sum(u*u*a.w*b.w*c.w), 6) as energy from nodes n join w a on a.a=n.i join w b on b.a=n.j join w c on c.a=n.k group by e"
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from nodeloom.operators import elements as el
 from nodeloom.operators import rom, search
+from nodeloom.operators import statistics as st
 from nodeloom.plans.catalogue import N, SQL_NODES, SQL_PROBES, _blocks, _folder, _probes, arrays, brick_arrays, query, table
-from nodeloom.sources import registry
+from nodeloom.sources import fieldfile, registry
 from nodeloom.streaming import pipelines
 
 
@@ -73,6 +75,38 @@ def stream_pod(spark, d):
     return spark.createDataFrame([(k, float(s)) for k, s in enumerate(state.sigma)], "k int, sigma double")
 
 
+def _write_steps(spark, d, folder: str, first: int, last: int) -> None:
+    """Field files of some steps: at step s the values are u (1 + s (p % 3))."""
+    for s in range(first, last):
+        a = arrays(spark, d).select("e", F.expr(f"transform(u, (v, p) -> v * (1 + {s} * (p % 3)))").alias("t"))
+        fieldfile.write_field(a, f"{folder}/step{s:05d}", (N, N, N), time=0.5 * s, step=s, files=2)
+
+
+@query(f"with {SQL_NODES} select e, k, j, i, cast(s as bigint) as step, s*0.5::double as time, round(u*(1 + s*(p%3)), 5) as t from nodes, range(4) q(s)")
+def stream_field_files(spark, d):
+    """Steps of field files as a stream: two are there at first, two come before the query starts again."""
+    folder, out = _home(spark, "steps"), _home(spark, "fields")
+    for first, last in ((0, 2), (2, 4)):
+        _write_steps(spark, d, folder, first, last)
+        pipelines.drain(pipelines.field_steps(spark, folder, "t"), out, f"{out}-log")
+    got = spark.read.schema("step long, e long, time double, t array<double>").parquet(out)
+    n = got.select("step", "time", "e", F.posexplode("t").alias("p", "t"))
+    return n.select("e", F.expr("p div 16").cast("int").alias("k"), F.expr("p div 4 % 4").cast("int").alias("j"), (F.col("p") % 4).alias("i"), "step", "time", F.round("t", 5).alias("t"))
+
+
+@query(f"with {SQL_NODES} select round(sum(power(u*(1 + s*(p%3)), 2)), 1) as energy, 4 as snapshots from nodes, range(4) q(s) having count(*) > 0")
+def stream_field_pod(spark, d):
+    """A decomposition of field files as they come, whose state is a table of the
+    last batch: a query that starts again goes on from there."""
+    folder, state, log = _home(spark, "steps"), _home(spark, "state"), _home(spark, "log")
+    _folder(spark)
+    for first, last in ((0, 2), (2, 4)):
+        _write_steps(spark, d, folder, first, last)
+        pipelines.kept_pod(pipelines.field_steps(spark, folder, "t"), "t", N**3, state, log, 8)
+    right = pipelines.kept_state(spark, state)
+    return right.select(F.explode("sigma").alias("s"), F.size("steps").alias("snapshots")).groupBy("snapshots").agg(F.round(F.sum(F.col("s") * F.col("s")), 1).alias("energy"))
+
+
 # --- JSON, aggregates, sorting --------------------------------------------------
 @query("select p_partkey, json_object('size', p_size, 'brand', p_brand)::varchar as settings, p_size * 2 as twice from part")
 def settings_json(spark, d):
@@ -82,12 +116,25 @@ def settings_json(spark, d):
     return p.select("p_partkey", "settings", (back["size"] * 2).alias("twice"))
 
 
-@query("select l_suppkey, round(sqrt(avg(l_quantity*l_quantity)), 6) as rms, round(regr_slope(l_extendedprice, l_quantity), 4) as slope from lineitem group by 1")
+@query("select l_suppkey, round(sqrt(avg(l_quantity*l_quantity)), 6) as rms, round(regr_slope(l_extendedprice, l_quantity), 4) as slope, max(l_quantity)::double as top from lineitem group by 1")
 def own_aggregates(spark, d):
-    """Root mean square by built-in functions, the slope of a fitted line by moments."""
-    x, y = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
-    t = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sqrt(F.avg(x * x)).alias("rms"), (F.covar_pop(y, x) / F.var_pop(x)).alias("slope"))
-    return t.select("l_suppkey", F.round("rms", 6).alias("rms"), F.round("slope", 4).alias("slope"))
+    """Root mean square, slope of a fitted line and maximum by functions of the
+    user's: states of parts of the rows that merge."""
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+
+    def part(c):
+        x, y = c["x"], c["y"]
+        return np.array([len(x), x.sum(), y.sum(), (x * x).sum(), (x * y).sum(), x.max()])
+
+    def merge(a, b):
+        return np.append(a[:5] + b[:5], max(a[5], b[5]))
+
+    def finish(s):
+        n, x, y, xx, xy, top = s
+        return (xx / n) ** 0.5, (n * xy - x * y) / (n * xx - x * x) if n * xx > x * x else None, top
+
+    t = st.own_aggregate(rows, ["l_suppkey"], ["x", "y"], part, merge, finish, {"rms": "double", "slope": "double", "top": "double"})
+    return t.select("l_suppkey", F.round("rms", 6).alias("rms"), F.round("slope", 4).alias("slope"), "top")
 
 
 @query("select p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 25")

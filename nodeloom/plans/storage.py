@@ -5,10 +5,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from nodeloom.operators import budgets as bg
 from nodeloom.operators import compression, routing, sequence
 from nodeloom.operators import elements as el
+from nodeloom.operators import geometry as geo
+from nodeloom.operators import statistics as st
 from nodeloom.plans.catalogue import _INV, _KEYS, N, QUERIES, SQL, SQL_D, SQL_NODES, SQL_PROBES, _folder, _located, _probes, _sql_deriv, _sql_lagrange, arrays, brick_arrays, matrix, query, table
 from nodeloom.sources import container, fieldfile, probes
 
@@ -176,6 +180,41 @@ def statistics_files(spark, d):
     return asked.join(F.broadcast(known), "place").drop("place")  # some forty rows
 
 
+# --- from files of statistics to budgets at points -----------------------------------
+_BUDGET = {k: v.replace("100.0", "100.0e0").replace("1.0/", "1.0e0/").replace("-2.0/", "-2.0e0/").replace("0.5*(", "0.5e0*(") for k, v in bg.energy_budget("100.0").items()}
+_WANTED = {name: bg.derived()[name] for name in bg.names_in(_BUDGET) if name in bg.derived()}
+_STATS = list(dict.fromkeys([*[n for n in bg.names_in(_BUDGET) if n not in _WANTED], *[s for s, _, _ in _WANTED.values()]]))
+#: The made statistics are multiples of a field.
+_TIMES = {name: k % 7 + 1 for k, name in enumerate(_STATS)}
+_FIRST_G = ", ".join(f"g{c} as ({_sql_deriv(a)}), h{c} as ({_sql_deriv(a, 'd', f'g{c}', 'v')})" for c, a in zip("xyz", "ijk", strict=True))
+_BASE = {"u": "u"} | {f"d{c}": f"d{c}" for c in "xyz"} | {f"s{c}": f"s{c}" for c in "xyz"}
+_AT_POINTS = f"with {SQL_PROBES}, q as (select probe_id, e, 2*(x-floor(x))-1 as r, 2*(y-floor(y))-1 as s, 2*(z-floor(z))-1 as t from lo), b as (select probe_id, e, [{', '.join(_sql_lagrange('r'))}] as lr, [{', '.join(_sql_lagrange('s'))}] as ls, [{', '.join(_sql_lagrange('t'))}] as lt from q), {SQL_NODES}, {SQL_D}, {_FIRST_G}, g as (select n.*, " + ", ".join(f"avg(2*g{c}.v) over (partition by {_KEYS}) as d{c}, avg(4*h{c}.v) over (partition by {_KEYS}) as s{c}" for c in "xyz") + " from nodes n " + " ".join(f"join {t}{c} using (e, k, j, i)" for t in "gh" for c in "xyz") + "), one as (select probe_id, " + ", ".join(f"coalesce(sum(lr[i+1]*ls[j+1]*lt[k+1]*{v}), 0) as {k}" for k, v in _BASE.items()) + " from b left join g using (e) group by probe_id), mean as (select probe_id % 10 as line, " + ", ".join(f"avg({k}) as {k}" for k in _BASE) + " from one group by 1), pts as (select line, " + ", ".join([f"{_TIMES[n]}*u as {n}" for n in _STATS] + [f"{_TIMES[f]}*{'d' if order == 1 else 's'}{axis} as {n}" for n, (f, order, axis) in _WANTED.items()]) + f") select line, {', '.join(f'round({f}, 3) as {k}' for k, f in _BUDGET.items())} from pts"
+_AT_POINTS = _AT_POINTS.replace(") select line, round", " from mean) select line, round", 1)
+
+
+@query(_AT_POINTS)
+def budgets_at_points(spark, d):
+    """Statistics in field files, their derivatives made continuous, all sampled at
+    probes, averaged over lines of probes by a function of the user's, and the
+    budget of the kinetic energy from what comes out."""
+    path = _home(spark, "stats")
+    scalars = {f"s{k}": name for k, name in enumerate(_STATS)}
+    a = brick_arrays(spark, d, 0.0)
+    fieldfile.write_field(a.select("e", F.col("xs").alias("x"), F.col("ys").alias("y"), F.col("zs").alias("z"), *[F.expr(f"transform(u, v -> v * {_TIMES[name]})").alias(s) for s, name in scalars.items()]), path, (N, N, N))
+    stats = fieldfile.read_field(spark, path).withColumnsRenamed({"x": "xs", "y": "ys", "z": "zs"} | scalars)
+    ready = sequence.prepare(spark, stats.select("e", "xs", "ys", "zs"), _probes(spark, d), N, _home(spark, "points"))
+    made = geo.derived_statistics(stats, {n: [t] for n, t in _WANTED.items()}, N).repartition(ready.buckets, "e")
+    smooth = sequence.averaged(ready, made, list(_WANTED))
+    at = sequence.sampled(ready, stats.select("e", *_STATS).repartition(ready.buckets, "e").join(smooth, "e"), [*_STATS, *_WANTED])
+    names = [*_STATS, *_WANTED]
+
+    def part(c):
+        return np.stack([np.full(len(names), float(len(c[names[0]]))), np.array([c[n].sum() for n in names])])
+
+    lines = st.own_aggregate(at.withColumn("line", F.col("probe_id") % 10), ["line"], names, part, lambda x, y: x + y, lambda s: (s[1] / s[0]).tolist(), dict.fromkeys(names, "double"))
+    return lines.select("line", *[F.round(F.expr(f), 3).alias(k) for k, f in _BUDGET.items()])
+
+
 # --- routing --------------------------------------------------------------------------
 @query("select l_suppkey % 7 as destination, count(*) as n, sum(l_orderkey) as keys, 1 as parts from lineitem group by 1")
 def routed_rows(spark, d):

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from nodeloom.operators.statistics import filled
 
@@ -203,6 +203,76 @@ class FieldReader(DataSourceReader):
                 yield as_batch(part.head, *read_block(f, part.head, self.keys, at, min(some, part.first + part.count - at)))
 
 
+def steps_of(folder: str) -> dict[int, list[tuple[str, dict]]]:
+    """Complete steps of a folder: number -> (file, header). Files lie in it or in
+    folders of it; a step is complete when its files have all of its elements."""
+    from pyarrow import fs
+
+    store, local = _store(folder)
+    found: dict[int, list[tuple[str, dict]]] = {}
+    for f in store.get_file_info(fs.FileSelector(local, recursive=True, allow_not_found=True)):
+        if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and f.size >= HEADER + 4:
+            path = folder.rstrip("/") + f.path[len(local.rstrip("/")) :]
+            h = read_header(path)
+            found.setdefault(h["step"], []).append((path, h))
+    return {s: sorted(files, key=lambda x: x[0]) for s, files in sorted(found.items()) if sum(h["elements"] for _, h in files) >= files[0][1]["total"]}
+
+
+class FieldSteps(DataSource):
+    """format("fieldsteps"), a stream. path: a folder of steps; keys as for
+    fieldfile. Rows: step, e, time, an array per variable."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fieldsteps"
+
+    def schema(self) -> str:
+        steps = steps_of(self.options["path"])
+        if not steps:
+            raise ValueError("no step is there yet to tell the variables")
+        names = [c for c, _ in columns(next(iter(steps.values()))[0][1])]
+        self.keys = [k for k in self.options["keys"].split(",") if k in names] if self.options.get("keys") else names
+        return "step long, e long, time double, " + ", ".join(f"{k} array<double>" for k in self.keys)
+
+    def streamReader(self, schema):
+        return StepReader(self.options["path"], [f.name for f in schema.fields][3:])
+
+
+class StepReader(DataSourceStreamReader):
+    """Offsets: the next step that is wanted. Only steps in a row are passed on, up to the first that is not complete."""
+
+    def __init__(self, path: str, keys: list[str]):
+        self.path, self.keys = path, keys
+
+    def initialOffset(self) -> dict:
+        return {"step": min(steps_of(self.path), default=0)}
+
+    def latestOffset(self) -> dict:
+        steps, n = steps_of(self.path), min(steps_of(self.path), default=0)
+        while n in steps:
+            n += 1
+        return {"step": n}
+
+    def partitions(self, start: dict, end: dict):
+        out = []
+        for step, files in steps_of(self.path).items():
+            if start["step"] <= step < end["step"]:
+                for path, h in files:
+                    out += [Range(path, h, first, count) for first, count in linear_ranges(h["elements"], -(-h["elements"] * per_element(h, self.keys) // READ_BYTES))]
+        return out
+
+    def read(self, part):
+        store, local = _store(part.path)
+        some = max(1, BATCH_BYTES // max(1, per_element(part.head, self.keys)))
+        with store.open_input_file(local) as f:
+            for at in range(part.first, part.first + part.count, some):
+                ids, got = read_block(f, part.head, self.keys, at, min(some, part.first + part.count - at))
+                yield as_batch(part.head, ids, got, {"step": np.full(len(ids), part.head["step"], np.int64)})
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class Written(WriterCommitMessage):
     def __init__(self, path: str):
         self.path = path

@@ -130,3 +130,36 @@ def test_every_registered_query_gives_its_rows(spark):
     for name, ops in size.items():
         for op in ops.split():
             assert registry.queries()[op](spark, SF).count() == table(spark, SF, name).count(), op
+
+
+def test_shards_come_from_the_tree(spark):
+    """Most bytes stay where the cuts put them, and the shards are within two per cent of each other."""
+    got = registry.queries()["op2_sharding"](spark, "/root/testdata/sf0.01").toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 40 and sizes.max() <= 1.02 * sizes.min()
+    assert got[got.placed_by == "cut"]["size"].sum() >= 0.75 * got["size"].sum() and set(got.placed_by) <= {"cut", "moved", "dealt"}
+    texts = {r["doc_id"]: r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    where: dict = {}
+    for r in got.itertuples():
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_the_tree_places_light_groups_whole(spark):
+    """Groups of one size: all of them stay where a cut put them."""
+    rows = [(k, f"text {k:05d}", f"s{k % 3}", ("en", "de")[k % 2]) for k in range(3000)]
+    got = kd_sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 12).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.02 * sizes.min() and (got.placed_by == "cut").mean() > 0.98
+
+
+def test_groups_larger_than_a_shard_are_dealt_by_rows(spark):
+    """Four copies that fill two shards, one document that is larger than a shard, and hundreds of copies."""
+    rows = [(k, "a" * 4000, "s", "en") for k in range(4)] + [(10, "b" * 12_000, "s", "en")] + [(100 + k, "c" * 80, "t", None) for k in range(400)] + [(1000 + k, f"{k:03d} " * 50, "u", "de") for k in range(100)]
+    got = kd_sharding.shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 10).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and sizes.drop(sizes.idxmax()).max() <= 1.05 * sizes.drop(sizes.idxmax()).mean() and sizes.max() >= 12_016 and sizes.min() > 0.8 * (sizes.sum() - 12_016) / 9
+    dealt = got[got.placed_by == "dealt"]
+    assert set(dealt[dealt.doc_id < 4].groupby("shard").size()) <= {1, 2}
+    copies = dealt[dealt.doc_id.between(100, 499)].groupby("shard").size()
+    assert len(copies) >= 2 and copies.max() - copies.min() <= 1

@@ -76,6 +76,39 @@ def lagrange_rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rows
 
 
+def product_rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same rows from the products of the Lagrange polynomials."""
+    x, at = np.asarray(x, float), np.atleast_1d(np.asarray(at, float))
+    own = np.eye(len(x), dtype=bool)
+    gap = np.where(own, 1.0, x[:, None] - x[None, :])
+    return np.stack([(np.where(own[k], 1.0, at[:, None] - x[None, :]) / gap[k]).prod(axis=1) for k in range(len(x))], axis=1)
+
+
+def legendre_rows(n: int, at: np.ndarray) -> np.ndarray:
+    """Normalised Legendre polynomials (the columns of modal) at points."""
+    norm = np.array([2.0 / (2 * k + 1) for k in range(n)])
+    norm[-1] = 2.0 / (n - 1)
+    return leg.legvander(np.atleast_1d(np.asarray(at, float)), n - 1) / np.sqrt(norm)
+
+
+def legendre_slopes(n: int, at: np.ndarray) -> np.ndarray:
+    """Their derivatives at points."""
+    norm = np.array([2.0 / (2 * k + 1) for k in range(n)])
+    norm[-1] = 2.0 / (n - 1)
+    at = np.atleast_1d(np.asarray(at, float))
+    return np.stack([leg.legval(at, leg.legder(np.eye(n)[k])) for k in range(n)], axis=1) / np.sqrt(norm)
+
+
+def _by_modes(rows):
+    """Rows for nodal values, by way of the modes."""
+    return lambda n, at: rows(n, at) @ modal(n)[1]
+
+
+#: Ways to interpolate nodal values at reference coordinates, by name, and their slopes.
+POINT_ROWS = {"barycentric": lambda n, at: lagrange_rows(gll(n)[0], at), "lagrange": lambda n, at: product_rows(gll(n)[0], at), "legendre": _by_modes(legendre_rows)}
+POINT_SLOPES = {"barycentric": lambda n, at: lagrange_rows(gll(n)[0], at) @ derivative(n), "lagrange": lambda n, at: product_rows(gll(n)[0], at) @ derivative(n), "legendre": _by_modes(legendre_slopes)}
+
+
 def interpolation(n: int, m: int) -> np.ndarray:
     """m x n matrix between GLL nodes."""
     return lagrange_rows(gll(n)[0], gll(m)[0])

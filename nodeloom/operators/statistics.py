@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nodeloom.functions.spectral import derivative, gll, lagrange_rows
+from nodeloom.functions.spectral import POINT_ROWS, POINT_SLOPES, derivative, gll, lagrange_rows
 
 
 def file_index(files: DataFrame, series: str, order: list[str], time: str, start: Column | None = None, statistics_start: Column | None = None) -> DataFrame:
@@ -321,10 +321,12 @@ def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float | None = None
     return probes.join(first, "probe_id", "left").withColumn("err_code", F.coalesce("err_code", F.lit(0)))
 
 
-def evaluate(located: DataFrame, mesh: DataFrame | None, field: str, n: int) -> DataFrame:
+def evaluate(located: DataFrame, mesh: DataFrame | None, field: str, n: int, way: str = "barycentric", slope: str | None = None) -> DataFrame:
     """Adds value: the field (array per element) at each located probe; 0 where it
-    was not found. Without a mesh the probes have the field's array themselves."""
-    x = gll(n)[0]
+    was not found. Without a mesh the probes have the field's array themselves.
+    way: barycentric, lagrange or legendre; slope: the reference coordinate (r, s
+    or t) along which the derivative is wanted instead of the value."""
+    of, along = POINT_ROWS[way], POINT_SLOPES[way]
 
     @F.pandas_udf("double")
     def at(u: pd.Series, r: pd.Series, s: pd.Series, t: pd.Series) -> pd.Series:
@@ -332,7 +334,7 @@ def evaluate(located: DataFrame, mesh: DataFrame | None, field: str, n: int) ->
         out = np.zeros(len(u))
         if some.any():
             grid = np.stack([np.asarray(v, float).reshape(n, n, n) for v in u[some]])
-            rows = [lagrange_rows(x, c[some].to_numpy()) for c in (t, s, r)]
+            rows = [(along if name == slope else of)(n, c[some].to_numpy()) for name, c in zip("tsr", (t, s, r), strict=True)]
             out[some] = np.einsum("pkji,pk,pj,pi->p", grid, *rows)
         return pd.Series(out)
 

@@ -406,6 +406,16 @@ def probe_interpolation(spark, d):
     return st.evaluate(_located(spark, d), arrays(spark, d), "u", N).select("probe_id", F.round("value", 6).alias("value"))
 
 
+@query(SQL["probe_interpolation"].replace("as value from", "as value, round(coalesce(sum(lr[i+1]*ls[j+1]*lt[k+1]*dr), 0), 4) as slope from").replace(SQL_NODES, f"{SQL_NODES}, {SQL_D}, gr as ({_sql_deriv('i')}), nb as (select n.*, gr.v as dr from nodes n join gr using (e, k, j, i))").replace("left join nodes using", "left join nb using"))
+def probe_strategies(spark, d):
+    """The value at probes by way of the modes, which equals the other ways, and the slope along r."""
+    at = _located(spark, d)
+    ways = {way: st.evaluate(at, arrays(spark, d), "u", N, way).select("probe_id", F.col("value").alias(way)) for way in ("legendre", "lagrange")}
+    slope = st.evaluate(at, arrays(spark, d), "u", N, "legendre", "r").select("probe_id", F.col("value").alias("slope"))
+    both = ways["legendre"].join(ways["lagrange"], "probe_id").join(slope, "probe_id")
+    return both.select("probe_id", F.round((F.col("legendre") + F.col("lagrange")) / 2, 6).alias("value"), F.round("slope", 4).alias("slope"))
+
+
 # --- decomposition ----------------------------------------------------------
 @query(f"with {SQL_NODES} select cast(a.p as int) as a, cast(b.p as int) as b, round(sum(a.u*b.u), 4) as g from nodes a join nodes b on a.e=b.e where a.p <= b.p group by 1, 2")
 def gram_matrix(spark, d):

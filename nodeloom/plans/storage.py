@@ -6,10 +6,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nodeloom.operators import budgets as bg
-from nodeloom.operators import compression, routing, sequence
+from nodeloom.operators import compression, routing, sequence, transform_codec
 from nodeloom.operators import elements as el
 from nodeloom.operators import geometry as geo
 from nodeloom.operators import statistics as st
@@ -144,6 +145,34 @@ def stored_bitplanes(spark, d):
     return back.select("e", (far <= F.col("width") / (2 ** s["bits"] - 1) * 0.5001 + 1e-12).alias("near"))
 
 
+_TOLERANCES = (1e-1, 1e-3, 1e-6)
+
+
+@query("select vec_id as e, tolerance, true as within, true as smaller from embeddings, (values " + ", ".join(f"({t!r}::double)" for t in _TOLERANCES) + ") t(tolerance)")
+def block_codec(spark, d):
+    """Payloads of fixed accuracy, written and read: each value within the
+    tolerance, and a payload no larger than that of the next tolerance."""
+    home, out = _home(spark, "samples"), None
+    for t in _TOLERANCES:
+        packed = arrays(spark, d).select("e", F.lit(t).alias("tolerance"), transform_codec.packed("u", N, tolerance=t).alias("payload"))
+        out = packed if out is None else out.unionByName(packed)
+    compression.write_samples(out, home, {"n": N, "codec": "blocks"})
+    got, settings = compression.read_samples(spark, home)
+    back = got.withColumn("v", transform_codec.unpacked("payload", settings["n"])).join(arrays(spark, d), "e")
+    size = F.lead(F.octet_length("payload")).over(W.partitionBy("e").orderBy(F.desc("tolerance")))
+    return back.select("e", "tolerance", (F.array_max(F.zip_with("u", "v", lambda a, b: F.abs(a - b))) <= F.col("tolerance")).alias("within"), F.coalesce(F.octet_length("payload") <= size, F.lit(True)).alias("smaller"))
+
+
+@query("select vec_id as e, planes, cast(3 + case when planes > 0 then 8*(planes + 1) else 0 end as int) as size from embeddings, (values (0), (6), (20)) p(planes)")
+def block_codec_rates(spark, d):
+    """Payloads of a fixed rate: as large for every element."""
+    out = None
+    for p in (0, 6, 20):
+        packed = arrays(spark, d).select("e", F.lit(p).alias("planes"), F.octet_length(transform_codec.packed("u", N, planes=p)).alias("size"))
+        out = packed if out is None else out.unionByName(packed)
+    return out
+
+
 _SQL_MODAL = f"with {SQL_NODES}, {matrix('m', _INV)}, t1 as ({_sql_deriv('i', 'm')}), t2 as ({_sql_deriv('j', 'm', 't1', 'v')}), t3 as ({_sql_deriv('k', 'm', 't2', 'v')})"
 
 

@@ -24,11 +24,14 @@ from nodeloom.operators.geometry import _grad, _stack, _terms
 from nodeloom.operators.statistics import locate
 
 
+TOGETHER = 1000  #: probes of an element in a row, about; an element with more has several rows
+
+
 @dataclass
 class Prepared:
     """Tables by element: geometry (xs, ys, zs), classes (shared: p, label and
-    copies of each node that others share) and probes (an array of probe_id, r,
-    s, t); and the probes that no element holds."""
+    copies of each node that others share) and probes (arrays of probe_id, r, s,
+    t); and the probes that no element holds."""
 
     geometry: DataFrame
     classes: DataFrame
@@ -55,7 +58,10 @@ def prepare(spark: SparkSession, mesh: DataFrame, probes: DataFrame, n: int, fol
     shared = labelled.join(copies, "label").select(F.expr(f"node div {n**3}").alias("e"), F.struct((F.col("node") % n**3).cast("int").alias("p"), "label", "copies").alias("s"))
     classes = mesh.select("e").join(shared, "e", "left").groupBy("e").agg(F.array_sort(F.collect_list("s")).alias("shared"))
     located = locate(probes, mesh, n)
-    found = located.where("e is not null").select("e", F.struct("probe_id", "r", "s", "t").alias("q")).groupBy("e").agg(F.array_sort(F.collect_list("q")).alias("probes"))
+    inside = located.where("e is not null").select("e", F.struct("probe_id", "r", "s", "t").alias("q"))
+    many = inside.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_parts"))
+    dealt = inside.join(many, "e").withColumn("_part", F.pmod(F.xxhash64("q.probe_id"), F.col("_parts")))
+    found = dealt.groupBy("e", "_part").agg(F.collect_list("q").alias("probes")).select("e", "probes")
     lost = located.where("e is null").select("probe_id")
     lost.write.mode("overwrite").parquet(f"{folder}/lost")
     return Prepared(_bucketed(mesh.select("e", "xs", "ys", "zs"), folder, "geometry", buckets), _bucketed(classes, folder, "classes", buckets), _bucketed(found, folder, "probes", buckets), spark.read.parquet(f"{folder}/lost"), n, buckets)
@@ -115,16 +121,20 @@ def products(rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
 def sampled(p: Prepared, rows: DataFrame, columns: list[str]) -> DataFrame:
     """probe_id and the value of each column; 0 for probes that no element holds."""
     n, x = p.n, gll(p.n)[0]
-    pairs = p.probes.hint("merge").join(rows, "e").select(F.explode("probes").alias("q"), *columns).select("q.*", *columns)
-
-    @F.pandas_udf(", ".join(f"{c} double" for c in columns))
-    def at(r: pd.Series, s: pd.Series, t: pd.Series, *parts: pd.Series) -> pd.DataFrame:
-        if not len(r):
-            return pd.DataFrame({c: [] for c in columns})
-        weights = [lagrange_rows(x, v.to_numpy()) for v in (t, s, r)]
-        return pd.DataFrame({c: np.einsum("pkji,pk,pj,pi->p", np.stack([np.asarray(v, float) for v in part]).reshape(-1, n, n, n), *weights) for c, part in zip(columns, parts, strict=True)})
 
-    got = pairs.select("probe_id", at("r", "s", "t", *columns).alias("_v")).select("probe_id", "_v.*")
+    @F.pandas_udf(f"array<struct<probe_id:long,{','.join(f'{c}:double' for c in columns)}>>")
+    def at(probes: pd.Series, *parts: pd.Series) -> pd.Series:
+        out = []
+        for k, held in enumerate(probes):
+            grid = np.stack([np.asarray(part.iloc[k], float) for part in parts]).reshape(-1, n, n, n)
+            rows = [lagrange_rows(x, np.array([q[c] for q in held])) for c in "tsr"]
+            values = np.einsum("cpji,pj,pi->pc", np.einsum("ckji,pk->cpji", grid, rows[0]), rows[1], rows[2], optimize=True)
+            out.append([{"probe_id": q["probe_id"], **dict(zip(columns, v, strict=True))} for q, v in zip(held, values.tolist(), strict=True)])
+        return pd.Series(out, dtype=object)
+
+    # An element's fields meet its probes once; only values leave the task.
+    met = p.probes.hint("merge").join(rows, "e")
+    got = met.select(F.explode(at("probes", *columns)).alias("v")).select("v.*")
     return got.unionByName(p.lost.select("probe_id", *[F.lit(0.0).alias(c) for c in columns]))
 
 

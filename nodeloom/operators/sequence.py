@@ -22,6 +22,7 @@ from nodeloom.operators.connectivity import place
 from nodeloom.operators.elements import nodes
 from nodeloom.operators.geometry import _grad, _stack, _terms
 from nodeloom.operators.statistics import locate
+from nodeloom.sources.fieldfile import read_steps, steps_of
 
 
 TOGETHER = 1000  #: probes of an element in a row, about; an element with more has several rows
@@ -118,8 +119,9 @@ def products(rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
     return rows.withColumns({k: F.zip_with(a, b, lambda x, y: x * y) for k, (a, b) in wanted.items()})
 
 
-def sampled(p: Prepared, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """probe_id and the value of each column; 0 for probes that no element holds."""
+def sampled(p: Prepared, rows: DataFrame, columns: list[str], steps: list[tuple[int, float]] | None = None) -> DataFrame:
+    """probe_id and the value of each column; 0 for probes that no element holds.
+    With steps (step and time of each) rows have a step, and so has the result."""
     n, x = p.n, gll(p.n)[0]
 
     @F.pandas_udf(f"array<struct<probe_id:long,{','.join(f'{c}:double' for c in columns)}>>")
@@ -134,8 +136,12 @@ def sampled(p: Prepared, rows: DataFrame, columns: list[str]) -> DataFrame:
 
     # An element's fields meet its probes once; only values leave the task.
     met = p.probes.hint("merge").join(rows, "e")
-    got = met.select(F.explode(at("probes", *columns)).alias("v")).select("v.*")
-    return got.unionByName(p.lost.select("probe_id", *[F.lit(0.0).alias(c) for c in columns]))
+    if steps is None:
+        got = met.select(F.explode(at("probes", *columns)).alias("v")).select("v.*")
+        return got.unionByName(p.lost.select("probe_id", *[F.lit(0.0).alias(c) for c in columns]))
+    got = met.select("step", "time", F.explode(at("probes", *columns)).alias("v")).select("step", "time", "v.*")
+    each = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("step"), F.lit(float(t)).alias("time")) for s, t in steps])) if steps else F.explode(F.array().cast("array<struct<step:bigint,time:double>>"))
+    return got.unionByName(p.lost.select("probe_id", each.alias("s")).select("s.*", "probe_id", *[F.lit(0.0).alias(c) for c in columns]))
 
 
 def operate(p: Prepared, step: DataFrame, fields: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -144,3 +150,12 @@ def operate(p: Prepared, step: DataFrame, fields: list[str], pairs: dict[str, tu
     rows = products(averaged(p, derivatives(p, step, fields), made), pairs)
     return sampled(p, rows, [*fields, *made, *pairs])
 
+
+
+def sample_files(p: Prepared, folder: str, keys: list[str]) -> DataFrame:
+    """step, time, probe_id and the value of each variable, of all field files in a
+    folder of steps: one plan, in which files are read by element ranges."""
+    spark = p.geometry.sparkSession
+    steps = [(s, files[0][1]["time"]) for s, files in steps_of(folder).items()]
+    rows = read_steps(spark, folder, ",".join(keys)).repartition(p.buckets, "e")
+    return sampled(p, rows, keys, steps)

@@ -63,6 +63,21 @@ def time_batches(index: DataFrame, series: str, order: list[str], length: float,
     return index.groupBy(series).applyInPandas(scan, schema)
 
 
+def average_arrays(rows: DataFrame, keys: list[str], fields: list[str], weight: str) -> DataFrame:
+    """keys, fields and weight: weighted means of arrays, element by element of the
+    arrays, and the sum of the weights. What a task has of a key is added up before it is sent."""
+
+    def part(c):
+        w = c[weight].astype(float)
+        return np.concatenate([[w.sum()], *[(c[f].astype(float) * w[:, None]).sum(axis=0) for f in fields]])
+
+    def finish(s):
+        own = np.split(s[1:], len(fields))
+        return [*[(v / s[0]).tolist() for v in own], float(s[0])]
+
+    return own_aggregate(rows, keys, [*fields, weight], part, lambda a, b: a + b, finish, dict.fromkeys(fields, "array<double>") | {weight: "double"})
+
+
 def weighted_mean(rows: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
     """sum(f w) / sum(w): time averages (w an interval), space averages (w a mass)."""
     return rows.groupBy(*keys).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(v) for v in values], F.sum(weight).alias("weight"))

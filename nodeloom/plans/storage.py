@@ -15,7 +15,7 @@ from nodeloom.operators import elements as el
 from nodeloom.operators import geometry as geo
 from nodeloom.operators import statistics as st
 from nodeloom.plans.catalogue import _INV, _KEYS, N, QUERIES, SQL, SQL_D, SQL_NODES, SQL_PROBES, _folder, _located, _probes, _sql_deriv, _sql_lagrange, arrays, brick_arrays, matrix, query, table
-from nodeloom.sources import container, fieldfile, probes
+from nodeloom.sources import averages, container, fieldfile, probes
 
 
 def _home(spark, name: str) -> str:
@@ -209,6 +209,36 @@ def statistics_files(spark, d):
     return asked.join(F.broadcast(known), "place").drop("place")  # some forty rows
 
 
+# --- files of a folder ----------------------------------------------------------------
+def _step_files(spark, d, steps: int) -> str:
+    """Field files in time: at step s, time s + 1, the values of t are u (1 + s (p % 3))."""
+    folder = _home(spark, "steps")
+    for s in range(steps):
+        a = arrays(spark, d).select("e", F.expr(f"transform(u, (v, p) -> v * (1 + {s} * (p % 3)))").alias("t"), F.expr(f"transform(u, v -> v * {s + 1})").alias("s0"))
+        fieldfile.write_field(a, f"{folder}/step{s:05d}", (N, N, N), time=s + 1.0, step=s, files=2)
+    return folder
+
+
+@query(f"with {SQL_NODES} select cast(s // 2 as bigint) as batch, e, k, j, i, round(avg(u*(1 + s*(p%3))), 5) as t, round(avg(u*(s + 1)), 5) as s0, 2.0::double as dt from nodes, range(6) q(s) group by 1, 2, 3, 4, 5")
+def average_files(spark, d):
+    """Means over batches of two intervals of six field files, written as field files and read back."""
+    _folder(spark)
+    folder, out = _step_files(spark, d, 6), _home(spark, "means")
+    averages.write_averages(averages.average_files(spark, folder, ["t", "s0"], 2.0), out, (N, N, N))
+    got = fieldfile.read_steps(spark, out).withColumnsRenamed({"step": "batch", "time": "dt"})
+    n = got.select("batch", "dt", "e", F.posexplode(F.arrays_zip("t", "s0")).alias("p", "v"))
+    return n.select("batch", "e", F.expr("p div 16").cast("int").alias("k"), F.expr("p div 4 % 4").cast("int").alias("j"), (F.col("p") % 4).alias("i"), F.round("v.t", 5).alias("t"), F.round("v.s0", 5).alias("s0"), F.round("dt", 6).alias("dt"))
+
+
+@query(_SEQUENCE.replace("s*0.5::double as time, round((s + 1)*value, 5) as value from one, range(3)", "cast(s as bigint) as step, s + 1.0::double as time, round((s + 1)*value, 5) as value from one, range(3)"))
+def interpolate_files(spark, d):
+    """Field files of three steps at probes that are located once, in one plan."""
+    mesh = brick_arrays(spark, d, 0.0)
+    ready = sequence.prepare(spark, mesh.select("e", "xs", "ys", "zs"), _probes(spark, d), N, _home(spark, "sequence"))
+    got = sequence.sample_files(ready, _step_files(spark, d, 3), ["s0"])
+    return got.select("probe_id", "step", "time", F.round("s0", 5).alias("value"))
+
+
 # --- from files of statistics to budgets at points -----------------------------------
 _BUDGET = {k: v.replace("100.0", "100.0e0").replace("1.0/", "1.0e0/").replace("-2.0/", "-2.0e0/").replace("0.5*(", "0.5e0*(") for k, v in bg.energy_budget("100.0").items()}
 _WANTED = {name: bg.derived()[name] for name in bg.names_in(_BUDGET) if name in bg.derived()}

@@ -219,8 +219,8 @@ def steps_of(folder: str) -> dict[int, list[tuple[str, dict]]]:
 
 
 class FieldSteps(DataSource):
-    """format("fieldsteps"), a stream. path: a folder of steps; keys as for
-    fieldfile. Rows: step, e, time, an array per variable."""
+    """format("fieldsteps"), a stream, or all steps at once. path: a folder of
+    steps; keys as for fieldfile. Rows: step, e, time, an array per variable."""
 
     @classmethod
     def name(cls) -> str:
@@ -237,6 +237,9 @@ class FieldSteps(DataSource):
     def streamReader(self, schema):
         return StepReader(self.options["path"], [f.name for f in schema.fields][3:])
 
+    def reader(self, schema):
+        return AllSteps(self.options["path"], [f.name for f in schema.fields][3:])
+
 
 class StepReader(DataSourceStreamReader):
     """Offsets: the next step that is wanted. Only steps in a row are passed on, up to the first that is not complete."""
@@ -273,6 +276,19 @@ class StepReader(DataSourceStreamReader):
         pass
 
 
+class AllSteps(DataSourceReader):
+    """The same rows of all complete steps that are there."""
+
+    def __init__(self, path: str, keys: list[str]):
+        self.steps = StepReader(path, keys)
+
+    def partitions(self):
+        return self.steps.partitions({"step": -1}, {"step": float("inf")})
+
+    def read(self, part):
+        yield from self.steps.read(part)
+
+
 class Written(WriterCommitMessage):
     def __init__(self, path: str):
         self.path = path
@@ -346,6 +362,19 @@ def read_field(spark, path: str, keys: str = "", partitions: int = 0) -> DataFra
     return (reader.option("keys", keys) if keys else reader).load()
 
 
+def read_steps(spark, folder: str, keys: str = "") -> DataFrame:
+    """step, e, time and an array per variable of all complete steps in a folder."""
+    spark.dataSource.register(FieldSteps)
+    reader = spark.read.format("fieldsteps").option("path", folder)
+    return (reader.option("keys", keys) if keys else reader).load()
+
+
+def index_steps(spark, folder: str) -> DataFrame:
+    """step, time, files and elements of the complete steps in a folder, from their headers."""
+    rows = [(s, files[0][1]["time"], len(files), sum(h["elements"] for _, h in files)) for s, files in steps_of(folder).items()]
+    return spark.createDataFrame(rows, "step long, time double, files int, elements long")
+
+
 def read_probes_csv(lines: DataFrame) -> DataFrame:
     """lines: line_no (from 0), text, of a probe file: a header N,0,0,names..,
     N coordinate rows, then N rows per time. Gives probe_id, step, time, name, value."""

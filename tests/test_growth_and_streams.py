@@ -145,3 +145,35 @@ def test_empty_tables(spark, tmp_path_factory, name):
     for t in ("embeddings", "lineitem"):
         catalogue.table(spark, SF, t).limit(0).write.parquet(f"{d}/{t}.parquet")
     assert catalogue.queries()[name](spark, str(d)).collect() == []
+
+
+def test_averages_of_files_of_uneven_times(spark, tmp_path):
+    """Intervals of 1, 2 and 4 in one batch, then one that is too long."""
+    from nodeloom.sources import averages
+
+    catalogue._folder(spark)
+    u = np.random.default_rng(12).standard_normal((5, 8))
+    for s, t in enumerate((1.0, 3.0, 7.0, 27.0)):
+        df = spark.createDataFrame([(e, (v * (s + 1)).tolist()) for e, v in enumerate(u)], "e long, t array<double>")
+        ff.write_field(df, f"{tmp_path}/steps/step{s}", (2, 2, 2), time=t, step=s)
+    got = {(r["batch"], r["e"]): r for r in averages.average_files(spark, f"{tmp_path}/steps", ["t"], 7.0).collect()}
+    assert set(got) == {(b, e) for b in (0, 1) for e in range(5)}
+    for e in range(5):
+        assert np.allclose(got[0, e]["t"], u[e] * (1 * 1 + 2 * 2 + 3 * 4) / 7) and np.allclose(got[1, e]["t"], u[e] * 4)
+        assert got[0, e]["dt"] == 7.0 and got[1, e]["dt"] == 20.0
+
+
+def test_the_entry_stands_without_the_corpus_operators(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+
+    real = importlib.import_module
+
+    def gone(name):
+        if name.startswith(("nodeloom.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(name)
+        return real(name)
+
+    monkeypatch.setattr(importlib, "import_module", gone)
+    assert "dudr" in entry.queries() and "op1_embedding_near_dedup" not in entry.queries() and "dudr" in entry.oracle_sql()

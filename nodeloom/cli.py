@@ -13,7 +13,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.functions.spectral import interpolation
 from nodeloom.operators import statistics as st
+from nodeloom.operators.elements import tensor
 from nodeloom.sources import fieldfile
 
 NAME = re.compile(r"^(.*?)0?\.f(\d{5})$")  # a series' name, process digit, number
@@ -44,8 +46,9 @@ def index_folder(spark: SparkSession, folder: str, start: float | None = None, s
     return st.file_index(files, "series", ["number"], "time", lit(start), lit(statistics_start))
 
 
-def subdomain(spark: SparkSession, path: str, out: str, bounds: list[tuple[float, float]], fields: list[str] | None = None) -> int:
-    """Writes the elements inside bounds; how many they are."""
+def subdomain(spark: SparkSession, path: str, out: str, bounds: list[tuple[float, float]], fields: list[str] | None = None, order: int | None = None) -> int:
+    """Writes the elements inside bounds; how many they are. order: nodes per
+    direction of the new field, if not those of the old one (in three dimensions)."""
     h = fieldfile.read_header(fieldfile.files_of(path)[0])
     df = fieldfile.read_field(spark, path)
     keep = F.lit(True)
@@ -56,7 +59,14 @@ def subdomain(spark: SparkSession, path: str, out: str, bounds: list[tuple[float
     kept = df.where(keep)
     wanted = [c for c in df.columns if c not in ("e", "time") and (not fields or c in fields or c in "xyz")]
     numbers = st.number_elements(kept.select("e")).withColumnsRenamed({"e": "old", "new_e": "e"})
-    fieldfile.write_field(kept.withColumnRenamed("e", "old").join(numbers, "old").select("e", *wanted), out, h["shape"], h["time"], h["step"], h["wdsz"])
+    rows, shape = kept.withColumnRenamed("e", "old").join(numbers, "old").select("e", *wanted), h["shape"]
+    if order and order != shape[0]:
+        if shape[2] == 1:
+            raise ValueError("the order of two-dimensional fields can't be changed")
+        for c in wanted:
+            rows = tensor(rows, c, interpolation(shape[0], order), c)
+        shape = (order, order, order)
+    fieldfile.write_field(rows, out, shape, h["time"], h["step"], h["wdsz"])
     return numbers.count()
 
 
@@ -81,6 +91,7 @@ def main(args: list[str] | None = None) -> None:
     s.add_argument("out")
     s.add_argument("--bounds", required=True)
     s.add_argument("--fields", default="")
+    s.add_argument("--order", type=int)
     v = sub.add_parser("sequence")
     v.add_argument("folder")
     v.add_argument("series")
@@ -92,7 +103,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "index":
         index_folder(spark, a.folder, a.start, a.statistics_start).write.mode("overwrite").json(a.out)
     else:
-        print(subdomain(spark, a.path, a.out, parse_bounds(a.bounds), parse_list(a.fields)))
+        print(subdomain(spark, a.path, a.out, parse_bounds(a.bounds), parse_list(a.fields), a.order))
 
 
 if __name__ == "__main__":

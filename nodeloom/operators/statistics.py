@@ -26,13 +26,29 @@ def file_index(files: DataFrame, series: str, order: list[str], time: str, start
     return files.withColumn("idx", F.row_number().over(w) - 1).withColumn("time_prev", prev).withColumn("dt", F.col(time) - prev)
 
 
-def merge_index(indexes: list[DataFrame], missing: str = "file_not_in_folder") -> DataFrame:
-    """Union, without entries of missing files, with the least start time beside each row."""
+def merge_index(indexes: list[DataFrame], missing: str = "file_not_in_folder", sort_by_time: bool = False) -> DataFrame:
+    """Union, without entries of missing files, with the least start time beside
+    each row; sorted by time, also with idx, its place in the order of time (then path)."""
     out = indexes[0]
     for x in indexes[1:]:
         out = out.unionByName(x)
     out = out.where(F.col("path") != missing)
-    return out.crossJoin(F.broadcast(out.agg(F.min("time").alias("start_time"))))  # one row
+    whole = out.crossJoin(F.broadcast(out.agg(F.min("time").alias("start_time"))))  # one row
+    return numbered(whole, ["time", "path"], "idx") if sort_by_time else whole
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, blocks: int = 64) -> DataFrame:
+    """Adds out: 0, 1, 2 .. in the order of all rows (order should tell rows apart;
+    its first column is a number). Rows are dealt into ranges of the first column
+    by its quantiles; a range numbers its own rows and goes on where those before end."""
+    bounds = sorted(set(rows.approxQuantile(order[0], [k / blocks for k in range(1, blocks)], 0.25 / blocks)))
+    block = F.lit(0).cast("long")
+    for b in bounds:
+        block = block + F.when(F.col(order[0]) >= b, 1).otherwise(0)
+    dealt = rows.withColumn("_block", block)
+    base = carried(dealt.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "_block", "_n", "_base")
+    inside = F.row_number().over(W.partitionBy("_block").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(base), "_block").withColumn(out, (F.col("_base") + inside).cast("long")).drop("_block", "_base")  # as many rows as blocks
 
 
 def inspect(fields: DataFrame, file: str, values: list[str]) -> DataFrame:

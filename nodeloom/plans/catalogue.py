@@ -234,6 +234,14 @@ def merge_index(spark, d):
     return st.merge_index([o, e]).select("path", F.round("time", 3).alias("time"), F.round("start_time", 3).alias("start_time"))
 
 
+@query("with a as (select concat('o', o_orderkey) as path, epoch_us(o_orderdate)/1000000.0::double as time from orders where o_orderstatus <> 'P' union all select concat('e', event_id), epoch_us(ts)/1000000.0::double from events) select path, round(time, 3) as time, row_number() over (order by time, path) - 1 as idx from a")
+def merge_index_sorted(spark, d):
+    """Two indexes merged and numbered anew in the order of time."""
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "file_not_in_folder").otherwise(F.concat(F.lit("o"), "o_orderkey")).alias("path"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("time"))
+    e = _outputs(spark, d).select(F.concat(F.lit("e"), "event_id").alias("path"), "time")
+    return st.merge_index([o, e], sort_by_time=True).select("path", F.round("time", 3).alias("time"), "idx")
+
+
 @query("select l_suppkey, " + ", ".join(f"round({f}({c}), 4) as {n}_{c}" for c in ("l_quantity", "l_extendedprice") for f, n in (("max", "max"), ("min", "min"), ("avg", "mean"))) + " from lineitem group by l_suppkey")
 def inspect_fields(spark, d):
     t = st.inspect(table(spark, d, "lineitem"), "l_suppkey", ["l_quantity", "l_extendedprice"])

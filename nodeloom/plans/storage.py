@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nodeloom.operators import budgets as bg
-from nodeloom.operators import compression, routing, sequence, transform_codec
+from nodeloom.operators import compression, connectivity, routing, sequence, transform_codec
 from nodeloom.operators import elements as el
 from nodeloom.operators import geometry as geo
 from nodeloom.operators import statistics as st
 from nodeloom.plans.catalogue import _INV, _KEYS, N, QUERIES, SQL, SQL_D, SQL_NODES, SQL_PROBES, _folder, _located, _probes, _sql_deriv, _sql_lagrange, arrays, brick_arrays, matrix, query, table
-from nodeloom.sources import averages, container, fieldfile, probes
+from nodeloom.plans.meshes import _shaken
+from nodeloom.sources import averages, container, fieldfile, probes, registry
 
 
 def _home(spark, name: str) -> str:
@@ -54,6 +55,37 @@ def container_slices(spark, d):
     return cut.select("row", F.expr("cast((q div 2) * 4 + (q % 2) * 2 as int)").alias("place"), F.round("v", 6).alias("v"))
 
 
+@query(f"with {SQL_NODES} select e as row, cast(p as int) as p, round(case when k in (1, 2) and e % 3 = 0 then -u when k < 2 then u when e % 2 = 0 then 2*u else 0 end, 6) + 0.0 as v from nodes")
+def container_regions(spark, d):
+    """A dataset that writers fill by regions: the lower half of all elements, the
+    upper half of even ones, and over both the middle of every third."""
+    root, rows = _home(spark, "container"), arrays(spark, d).select(F.col("e").alias("row"), F.col("u").alias("v"))
+    container.create_dataset(spark, root, "u", [rows.count(), 4, 4, 4], group="fields")
+    of = lambda e: F.expr(f"transform(v, x -> x * {e})")
+    part = lambda df, low, high, e: df.select("row", F.slice(of(e), 16 * low + 1, 16 * (high - low)).alias("v"))
+    for df, low, high, factor, layer in ((rows.where("row % 3 = 0"), 1, 3, -1, 1), (rows, 0, 2, 1, 0), (rows.where("row % 2 = 0"), 2, 4, 2, 0)):
+        container.write_slices(part(df, low, high, factor), root, "u", "fields", [(low, high), (0, 4), (0, 4)], layer)
+    got = container.read_filled(spark, root, "u", "fields")
+    return got.select("row", F.posexplode("v").alias("p", "v")).select("row", "p", (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query(f"with {SQL_NODES} select e, k, j, i, round(u, 6) as u, round(u*u, 6) as q from nodes")
+def registry_containers(spark, d):
+    """Fields written and read by the ending of a container's name."""
+    path = _home(spark, "fields") + ".hdf5"
+    registry.write_data(arrays(spark, d).withColumn("q", F.transform("u", lambda x: x * x)), path, shape=(N, N, N))
+    return el.nodes(registry.read_data(spark, path), "e", ["u", "q"], N).select("e", "k", "j", "i", *[F.round(c, 6).alias(c) for c in ("u", "q")])
+
+
+@query(SQL["global_cells"])
+def stored_cells(spark, d):
+    """Global hexahedra in a mesh file, read through a second one that points to it."""
+    one, two = _home(spark, "mesh"), _home(spark, "mesh")
+    container.write_cells(connectivity.global_cells(connectivity.numbered_places(_shaken(spark, d), "node", ["x", "y", "z"], 1e-7), "node", N), one)
+    container.link_mesh(spark, two, one)
+    return container.read_cells(spark, two).select("e", "cell", F.posexplode("ids").alias("corner", "place"))
+
+
 @query(f"with {SQL_NODES} select e, cast(p as int) as p, round(u, 6) as x, round(2*u, 6) as a, round(u*u, 6) as b from nodes")
 def mesh_container(spark, d):
     """Two mesh files, the second with the points of the first."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +39,60 @@ def read_dataset(spark: SparkSession, root: str, name: str, group: str = "", fir
     if first:
         df = df.where((F.col("row") >= first[0]) & (F.col("row") < first[1]))
     if rest:
-        inner = read_shape(spark, root, name, group)[1:]
-        keep = [0]
-        for size, (low, high) in zip(inner, rest, strict=True):
-            keep = [k * size + x for k in keep for x in range(low, high)]
+        keep = _places(read_shape(spark, root, name, group)[1:], rest)
         df = df.withColumn("v", F.array(*[F.col("v")[k] for k in keep]))
     return df
 
 
+SLICES = "__slices"
+
+
+def _places(inner: list[int], rest: list[tuple[int, int]] | None) -> list[int]:
+    """Flat places of a region of the other axes."""
+    keep = [0]
+    for size, (low, high) in zip(inner, rest or [(0, s) for s in inner], strict=True):
+        keep = [k * size + x for k in keep for x in range(low, high)]
+    return keep
+
+
+def create_dataset(spark: SparkSession, root: str, name: str, shape: list[int], group: str = "", mode: str = "errorifexists") -> None:
+    """A dataset of zeros, which slices fill."""
+    path = _path(root, group, name)
+    spark.createDataFrame([], "row long, v array<double>").write.mode(mode).parquet(path)
+    spark.createDataFrame([([int(s) for s in shape],)], "shape array<long>").coalesce(1).write.mode(mode).parquet(path + SHAPE)
+
+
+def write_slices(df: DataFrame, root: str, name: str, group: str = "", rest: list[tuple[int, int]] | None = None, layer: int = 0) -> None:
+    """df: row and v, the values of the region rest of the other axes (flat) at each
+    row. Any number of writers may add slices; where they meet, the higher layer,
+    then the one that was written later, stays."""
+    spark, path = df.sparkSession, _path(root, group, name)
+    places = _places(read_shape(spark, root, name, group)[1:], rest)
+    written = df.select(F.col("row").cast("long").alias("row"), F.lit(layer).alias("layer"), F.current_timestamp().alias("at"), F.lit(places).cast("array<int>").alias("place"), F.col("v").cast("array<double>").alias("v"))
+    written.write.mode("append").parquet(path + SLICES)
+
+
+def read_filled(spark: SparkSession, root: str, name: str, group: str = "", first: tuple[int, int] | None = None) -> DataFrame:
+    """row, v of a dataset with its slices put in; places that none filled are zero. Rows without values are left out."""
+    width = int(np.prod(read_shape(spark, root, name, group)[1:]))
+    base = spark.read.parquet(_path(root, group, name)).select("row", F.lit(-1).alias("layer"), F.lit(0).cast("timestamp").alias("at"), F.lit(list(range(width))).cast("array<int>").alias("place"), "v")
+    rows = base.unionByName(spark.read.schema(base.schema).parquet(_path(root, group, name) + SLICES))
+    if first:
+        rows = rows.where((F.col("row") >= first[0]) & (F.col("row") < first[1]))
+
+    @F.pandas_udf("array<double>")
+    def put(slices: pd.Series) -> pd.Series:
+        out = []
+        for s in slices:
+            v = np.zeros(width)
+            for x in s:
+                v[x["place"]] = x["v"]
+            out.append(v)
+        return pd.Series(out, dtype=object)
+
+    return rows.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("layer", "at", "place", "v"))).alias("s")).select("row", put("s").alias("v"))
+
+
 def merged_axes(shape: list[int], flat: list[int]) -> list[tuple[int, int]] | None:
     """Which axes of a logical shape each axis of a flatter one holds: ranges, or None if they don't fit."""
     out, k = [], 0
@@ -87,3 +135,18 @@ def read_point_data(spark: SparkSession, root: str, names: list[str]) -> DataFra
     """e, p, x, y, z and a column per dataset."""
     parts = [spark.read.parquet(_path(root, "point_data", n)).withColumnRenamed("value", n) for n in names]
     return reduce(lambda a, b: a.join(b, ["e", "p"]), parts, read_mesh(spark, root))
+
+
+def write_cells(cells: DataFrame, root: str, mode: str = "errorifexists") -> None:
+    """cells: e, cell, ids (the numbers of its corners)."""
+    cells.select("e", "cell", F.col("ids").cast("array<long>").alias("ids")).write.mode(mode).parquet(_path(root, "mesh", "cells"))
+
+
+def read_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells of a mesh file, or of the one that it points to."""
+    try:
+        return spark.read.parquet(_path(root, "mesh", "cells"))
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return read_cells(spark, spark.read.parquet(_path(root, "mesh", "link")).first()["root"])

@@ -280,6 +280,10 @@ def test_command_lines(spark, tmp_path):
     assert rows == [(0, 0.0, 0.5), (1, 0.5, 1.0), (2, 1.5, 1.5)]
     assert cli.sequence(str(tmp_path), "mean").splitlines() == ["filetemplate: mean%01d.f%05d", "firsttimestep: 0", "numtimesteps: 3"]
     assert cli.subdomain(spark, f"{tmp_path}/mean0.f00001", f"{tmp_path}/cut", cli.parse_bounds("1,3,,,,"), ["p"]) == 2
+    assert cli.subdomain(spark, f"{tmp_path}/mean0.f00001", f"{tmp_path}/finer", cli.parse_bounds("1,3,,,,"), ["p"], 4) == 2
+    finer = {r["e"]: r for r in ff.read_field(spark, f"{tmp_path}/finer", "x,p").collect()}
+    m = sp.interpolation(2, 4)
+    assert np.allclose(finer[1]["p"], np.kron(np.kron(m, m), m) @ (u[2] + 1)) and np.allclose(sorted(set(np.round(finer[0]["x"], 9))), 1 + (sp.gll(4)[0] + 1) / 2)
     got = {r["e"]: r["p"] for r in ff.read_field(spark, f"{tmp_path}/cut", "p").collect()}
     assert np.allclose([got[0], got[1]], u[1:3] + 1)
 

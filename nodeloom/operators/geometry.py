@@ -7,8 +7,6 @@ here shuffles. The weak operators work on a row per element, in Arrow batches.""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -274,3 +274,25 @@ def test_empty_tables(spark, tmp_path_factory, name):
     for t in ("embeddings", "events", "supplier", "part"):
         catalogue.table(spark, SF, t).limit(0).write.parquet(f"{d}/{t}.parquet")
     assert catalogue.queries()[name](spark, str(d)).collect() == []
+
+
+def test_level_join_of_flat_boxes(spark):
+    """Thin boxes in every direction and more combinations of sides than a point asks: each pair once, and of what
+    meets in the cells a fair share holds."""
+    rng = np.random.default_rng(21)
+    low, side = rng.uniform(0, 60, (600, 2)), 10.0 ** rng.integers(-5, 2, (600, 2))
+    points = rng.uniform(0, 70, (400, 2))
+    p = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(points)], "id long, x double, y double")
+    b = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(np.c_[low[:, 0], low[:, 0] + side[:, 0], low[:, 1], low[:, 1] + side[:, 1]])], "e long, x_lo double, x_hi double, y_lo double, y_hi double")
+    want = sorted((i, e) for i, v in enumerate(points) for e in np.flatnonzero(((low <= v) & (v <= low + side)).all(axis=1)).tolist())
+    for asked, whole in ((64, 10_000), (64, 50), (5, 50)):  # as it is, cells in parts, levels rounded up
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(st, "ASKED", asked)
+            m.setattr(st, "WHOLE", whole)
+            joined = st.level_join(p, b, ["x", "y"])
+            assert sorted((r["id"], r["e"]) for r in joined.collect()) == want
+            if asked == 64:
+                assert "_lx" in joined._jdf.queryExecution().analyzed().toString()
+    thin = spark.range(400).selectExpr("id as e", "id % 20 * 1.0D as x_lo", "id % 20 + 1e-4D as x_hi", "0.0D as y_lo", "64.0D as y_hi")
+    plan = st.level_join(p, thin, ["x", "y"])._jdf.queryExecution().analyzed().toString()
+    assert "_lx" in plan and "_ly" in plan  # a level per axis: a point meets the boxes of its 1e-4 of x, not all of them

@@ -8,12 +8,11 @@ here shuffles. The weak operators work on a row per element, in Arrow batches.""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.spectral import derivative, gll
-from nodeloom.operators.elements import mass, nodes
+from nodeloom.operators.elements import in_pieces, mass, nodes
 
 AXES = "rst"
 #: Facets in order: the index that is fixed, whether at its end, and the sign that turns the cross product outward.
@@ -24,22 +23,18 @@ def with_derivatives(df: DataFrame, fields: list[str], n: int, coords: tuple[str
     """Long form of elements: e, k, j, i; x, y (, z) and their derivatives xr, xs, ..;
     each field f and fr, fs (, ft); keep: further arrays as they are."""
     names, axes = list("xyz")[: len(coords)], AXES[: len(coords)]
-    arrays = [*coords, *fields]
     made = [f"{c}{a}" for c in [*names, *fields] for a in axes]
     shape = (n,) * len(coords)
 
-    @F.pandas_udf(", ".join(f"{c} array<double>" for c in made))
-    def derive(*parts: pd.Series) -> pd.DataFrame:
-        d, out = derivative(n), {}
-        for c, part in zip([*names, *fields], parts, strict=True):
-            u = np.stack([np.asarray(v, float) for v in part]).reshape(-1, *shape) if len(part) else np.zeros((0, *shape))
-            for k, a in enumerate(axes):
-                v = np.moveaxis(np.tensordot(u, d, axes=([u.ndim - 1 - k], [1])), -1, u.ndim - 1 - k)
-                out[f"{c}{a}"] = list(v.reshape(len(u), -1))
-        return pd.DataFrame(out)
-
-    rows = df.select("e", *[F.col(c).alias(x) for c, x in zip(coords, names, strict=True)], *fields, *keep, derive(*arrays).alias("_d"))
-    rows = rows.select("e", *names, *fields, *keep, "_d.*")
+    def derive(*parts: np.ndarray) -> list[np.ndarray]:
+        d, out = derivative(n), []
+        for part in parts:
+            u = part.reshape(-1, *shape)
+            out += [np.moveaxis(np.tensordot(u, d, axes=([u.ndim - 1 - k], [1])), -1, u.ndim - 1 - k) for k in range(len(axes))]
+        return out
+
+    rows = df.select("e", *[F.col(c).alias(x) for c, x in zip(coords, names, strict=True)], *fields, *keep)
+    rows = in_pieces(rows, [*names, *fields], dict.fromkeys(made, "array<double>"), derive)
     return nodes(rows, "e", [*names, *fields, *keep, *made], n) if len(coords) == 3 else _nodes_2d(rows, [*names, *fields, *keep, *made], n)
 
 
@@ -136,24 +131,13 @@ def _grad(u: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.einsum("il,ekjl->ekji", d, u), np.einsum("jl,ekli->ekji", d, u), np.einsum("kl,elji->ekji", d, u)], axis=1)
 
 
-def _stack(s: pd.Series, n: int) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in s]).reshape(-1, n, n, n)
+def _stack(s: np.ndarray, n: int) -> np.ndarray:
+    return s.reshape(-1, n, n, n)
 
 
 def _kernel(df: DataFrame, columns: list[str], out: str, run) -> DataFrame:
-    """Adds out: run over batches of the array columns; null where one of them is null."""
-
-    @F.pandas_udf("array<double>")
-    def kernel(*parts: pd.Series) -> pd.Series:
-        some = np.logical_and.reduce([p.notna().to_numpy() for p in parts])
-        result: list = [None] * len(some)
-        if some.any():
-            values = run(*[p[some] for p in parts])
-            for at, v in zip(np.flatnonzero(some), values.reshape(len(values), -1), strict=True):
-                result[at] = v
-        return pd.Series(result, dtype=object)
-
-    return df.withColumn(out, kernel(*columns))
+    """Adds out: run over pieces of the array columns; null where one of them is null."""
+    return in_pieces(df, columns, {out: "array<double>"}, lambda *parts: [run(*parts)])
 
 
 def stiffness(df: DataFrame, field: str, out: str, n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
@@ -222,20 +206,16 @@ def space_derivatives(df: DataFrame, fields: list[str], n: int, coords: tuple[st
     f_xx, f_yy, f_zz of each field f, by the chain rule applied twice."""
     made = [f"{f}_{c}" for f in fields for c in ("x", "y", "z", "xx", "yy", "zz")]
 
-    @F.pandas_udf(", ".join(f"{c} array<double>" for c in made))
-    def derive(*parts: pd.Series) -> pd.DataFrame:
-        out: dict[str, list] = {c: [] for c in made}
-        if len(parts[0]):
-            inverse, _, _ = _terms(np.stack([_stack(c, n) for c in parts[:3]], axis=1), n)
-            space = lambda u: np.einsum("eackji,eakji->eckji", inverse, _grad(u, n))
-            for f, part in zip(fields, parts[3:], strict=True):
-                first = space(_stack(part, n))
-                for k, c in enumerate("xyz"):
-                    out[f"{f}_{c}"] = list(first[:, k].reshape(len(part), -1))
-                    out[f"{f}_{c}{c}"] = list(space(first[:, k])[:, k].reshape(len(part), -1))
-        return pd.DataFrame(out)
+    def derive(*parts: np.ndarray) -> list[np.ndarray]:
+        out = []
+        inverse, _, _ = _terms(np.stack([_stack(c, n) for c in parts[:3]], axis=1), n)
+        space = lambda u: np.einsum("eackji,eakji->eckji", inverse, _grad(u, n))
+        for part in parts[3:]:
+            first = space(_stack(part, n))
+            out += [*[first[:, k] for k in range(3)], *[space(first[:, k])[:, k] for k in range(3)]]
+        return out
 
-    return df.withColumn("_d", derive(*coords, *fields)).select(*df.columns, "_d.*")
+    return in_pieces(df, [*coords, *fields], dict.fromkeys(made, "array<double>"), derive)
 
 
 def derived_statistics(df: DataFrame, wanted: dict[str, list[tuple[str, int, str]]], n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
@@ -243,20 +223,17 @@ def derived_statistics(df: DataFrame, wanted: dict[str, list[tuple[str, int, str
     space of df's statistics (arrays per element): name -> (statistic, order, axis)."""
     fields = list(dict.fromkeys(name for terms in wanted.values() for name, _, _ in terms))
 
-    @F.pandas_udf(", ".join(f"{c} array<double>" for c in wanted))
-    def derive(*parts: pd.Series) -> pd.DataFrame:
-        if not len(parts[0]):
-            return pd.DataFrame({c: [] for c in wanted})
+    def derive(*parts: np.ndarray) -> list[np.ndarray]:
         inverse, _, _ = _terms(np.stack([_stack(c, n) for c in parts[:3]], axis=1), n)
         space = lambda u: np.einsum("eackji,eakji->eckji", inverse, _grad(u, n))
         first = {f: space(_stack(part, n)) for f, part in zip(fields, parts[3:], strict=True)}
-        out = {}
-        for c, terms in wanted.items():
+        out = []
+        for terms in wanted.values():
             total = 0.0
             for f, order, axis in terms:
                 k = "xyz".index(axis)
                 total = total + (first[f][:, k] if order == 1 else space(first[f][:, k])[:, k])
-            out[c] = list(total.reshape(len(parts[0]), -1))
-        return pd.DataFrame(out)
+            out.append(total)
+        return out
 
-    return df.select("e", derive(*coords, *fields).alias("_d")).select("e", "_d.*")
+    return in_pieces(df, [*coords, *fields], dict.fromkeys(wanted, "array<double>"), derive, keep=["e"])

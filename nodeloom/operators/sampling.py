@@ -12,12 +12,12 @@ element has a dense matrix."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.spectral import gll, modal
 from nodeloom.operators.compression import average_spectrum, bitplanes, from_bitplanes
+from nodeloom.operators.elements import in_pieces
 
 ELEMENTS = 256  #: elements that are sampled together
 
@@ -145,7 +145,7 @@ def _bases(n: int) -> tuple[TensorBasis, TensorBasis]:
     return TensorBasis(v), TensorBasis(inverse)
 
 
-RESULT = "nodes array<int>, samples array<double>, mean array<double>, std array<double>"
+RESULT = {"nodes": "array<int>", "samples": "array<double>", "mean": "array<double>", "std": "array<double>"}
 
 
 def sampled(df: DataFrame, column: str, n: int, samples: int, kind: str = "own", most: int = 16, mass: str | None = None, power: str | None = None) -> DataFrame:
@@ -154,18 +154,17 @@ def sampled(df: DataFrame, column: str, n: int, samples: int, kind: str = "own",
     basis, inverse = _bases(n)
     inputs = [column, *([mass] if mass else []), *([power] if power else [])]
 
-    @F.pandas_udf(RESULT)
-    def run(*parts: pd.Series) -> pd.DataFrame:
+    def run(*parts: np.ndarray) -> list[np.ndarray]:
         out = []
         for at in range(0, len(parts[0]), ELEMENTS):
-            some = [np.stack([np.asarray(v, float) for v in p.iloc[at : at + ELEMENTS]]) for p in parts]
+            some = [p[at : at + ELEMENTS] for p in parts]
             u = some[0]
             w = some[-1] if power else own_power(kind, basis, inverse, u, most, some[1] if mass else None)
             nodes, mean, std = sample(basis, w, u, samples)
-            out.append(pd.DataFrame({"nodes": list(nodes.astype(np.int32)), "samples": list(np.take_along_axis(u, nodes, axis=1)), "mean": list(mean), "std": list(std)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in ("nodes", "samples", "mean", "std")})
+            out.append((nodes, np.take_along_axis(u, nodes, axis=1), mean, std))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
-    return df.withColumn("_s", run(*inputs)).select(*df.columns, "_s.*")
+    return in_pieces(df, inputs, RESULT, run)
 
 
 def regressed(df: DataFrame, n: int, power: str, nodes: str = "nodes", samples: str = "samples") -> DataFrame:
@@ -173,16 +172,14 @@ def regressed(df: DataFrame, n: int, power: str, nodes: str = "nodes", samples:
     of compressed elements does."""
     basis, _ = _bases(n)
 
-    @F.pandas_udf("mean array<double>, std array<double>")
-    def run(taken: pd.Series, values: pd.Series, powers: pd.Series) -> pd.DataFrame:
+    def run(taken: np.ndarray, values: np.ndarray, powers: np.ndarray) -> list[np.ndarray]:
         out = []
         for at in range(0, len(taken), ELEMENTS):
-            p, y, w = (np.stack([np.asarray(v) for v in x.iloc[at : at + ELEMENTS]]) for x in (taken, values, powers))
-            _, mean, std = sample(basis, w.astype(float), None, p.shape[1], p, y.astype(float))
-            out.append(pd.DataFrame({"mean": list(mean), "std": list(std)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"mean": [], "std": []})
+            p, y, w = (x[at : at + ELEMENTS] for x in (taken.astype(np.int64), values, powers))
+            out.append(sample(basis, w, None, p.shape[1], p, y)[1:])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
-    return df.withColumn("_s", run(nodes, samples, power)).select(*df.columns, "_s.*")
+    return in_pieces(df, [nodes, samples, power], {"mean": "array<double>", "std": "array<double>"}, run)
 
 
 def coefficients(df: DataFrame, column: str, n: int, out: str) -> DataFrame:
@@ -197,15 +194,12 @@ def truncated(df: DataFrame, coefficient: str, column: str, n: int, most: int, k
     error, by mass, or likelihood), others zero."""
     basis, _ = _bases(n)
 
-    @F.pandas_udf("array<double>")
-    def run(c: pd.Series, u: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(c):
-            return pd.Series([], dtype=object)
-        c_, u_, b_ = (np.stack([np.asarray(v, float) for v in x]) for x in (c, u, b))
+    def run(c_: np.ndarray, u_: np.ndarray, b_: np.ndarray) -> list[np.ndarray]:
         score = {"largest": lambda: c_, "error": lambda: error_gradient(basis, u_, b_), "likelihood": lambda: likelihood_gradient(basis, u_, c_)}[kind]()
-        return pd.Series(list(keep(c_, np.round(score, 9) if kind == "error" else score, most)))
+        return [keep(c_, np.round(score, 9) if kind == "error" else score, most)]
 
-    return df.withColumn(out, run(coefficient, column, mass or F.transform(column, lambda v: F.lit(1.0))))
+    rows = df.withColumn("_b", F.col(mass) if mass else F.transform(column, lambda v: F.lit(1.0)))
+    return in_pieces(rows, [coefficient, column, "_b"], {out: "array<double>"}, run, keep=df.columns)
 
 
 def group_power(df: DataFrame, column: str, n: int, group: Column, kind: str) -> DataFrame:

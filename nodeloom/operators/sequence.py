@@ -13,13 +13,12 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.spectral import gll, lagrange_rows
 from nodeloom.operators.connectivity import place
-from nodeloom.operators.elements import nodes
+from nodeloom.operators.elements import in_pieces, lists_of, nodes, pieces, spark_types, values_of
 from nodeloom.operators.geometry import _grad, _stack, _terms
 from nodeloom.operators.statistics import locate
 from nodeloom.sources.fieldfile import read_steps, steps_of
@@ -73,19 +72,16 @@ def derivatives(p: Prepared, step: DataFrame, fields: list[str]) -> DataFrame:
     made = [f"d{f}d{c}" for f in fields for c in "xyz"]
     n = p.n
 
-    @F.pandas_udf(", ".join(f"{c} array<double>" for c in made))
-    def derive(*parts: pd.Series) -> pd.DataFrame:
-        if not len(parts[0]):
-            return pd.DataFrame({c: [] for c in made})
+    def derive(*parts: np.ndarray) -> list[np.ndarray]:
         inverse, _, _ = _terms(np.stack([_stack(c, n) for c in parts[:3]], axis=1), n)
-        out = {}
-        for f, part in zip(fields, parts[3:], strict=True):
+        out = []
+        for part in parts[3:]:
             g = np.einsum("eackji,eakji->eckji", inverse, _grad(_stack(part, n), n))
-            out |= {f"d{f}d{c}": list(g[:, k].reshape(len(part), -1)) for k, c in enumerate("xyz")}
-        return pd.DataFrame(out)
+            out += [g[:, k] for k in range(3)]
+        return out
 
     dealt = step.repartition(p.buckets, "e")
-    return dealt.join(p.geometry.hint("merge"), "e").select(*step.columns, derive("xs", "ys", "zs", *fields).alias("_d")).select(*step.columns, "_d.*")
+    return in_pieces(dealt.join(p.geometry.hint("merge"), "e"), ["xs", "ys", "zs", *fields], dict.fromkeys(made, "array<double>"), derive, keep=step.columns)
 
 
 def averaged(p: Prepared, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,19 +95,23 @@ def averaged(p: Prepared, rows: DataFrame, columns: list[str]) -> DataFrame:
     back = back.repartition(p.buckets, "e").groupBy("e").agg(F.array_sort(F.collect_list("m")).alias("_means"))
     whole = met.join(back, "e", "left")
 
-    @F.pandas_udf(", ".join(f"{c} array<double>" for c in columns))
-    def put(means: pd.Series, *parts: pd.Series) -> pd.DataFrame:
-        out = {c: [] for c in columns}
-        for k, m in enumerate(means):
-            at = [x["p"] for x in m] if m is not None else []
-            for c, part in zip(columns, parts, strict=True):
-                v = np.array(part.iloc[k], float)
-                v[at] = [x[c] for x in m] if at else []
-                out[c].append(v)
-        return pd.DataFrame(out)
-
     rest = [c for c in rows.columns if c not in columns]
-    return whole.select(*rest, put("_means", *columns).alias("_m")).select(*rest, "_m.*")
+
+    def put(batches):
+        import pyarrow as pa
+
+        for b in pieces(batches):
+            means = b.column("_means")
+            row = np.repeat(np.arange(b.num_rows), means.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at, *new = means.flatten().flatten()
+            at, out = at.to_numpy(zero_copy_only=False), []
+            for c, v in zip(columns, new, strict=True):
+                whole = values_of(b.column(c)).copy()
+                whole[row, at] = v.to_numpy(zero_copy_only=False)
+                out.append(lists_of(whole))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *out], names=[*rest, *columns])
+
+    return whole.select(*rest, "_means", *columns).mapInArrow(put, spark_types(rows.select(*rest), dict.fromkeys(columns, "array<double>")))
 
 
 def products(rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
@@ -124,22 +124,32 @@ def sampled(p: Prepared, rows: DataFrame, columns: list[str], steps: list[tuple[
     With steps (step and time of each) rows have a step, and so has the result."""
     n, x = p.n, gll(p.n)[0]
 
-    @F.pandas_udf(f"array<struct<probe_id:long,{','.join(f'{c}:double' for c in columns)}>>")
-    def at(probes: pd.Series, *parts: pd.Series) -> pd.Series:
-        out = []
-        for k, held in enumerate(probes):
-            grid = np.stack([np.asarray(part.iloc[k], float) for part in parts]).reshape(-1, n, n, n)
-            rows = [lagrange_rows(x, np.array([q[c] for q in held])) for c in "tsr"]
-            values = np.einsum("cpji,pj,pi->pc", np.einsum("ckji,pk->cpji", grid, rows[0]), rows[1], rows[2], optimize=True)
-            out.append([{"probe_id": q["probe_id"], **dict(zip(columns, v, strict=True))} for q, v in zip(held, values.tolist(), strict=True)])
-        return pd.Series(out, dtype=object)
+    more = [] if steps is None else ["step", "time"]
+
+    def at(batches):
+        import pyarrow as pa
+
+        for b in pieces(batches):
+            held = b.column("probes")
+            ends = np.concatenate([[0], np.cumsum(held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            ids, *place = held.flatten().flatten()
+            r, s, t = (lagrange_rows(x, v.to_numpy(zero_copy_only=False)) for v in place)
+            weights = np.einsum("pk,pj,pi->pkji", t, s, r).reshape(len(row), n**3)
+            grid = np.stack([values_of(b.column(c)) for c in columns], axis=2)
+            values = np.zeros((len(row), len(columns)))
+            for k in np.flatnonzero(np.diff(ends)):  # an element's probes together
+                values[ends[k] : ends[k + 1]] = weights[ends[k] : ends[k + 1]] @ grid[k]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in more], ids, *[pa.array(np.ascontiguousarray(v)) for v in values.T]], names=[*more, "probe_id", *columns])
 
     # An element's fields meet its probes once; only values leave the task.
     met = p.probes.hint("merge").join(rows, "e")
+    kinds = ", ".join([*[f"{c} {t}" for c, t in zip(more, ("long", "double"), strict=False)], "probe_id long", *[f"{c} double" for c in columns]])
     if steps is None:
-        got = met.select(F.explode(at("probes", *columns)).alias("v")).select("v.*")
+        got = met.select("probes", *columns).mapInArrow(at, kinds)
         return got.unionByName(p.lost.select("probe_id", *[F.lit(0.0).alias(c) for c in columns]))
-    got = met.select("step", "time", F.explode(at("probes", *columns)).alias("v")).select("step", "time", "v.*")
+    got = met.select(*more, "probes", *columns).mapInArrow(at, kinds)
     each = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("step"), F.lit(float(t)).alias("time")) for s, t in steps])) if steps else F.explode(F.array().cast("array<struct<step:bigint,time:double>>"))
     return got.unionByName(p.lost.select("probe_id", each.alias("s")).select("s.*", "probe_id", *[F.lit(0.0).alias(c) for c in columns]))
 

@@ -76,17 +76,28 @@ def columns(h: dict) -> list[tuple[str, int]]:
     return [(n, i) for i, n in enumerate(names)]
 
 
+def groups_of(names: list[str], dim: int) -> tuple[list[list[str]], str]:
+    """The blocks of a file of these variables, and their code in the header."""
+    groups = [g for g in (list("xyz")[:dim], list("uvw")[:dim], ["p"], ["t"]) if g[0] in names]
+    scalars = sorted((k for k in names if k[0] == "s" and k[1:].isdigit()), key=lambda k: int(k[1:]))
+    code = "".join({"x": "X", "u": "U", "p": "P", "t": "T"}[g[0]] for g in groups) + (f"S{len(scalars):02d}" if scalars else "")
+    return [*groups, *[[s] for s in scalars]], code
+
+
+def bounds_of(arrays: dict[str, np.ndarray], group: list[str]) -> np.ndarray:
+    """Least and largest value of each element, as they stand behind the blocks of a 3D file."""
+    return np.stack([np.stack([arrays[c].min(axis=1), arrays[c].max(axis=1)], axis=1) for c in group], axis=1)
+
+
 def encode(arrays: dict[str, np.ndarray], ids: np.ndarray, n: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, total: int | None = None, number: int = 0, files: int = 0, order: str = "<") -> bytes:
     """A field file of arrays: name -> (elements, nodes); groups x y z, u v w, p, t, s0 .. in file order."""
     dim = 3 if n[2] > 1 else 2
-    groups = [g for g in (list("xyz")[:dim], list("uvw")[:dim], ["p"], ["t"]) if g[0] in arrays]
-    scalars = sorted((k for k in arrays if k[0] == "s" and k[1:].isdigit()), key=lambda k: int(k[1:]))
-    code = "".join({"x": "X", "u": "U", "p": "P", "t": "T"}[g[0]] for g in groups) + (f"S{len(scalars):02d}" if scalars else "")
-    kind, every = f"{order}f{wdsz}", [*groups, *[[s] for s in scalars]]
+    every, code = groups_of(list(arrays), dim)
+    kind = f"{order}f{wdsz}"
     out = [header(wdsz, n, len(ids), time, step, code, total, number, files), np.array([ENDIAN], f"{order}f4").tobytes(), np.asarray(ids).astype(f"{order}i4").tobytes()]
     out += [np.stack([arrays[c] for c in g], axis=1).astype(kind).tobytes() for g in every]
     if dim == 3:
-        out += [np.stack([np.stack([arrays[c].min(axis=1), arrays[c].max(axis=1)], axis=1) for c in g], axis=1).astype(f"{order}f4").tobytes() for g in every if len(ids)]
+        out += [bounds_of(arrays, g).astype(f"{order}f4").tobytes() for g in every if len(ids)]
     return b"".join(out)
 
 
@@ -98,6 +109,7 @@ def write(path: str, arrays: dict[str, np.ndarray], n: tuple[int, int, int], tim
         f.write(encode(arrays, np.arange(1, count + 1) if ids is None else ids, n, time, step, wdsz, order=order))
 
 
+ROWS = 1024  #: elements that a writing task turns into bytes together
 WRITE_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 32 << 20, 4 << 20  #: of a file, of a task that reads, of a batch
 
 
@@ -295,8 +307,10 @@ class Written(WriterCommitMessage):
 
 
 class FieldWriter(DataSourceArrowWriter):
-    """A task's rows become one file, under a name of the task; files of failed or
-    repeated attempts are removed when the job commits or aborts."""
+    """A task's rows become one file, in their order, under a name of the task; files
+    of failed or repeated attempts are removed when the job commits or aborts. The
+    blocks lie in temporary files of the task until all rows are there, so that it
+    holds a batch, whatever the file's size."""
 
     def __init__(self, options: dict, names: list[str], overwrite: bool):
         self.o, self.names = options, names
@@ -307,26 +321,40 @@ class FieldWriter(DataSourceArrowWriter):
         self.before = {p.rsplit("/", 1)[-1] for p in files_of(options["path"])}
 
     def write(self, iterator):
+        import shutil
+        import tempfile
+        from contextlib import ExitStack
+
         from pyspark import TaskContext
 
         context = TaskContext.get()
         number, names = context.partitionId(), [c for c in self.names if c not in ("e", "time")]
         shape = tuple(int(v) for v in self.o["shape"].split(","))
-        ids, parts = [np.zeros(0, np.int64)], {c: [np.zeros((0, int(np.prod(shape))))] for c in names}
-        for b in iterator:
-            ids.append(b.column("e").to_numpy(zero_copy_only=False))
-            for c in names:
-                parts[c].append(b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-        e = np.concatenate(ids)
-        if not len(e) and (number or int(self.o["elements"])):
-            return Written("")
-        order = np.argsort(e, kind="stable")
-        arrays = {c: np.concatenate(v)[order] for c, v in parts.items()}
-        name = f"{self.o['path'].rstrip('/')}/field-{number:06d}-{context.taskAttemptId()}.f{int(self.o.get('step', 0)):05d}"
-        data = encode(arrays, e[order] + 1, shape, float(self.o.get("time", 0.0)), int(self.o.get("step", 0)), int(self.o.get("wdsz", 8)), int(self.o["elements"]), number, int(self.o["files"]))
-        store, local = _store(name)
-        with store.open_output_stream(local) as f:
-            f.write(data)
+        dim, size, count = 3 if shape[2] > 1 else 2, int(self.o.get("wdsz", 8)), 0
+        every, code = groups_of(names, dim)
+        with ExitStack() as held:
+            ids, *blocks = (held.enter_context(tempfile.TemporaryFile()) for _ in range(1 + 2 * len(every)))
+            values, bounds = blocks[: len(every)], blocks[len(every) :]
+            for whole in iterator:
+                for at in range(0, whole.num_rows, ROWS):
+                    b = whole.slice(at, ROWS)
+                    count += b.num_rows
+                    ids.write((b.column("e").to_numpy(zero_copy_only=False) + 1).astype("<i4").tobytes())
+                    for g, block, bound in zip(every, values, bounds, strict=True):
+                        arrays = {c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in g}
+                        block.write(np.stack([arrays[c] for c in g], axis=1).astype(f"<f{size}").tobytes())
+                        if dim == 3:
+                            bound.write(bounds_of(arrays, g).astype("<f4").tobytes())
+            if not count and (number or int(self.o["elements"])):
+                return Written("")
+            name = f"{self.o['path'].rstrip('/')}/field-{number:06d}-{context.taskAttemptId()}.f{int(self.o.get('step', 0)):05d}"
+            store, local = _store(name)
+            with store.open_output_stream(local) as f:
+                f.write(header(size, shape, count, float(self.o.get("time", 0.0)), int(self.o.get("step", 0)), code, int(self.o["elements"]), number, int(self.o["files"])))
+                f.write(np.array([ENDIAN], "<f4").tobytes())
+                for block in (ids, *blocks):
+                    block.seek(0)
+                    shutil.copyfileobj(block, f, BATCH_BYTES)
         return Written(name)
 
     def commit(self, messages):
@@ -350,7 +378,7 @@ def write_field(df: DataFrame, path: str, shape: tuple[int, int, int], time: flo
     spark.dataSource.register(FieldFile)
     count = df.count()
     files = files or max(1, -(-count * int(np.prod(shape)) * wdsz * len([c for c in df.columns if c not in ("e", "time")]) // WRITE_BYTES))
-    out = df.repartitionByRange(files, "e") if count else df.coalesce(1)
+    out = df.repartitionByRange(files, "e").sortWithinPartitions("e") if count else df.coalesce(1)
     o = {"shape": ",".join(map(str, shape)), "elements": str(count), "files": str(files), "time": repr(time), "step": str(step), "wdsz": str(wdsz)}
     out.write.format("fieldfile").mode("overwrite").options(**o).save(path)
 

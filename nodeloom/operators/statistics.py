@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nodeloom.functions.spectral import POINT_ROWS, POINT_SLOPES, derivative, gll, lagrange_rows
+from nodeloom.operators.elements import lists_of, pieces, values_of
 
 
 def file_index(files: DataFrame, series: str, order: list[str], time: str, start: Column | None = None, statistics_start: Column | None = None) -> DataFrame:
@@ -81,17 +82,47 @@ def time_batches(index: DataFrame, series: str, order: list[str], length: float,
 
 def average_arrays(rows: DataFrame, keys: list[str], fields: list[str], weight: str) -> DataFrame:
     """keys, fields and weight: weighted means of arrays, element by element of the
-    arrays, and the sum of the weights. What a task has of a key is added up before it is sent."""
+    arrays, and the sum of the weights. What a slice of a batch has of a key is added
+    up before it is sent, all keys of a slice together; the sums of a key then come
+    in a row, so that a task holds a slice and the key that goes on behind it."""
+
+    def added(b, values: list[np.ndarray], w: np.ndarray):
+        import pyarrow as pa
+
+        code = pd.DataFrame({k: b.column(k).to_pandas() for k in keys}).groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+        kept, add = pa.array(order[starts]), lambda m: np.add.reduceat(m[order], starts, axis=0)
+        return pa.RecordBatch.from_arrays([*[b.column(k).take(kept) for k in keys], *[lists_of(add(v)) for v in values], pa.array(add(w))], names=[*keys, *fields, weight])
+
+    def first(batches):
+        for b in pieces(batches):
+            w = b.column(weight).to_numpy(zero_copy_only=False).astype(float)
+            yield added(b, [values_of(b.column(f)) * w[:, None] for f in fields], w)
+
+    def means(b):
+        import pyarrow as pa
+
+        w = b.column(weight).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *[lists_of(values_of(b.column(f)) / w[:, None]) for f in fields], b.column(weight)], names=[*keys, *fields, weight])
+
+    def last(batches):
+        import pyarrow as pa
+
+        held = None
+        for b in pieces(batches):
+            whole = b if held is None else pa.Table.from_batches([held, pa.RecordBatch.from_arrays(b.columns, schema=held.schema)]).combine_chunks().to_batches()[0]
+            whole = added(whole, [values_of(whole.column(f)) for f in fields], whole.column(weight).to_numpy(zero_copy_only=False))
+            held = whole.slice(whole.num_rows - 1)
+            if whole.num_rows > 1:
+                yield means(whole.slice(0, whole.num_rows - 1))
+        if held is not None:
+            yield means(held)
 
-    def part(c):
-        w = c[weight].astype(float)
-        return np.concatenate([[w.sum()], *[(c[f].astype(float) * w[:, None]).sum(axis=0) for f in fields]])
-
-    def finish(s):
-        own = np.split(s[1:], len(fields))
-        return [*[(v / s[0]).tolist() for v in own], float(s[0])]
-
-    return own_aggregate(rows, keys, [*fields, weight], part, lambda a, b: a + b, finish, dict.fromkeys(fields, "array<double>") | {weight: "double"})
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{f} array<double>" for f in fields], f"{weight} double"])
+    sums = rows.select(*keys, *fields, weight).mapInArrow(first, schema)
+    return sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(last, schema)
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], values: list[str], weight: str) -> DataFrame:
@@ -99,12 +130,13 @@ def weighted_mean(rows: DataFrame, keys: list[str], values: list[str], weight: s
     return rows.groupBy(*keys).agg(*[(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(v) for v in values], F.sum(weight).alias("weight"))
 
 
-def own_aggregate(rows: DataFrame, keys: list[str], columns: list[str], part: Callable, merge: Callable, finish: Callable, out: dict[str, str]) -> DataFrame:
+def own_aggregate(rows: DataFrame, keys: list[str], columns: list[str], part: Callable, merge: Callable, finish: Callable, out: dict[str, str], gather: bool = False) -> DataFrame:
     """keys and out (name -> type) by functions of the user's: part(arrays by
     column) makes a state (a numpy array) of some rows, merge puts two together,
     finish makes the values of out from one. States are made where the rows are;
     only they are sent, one per key and task, so that a key may have any share of
-    the rows."""
+    the rows. gather: rows are dealt by key before, for keys of which a batch would
+    have only a few rows each; a key with a large share still is several tasks'."""
     kinds = dict(rows.dtypes)
     key = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
@@ -124,15 +156,32 @@ def own_aggregate(rows: DataFrame, keys: list[str], columns: list[str], part: Ca
         made = pd.DataFrame(list(held), columns=keys)
         return made.assign(state=[np.asarray(s, float).ravel() for s in held.values()], shape=[list(np.asarray(s).shape) for s in held.values()])
 
-    def last(g: pd.DataFrame) -> pd.DataFrame:
-        states = [np.asarray(s, float).reshape([int(x) for x in shape]) for s, shape in zip(g["state"], g["shape"], strict=True)]
-        whole = states[0]
-        for s in states[1:]:
-            whole = merge(whole, s)
-        return g[keys].iloc[:1].assign(**{c: [v] for c, v in zip(out, finish(whole), strict=True)})
-
-    states = rows.select(*keys, *columns).mapInPandas(first, f"{key}, state array<double>, shape array<int>")
-    return states.groupBy(*keys).applyInPandas(last, key + ", " + ", ".join(f"{c} {t}" for c, t in out.items()))
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, whole, made = None, None, []
+        rows_of = lambda: pd.DataFrame(made, columns=[*keys, *out], dtype=object)
+        for b in batches:
+            named = zip(*[b[k] for k in keys], strict=True)
+            for k, s, shape in zip(named, b["state"], b["shape"], strict=True):
+                own, state = tuple(None if pd.isna(v) else v for v in k), np.asarray(s, float).reshape([int(x) for x in shape])
+                if whole is not None and own == now:
+                    whole = merge(whole, state)
+                    continue
+                if whole is not None:
+                    made.append((*now, *finish(whole)))
+                now, whole = own, state
+            if len(made) > 10_000:
+                yield rows_of()
+                made.clear()
+        if whole is not None:
+            made.append((*now, *finish(whole)))
+            yield rows_of()
+
+    asked = rows.select(*keys, *columns)
+    if gather:
+        asked = asked.hint("rebalance", *keys).sortWithinPartitions(*keys)
+    states = asked.mapInPandas(first, f"{key}, state array<double>, shape array<int>")
+    # The states of a key come in a row.
+    return states.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(last, key + ", " + ", ".join(f"{c} {t}" for c, t in out.items()))
 
 
 def batch_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -133,7 +133,7 @@ def own_aggregates(spark, d):
         n, x, y, xx, xy, top = s
         return (xx / n) ** 0.5, (n * xy - x * y) / (n * xx - x * x) if n * xx > x * x else None, top
 
-    t = st.own_aggregate(rows, ["l_suppkey"], ["x", "y"], part, merge, finish, {"rms": "double", "slope": "double", "top": "double"})
+    t = st.own_aggregate(rows, ["l_suppkey"], ["x", "y"], part, merge, finish, {"rms": "double", "slope": "double", "top": "double"}, gather=True)
     return t.select("l_suppkey", F.round("rms", 6).alias("rms"), F.round("slope", 4).alias("slope"), "top")
 
 

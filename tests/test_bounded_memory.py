@@ -68,3 +68,33 @@ def tempfile_module():
     import tempfile
 
     return tempfile
+
+
+def test_aggregates_see_their_keys_together(spark):
+    """Of 2,000 keys with 10 rows each that lie apart, a user's function sees nearly all rows of a key at once."""
+    from nodeloom.operators import statistics as st
+
+    rows = spark.range(20_000).selectExpr("id % 2000 as key", "cast(id as double) as x").repartition(8)
+    part = lambda c: np.array([len(c["x"]), c["x"].sum(), 1.0])
+    kinds = {"n": "double", "total": "double", "parts": "double"}
+    got = st.own_aggregate(rows, ["key"], ["x"], part, lambda a, b: a + b, lambda s: s.tolist(), kinds, gather=True).collect()
+    assert len(got) == 2000 and all(r["n"] == 10 and r["total"] == 10 * r["key"] + 90_000 for r in got)
+    assert sum(r["parts"] for r in got) < 2100  # 10,000 and more where rows stay in their tasks
+
+
+def test_means_of_arrays_in_slices(spark):
+    """Keys that go on over slices and tasks, with a null key; no group is a Python call."""
+    from nodeloom.operators import statistics as st
+
+    rng = np.random.default_rng(4)
+    data = [((None, "a", "b")[k % 3], int(k % 2), rng.standard_normal(3).tolist(), float(k + 1)) for k in range(120)]
+    df = spark.createDataFrame(data, "g string, h int, v array<double>, w double").repartition(5)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(el, "PIECE", 200)
+        means = st.average_arrays(df, ["g", "h"], ["v"], "w")
+        assert "FlatMapGroupsInPandas" not in means._jdf.queryExecution().executedPlan().toString()
+        got = {(r["g"], r["h"]): r for r in means.collect()}
+    assert len(got) == 6
+    for key, r in got.items():
+        own = [x for x in data if x[:2] == key]
+        assert np.isclose(r["w"], sum(x[3] for x in own)) and np.allclose(r["v"], np.average([x[2] for x in own], axis=0, weights=[x[3] for x in own]))

@@ -218,8 +218,8 @@ def space_derivatives(df: DataFrame, fields: list[str], n: int, coords: tuple[st
     return in_pieces(df, [*coords, *fields], dict.fromkeys(made, "array<double>"), derive)
 
 
-def derived_statistics(df: DataFrame, wanted: dict[str, list[tuple[str, int, str]]], n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs")) -> DataFrame:
-    """e and an array per wanted column: sums of first or second derivatives in
+def derived_statistics(df: DataFrame, wanted: dict[str, list[tuple[str, int, str]]], n: int, coords: tuple[str, str, str] = ("xs", "ys", "zs"), keep: tuple[str, ...] = ("e",)) -> DataFrame:
+    """e (or what else to keep) and an array per wanted column: sums of first or second derivatives in
     space of df's statistics (arrays per element): name -> (statistic, order, axis)."""
     fields = list(dict.fromkeys(name for terms in wanted.values() for name, _, _ in terms))
 
@@ -236,4 +236,4 @@ def derived_statistics(df: DataFrame, wanted: dict[str, list[tuple[str, int, str
             out.append(total)
         return out
 
-    return in_pieces(df, [*coords, *fields], dict.fromkeys(wanted, "array<double>"), derive, keep=["e"])
+    return in_pieces(df, [*coords, *fields], dict.fromkeys(wanted, "array<double>"), derive, keep=list(keep))

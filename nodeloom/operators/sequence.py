@@ -20,18 +20,23 @@ from nodeloom.functions.spectral import gll, lagrange_rows
 from nodeloom.operators.connectivity import place
 from nodeloom.operators.elements import in_pieces, lists_of, nodes, pieces, spark_types, values_of
 from nodeloom.operators.geometry import _grad, _stack, _terms
-from nodeloom.operators.statistics import locate
+from nodeloom.operators.statistics import boxes_meet, hull_of, locate
 from nodeloom.sources.fieldfile import read_steps, steps_of
 
 
 TOGETHER = 1000  #: probes of an element in a row, about; an element with more has several rows
 
 
+NAMED = 200_000  #: elements that hold or touch a probe, up to which a field is thinned to them before it is dealt
+
+
 @dataclass
 class Prepared:
-    """Tables by element: geometry (xs, ys, zs), classes (shared: p, label and
-    copies of each node that others share) and probes (arrays of probe_id, r, s,
-    t); and the probes that no element holds."""
+    """Tables by element, of the elements that hold probes and those that share a
+    node with one of these: geometry (xs, ys, zs), classes (probed: whether it
+    holds probes; shared: p, label and copies of each node that an element with
+    probes shares) and probes (arrays of probe_id, r, s, t); and the probes that no
+    element holds. near: the ids of these elements, if they are at most NAMED."""
 
     geometry: DataFrame
     classes: DataFrame
@@ -39,6 +44,7 @@ class Prepared:
     lost: DataFrame
     n: int
     buckets: int
+    near: DataFrame | None = None
 
 
 def _bucketed(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
@@ -50,21 +56,39 @@ def _bucketed(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
 
 def prepare(spark: SparkSession, mesh: DataFrame, probes: DataFrame, n: int, folder: str, tol: float = 1e-7, buckets: int = 8) -> Prepared:
     """mesh: e, xs, ys, zs; probes: probe_id, x, y, z. Tables go to folder, which
-    all machines have to see. buckets should give each task some MB of a field."""
-    long = nodes(mesh, "e", ["xs", "ys", "zs"], n, ["x", "y", "z"]).withColumn("node", F.expr(f"e * {n**3} + (k * {n} + j) * {n} + i"))
-    rim = long.where(" or ".join(f"{c} in (0, {n - 1})" for c in "kji"))  # inner nodes are shared with none
-    labelled = place(rim, "node", ["x", "y", "z"], tol)
-    copies = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    shared = labelled.join(copies, "label").select(F.expr(f"node div {n**3}").alias("e"), F.struct((F.col("node") % n**3).cast("int").alias("p"), "label", "copies").alias("s"))
-    classes = mesh.select("e").join(shared, "e", "left").groupBy("e").agg(F.array_sort(F.collect_list("s")).alias("shared"))
-    located = locate(probes, mesh, n)
+    all machines have to see. buckets should give each task some MB of a field.
+    Values at probes come from their elements and what those share, so nodes are
+    matched only where boxes touch the hull of the elements with probes."""
+    locate(probes, mesh, n).select("probe_id", "e", "r", "s", "t").write.mode("overwrite").parquet(f"{folder}/located")
+    located = spark.read.parquet(f"{folder}/located")
     inside = located.where("e is not null").select("e", F.struct("probe_id", "r", "s", "t").alias("q"))
     many = inside.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_parts"))
     dealt = inside.join(many, "e").withColumn("_part", F.pmod(F.xxhash64("q.probe_id"), F.col("_parts")))
-    found = dealt.groupBy("e", "_part").agg(F.collect_list("q").alias("probes")).select("e", "probes")
-    lost = located.where("e is null").select("probe_id")
-    lost.write.mode("overwrite").parquet(f"{folder}/lost")
-    return Prepared(_bucketed(mesh.select("e", "xs", "ys", "zs"), folder, "geometry", buckets), _bucketed(classes, folder, "classes", buckets), _bucketed(found, folder, "probes", buckets), spark.read.parquet(f"{folder}/lost"), n, buckets)
+    found = _bucketed(dealt.groupBy("e", "_part").agg(F.collect_list("q").alias("probes")).select("e", "probes"), folder, "probes", buckets)
+    ids = found.select("e").distinct()
+    hull = hull_of(mesh.join(ids, "e", "left_semi").select(*[F.array_min(f"{c}s").alias(c) for c in "xyz"], *[F.array_max(f"{c}s").alias(f"{c}_2") for c in "xyz"]), {c: (c, f"{c}_2") for c in "xyz"})
+    near = mesh.where(boxes_meet(hull, {c: (F.array_min(f"{c}s"), F.array_max(f"{c}s")) for c in "xyz"}, 2 * tol)).select("e", "xs", "ys", "zs")
+    long = nodes(near, "e", ["xs", "ys", "zs"], n, ["x", "y", "z"]).withColumn("node", F.expr(f"e * {n**3} + (k * {n} + j) * {n} + i"))
+    rim = long.where(" or ".join(f"{c} in (0, {n - 1})" for c in "kji"))  # inner nodes are shared with none
+    labelled = place(rim, "node", ["x", "y", "z"], tol).withColumn("e", F.expr(f"node div {n**3}"))
+    labelled = labelled.join(ids.withColumn("probed", F.lit(True)), "e", "left")
+    copies = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("copies"), F.max("probed").alias("_asked")).where("copies > 1 and _asked").drop("_asked")
+    shared = labelled.join(copies, "label").select("e", F.struct((F.col("node") % n**3).cast("int").alias("p"), "label", "copies").alias("s"))
+    each = shared.unionByName(ids.withColumn("s", F.lit(None).cast(shared.schema["s"].dataType))).groupBy("e").agg(F.array_sort(F.collect_list("s")).alias("shared"))
+    classes = _bucketed(each.join(ids.withColumn("probed", F.lit(True)), "e", "left").select("e", F.coalesce("probed", F.lit(False)).alias("probed"), "shared"), folder, "classes", buckets)
+    geometry = _bucketed(near.join(classes.select("e"), "e", "left_semi"), folder, "geometry", buckets)
+    near = None
+    if classes.count() <= NAMED:
+        classes.select("e").write.mode("overwrite").parquet(f"{folder}/near")
+        near = spark.read.parquet(f"{folder}/near")
+    return Prepared(geometry, classes, found, located.where("e is null").select("probe_id"), n, buckets, near)
+
+
+def dealt(p: Prepared, rows: DataFrame) -> DataFrame:
+    """rows (e and arrays of a field) of the elements that count, by element in as many parts as there are buckets."""
+    if p.near is not None:
+        rows = rows.join(F.broadcast(p.near), "e", "left_semi")
+    return rows.repartition(p.buckets, "e")
 
 
 def derivatives(p: Prepared, step: DataFrame, fields: list[str]) -> DataFrame:
@@ -80,20 +104,19 @@ def derivatives(p: Prepared, step: DataFrame, fields: list[str]) -> DataFrame:
             out += [g[:, k] for k in range(3)]
         return out
 
-    dealt = step.repartition(p.buckets, "e")
-    return in_pieces(dealt.join(p.geometry.hint("merge"), "e"), ["xs", "ys", "zs", *fields], dict.fromkeys(made, "array<double>"), derive, keep=step.columns)
+    return in_pieces(dealt(p, step).join(p.geometry.hint("merge"), "e"), ["xs", "ys", "zs", *fields], dict.fromkeys(made, "array<double>"), derive, keep=step.columns)
 
 
 def averaged(p: Prepared, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """rows with the values of shared nodes replaced by their mean over all copies
-    (gather-scatter, divided by the multiplicity). Per element the shared values
-    go out by place and come back as sums."""
+    """The rows of elements with probes, the values of shared nodes replaced by their
+    mean over all copies (gather-scatter, divided by the multiplicity). Per element
+    the shared values go out by place and come back as sums."""
     met = rows.join(p.classes.hint("merge"), "e")
-    out = met.select("e", F.explode("shared").alias("s"), *columns).select("e", "s.p", "s.label", "s.copies", *[F.element_at(c, F.col("s.p") + 1).alias(c) for c in columns])
+    out = met.select("e", "probed", F.explode("shared").alias("s"), *columns).select("e", "probed", "s.p", "s.label", "s.copies", *[F.element_at(c, F.col("s.p") + 1).alias(c) for c in columns])
     sums = out.groupBy("label").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    back = out.select("e", "p", "label", "copies").join(sums, "label").select("e", F.struct("p", *[(F.col(f"_{c}") / F.col("copies")).alias(c) for c in columns]).alias("m"))
+    back = out.where("probed").select("e", "p", "label", "copies").join(sums, "label").select("e", F.struct("p", *[(F.col(f"_{c}") / F.col("copies")).alias(c) for c in columns]).alias("m"))
     back = back.repartition(p.buckets, "e").groupBy("e").agg(F.array_sort(F.collect_list("m")).alias("_means"))
-    whole = met.join(back, "e", "left")
+    whole = met.where("probed").join(back, "e", "left")
 
     rest = [c for c in rows.columns if c not in columns]
 
@@ -167,5 +190,5 @@ def sample_files(p: Prepared, folder: str, keys: list[str]) -> DataFrame:
     folder of steps: one plan, in which files are read by element ranges."""
     spark = p.geometry.sparkSession
     steps = [(s, files[0][1]["time"]) for s, files in steps_of(folder).items()]
-    rows = read_steps(spark, folder, ",".join(keys)).repartition(p.buckets, "e")
+    rows = dealt(p, read_steps(spark, folder, ",".join(keys)))
     return sampled(p, rows, keys, steps)

@@ -403,6 +403,17 @@ def _newton(grid, p, x, d, tolerance: float, iterations: int):
     return q, np.abs(back - p).max(axis=1)
 
 
+def hull_of(rows: DataFrame, ends: dict[str, tuple[str, str]]) -> dict[str, tuple[float, float]] | None:
+    """Per axis the least of its first column and the largest of its second; None without rows."""
+    r = rows.agg(*[f(c).alias(f"{a}_{k}") for a, (lo, hi) in ends.items() for k, f, c in (("lo", F.min, lo), ("hi", F.max, hi))]).first()
+    return None if any(v is None for v in r) else {a: (float(r[f"{a}_lo"]), float(r[f"{a}_hi"])) for a in ends}
+
+
+def boxes_meet(hull: dict[str, tuple[float, float]] | None, ends: dict[str, tuple[Column, Column]], tol: float = 0.0) -> Column:
+    """Whether a box (lowest and highest per axis) and the hull, widened by tol, have a place in common."""
+    return F.lit(False) if hull is None else reduce(lambda x, y: x & y, [(lo <= hull[a][1] + tol) & (hi >= hull[a][0] - tol) for a, (lo, hi) in ends.items()])
+
+
 def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float | None = None, tolerance: float = 1e-10, iterations: int = 50, accept: float = 1e-4) -> DataFrame:
     """Element and reference coordinates of each probe (probe_id, x, y, z).
 
@@ -413,8 +424,9 @@ def locate(probes: DataFrame, mesh: DataFrame, n: int, size: float | None = None
     are inverted by Newton steps together. Of a probe's candidates the inside one
     (err_code 1), then the smallest remaining error, then the smallest element
     wins. A probe without candidates has err_code 0, one without an inside
-    candidate -10."""
+    candidate -10. Elements beyond the hull of all probes are left out before."""
     pick = lambda f, c: f(c)
+    mesh = mesh.where(boxes_meet(hull_of(probes, {c: (c, c) for c in "xyz"}), {c: (F.array_min(f"{c}s"), F.array_max(f"{c}s")) for c in "xyz"}))
     boxes = mesh.select("e", *[pick(f, f"{c}s").alias(f"{c}_{s}") for c in "xyz" for f, s in ((F.array_min, "lo"), (F.array_max, "hi"))])
     own = probes.select("probe_id", "x", "y", "z")
     pairs = level_join(own, boxes, ["x", "y", "z"]) if size is None else box_join(own, boxes, ["x", "y", "z"], {c: size for c in "xyz"})

@@ -14,7 +14,7 @@ from nodeloom.operators import compression, connectivity, routing, sequence, tra
 from nodeloom.operators import elements as el
 from nodeloom.operators import geometry as geo
 from nodeloom.operators import statistics as st
-from nodeloom.plans.catalogue import _INV, _KEYS, N, QUERIES, SQL, SQL_D, SQL_NODES, SQL_PROBES, _folder, _located, _probes, _sql_deriv, _sql_lagrange, arrays, brick_arrays, matrix, query, table
+from nodeloom.plans.catalogue import _INV, _KEYS, N, QUERIES, SQL, SQL_D, SQL_NODES, SQL_PROBES, _folder, _located, _probes, _sql_deriv, _sql_lagrange, arrays, brick_arrays, matrix, on_brick, query, table
 from nodeloom.plans.meshes import _shaken
 from nodeloom.sources import averages, container, fieldfile, probes, registry
 
@@ -290,13 +290,12 @@ def budgets_at_points(spark, d):
     budget of the kinetic energy from what comes out."""
     path = _home(spark, "stats")
     scalars = {f"s{k}": name for k, name in enumerate(_STATS)}
-    a = brick_arrays(spark, d, 0.0)
-    fieldfile.write_field(a.select("e", F.col("xs").alias("x"), F.col("ys").alias("y"), F.col("zs").alias("z"), *[F.expr(f"transform(u, v -> v * {_TIMES[name]})").alias(s) for s, name in scalars.items()]), path, (N, N, N))
+    made = lambda a: a.select("e", F.col("xs").alias("x"), F.col("ys").alias("y"), F.col("zs").alias("z"), *[F.expr(f"transform(u, v -> v * {_TIMES[name]})").alias(s) for s, name in scalars.items()])
+    fieldfile.write_field(arrays(spark, d), path, (N, N, N), made=lambda a: made(on_brick(a, 0.0)))
     stats = fieldfile.read_field(spark, path).withColumnsRenamed({"x": "xs", "y": "ys", "z": "zs"} | scalars)
-    ready = sequence.prepare(spark, stats.select("e", "xs", "ys", "zs"), _probes(spark, d), N, _home(spark, "points"))
-    made = geo.derived_statistics(stats, {n: [t] for n, t in _WANTED.items()}, N).repartition(ready.buckets, "e")
-    smooth = sequence.averaged(ready, made, list(_WANTED))
-    at = sequence.sampled(ready, stats.select("e", *_STATS).repartition(ready.buckets, "e").join(smooth, "e"), [*_STATS, *_WANTED])
+    ready = sequence.prepare(spark, fieldfile.read_field(spark, path, "x,y,z").withColumnsRenamed({"x": "xs", "y": "ys", "z": "zs"}), _probes(spark, d), N, _home(spark, "points"))
+    rows = geo.derived_statistics(sequence.dealt(ready, stats), {n: [t] for n, t in _WANTED.items()}, N, keep=("e", *_STATS))
+    at = sequence.sampled(ready, sequence.averaged(ready, rows, list(_WANTED)), [*_STATS, *_WANTED])
     names = [*_STATS, *_WANTED]
 
     def part(c):

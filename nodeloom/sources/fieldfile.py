@@ -11,6 +11,8 @@ of the wanted variables and elements are read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -370,15 +372,17 @@ class FieldWriter(DataSourceArrowWriter):
                 store.delete_file(local)
 
 
-def write_field(df: DataFrame, path: str, shape: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, files: int | None = None) -> None:
+def write_field(df: DataFrame, path: str, shape: tuple[int, int, int], time: float = 0.0, step: int = 0, wdsz: int = 8, files: int | None = None, made: Callable | None = None) -> None:
     """Writes e and arrays of nodal values as the files of one field, in the order
     of the elements: each task a range of them. Without a number of files, so many
-    that each holds about WRITE_BYTES. A field without elements is one file."""
+    that each holds about WRITE_BYTES. A field without elements is one file.
+    made: makes the field from df row by row, once rows are where they are written."""
     spark = df.sparkSession
     spark.dataSource.register(FieldFile)
     count = df.count()
-    files = files or max(1, -(-count * int(np.prod(shape)) * wdsz * len([c for c in df.columns if c not in ("e", "time")]) // WRITE_BYTES))
+    files = files or max(1, -(-count * int(np.prod(shape)) * wdsz * len([c for c in (made(df) if made else df).columns if c not in ("e", "time")]) // WRITE_BYTES))
     out = df.repartitionByRange(files, "e").sortWithinPartitions("e") if count else df.coalesce(1)
+    out = made(out) if made else out
     o = {"shape": ",".join(map(str, shape)), "elements": str(count), "files": str(files), "time": repr(time), "step": str(step), "wdsz": str(wdsz)}
     out.write.format("fieldfile").mode("overwrite").options(**o).save(path)
 

@@ -47,10 +47,10 @@ class Prepared:
     near: DataFrame | None = None
 
 
-def _bucketed(df: DataFrame, folder: str, name: str, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, folder: str, name: str, buckets: int, by: str = "e") -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{hashlib.md5(folder.encode()).hexdigest()}"
-    df.write.mode("overwrite").bucketBy(buckets, "e").sortBy("e").option("path", f"{folder}/{name}").saveAsTable(table)
+    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", f"{folder}/{name}").saveAsTable(table)
     return spark.table(table)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import sys
 from itertools import chain
 
@@ -59,8 +60,12 @@ class WordIds:
         self.pieces: dict[str, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        # ASCII letters in lower case pass the normalizer, the cut and the bytes' alphabet as they are, so that the model alone
+        # has their ids, unless a special token is made of letters.
+        self.alone = not any(re.search("[a-z]", t.content.lower()) and t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.ends = set(np.flatnonzero(self.closes).tolist())
 
     def _encode(self, text: str) -> np.ndarray:
         self.tokenizer.encode_special_tokens = self.plain
@@ -85,6 +90,16 @@ class WordIds:
         again = {x for x in new if x in self.old_pieces}
         self.pieces.update(zip(again, map(self.old_pieces.__getitem__, again)))
         new = list(new - again)
+        if self.alone:
+            tokenize, ends, rest = self.tokenizer.model.tokenize, self.ends, []
+            for piece in new:
+                if piece.isascii() and piece.isalpha():
+                    ids = [token.id for token in tokenize(piece)]
+                    if ids and ids[-1] in ends:
+                        self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                        continue
+                rest.append(piece)
+            new = rest
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             ids = self._encode(" ".join(some))

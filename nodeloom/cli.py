@@ -63,8 +63,8 @@ def subdomain(spark: SparkSession, path: str, out: str, bounds: list[tuple[float
     if order and order != shape[0]:
         if shape[2] == 1:
             raise ValueError("the order of two-dimensional fields can't be changed")
-        for c in wanted:
-            rows = tensor(rows, c, interpolation(shape[0], order), c)
+        if wanted:
+            rows = tensor(rows, wanted, interpolation(shape[0], order), wanted)
         shape = (order, order, order)
     fieldfile.write_field(rows, out, shape, h["time"], h["step"], h["wdsz"])
     return numbers.count()

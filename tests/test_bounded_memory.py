@@ -34,6 +34,25 @@ def test_kernels_go_through_slices(spark):
     assert len(got) == 20 and all(got[e] is None if v is None else got[e] == [2 * x for x in v] for e, v in want.items())
 
 
+def test_coefficients_are_made_once(spark):
+    """One pass through Python before an explode, not one more for a filter that is inferred of it; as the matrix says, nulls included."""
+    a = catalogue.arrays(spark, SF).where("e < 20")
+    plan = sampling.group_power(a, "u", 4, F.expr("e div 10"), "variance")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    m = np.random.default_rng(2).standard_normal((3, 4))
+    u = a.select(F.when(F.col("e") % 3 != 0, F.col("u")).alias("u"), "e", (F.col("e") * 2).alias("twice")).withColumn("w", F.transform("u", lambda v: v + 1))
+    both = el.tensor(u, ["u", "w"], m, ["u", "made"])
+    assert both.columns == ["u", "e", "twice", "w", "made"]
+    got, want = ({r["e"]: r for r in x.collect()} for x in (both, u))
+    dense = np.einsum("ck,bj,ai->cbakji", m, m, m).reshape(27, 64)
+    assert len(got) == 20
+    for e, r in want.items():
+        if r["u"] is None:
+            assert got[e]["u"] is None and got[e]["made"] is None
+        else:
+            assert np.allclose(got[e]["u"], dense @ r["u"]) and np.allclose(got[e]["made"], dense @ r["w"]) and got[e]["w"] == r["w"]
+
+
 def test_a_file_is_written_in_parts(tmp_path, monkeypatch):
     """20,000 elements (21 MB) in one file, from batches that are made as they are asked for."""
     import pyspark
